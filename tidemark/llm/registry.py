@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import simhash_dedup
+from tidemark.llm import mixing, simhash_dedup
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,9 +18,44 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: Rounds of the water level are a recursion; the order within a source is that of the MD5 of seed and id.
+OP6_SQL = r"""
+WITH RECURSIVE sized AS (
+  SELECT doc_id, source, text, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents),
+src AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         CAST(CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS weight
+  FROM sized GROUP BY source),
+level(n, v) AS (
+  SELECT 0, CAST(0 AS DOUBLE)
+  UNION ALL
+  SELECT n + 1, (SELECT (1.5 * (SELECT sum(source_size) FROM src) - coalesce(sum(CASE WHEN weight * v > 2.0 * source_size THEN 2.0 * source_size END), 0))
+                        / sum(CASE WHEN NOT weight * v > 2.0 * source_size THEN weight END) FROM src)
+  FROM level WHERE n < 40),
+filled AS (
+  SELECT source, source_size, least(2.0 * source_size, weight * (SELECT v FROM level WHERE n = 40)) AS target FROM src),
+part AS (
+  SELECT source, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM filled),
+dealt AS (
+  SELECT d.doc_id, d.size, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS fraction,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY h, d.doc_id, d.text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM sized d JOIN part p ON d.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, source_size, target,
+       CAST(size * (whole + CASE WHEN before < fraction AND 2 * (fraction - before) >= size THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM dealt
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op7_simhash": op7_simhash}
+    return {"op6_mixing": op6_mixing, "op7_simhash": op7_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_mixing": OP6_SQL}
