@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, simhash_dedup, topk_search
+from tidemark.llm import mixing, simhash_dedup, token_store, topk_search
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,20 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: The ids that end a document, and the tokenizers of the two encoders.
+END_ID, WORD_BPE, BYTE_BPE = 2, "word_bpe_49k.json", "byte_bpe_50k.json"
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE), END_ID)
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, k=5)
 
@@ -74,7 +88,7 @@ FROM dealt
 
 
 def queries() -> dict[str, Query]:
-    return {"op5_topk": op5_topk, "op6_mixing": op6_mixing, "op7_simhash": op7_simhash}
+    return {"op2_token_store": op2_token_store, "op5_topk": op5_topk, "op6_mixing": op6_mixing, "op7_simhash": op7_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
