@@ -49,8 +49,7 @@ def flag_trusted(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> list[float]:
     """The log ratio of target to corpus for every bucket, from the n-grams of all documents; all zero without trusted ones."""
     w = flag_trusted(docs.select("doc_id", "text"), trusted).select("_qr_trusted", words(F.col("text")).alias("w"))
-    # The array of words feeds several lambdas; a filter on it keeps it computed once.
-    grams = w.where(F.size("w") > 0).select("_qr_trusted", F.explode(ngram_buckets(F.col("w"), buckets)).alias("b"))
+    grams = w.select("_qr_trusted", F.explode(ngram_buckets(F.col("w"), buckets)).alias("b"))
     counts = grams.groupBy("b", "_qr_trusted").count().groupBy("b").agg(F.sum("count").alias("n"), F.sum(F.when(F.col("_qr_trusted"), F.col("count"))).alias("t")).collect()
     raw, target = [0] * buckets, [0] * buckets
     for r in counts:
