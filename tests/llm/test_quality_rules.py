@@ -15,8 +15,9 @@ DOCS = "doc_id long, text string, kept string, _qr_x int, w string"
 
 def brute(rows, trusted, buckets=1 << 14, threshold=-0.06):
     def grams(w):
-        b = [x.encode() for x in w]
-        return [xxhash.xxh64_intdigest(x, 42) % buckets for x in b] + [xxhash.xxh64_intdigest(y, xxhash.xxh64_intdigest(x, 42)) % buckets for x, y in zip(b, b[1:])]  # noqa: B905
+        one = [xxhash.xxh64_intdigest(x.encode(), 42) for x in w]
+        two = [xxhash.xxh64_intdigest(y.to_bytes(8, "little"), xxhash.xxh64_intdigest(x.to_bytes(8, "little"), 42)) for x, y in zip(one, one[1:])]  # noqa: B905
+        return [h // (2**64 // buckets) for h in one + two]
 
     split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
     raw, target = Counter(), Counter()

@@ -16,25 +16,32 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import words
 
-#: Buckets of the multinomials; added to each bucket's count; least mean log ratio of a kept document.
-BUCKETS, SMOOTHING, THRESHOLD = 1 << 14, 1.0, -0.06
+#: Bits of the multinomials' buckets; added to each bucket's count; least mean log ratio of a kept document.
+BUCKET_BITS, SMOOTHING, THRESHOLD = 14, 1.0, -0.06
 #: Trusted ids that are broadcast at most (16 bytes each); beyond that the join is shuffled.
 BROADCAST_IDS = 2_000_000
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
-_SYMBOLS = "#*$%&|<>"
-_BLANKS = " \t\n\x0b\x0c\r"
+_NO_SYMBOL = "[^#*$%&|<>]+"
 OUT = "quality_rules"
 
 
-def _bucket(*parts: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(*parts), F.lit(buckets)).cast("int")
+def _pairs(hashes: Column, gap: int) -> Column:
+    """Hashes of each element with the one ``gap`` places on; the last ``gap`` have no partner and mean nothing."""
+    return F.zip_with(hashes, F.slice(hashes, gap + 1, F.size(hashes)), lambda a, b: F.xxhash64(a, b))
 
 
-def ngram_buckets(w: Column, buckets: int) -> Column:
-    """The bucket of every unigram and every bigram of a column of words."""
-    one = F.transform(w, lambda a: _bucket(a, buckets=buckets))
-    two = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, i: _bucket(a, F.get(w, i + 1), buckets=buckets))
-    return F.concat(one, two)
+def _with_hashes(d: DataFrame, text: Column) -> DataFrame:
+    """Adds the words of a text, their hashes, and the hashes of each two words in a row.
+
+    Each is a column that the next ones use several times, so it is computed once a row.
+    """
+    d = d.withColumn("_qr_words", words(text))
+    d = d.withColumn("_qr_one", F.transform("_qr_words", lambda w: F.xxhash64(w)))
+    return d.withColumn("_qr_two", F.slice(_pairs(F.col("_qr_one"), 1), 1, F.greatest(F.size("_qr_one") - 1, F.lit(0))))
+
+
+def _bucket(h: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(h, 64 - bits).cast("int")
 
 
 def flag_trusted(docs: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -46,65 +53,61 @@ def flag_trusted(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     return docs.join(ids, docs["doc_id"] == ids["_qr_id"], "left").drop("_qr_id").withColumn("_qr_trusted", F.coalesce("_qr_trusted", F.lit(False)))
 
 
-def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> list[float]:
+def bucket_weights(docs: DataFrame, trusted: DataFrame, bits: int = BUCKET_BITS, smoothing: float = SMOOTHING) -> list[float]:
     """The log ratio of target to corpus for every bucket, from the n-grams of all documents; all zero without trusted ones."""
-    w = flag_trusted(docs.select("doc_id", "text"), trusted).select("_qr_trusted", words(F.col("text")).alias("w"))
-    grams = w.select("_qr_trusted", F.explode(ngram_buckets(F.col("w"), buckets)).alias("b"))
-    counts = grams.groupBy("b", "_qr_trusted").count().groupBy("b").agg(F.sum("count").alias("n"), F.sum(F.when(F.col("_qr_trusted"), F.col("count"))).alias("t")).collect()
-    raw, target = [0] * buckets, [0] * buckets
+    hashed = _with_hashes(flag_trusted(docs.select("doc_id", "text"), trusted), F.col("text"))
+    grams = hashed.select("_qr_trusted", F.explode(F.concat("_qr_one", "_qr_two")).alias("h"))
+    counts = grams.groupBy(_bucket(F.col("h"), bits).alias("b"), "_qr_trusted").count()
+    counts = counts.groupBy("b").agg(F.sum("count").alias("n"), F.sum(F.when(F.col("_qr_trusted"), F.col("count"))).alias("t")).collect()
+    raw, target = [0] * (1 << bits), [0] * (1 << bits)
     for r in counts:
         raw[r.b], target[r.b] = r.n, r.t or 0
-    all_raw, all_target = sum(raw) + smoothing * buckets, sum(target) + smoothing * buckets
     if not any(target):
-        return [0.0] * buckets
+        return [0.0] * (1 << bits)
+    all_raw, all_target = sum(raw) + smoothing * len(raw), sum(target) + smoothing * len(raw)
     return [math.log((t + smoothing) / all_target) - math.log((n + smoothing) / all_raw) for t, n in zip(target, raw, strict=True)]
 
 
 def _repeats(d: DataFrame) -> DataFrame:
     """Adds ``_qr_repeat``: words in windows of eight that are found twice or more.
 
-    Windows are told apart by 64-bit hashes. Only where two of a text agree are they sorted to find
-    their places; the covered words are the sum of the gaps between those, eight at most each.
+    Windows are told apart by 64-bit hashes, built from those of two and four words. Only where two
+    of a text agree are they sorted to find their places; the covered words are the sum of the gaps
+    between those, eight at most each.
     """
-    w = F.col("_qr_words")
-    hashes = F.transform(F.sequence(F.lit(1), F.size(w) - WINDOW + 1), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))
-    d = d.withColumn("_qr_grams", F.when(F.size(w) >= WINDOW, hashes).otherwise(F.array().cast("array<bigint>")))
-    g = F.col("_qr_grams")
+    n = F.size("_qr_one")
+    d = d.withColumn("_qr_four", _pairs(F.col("_qr_two"), 2)).withColumn("_qr_eight", F.slice(_pairs(F.col("_qr_four"), 4), 1, F.greatest(n - WINDOW + 1, F.lit(0))))
+    g = F.col("_qr_eight")
     d = d.withColumn("_qr_sorted", F.when(F.size(F.array_distinct(g)) < F.size(g), F.array_sort(F.transform(g, lambda x, i: F.struct(x.alias("g"), i.alias("i"))))))
     s = F.col("_qr_sorted")
-    twin = F.filter(s, lambda x, i: F.coalesce(x["g"] == F.get(s, i - 1)["g"], F.lit(False)) | F.coalesce(x["g"] == F.get(s, i + 1)["g"], F.lit(False)))
-    d = d.withColumn("_qr_at", F.array_sort(F.transform(twin, lambda x: x["i"])))
+    same = lambda x, y: F.coalesce(x["g"] == y["g"], F.lit(False))
+    d = d.withColumn("_qr_at", F.array_sort(F.transform(F.filter(s, lambda x, i: same(x, F.get(s, i - 1)) | same(x, F.get(s, i + 1))), lambda x: x["i"])))
     at = F.col("_qr_at")
     gaps = F.zip_with(at, F.slice(at, 2, F.size(at)), lambda a, b: F.least(b - a, F.lit(WINDOW)))
-    covered = F.aggregate(gaps, F.lit(0), lambda total, x: total + x)
-    return d.withColumn("_qr_repeat", F.when(s.isNull(), F.lit(0)).otherwise(covered).cast("long"))
+    return d.withColumn("_qr_repeat", F.when(s.isNull(), F.lit(0)).otherwise(F.aggregate(gaps, F.lit(0), lambda total, x: total + x)).cast("long"))
 
 
-def score(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
+def score(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, bits: int = BUCKET_BITS) -> DataFrame:
     """``docs`` with a struct ``quality_rules``: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept.
 
     ``trusted`` lists the doc_ids of the target. A text that is null or has no words has score null
     and fails the base rules. Null and repeated doc_ids keep their rows; an empty table gives none.
     A column of ``docs`` that is called quality_rules is replaced; all others come through.
     """
-    weights = bucket_weights(docs, trusted, buckets)
+    weights = bucket_weights(docs, trusted, bits)
     table = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")  # folded to a constant
     text = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.drop(OUT).withColumn("_qr_words", words(F.col("text")))
-    w = F.col("_qr_words")
-    d = _repeats(d)
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    d = d.withColumn("_qr_lines", lines)
-    weight = lambda *parts: F.element_at(table, _bucket(*parts, buckets=buckets) + 1)
-    each = F.transform(w, lambda a, i: weight(a) + F.when(i + 1 < F.size(w), weight(a, F.get(w, i + 1))).otherwise(0.0))
-    mean = F.when(F.size(w) > 0, F.aggregate(each, F.lit(0.0), lambda total, x: total + x) / (2 * F.size(w) - 1))
-    plain = F.length(F.translate(text, _BLANKS, ""))
-    failed = (F.size(w) < MIN_WORDS) | (100 * F.col("_qr_repeat") > MAX_REPEAT_PERCENT * F.size(w))
-    d = d.withColumn("_qr_score", mean)
+    d = _repeats(_with_hashes(docs.drop(OUT), F.col("text")))
+    d = d.withColumn("_qr_lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    add = lambda total, h: total + F.get(table, _bucket(h, bits))
+    n = F.size("_qr_words")
+    total = F.aggregate("_qr_one", F.lit(0.0), add) + F.aggregate("_qr_two", F.lit(0.0), add)
+    d = d.withColumn("_qr_score", F.when(n > 0, total / (2 * n - 1)))
+    failed = (n < MIN_WORDS) | (100 * F.col("_qr_repeat") > MAX_REPEAT_PERCENT * n)
     fields = {
-        "n_words": F.size(w).cast("long"),
-        "word_chars": plain.cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, _SYMBOLS, ""))).cast("long"),
+        "n_words": n.cast("long"),
+        "word_chars": F.length(F.array_join("_qr_words", "")).cast("long"),
+        "n_symbols": F.length(F.regexp_replace(text, _NO_SYMBOL, "")).cast("long"),
         "n_dup_lines": (F.size("_qr_lines") - F.size(F.array_distinct("_qr_lines"))).cast("long"),
         "n_repeat_words": F.col("_qr_repeat"),
         "base_failed": failed,
