@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe_codec, language_id, mixing, quality_rules, simhash_dedup, substring_dedup, token_store, topk_search
+from tidemark.llm import bpe_codec, knn_quality, language_id, mixing, quality_rules, simhash_dedup, substring_dedup, token_store, topk_search
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,12 +111,18 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digest(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE))
 
 
+def op9_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    space = knn_quality.train(docs, table(spark, sf_dir, "labels"), ~held_out())
+    return knn_quality.classify(docs, space, 0.3).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_quality_rules": op1_quality_rules, "op2_token_store": op2_token_store, "op4_language_id": op4_language_id, "op5_topk": op5_topk, "op6_mixing": op6_mixing, "op7_simhash": op7_simhash, "op8_bpe": op8_bpe, "op10_substring_dedup": op10_substring_dedup}
+    return {"op1_quality_rules": op1_quality_rules, "op2_token_store": op2_token_store, "op4_language_id": op4_language_id, "op5_topk": op5_topk, "op6_mixing": op6_mixing, "op7_simhash": op7_simhash, "op8_bpe": op8_bpe, "op9_knn_quality": op9_knn_quality, "op10_substring_dedup": op10_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
