@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import stored
 
 #: Words that a window's minimiser hashes; super-k-mers that a bucket takes of one minimiser.
-SEED_WORDS, BUCKET_ROWS = 8, 2000
+SEED_WORDS, BUCKET_ROWS = 6, 2000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Words that are hashed at once; longer texts go in overlapping stretches.
 _STRETCH = 1 << 18
@@ -71,7 +71,7 @@ def super_kmers(words: list[bytes], width: int, m: int) -> Iterator[tuple[np.nda
 
 
 def references(keyed: DataFrame, width: int, m: int) -> DataFrame:
-    """``(doc_key, text_key, key, at, n)``: minimiser, first window and count of windows of every super-k-mer.
+    """``(_sd_doc, _sd_text, key, at, n)``: minimiser, first window and count of windows of every super-k-mer.
 
     A stretch cut makes two references of one minimiser position, which only raises a count.
     """
@@ -88,9 +88,9 @@ def references(keyed: DataFrame, width: int, m: int) -> DataFrame:
                 if found:
                     key, first, last = (np.concatenate(c) for c in zip(*found, strict=True))
                     row = pa.array(np.concatenate(row))
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), pa.array(key.view(np.int64)), pa.array(first), pa.array((last - first + 1).astype(np.int32))], ["doc_key", "text_key", "key", "at", "n"])
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), pa.array(key.view(np.int64)), pa.array(first), pa.array((last - first + 1).astype(np.int32))], ["_sd_doc", "_sd_text", "key", "at", "n"])
 
-    return keyed.select("doc_key", "text_key", "text").mapInArrow(run, "doc_key long, text_key long, key long, at long, n int")
+    return keyed.select("_sd_doc", "_sd_text", "text").mapInArrow(run, "_sd_doc long, _sd_text long, key long, at long, n int")
 
 
 def _windows(text: bytes, width: int) -> list[bytes]:
@@ -118,14 +118,14 @@ def _emit(width: int):
                     row.append(np.full(len(at), i))
                 if packed:
                     row, refs = pa.array(np.concatenate(row)), pa.concat_arrays(refs)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), *(refs.field(c) for c in ("key", "salt", "dealt", "at")), pa.array(packed, pa.binary())], ["doc_key", "text_key", "key", "salt", "dealt", "at", "packed"])
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), *(refs.field(c) for c in ("key", "salt", "dealt", "at")), pa.array(packed, pa.binary())], ["_sd_doc", "_sd_text", "key", "salt", "dealt", "at", "packed"])
 
     return run
 
 
 def _settle(width: int):
     """Sort the windows of each bucket; ranges of those that repeat in it, and one copy of each window of a dealt bucket."""
-    schema = pa.schema([("doc_key", pa.int64()), ("text_key", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("passed", pa.binary()), ("n", pa.int32())])
+    schema = pa.schema([("_sd_doc", pa.int64()), ("_sd_text", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("passed", pa.binary()), ("n", pa.int32())])
 
     def bucket(held: list[tuple]) -> list[tuple]:
         seen = sorted((w, doc, text, at + i) for _, doc, text, at, packed in held for i, w in enumerate(_windows(packed, width)))
@@ -171,24 +171,26 @@ def _settle(width: int):
 
 
 def repeated_ranges(keyed: DataFrame, width: int, seed_words: int, bucket_rows: int) -> DataFrame:
-    """``(doc_key, text_key, ranges)`` of the texts of ``keyed(doc_key, text_key, text)`` that hold a window which starts more than once in the table; ranges are ``(lo, hi)`` of words and may touch."""
+    """``(_sd_doc, _sd_text, ranges)`` of the texts of ``keyed(_sd_doc, _sd_text, text)`` that hold a window which starts more than once in the table; ranges are ``(lo, hi)`` of words and may touch."""
     refs = stored(references(keyed, width, min(seed_words, width)), "references")
     counts = refs.groupBy("key").agg(F.count("*").alias("total")).where("total > 1")
     deals = F.ceil(F.col("total") / bucket_rows)
     shared = refs.join(counts, "key").select(
-        "doc_key",
-        "text_key",
-        F.struct("key", F.pmod(F.xxhash64("doc_key", "text_key", "at"), deals).cast("int").alias("salt"), (F.col("total") > bucket_rows).alias("dealt"), "at", "n").alias("ref"),
+        "_sd_doc",
+        "_sd_text",
+        F.struct("key", F.pmod(F.xxhash64("_sd_doc", "_sd_text", "at"), deals).cast("int").alias("salt"), (F.col("total") > bucket_rows).alias("dealt"), "at", "n").alias("ref"),
     )
-    asked = shared.groupBy("doc_key", "text_key").agg(F.collect_set("ref").alias("refs"))
-    texts = keyed.join(asked, ["doc_key", "text_key"]).select("doc_key", "text_key", "text", "refs")
-    travel = texts.mapInArrow(_emit(width), "doc_key long, text_key long, key long, salt int, dealt boolean, at long, packed binary")
+    asked = shared.groupBy("_sd_doc", "_sd_text").agg(F.collect_set("ref").alias("_sd_refs"))
+    # All columns come along, so that this join and the caller's read one and the same exchange.
+    rest = [c for c in keyed.columns if c not in ("_sd_doc", "_sd_text", "text")]
+    texts = keyed.join(asked, ["_sd_doc", "_sd_text"]).select("_sd_doc", "_sd_text", "text", "_sd_refs", *rest)
+    travel = texts.mapInArrow(_emit(width), "_sd_doc long, _sd_text long, key long, salt int, dealt boolean, at long, packed binary")
     buckets = travel.repartition("key", "salt").sortWithinPartitions("key", "salt")
-    found = buckets.mapInArrow(_settle(width), "doc_key long, text_key long, lo long, hi long, passed binary, n int")
+    found = buckets.mapInArrow(_settle(width), "_sd_doc long, _sd_text long, lo long, hi long, passed binary, n int")
     # Windows of dealt buckets meet by their words; a settled range stands alone.
-    meet = Window.partitionBy(F.coalesce("passed", F.encode(F.concat_ws(" ", "doc_key", "text_key", "lo"), "UTF-8")))
+    meet = Window.partitionBy(F.coalesce("passed", F.encode(F.concat_ws(" ", "_sd_doc", "_sd_text", "lo"), "UTF-8")))
     repeats = found.withColumn("total", F.sum("n").over(meet)).where("passed IS NULL OR (n = 1 AND total > 1)")
-    return repeats.groupBy("doc_key", "text_key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    return repeats.groupBy("_sd_doc", "_sd_text").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
 
 
 def kept_words(words: list[bytes], ranges: list[tuple[int, int]]) -> tuple[list[bytes], int]:
@@ -219,11 +221,11 @@ def remove_repeats(docs: DataFrame, width: int = 35, seed_words: int = SEED_WORD
     Every occurrence of such a window counts, in the same text too. Null and empty texts and texts
     shorter than a window have none; rows that repeat an id and text are each other's copies; null
     doc_ids are no obstacle. An empty table gives no rows. Columns of ``docs`` come through
-    unchanged, so none may be called doc_key, text_key or ranges.
+    unchanged, but one that is called ranges is replaced.
     """
-    keyed = docs.withColumns({"doc_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), "text_key": F.xxhash64("text")})
-    found = repeated_ranges(keyed.select("doc_key", "text_key", "text"), width, seed_words, bucket_rows)
-    return keyed.join(found, ["doc_key", "text_key"], "left").drop("doc_key", "text_key")
+    keyed = docs.drop("ranges").withColumns({"_sd_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), "_sd_text": F.xxhash64("text")})
+    found = repeated_ranges(keyed, width, seed_words, bucket_rows)
+    return keyed.join(found, ["_sd_doc", "_sd_text"], "left").drop("_sd_doc", "_sd_text")
 
 
 def digest(docs: DataFrame, width: int = 35) -> DataFrame:
