@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe_codec, knn_quality, language_id, mixing, quality_rules, simhash_dedup, substring_dedup, token_store, topk_search
+from tidemark.llm import bpe_codec, knn_quality, language_id, license_scan, mixing, quality_rules, simhash_dedup, substring_dedup, token_store, topk_search
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,48 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE), END_ID)
 
 
+#: The table has no paths: documents are laid out by source in directories of 400 and of 20, whose first ones are their licence files.
+OP3_PATH = """concat('/', source, '/', CAST(doc_id DIV 400 AS STRING), '/',
+  CASE WHEN doc_id % 400 = 0 THEN 'LICENSE' ELSE concat(CAST(doc_id DIV 20 AS STRING), '/', CASE WHEN doc_id % 20 = 0 THEN 'LICENSE' ELSE concat(CAST(doc_id AS STRING), '.txt') END) END)"""
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "documents").select("doc_id", F.expr(OP3_PATH).alias("path"), "text")
+    return license_scan.scan(files).select("doc_id", "path", "own_license", "own_score", "license", "origin")
+
+
+def op3_sql() -> str:
+    templates = ", ".join(f"('{name}', '{text}')" for name, text in license_scan.TEMPLATES.items())
+    path = OP3_PATH.replace("STRING", "VARCHAR").replace("doc_id DIV 400", "doc_id // 400").replace("doc_id DIV 20", "doc_id // 20").replace("concat('/', source", "concat_ws('', '/', source")
+    return f"""
+WITH templates(license, text) AS (VALUES {templates}),
+tt AS (SELECT license, t, count(*) AS n FROM (SELECT license, unnest(regexp_extract_all(lower(text), '{license_scan.TERM}')) AS t FROM templates) GROUP BY ALL),
+size AS (SELECT count(*) AS n FROM documents),
+df AS (SELECT t, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '{license_scan.TERM}'))) AS t FROM documents) WHERE t IN (SELECT t FROM tt) GROUP BY t),
+idf AS (SELECT v.t, ln((1 + size.n) / (1 + coalesce(df.df, 0))) + 1 AS w FROM (SELECT DISTINCT t FROM tt) v CROSS JOIN size LEFT JOIN df ON v.t = df.t),
+tn AS (SELECT license, sqrt(sum((n * w) ** 2)) AS norm FROM tt JOIN idf USING (t) GROUP BY license),
+files AS (SELECT row_number() OVER () AS k, doc_id, {path} AS path, text FROM documents),
+lines AS (SELECT k, unnest(string_split(lower(text), chr(10))) AS line FROM files),
+numbered AS (SELECT k, row_number() OVER () AS l, line FROM lines WHERE regexp_matches(line, 'licen|rights|redistribution|reserved|apache|mit|gnu|mozilla|cc|released|permitted|public|forms|binary|source|general|code|subject|terms|modification|work|version|under|by|nc|all|use|without|with')),
+words AS (SELECT k, l, t, count(*) AS n FROM (SELECT k, l, unnest(regexp_extract_all(line, '{license_scan.TERM}')) AS t FROM numbered) GROUP BY ALL),
+weighed AS (SELECT k, l, words.t, words.n, coalesce(idf.w, (SELECT ln(1 + n) + 1 FROM size)) AS w FROM words LEFT JOIN idf ON words.t = idf.t),
+lengths AS (SELECT k, l, sqrt(sum((n * w) ** 2)) AS norm FROM weighed GROUP BY ALL),
+cosines AS (
+  SELECT k, license, max(score) AS score FROM (
+    SELECT w.k, w.l, tt.license, round(sum(w.n * tt.n * w.w ** 2 / tn.norm) / any_value(lengths.norm), 6) AS score
+    FROM weighed w JOIN tt ON w.t = tt.t JOIN tn ON tt.license = tn.license JOIN lengths ON w.k = lengths.k AND w.l = lengths.l
+    GROUP BY ALL) GROUP BY ALL),
+own AS (SELECT k, license, score FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, license) AS r FROM cosines WHERE score >= {license_scan.THRESHOLD}) WHERE r = 1),
+matched AS (SELECT f.k, f.doc_id, f.path, regexp_replace(f.path, '[^/]*$', '') AS dir, own.license AS own_license, own.score AS own_score FROM files f LEFT JOIN own ON f.k = own.k),
+given AS (SELECT dir, license FROM (SELECT dir, own_license AS license, row_number() OVER (PARTITION BY dir ORDER BY own_score DESC, path) AS r FROM matched WHERE own_license IS NOT NULL AND path LIKE '%/LICENSE') WHERE r = 1),
+nearest AS (
+  SELECT m.dir, arg_max(g.license, len(g.dir)) AS license FROM (SELECT DISTINCT dir FROM matched) m JOIN given g ON starts_with(m.dir, g.dir) GROUP BY m.dir)
+SELECT m.doc_id, m.path, m.own_license, m.own_score, coalesce(m.own_license, n.license) AS license,
+       CASE WHEN m.own_license IS NOT NULL THEN 'header' WHEN n.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin
+FROM matched m LEFT JOIN nearest n ON m.dir = n.dir
+"""
+
+
 def held_out() -> Column:
     """Whether a row is kept from learning: crc32 of its id as text is divisible by five; a null id is no row to learn from either."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
@@ -122,8 +164,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_quality_rules": op1_quality_rules, "op2_token_store": op2_token_store, "op4_language_id": op4_language_id, "op5_topk": op5_topk, "op6_mixing": op6_mixing, "op7_simhash": op7_simhash, "op8_bpe": op8_bpe, "op9_knn_quality": op9_knn_quality, "op10_substring_dedup": op10_substring_dedup}
+    return {"op1_quality_rules": op1_quality_rules, "op2_token_store": op2_token_store, "op3_license_scan": op3_license_scan, "op4_language_id": op4_language_id, "op5_topk": op5_topk, "op6_mixing": op6_mixing, "op7_simhash": op7_simhash, "op8_bpe": op8_bpe, "op9_knn_quality": op9_knn_quality, "op10_substring_dedup": op10_substring_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_topk": OP5_SQL, "op6_mixing": OP6_SQL}
+    return {"op3_license_scan": op3_sql(), "op5_topk": OP5_SQL, "op6_mixing": OP6_SQL}
