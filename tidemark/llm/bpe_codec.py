@@ -2,10 +2,10 @@
 
 Spark splits the texts into the tokenizer's words. Each block of documents becomes a dictionary of
 its words and, per document, the dictionary places of its words in order. The dictionaries' words
-make one distinct-word table, so each word is encoded once in the corpus however often it occurs;
-its ids are joined back to the blocks' places, and a block with its dictionary yields the ids of
-its documents by position. Decoding looks every id of a dictionary up in the id-to-piece table,
-whose size is the vocabulary's.
+are dealt by hash into one distinct-word table, so each word is encoded once in the corpus however
+often it occurs; its ids are joined back to the blocks' places, and a block with its dictionary
+yields the ids of its documents by position. Decoding looks every id of a dictionary up in the
+id-to-piece table, whose size is the vocabulary's.
 
 What is shuffled is a word once a block, and places in a packed form, never a row per token.
 """
@@ -16,15 +16,22 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Stands between packed words; no UTF-8 text has this byte.
+_BETWEEN = b"\xff"
+_WORDS = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("places", pa.binary()), ("words", pa.binary())])
+_CODES = pa.schema([("block", pa.int64()), ("places", pa.binary()), ("sizes", pa.binary()), ("codes", pa.binary())])
+
 
 def added_tokens(path: str) -> list[str]:
     with open(path, encoding="utf-8") as f:
@@ -37,8 +44,9 @@ def added_tokens(path: str) -> list[str]:
 def split_words(text: Column, added: list[str]) -> Column:
     """The words the tokenizer merges within, in order; together they are the text. Added tokens are words, and end the text before them."""
     s = "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) or "(?!)"
-    # The word pattern of byte-level BPE, with added tokens set apart.
-    pattern = rf"(?U)(?:{s})|'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?(?:(?!{s})[^\s\p{{L}}\p{{N}}])+|\s+(?!(?!{s})\S)|\s+"
+    # The word pattern of byte-level BPE, with added tokens set apart. Its choices
+    # begin with different letters but for the last three, so the frequent ones stand first.
+    pattern = rf"(?U) ?\p{{L}}++| ?\p{{N}}++|(?:{s})|'s|'t|'re|'ve|'m|'ll|'d| ?(?:(?!{s})[^\s\p{{L}}\p{{N}}])++|\s+(?!(?!{s})\S)|\s+"
     return F.coalesce(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))
 
 
@@ -61,16 +69,6 @@ def _block(number: int) -> int:
     return TaskContext.get().partitionId() << 32 | number
 
 
-def _dictionaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each distinct word of a batch: its block, its place and itself."""
-    for number, b in enumerate(batches):
-        words = b.column(1).flatten().unique()
-        n = len(words)
-        for lo in range(0, n, 20_000):
-            part = words.slice(lo, 20_000)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), _block(number))), pa.array(np.arange(lo, lo + len(part), dtype=np.int32)), part], ["block", "place", "word"])
-
-
 def _pack(places: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(places.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
@@ -80,6 +78,22 @@ def _unpack(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
+def _dictionaries(parts: int):
+    """The distinct words of each batch by hash: a row for each part with its words and their places in the batch's dictionary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, b in enumerate(batches):
+            words = b.column(1).flatten().unique().cast(pa.binary()).to_pylist()
+            part = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) % np.uint64(parts)
+            order = np.argsort(part, kind="stable")
+            for seg in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+                if len(seg):
+                    packed = zstandard.ZstdCompressor(level=3).compress(_BETWEEN.join([words[i] for i in seg.tolist()]))
+                    yield pa.RecordBatch.from_pylist([{"part": int(part[seg[0]]), "block": _block(number), "places": _pack(seg), "words": packed}], _WORDS)
+
+    return run
+
+
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each batch: its block, its documents, their counts of words and the packed places of the words."""
     for number, b in enumerate(batches):
@@ -90,6 +104,8 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _encode(path: str):
+    """Codes of the words of sorted parts. A part's distinct-word table lasts while its rows pass, so a word is encoded once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
@@ -97,25 +113,37 @@ def _encode(path: str):
         t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
+        now, table = None, {}
         for b in batches:
-            found = t.encode_batch_fast(b.column(0).to_pylist(), add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.array(e.ids, "<u4").tobytes() for e in found], pa.binary())], ["word", "codes"])
+            for row in b.to_pylist():
+                if row["part"] != now:
+                    now, table = row["part"], {}
+                words = zstandard.ZstdDecompressor().decompress(row["words"]).split(_BETWEEN)
+                new = [w for w in words if w not in table]
+                found = t.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
+                table.update((w, array("I", e.ids)) for w, e in zip(new, found, strict=True))
+                own = [table[w] for w in words]
+                sizes = np.fromiter(map(len, own), np.uint32, len(own))
+                codes = np.frombuffer(b"".join(own), "<u4")
+                yield pa.RecordBatch.from_pylist([{"block": row["block"], "places": row["places"], "sizes": _pack(sizes), "codes": _pack(codes)}], _CODES)
 
     return run
 
 
 def blocks(docs: DataFrame, path: str) -> DataFrame:
-    """One row for each block of documents: ``(block, ids, counts, places, dictionary)``, dictionary an array of (place, codes).
+    """One row for each block of documents: ``(block, ids, counts, places, dictionary)``.
 
-    A block is an Arrow batch, so the session's ``spark.sql.execution.arrow.maxRecordsPerBatch``
-    and ``maxBytesPerBatch`` bound it. A scan's partitions and batches are the same each time they
-    are computed, which is what makes block numbers agree between the two readings of the texts.
+    ``dictionary`` lists packed (places, sizes, codes) of the block's words. A block is an Arrow
+    batch, so the session's ``spark.sql.execution.arrow.maxRecordsPerBatch`` and
+    ``maxBytesPerBatch`` bound it. A scan's partitions and batches are the same each time they are
+    computed, which is what makes block numbers agree between the two readings of the texts.
     """
+    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     words = docs.select(F.col("doc_id").cast("long"), split_words(F.col("text"), added_tokens(path)).alias("words"))
-    dictionaries = words.mapInArrow(_dictionaries, "block long, place int, word string")
+    dictionaries = words.mapInArrow(_dictionaries(parts), "part int, block long, places binary, words binary")
     placed = words.mapInArrow(_placed, "block long, ids array<long>, counts array<int>, places binary")
-    table = dictionaries.select("word").distinct().mapInArrow(_encode(path), "word string, codes binary")
-    coded = dictionaries.join(table, "word").groupBy("block").agg(F.collect_list(F.struct("place", "codes")).alias("dictionary"))
+    coded = dictionaries.repartition("part").sortWithinPartitions("part").mapInArrow(_encode(path), "block long, places binary, sizes binary, codes binary")
+    coded = coded.groupBy("block").agg(F.collect_list(F.struct("places", "sizes", "codes")).alias("dictionary"))
     return placed.join(coded, "block", "left")
 
 
@@ -133,13 +161,16 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
         text = [b"%d" % i for i in range(len(table))]
         for b in batches:
             for ids, counts, packed, dictionary in zip(*b.columns, strict=True):
-                places, counts, entries = _unpack(packed.as_py()), counts.values.to_numpy(), dictionary.values
-                size = len(entries) if entries is not None else 0
+                places, counts, dictionary = _unpack(packed.as_py()), counts.values.to_numpy(), dictionary.as_py() or []
+                size = sum(len(_unpack(d["sizes"])) for d in dictionary)
                 digits, decoded, length = [b""] * size, [b""] * size, np.zeros(size, np.int64)
-                if size:
-                    for at, codes in zip(entries.field("place").to_pylist(), entries.field("codes").to_pylist(), strict=True):
-                        own = np.frombuffer(codes, "<u4").tolist()
-                        digits[at], decoded[at], length[at] = b",".join([text[i] for i in own]), b"".join([table[i] for i in own]), len(own)
+                for d in dictionary:
+                    at, n, codes = _unpack(d["places"]), _unpack(d["sizes"]), _unpack(d["codes"]).tolist()
+                    length[at] = n
+                    end = np.cumsum(n).tolist()
+                    for p, lo, hi in zip(at.tolist(), [0, *end], end):  # noqa: B905
+                        own = codes[lo:hi]
+                        digits[p], decoded[p] = b",".join([text[i] for i in own]), b"".join([table[i] for i in own])
                 rows, lo = [], 0
                 for n in counts.tolist():
                     own = places[lo : lo + n]
