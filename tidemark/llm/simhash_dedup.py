@@ -16,10 +16,12 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tidemark.llm.common import connected, stored
 
@@ -130,3 +132,99 @@ def components(docs: DataFrame, shingle_words: int = 3, max_distance: int = 2) -
     first = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = stored(rooted.join(first, "root").select("fp", "component_id"), "named")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+# Near-duplicates of a stated shingle similarity.
+#
+# At a shingle similarity of 0.8 two 64-bit fingerprints differ in about ten bits, out of reach of
+# any selective variant index. So the fingerprints' links are joined by candidates from a bottom
+# sketch of the same shingle hashes, and every candidate is verified by the sketches' similarity.
+
+#: Fine cells of a sketch (half a byte each), coarse cells, coarse cells of one band.
+FINE, COARSE, ROWS = 512, 128, 4
+#: The sketch's estimate may miss by this much, so links reach that much below the stated similarity.
+SLACK = 0.04
+
+
+def sketch(hashes: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Half a byte of the smallest hash in each of the fine cells (0: empty), and a key for each band with a coarse cell that is not empty."""
+    h = np.unique(hashes * np.uint64(0x9E3779B97F4A7C15))
+    cell = (h >> np.uint64(64 - 9)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))) if len(h) else np.empty(0, np.int64)
+    fine = np.zeros(FINE, np.uint8)
+    fine[cell[first]] = 1 + (h[first] & np.uint64(0xFFFF)) % np.uint64(15)
+    lows = np.zeros(COARSE, np.uint64)
+    coarse = cell // (FINE // COARSE)
+    first = np.flatnonzero(np.concatenate(([True], coarse[1:] != coarse[:-1]))) if len(h) else first
+    lows[coarse[first]] = h[first]
+    rows = lows.reshape(-1, ROWS)
+    used = np.flatnonzero(rows.any(axis=1))
+    keys = [xxhash.xxh64_intdigest(rows[i].tobytes(), int(i)) for i in used]
+    return (fine[::2] << 4 | fine[1::2]).tobytes(), np.array(keys, np.uint64).view(np.int64)
+
+
+def similarity_of(a: bytes, b: bytes) -> float:
+    """Share of equal cells among those that either sketch uses, less what chance makes equal."""
+    p, q = (np.frombuffer(v, np.uint8) for v in (a, b))
+    p, q = (np.concatenate((v >> 4, v & 15)) for v in (p, q))
+    either, both, equal = int(((p | q) > 0).sum()), int(((p > 0) & (q > 0)).sum()), int(((p == q) & (p > 0)).sum())
+    return (equal - (both - equal) / 14) / either if either else 1.0
+
+
+@F.pandas_udf(DoubleType())
+def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([similarity_of(p, q) for p, q in zip(a, b, strict=True)], dtype="float64")
+
+
+def near_groups(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``(_sh_doc, _sh_text, group)`` of every row: its doc_id, a hash of its text, and the number of its group of near-duplicates.
+
+    Two texts are linked if their shingle sets are about ``similarity`` alike or more, as estimated
+    from their sketches; groups are connected over links. Candidates are fingerprints within two
+    bits, and texts that share a band with each other: in a band every text is held against the
+    first one, so the work is linear in a band's size, and what is unlike the first meets its like
+    in the bands that the first is not in. Texts without words are one group.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 1000):
+                part = b.slice(lo, 1000)
+                hashes = [shingle_hashes(t.as_py(), shingle_words) for t in part.column(2)]
+                sketches, keys = zip(*map(sketch, hashes), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(map(majority, hashes)), pa.int64()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["_sh_doc", "_sh_text", "fp", "sketch", "bands"])
+
+    keyed = docs.select(F.col("doc_id").cast("long").alias("_sh_doc"), F.xxhash64("text").alias("_sh_text"), "text")
+    marked = stored(keyed.mapInArrow(run, "_sh_doc long, _sh_text long, fp long, sketch binary, bands array<long>"), "sketches")
+    # Copies share fingerprint and sketch, so a node stands for all of them.
+    node = F.xxhash64("fp", "sketch").alias("node")
+    nodes = stored(marked.select(node, "fp", "sketch", "bands").dropDuplicates(["node"]), "nodes")
+    banded = stored(nodes.select("node", F.explode("bands").alias("band")), "bands")
+    first = stored(banded.groupBy("band").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "firsts")
+    by_band = banded.join(first, "band").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    close = links(nodes.select("fp").distinct())
+    one = nodes.groupBy("fp").agg(F.min("node").alias("m"))
+    same_fp = nodes.join(one, "fp").where("node <> m").select(F.col("node").alias("a"), F.col("m").alias("b"))
+    by_bits = close.join(one.select(F.col("fp").alias("a"), F.col("m").alias("x")), "a").join(one.select(F.col("fp").alias("b"), F.col("m").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    pairs = stored(by_band.unionByName(by_bits).unionByName(same_fp).distinct(), "pairs")
+    left = pairs.join(nodes.select(F.col("node").alias("a"), F.col("sketch").alias("p")), "a")
+    both = left.join(nodes.select(F.col("node").alias("b"), F.col("sketch").alias("q")), "b")
+    linked = both.withColumn("s", _similarity(F.col("p"), F.col("q"))).where(F.col("s") >= similarity - SLACK).select("a", "b")
+    roots = connected(linked)
+    rows = marked.select("_sh_doc", "_sh_text", node)
+    return rows.join(stored(roots, "roots"), "node", "left").select("_sh_doc", "_sh_text", F.coalesce("root", "node").alias("group"))
+
+
+def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group: that of the least doc_id (null last), then the least hash of its text.
+
+    Of rows that repeat an id and a text one stays. Null texts count as empty. An empty table gives
+    no rows; all columns come through.
+    """
+    found = near_groups(docs, shingle_words, similarity)
+    key = F.struct(F.col("_sh_doc").isNull(), F.coalesce("_sh_doc", F.lit(0).cast("long")), F.col("_sh_text"))
+    kept = found.groupBy("group").agg(F.min(key).alias("k")).select(F.col("k.col2").alias("_sh_doc"), F.col("k._sh_text").alias("_sh_text"), F.col("k.col1").alias("_sh_null"))
+    marks = {"_sh_null": F.col("doc_id").isNull(), "_sh_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), "_sh_text": F.xxhash64("text")}
+    names = ["_sh_doc", "_sh_text", "_sh_null"]
+    one = Window.partitionBy(*names).orderBy("text")
+    return docs.withColumns(marks).join(kept, names, "left_semi").withColumn("_sh_n", F.row_number().over(one)).where("_sh_n = 1").select(*docs.columns)
