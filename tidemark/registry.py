@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import listing, merge
+from tidemark.functions import pages as page
+from tidemark.functions import scoring, urls
+from tidemark.operators import actions, listing, merge
 from tidemark.operators.listing import Filters
 from tidemark.sources.fixtures import view, view_sql, with_views
 
@@ -393,6 +395,182 @@ def seed_sources(spark, d):
     return merge.seed_sources(sources(spark, d), catalogue, NOW)
 
 
+def pages(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/pages.parquet")
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _words(values: list[str]) -> str:
+    return "(" + ", ".join(map(_quoted, values)) + ")"
+
+
+_WHOLE = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+_HOST = r"nullif(lower(regexp_extract(trim({u}), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#@:]*)', 1)), '')"
+_PORT = f"regexp_extract(regexp_extract(trim(url), '{_WHOLE}', 2), ':(\\d+)$', 1)"
+
+
+@_add("canonical_url", f"""
+WITH u AS (SELECT page_id, url, lower(regexp_extract(trim(url), '{_WHOLE}', 1)) AS scheme, regexp_extract(regexp_extract(trim(url), '{_WHOLE}', 2), '^(.*@)', 1) AS auth, {_HOST.format(u='url')} AS host, {_PORT} AS port, regexp_extract(trim(url), '{_WHOLE}', 3) AS path,
+    list_filter(string_split(regexp_extract(trim(url), '^[^?#]*\\?([^#]*)', 1), '&'), lambda x: x <> '') AS items FROM pages),
+kv AS (SELECT *, list_transform(items, lambda x: {{'k': url_decode(replace(split_part(x, '=', 1), '+', '%20')), 'v': url_decode(replace(CASE WHEN contains(x, '=') THEN regexp_replace(x, '^[^=]*=', '') ELSE '' END, '+', '%20'))}}) AS pairs FROM u),
+kept AS (SELECT *, list_filter(pairs, lambda p: lower(p.k) NOT IN {_words(urls.TRACKING)} AND NOT regexp_matches(lower(p.k), '^(utm_|mtm_|pk_)')) AS left_over FROM kv),
+q AS (SELECT *, list_sort(list_transform(left_over, lambda p, i: {{'l': lower(p.k), 'v': p.v, 'i': i, 'k': p.k}})) AS ordered FROM kept),
+e AS (SELECT *, array_to_string(list_transform(ordered, lambda p: replace(url_encode(p.k), '%20', '+') || '=' || replace(url_encode(p.v), '%20', '+')), '&') AS query FROM q)
+SELECT page_id, CASE WHEN scheme IN ('http', 'https') THEN scheme || '://' || auth || host || CASE WHEN port = '' OR (scheme = 'http' AND port = '80') OR (scheme = 'https' AND port = '443') THEN '' ELSE ':' || port END
+  || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query = '' THEN '' ELSE '?' || query END END AS canonical FROM e""")
+def canonical_url(spark, d):
+    return pages(spark, d).select("page_id", urls.canonical_url(F.col("url")).alias("canonical"))
+
+
+@_add("url_domain", f"SELECT page_id, {_HOST.format(u='url')} AS domain FROM pages")
+def url_domain(spark, d):
+    return pages(spark, d).select("page_id", urls.url_domain(F.col("url")).alias("domain"))
+
+
+def _plain_sql(x: str) -> str:
+    out = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
+    for entity, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        out = f"replace({out}, '{entity}', {_quoted(mark)})"
+    return f"trim(regexp_replace({out}, '[ \\t\\r\\n]+', ' ', 'g'))"
+
+
+_LINKS_SQL = f"""
+WITH raw AS (SELECT page_id, url, regexp_extract_all(html, {_quoted(page.ANCHOR)}, 1) AS h, regexp_extract_all(html, {_quoted(page.ANCHOR)}, 2) AS t FROM pages),
+x AS (SELECT page_id, url, unnest(h) AS h, unnest(t) AS t, generate_subscripts(h, 1) - 1 AS pos FROM raw),
+links AS (SELECT page_id, CAST(pos AS INT) AS pos, {_plain_sql('t')} AS anchor_text, h,
+  CASE WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN h WHEN starts_with(h, '//') THEN regexp_extract(url, '^([A-Za-z]+:)', 1) || h WHEN starts_with(h, '/') THEN regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || h
+    ELSE rtrim(regexp_extract(url, '^([A-Za-z]+://[^/?#]*(?:/[^?#]*/|/)?)', 1), '/') || '/' || h END AS href FROM x)
+"""
+
+
+@_add("page_links", _LINKS_SQL + "SELECT page_id, pos, href, anchor_text FROM links")
+def page_links(spark, d):
+    return page.page_links(pages(spark, d))
+
+
+@_add("link_hints", _LINKS_SQL + "SELECT page_id, count(*) AS hints, string_agg(left(CASE WHEN anchor_text = '' THEN h ELSE anchor_text END, 120), '|' ORDER BY pos) AS joined FROM links WHERE pos < 40 GROUP BY page_id")
+def link_hints(spark, d):
+    hints = page.link_hints(F.col("html"))
+    return pages(spark, d).select("page_id", hints.alias("h")).where(F.size("h") > 0).select("page_id", F.size("h").cast("long").alias("hints"), F.array_join("h", "|").alias("joined"))
+
+
+_FOLLOW_SQL = f"""coalesce(regexp_matches(trim(href), '(?i)^https?://') AND NOT regexp_matches(lower(regexp_extract(trim(href), '{_WHOLE}', 3)), '\\.({'|'.join(urls.ASSETS)})$')
+  AND NOT regexp_matches(host, '(^|\\.)({'|'.join(h.replace('.', '[.]') for h in urls.CLOSED_HOSTS)})$') AND (host = home OR ends_with(host, '.' || home)), false)"""
+
+
+@_add("followable_links", _LINKS_SQL + f", b AS (SELECT l.*, {_HOST.format(u='l.href')} AS host, {_HOST.format(u='p.url')} AS home FROM links l JOIN pages p USING (page_id)) SELECT page_id, pos, {_FOLLOW_SQL} AS follow FROM b")
+def followable_links(spark, d):
+    home = pages(spark, d).select("page_id", F.array(urls.url_domain(F.col("url"))).alias("home"))
+    return page.page_links(pages(spark, d)).join(home, "page_id").select("page_id", "pos", urls.followable(F.col("href"), F.col("home")).alias("follow"))
+
+
+@_add("content_hash", "SELECT page_id, sha256(coalesce(url, '') || chr(10) || coalesce(html, '')) AS hash FROM pages")
+def content_hash(spark, d):
+    return pages(spark, d).select("page_id", page.content_hash(F.col("url"), F.col("html")).alias("hash"))
+
+
+def _extract_sql(pattern: str) -> str:
+    return _plain_sql(f"regexp_extract(html, {_quoted(pattern)}, 1)")
+
+
+@_add("page_title", f"SELECT page_id, coalesce(nullif({_extract_sql(page.TITLE)}, ''), nullif({_extract_sql(page.OG_TITLE)}, '')) AS title FROM pages")
+def page_title(spark, d):
+    return pages(spark, d).select("page_id", page.page_title(F.col("html")).alias("title"))
+
+
+@_add("decode_redirect", with_views("shaped_pages") + "SELECT page_id, CASE WHEN starts_with(t, 'http') THEN t END AS target FROM (SELECT page_id, replace(replace(replace(replace(url_decode(regexp_extract(html, '[?&]to=([^&#\"]*)', 1)), '!!2', 'i'), '!!3', 'e'), '!!4', 'r'), '!!5', 'a') AS t FROM shaped_pages)")
+def decode_redirect(spark, d):
+    link = F.regexp_extract("html", 'href="([^"]*)"', 1)
+    return view(spark, d, "shaped_pages").select("page_id", urls.decode_redirect(link).alias("target"))
+
+
+@_add("platform_identity", with_views("shaped_pages") + f"""
+, p AS (SELECT page_id, regexp_replace({_HOST.format(u='url')}, '^www\\.', '') AS host, regexp_extract(trim(url), '{_WHOLE}', 3) AS path FROM shaped_pages)
+, k AS (SELECT page_id, host, regexp_extract(path, '^/giveaways/([A-Za-z0-9]{{4,12}})/?$', 1) AS dir, regexp_extract(path, '^/([A-Za-z0-9]{{4,12}})(?:/[A-Za-z0-9._-]+)?/?$', 1) AS key, regexp_extract(path, '^/[A-Za-z0-9]{{4,12}}/([A-Za-z0-9._-]+)/?$', 1) AS slug FROM p)
+, i AS (SELECT *, CASE WHEN host <> 'gleam.io' THEN NULL WHEN dir <> '' THEN dir WHEN key <> '' AND lower(key) NOT IN {_words(urls.RESERVED)} THEN key END AS id FROM k)
+SELECT page_id, CASE WHEN id IS NOT NULL THEN 'gleam' END AS platform, id AS campaign_id, CASE WHEN id IS NOT NULL AND dir = '' AND slug <> '' THEN slug END AS slug FROM i""")
+def platform_identity(spark, d):
+    return view(spark, d, "shaped_pages").select("page_id", urls.platform_identity(F.col("url")).alias("p")).select("page_id", "p.platform", "p.campaign_id", "p.slug")
+
+
+@_add("normalize_text", "SELECT doc_id, sha256(strip_accents(lower(text))) AS hash FROM documents")
+def normalize_text(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return docs.select("doc_id", F.sha2(scoring.normalize_text(F.col("text")), 256).alias("hash"))
+
+
+def _phrase_sql(c: str, p: str) -> str:
+    return f"contains({c}, {_quoted(p)})" if " " in p or "'" in p else f"regexp_matches({c}, '{scoring.edge_pattern(p)}')"
+
+
+def _hits_sql(c: str, phrases: list[str], twice: list[str] = ()) -> str:
+    return "(" + " + ".join(f"CAST({_phrase_sql(c, p)} AS INT) * {2 if p in twice else 1}" for p in phrases) + ")"
+
+
+def _any_sql(c: str, phrases: list[str]) -> str:
+    return "(" + " OR ".join(_phrase_sql(c, p) for p in phrases) + ")"
+
+
+_TEXT_SQL = with_views("texts") + ", n AS (SELECT doc_id, strip_accents(lower(coalesce(title, ''))) AS title, strip_accents(lower(concat_ws(' ', rules_text, prize, body))) AS content, strip_accents(lower(coalesce(restriction, ''))) AS links FROM texts)\n"
+
+
+def _text_columns(spark: SparkSession, d: str) -> DataFrame:
+    n = scoring.normalize_text
+    return view(spark, d, "texts").select("doc_id", n(F.col("title")).alias("title"), n(F.concat_ws(" ", "rules_text", "prize", "body")).alias("content"), n(F.col("restriction")).alias("links"))
+
+
+@_add("phrase_hits", _TEXT_SQL + f"SELECT doc_id, {_hits_sql('content', scoring.ENTRY)} AS entry_hits, {_hits_sql('title', scoring.STRONG, scoring.TWICE)} AS title_hits, {_hits_sql('content', scoring.WEAK)} AS weak_hits FROM n")
+def phrase_hits(spark, d):
+    t = _text_columns(spark, d)
+    return t.select("doc_id", scoring.phrase_hits(F.col("content"), scoring.ENTRY).alias("entry_hits"), scoring.phrase_hits(F.col("title"), scoring.STRONG, scoring.TWICE).alias("title_hits"), scoring.phrase_hits(F.col("content"), scoring.WEAK).alias("weak_hits"))
+
+
+@_add("candidate_score", _TEXT_SQL + f"""
+, f AS (SELECT doc_id, {_hits_sql('content', scoring.STRONG, scoring.TWICE)} AS s, {_hits_sql('content', scoring.WEAK)} AS w, {_any_sql('title', scoring.STRONG)} AS t, {_any_sql('links', scoring.TERMS)} OR {_any_sql('content', scoring.TERMS_IN_TEXT)} AS r, {_any_sql('content', scoring.DEADLINE)} AS e, {_any_sql('content', scoring.ENTRY)} AS n FROM n)
+, p AS (SELECT *, CAST(CASE WHEN t THEN 0.22 ELSE 0 END AS DOUBLE) + CASE WHEN s >= 3 THEN 0.26 WHEN s = 2 THEN 0.14 WHEN s = 1 THEN 0.06 ELSE 0 END + CASE WHEN w = 0 THEN 0 WHEN s = 0 THEN least(0.05 * w, 0.08) ELSE least(0.02 * w, 0.05) END
+  + CASE WHEN r THEN 0.16 ELSE 0 END + CASE WHEN e THEN 0.14 ELSE 0 END + CASE WHEN n THEN 0.14 ELSE 0 END AS total FROM f)
+SELECT doc_id, CAST(round(least(CASE WHEN NOT (r OR e OR n) AND s < 3 THEN total * 0.85 ELSE total END, 1.0) * 10000) AS BIGINT) AS score_bp FROM p""")
+def candidate_score(spark, d):
+    t = _text_columns(spark, d)
+    none = F.lit("")
+    return t.select("doc_id", F.round(scoring.candidate_score(none, F.col("title"), F.col("content"), none, F.col("links")) * 10000).cast("long").alias("score_bp"))
+
+
+_TAGS = [("retweet|comment below", "public"), ("no purchase", "free"), ("purchase required", "purchase"), ("closed", "expired"), ("worldwide", "worldwide"), ("(uk|united states) ?(residents)? only|united states", "abroad")]
+
+
+@_add("tag_patterns", _TEXT_SQL + "SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(content || ' ' || links, '{p}') THEN '{t}' END" for p, t in _TAGS) + "], lambda x: x IS NOT NULL), ',') AS tags FROM n")
+def tag_patterns(spark, d):
+    t = _text_columns(spark, d)
+    return t.select("doc_id", F.array_join(scoring.tag_patterns(F.concat_ws(" ", "content", "links"), _TAGS), ",").alias("tags"))
+
+
+def _class_sql(c: str) -> str:
+    t, public, private = f"lower(trim(coalesce({c}, '')))", "|".join(actions.PUBLIC_PARTS), "|".join(actions.NON_PUBLIC_PARTS)
+    hit = lambda p: f"regexp_matches({t}, '{p}')"
+    return (
+        f"CASE WHEN {t} = '' THEN 'unknown' WHEN {t} IN {_words(actions.NON_PUBLIC)} THEN 'non_public' WHEN {t} IN {_words(actions.PUBLIC)} THEN 'public_social' WHEN {hit(public)} AND NOT {hit(private)} THEN 'public_social' "
+        f"WHEN {hit(private)} AND NOT {hit(public)} THEN 'non_public' WHEN {hit('follow|subscribe')} THEN 'non_public' WHEN {hit(public)} THEN 'public_social' ELSE 'unknown' END"
+    )
+
+
+@_add("action_class", with_views("campaign_actions") + f"SELECT kind, entry_type, count(*) AS n FROM (SELECT entry_type, {_class_sql('entry_type')} AS kind FROM campaign_actions) GROUP BY ALL")
+def action_class(spark, d):
+    return view(spark, d, "campaign_actions").groupBy(actions.action_class(F.col("entry_type")).alias("kind"), "entry_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_add("platform_verdict", with_views("campaign_actions") + f"""
+, k AS (SELECT *, {_class_sql('entry_type')} AS kind FROM campaign_actions)
+, c AS (SELECT campaign_id, count(*) FILTER (kind = 'non_public') AS non_public, count(*) FILTER (kind = 'public_social') AS public_social, count(*) FILTER (kind = 'unknown') AS unknown, count(*) FILTER (kind = 'public_social' AND mandatory) AS must, max(actions_required) AS quota FROM k GROUP BY campaign_id)
+SELECT campaign_id, non_public, public_social, unknown, CASE WHEN must > 0 THEN 'reject' WHEN coalesce(quota, 0) > 0 THEN CASE WHEN non_public + unknown >= quota THEN 'accept' WHEN public_social > 0 THEN 'reject' ELSE 'inconclusive' END
+  WHEN non_public > 0 THEN 'accept' WHEN public_social > 0 AND unknown = 0 THEN 'reject' WHEN unknown > 0 AND public_social = 0 THEN 'accept' ELSE 'inconclusive' END AS verdict FROM c""")
+def platform_verdict(spark, d):
+    return actions.platform_verdict(view(spark, d, "campaign_actions"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
