@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import pages as page
-from tidemark.functions import scoring, urls
+from tidemark.functions import entry, scoring, urls
 from tidemark.operators import actions, listing, merge
 from tidemark.operators.listing import Filters
 from tidemark.sources.fixtures import view, view_sql, with_views
@@ -571,6 +571,89 @@ def platform_verdict(spark, d):
     return actions.platform_verdict(view(spark, d, "campaign_actions"))
 
 
+_ENTRY_SQL = with_views("texts") + """, e AS (SELECT doc_id, strip_accents(lower(coalesce(restriction, ''))) AS restriction, strip_accents(lower(concat_ws(chr(10), title, prize))) AS fields,
+  strip_accents(lower(concat_ws(chr(10), restriction, title, prize, rules_text))) AS text FROM texts)
+"""
+
+
+def _entry_columns(spark: SparkSession, d: str) -> DataFrame:
+    n = scoring.normalize_text
+    return view(spark, d, "texts").select("doc_id", n(F.col("restriction")).alias("restriction"), n(F.concat_ws("\n", "title", "prize")).alias("fields"), n(F.concat_ws("\n", "restriction", "title", "prize", "rules_text")).alias("text"))
+
+
+def _is(c: str, pattern: str) -> str:
+    return f"regexp_matches({c}, {_quoted(pattern)})"
+
+
+def _first_sql(c: str, rules: entry.Rules) -> str:
+    return "CASE " + " ".join(f"WHEN {_is(c, p)} THEN '{label}'" for p, label in rules) + " END"
+
+
+def _tags_sql(c: str, rules: entry.Rules) -> list[str]:
+    return [f"CASE WHEN {_is(c, p)} THEN '{label}' END" for p, label in rules]
+
+
+_ASKED = f"regexp_matches(regexp_replace(text, {_quoted(entry.NOT_REQUIRED)}, ' ', 'g'), {_quoted(entry.REQUIRED)})"
+_PURCHASE = f"(({_ASKED} OR {_is('text', entry.HARD[0][0])}) AND NOT {_is('text', entry.NO_PURCHASE)})"
+_HARD = f"CASE WHEN {_PURCHASE} THEN 'purchase_required' ELSE {_first_sql('text', entry.HARD[1:])} END"
+_SCOPE = f"coalesce({_first_sql('trim(restriction)', entry.SCOPES)}, 'unknown')"
+_FREE = f"CASE WHEN {_is('text', entry.NO_PURCHASE)} THEN true WHEN {_ASKED} OR {_is('text', entry.FEE)} THEN false END"
+_FRICTION = f"CASE WHEN trim(text) = '' THEN 'unknown' WHEN {_HARD} IS NOT NULL THEN 'hard' WHEN {_first_sql('text', entry.MEDIUM)} IS NOT NULL THEN 'medium' WHEN {_first_sql('text', entry.EASY)} IS NOT NULL THEN 'easy' ELSE 'unknown' END"
+_ONLY = _is("restriction", r"\bonly\b")
+_REASON = "CASE WHEN trim(text) = '' THEN 'insufficient_text' " + " ".join(f"WHEN {_is('text', p)} THEN '{r}'" for p, r, _ in entry.LADDER) + f" WHEN {_SCOPE} IN ('worldwide', 'france', 'eu', 'uk', 'us', 'canada') THEN 'scope_' || {_SCOPE} WHEN {_SCOPE} = 'specific' AND {_ONLY} THEN 'specific_only_without_france' WHEN {_is('text', entry.SHIPPING)} THEN 'shipping_restricted_ambiguous' ELSE 'unknown' END"
+
+
+@_add("entry_friction", _ENTRY_SQL + f"SELECT doc_id, {_FRICTION} AS friction, coalesce({_first_sql('fields', entry.METHODS)}, {_first_sql('text', entry.EASY)}, {_first_sql('text', entry.MEDIUM)}, {_HARD}) AS method FROM e")
+def entry_friction(spark, d):
+    e = _entry_columns(spark, d)
+    return e.select("doc_id", entry.entry_friction(F.col("text"), F.col("fields")).alias("f")).select("doc_id", "f.friction", "f.method")
+
+
+@_add("geo_scope", _ENTRY_SQL + f"SELECT doc_id, {_SCOPE} AS scope FROM e")
+def geo_scope(spark, d):
+    return _entry_columns(spark, d).select("doc_id", entry.geo_scope(F.col("restriction")).alias("scope"))
+
+
+@_add("region_allowed", _ENTRY_SQL + f"SELECT doc_id, CASE WHEN {_is('restriction', entry.EXCLUDED)} THEN false WHEN {_SCOPE} IN ('worldwide', 'france', 'eu') THEN true WHEN {_SCOPE} IN ('uk', 'us', 'canada') THEN false WHEN {_SCOPE} = 'specific' AND {_ONLY} THEN false END AS allowed FROM e")
+def region_allowed(spark, d):
+    return _entry_columns(spark, d).select("doc_id", entry.region_allowed(F.col("restriction")).alias("allowed"))
+
+
+_YES = _words([r for _, r, good in entry.LADDER if good] + ["scope_worldwide", "scope_france", "scope_eu"])
+_NO = _words([r for _, r, good in entry.LADDER if not good] + ["scope_uk", "scope_us", "scope_canada", "specific_only_without_france"])
+
+
+@_add("region_eligibility", _ENTRY_SQL + f", r AS (SELECT doc_id, {_REASON} AS reason FROM e) SELECT doc_id, CASE WHEN reason IN {_YES} THEN 'eligible' WHEN reason IN {_NO} THEN 'ineligible' ELSE 'unknown' END AS state, CASE WHEN reason IN {_YES} THEN true WHEN reason IN {_NO} THEN false END AS flag, 'local_' || reason AS reason FROM r")
+def region_eligibility(spark, d):
+    e = _entry_columns(spark, d)
+    return e.select("doc_id", entry.region_eligibility(F.col("text"), F.col("restriction")).alias("r")).select("doc_id", "r.state", "r.flag", "r.reason")
+
+
+_REASONS = [*_tags_sql("text", entry.UNDESIRABLE), *_tags_sql("fields", entry.SHORT_FIELDS), f"CASE WHEN {_is('text', entry.EXPIRED)} THEN 'expired' END", f"CASE WHEN {_PURCHASE} THEN 'purchase_required' END", *_tags_sql("text", entry.HARD[1:3])]
+
+
+@_add("undesirable_reasons", _ENTRY_SQL + f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter([{', '.join(_REASONS)}], lambda x: x IS NOT NULL))), ',') AS reasons FROM e")
+def undesirable_reasons(spark, d):
+    e = _entry_columns(spark, d)
+    return e.select("doc_id", F.array_join(F.array_sort(entry.undesirable_reasons(F.col("fields"), F.col("text"))), ",").alias("reasons"))
+
+
+@_add("free_entry", _ENTRY_SQL + f"SELECT doc_id, {_FREE} AS free FROM e")
+def free_entry(spark, d):
+    return _entry_columns(spark, d).select("doc_id", entry.free_entry(F.col("text")).alias("free"))
+
+
+_PRIORITY = """CASE WHEN free IS FALSE THEN 90 WHEN friction = 'hard' THEN 80 WHEN scope = 'worldwide' AND friction = 'easy' AND free IS TRUE THEN 1 WHEN (allowed IS TRUE OR scope IN ('france', 'eu')) AND friction = 'easy' THEN 2
+  WHEN scope = 'worldwide' AND friction = 'medium' THEN 3 WHEN friction = 'easy' THEN 4 WHEN friction = 'medium' THEN 5 WHEN friction = 'unknown' THEN 6 ELSE 70 END"""
+
+
+@_add("discovery_priority", _ENTRY_SQL + f", a AS (SELECT doc_id, {_FREE} AS free, {_FRICTION} AS friction, {_SCOPE} AS scope, CASE WHEN {_is('restriction', entry.EXCLUDED)} THEN false WHEN {_SCOPE} IN ('worldwide', 'france', 'eu') THEN true ELSE false END AS allowed FROM e) SELECT doc_id, {_PRIORITY} AS priority FROM a")
+def discovery_priority(spark, d):
+    e = _entry_columns(spark, d)
+    e = e.select("doc_id", entry.free_entry(F.col("text")).alias("free"), entry.entry_friction(F.col("text"), F.lit(""))["friction"].alias("friction"), entry.region_allowed(F.col("restriction")).alias("allowed"), entry.geo_scope(F.col("restriction")).alias("scope"))
+    return e.select("doc_id", entry.discovery_priority(F.col("free"), F.col("friction"), F.col("allowed"), F.col("scope")).alias("priority"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
