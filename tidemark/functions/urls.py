@@ -79,6 +79,12 @@ def decode_redirect(url: Column, parameter: str = "to") -> Column:
     return F.when(F.startswith(plain, F.lit("http")), plain)
 
 
+def absolute_or_null(base: Column, href: Column) -> Column:
+    """A link's target from its page's root; null for links that are neither absolute nor from the root."""
+    root = F.regexp_extract(base, "^([A-Za-z]+://[^/?#]*)", 1)
+    return F.when(href.rlike("^https?://"), href).when(F.startswith(href, F.lit("/")), F.concat(root, href))
+
+
 def platform_identity(url: Column) -> Column:
     """(platform, campaign_id, slug) of a campaign URL: a short key under the first platform's host, or a number under the second's; null otherwise."""
     path = F.regexp_extract(F.trim(url), _WHOLE, 3)

@@ -317,3 +317,11 @@ def display_flags(state: DataFrame, now: str) -> DataFrame:
     due = F.coalesce((c("remind_at") <= moment(now)) & (c("manual_status") != "ignored"), F.lit(False))
     hours = F.floor(F.timestamp_diff("SECOND", moment(now), c("end_at")) / 3600).cast("long")
     return state.select("id", public.alias("entry_badge"), ends.alias("ends_within_week"), due.alias("reminder_due"), hours.alias("hours_left"))
+
+
+def entry_url_of(state: DataFrame, classic: str, platform: str = "gleam") -> DataFrame:
+    """Adds ``entry``: the stored entry URL, else the classic form for the platform's campaign, else the page itself."""
+    before, rest = classic.split("{platform}")
+    between, after_ = rest.split("{key}")
+    built = F.when(F.col("platform_campaign_id").isNotNull(), F.concat(F.lit(before), F.coalesce("platform", F.lit(platform)), F.lit(between), F.col("platform_campaign_id"), F.lit(after_)))
+    return state.withColumn("entry", F.coalesce("entry_url", built, "canonical_url"))

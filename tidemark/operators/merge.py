@@ -291,3 +291,18 @@ def seed_sources(sources: DataFrame, catalogue: DataFrame, now: str) -> DataFram
     )
 
 
+
+
+def expand_frontier(edges: DataFrame, seeds: DataFrame, max_depth: int, max_pages: int) -> DataFrame:
+    """``(node, depth)``: what is reached from the seeds within ``max_depth`` links, the nearest ``max_pages`` by (depth, node).
+
+    A round is one join and one minimum; every node also leads to itself at no cost, so a round
+    reads the one before it once and the plan grows by the depth alone.
+    """
+    steps = edges.select("src", "dst", F.lit(1).alias("cost")).unionByName(seeds.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0).alias("cost")))
+    own = edges.select(F.col("dst").alias("node")).distinct()
+    steps = steps.unionByName(own.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0).alias("cost")))
+    reach = seeds.select("node", F.lit(0).alias("depth")).distinct()
+    for _ in range(max_depth):
+        reach = reach.join(steps, reach["node"] == steps["src"]).groupBy("dst").agg(F.min(F.col("depth") + F.col("cost")).alias("depth")).withColumnRenamed("dst", "node")
+    return reach.orderBy("depth", "node").limit(max_pages)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import pages as page
-from tidemark.functions import entry, scoring, urls
+from tidemark.functions import campaigns, entry, scoring, urls
 from tidemark.operators import actions, listing, merge
 from tidemark.operators.listing import Filters
 from tidemark.sources.fixtures import view, view_sql, with_views
@@ -654,6 +654,72 @@ def discovery_priority(spark, d):
     return e.select("doc_id", entry.discovery_priority(F.col("free"), F.col("friction"), F.col("allowed"), F.col("scope")).alias("priority"))
 
 
+_SHAPED = with_views("shaped_pages")
+_CALL = f"nullif(replace(regexp_extract(html, {_quoted(campaigns.CALL)}, 1), '&quot;', '\"'), '')"
+
+
+def shaped(spark: SparkSession, d: str) -> DataFrame:
+    return view(spark, d, "shaped_pages")
+
+
+@_add("labelled_value", _SHAPED + r"""SELECT page_id, nullif(trim(regexp_extract(html, '(?is)(?:^|[\n>])\s*Closing Date\s*(?:[:|]\s*|\n\s*)([^\n<]+)', 1)), '') AS closing,
+  nullif(trim(regexp_extract(html, '(?is)<dt[^>]*>\s*Open to\s*</dt>\s*<dd[^>]*>(.*?)</dd>', 1)), '') AS open_to FROM shaped_pages""")
+def labelled_value(spark, d):
+    return shaped(spark, d).select("page_id", campaigns.value_after(F.col("html"), "Closing Date").alias("closing"), campaigns.fact(F.col("html"), "Open to").alias("open_to"))
+
+
+@_add("filter_text", with_views("texts") + "SELECT doc_id, concat_ws(chr(10), nullif(trim(title), ''), nullif(trim(prize), ''), 'Category: ' || nullif(trim(rules_text), ''), 'Eligible: ' || nullif(trim(restriction), '')) AS filter_text FROM texts")
+def filter_text(spark, d):
+    c = F.col
+    return view(spark, d, "texts").select("doc_id", campaigns.filter_text(c("title"), c("prize"), c("rules_text"), c("restriction")).alias("filter_text"))
+
+
+@_add("listing_children", _SHAPED + f"""
+, raw AS (SELECT page_id, url, regexp_extract_all(html, {_quoted(campaigns.CARD)}, 1) AS h, regexp_extract_all(html, {_quoted(campaigns.CARD)}, 2) AS t FROM shaped_pages)
+, c AS (SELECT page_id, url, unnest(h) AS h, unnest(t) AS t, generate_subscripts(h, 1) AS pos FROM raw)
+, i AS (SELECT page_id, pos, coalesce(nullif(regexp_extract(h, '[?&](?:chi|i|ix)=(\\d+)', 1), ''), h) AS item, trim(regexp_replace(t, '<[^>]*>', '', 'g')) AS title, url_decode(regexp_extract(h, '[?&]to=([^&#]*)', 1)) AS to_url, h, url FROM c)
+SELECT page_id, item, title, CASE WHEN starts_with(to_url, 'http') THEN to_url WHEN regexp_matches(h, '^https?://') THEN h WHEN starts_with(h, '/') THEN regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || h END AS target
+FROM (SELECT *, row_number() OVER (PARTITION BY page_id, item ORDER BY pos) AS n FROM i) WHERE n = 1""")
+def listing_children(spark, d):
+    return campaigns.listing_children(shaped(spark, d))
+
+
+@_add("parse_failure_reason", _SHAPED + f", p AS (SELECT page_id, http_status, html, {_CALL} AS payload FROM shaped_pages) SELECT page_id, CASE WHEN http_status >= 400 THEN 'http_' || CAST(http_status AS VARCHAR) WHEN trim(html) = '' THEN 'empty_body' WHEN payload IS NULL THEN 'no_payload' WHEN NOT json_valid(payload) THEN 'invalid_payload' END AS reason FROM p")
+def parse_failure_reason(spark, d):
+    return shaped(spark, d).select("page_id", campaigns.failure_reason(F.col("html"), F.col("http_status")).alias("reason"))
+
+
+@_add("campaign_fields", _SHAPED + f", p AS (SELECT page_id, {_CALL} AS payload FROM shaped_pages) SELECT page_id, json_extract_string(payload, '$.campaign.key') AS campaign_key, TIMESTAMP '1970-01-01 00:00:00' + to_seconds(CAST(json_extract_string(payload, '$.campaign.ends_at') AS BIGINT)) AS ends_at, CAST(json_array_length(payload, '$.entry_methods') AS INT) AS actions FROM p WHERE payload IS NOT NULL AND json_valid(payload)")
+def campaign_fields(spark, d):
+    return campaigns.campaign_fields(shaped(spark, d))
+
+
+@_add("campaign_actions", _SHAPED + f", p AS (SELECT page_id, {_CALL} AS payload FROM shaped_pages), a AS (SELECT page_id, unnest(range(CAST(json_array_length(payload, '$.entry_methods') AS BIGINT))) AS pos, payload FROM p WHERE payload IS NOT NULL AND json_valid(payload)), t AS (SELECT page_id, CAST(pos AS INT) AS pos, json_extract_string(payload, '$.entry_methods[' || pos || '].entry_type') AS entry_type, CAST(json_extract_string(payload, '$.entry_methods[' || pos || '].mandatory') AS BOOLEAN) AS mandatory FROM a) SELECT *, CASE " + " ".join(f"WHEN regexp_matches(lower(entry_type), '{p}') THEN '{n}'" for p, n in campaigns.CATEGORIES) + " ELSE 'other' END AS category FROM t")
+def campaign_actions(spark, d):
+    return campaigns.campaign_actions(shaped(spark, d))
+
+
+@_add("frontier", with_views("edges") + ", e AS (SELECT src, dst_a AS dst FROM edges UNION ALL SELECT src, dst_b FROM edges)\n" + """
+, s0 AS (SELECT DISTINCT src AS node, 0 AS depth FROM edges WHERE src % 50 = 0)
+, s1 AS (SELECT node, min(depth) AS depth FROM (SELECT * FROM s0 UNION ALL SELECT e.dst, depth + 1 FROM s0 JOIN e ON e.src = s0.node) GROUP BY node)
+, s2 AS (SELECT node, min(depth) AS depth FROM (SELECT * FROM s1 UNION ALL SELECT e.dst, depth + 1 FROM s1 JOIN e ON e.src = s1.node) GROUP BY node)
+, s3 AS (SELECT node, min(depth) AS depth FROM (SELECT * FROM s2 UNION ALL SELECT e.dst, depth + 1 FROM s2 JOIN e ON e.src = s2.node) GROUP BY node)
+SELECT node, depth FROM s3 ORDER BY depth, node LIMIT 40""")
+def frontier(spark, d):
+    e = view(spark, d, "edges")
+    both = e.select("src", F.col("dst_a").alias("dst")).unionByName(e.select("src", F.col("dst_b").alias("dst")))
+    seeds = e.where("src % 50 = 0").select(F.col("src").alias("node"))
+    return merge.expand_frontier(both, seeds, max_depth=3, max_pages=40)
+
+
+_ENTRY_OF = "coalesce(entry_url, CASE WHEN platform_campaign_id IS NOT NULL THEN 'https://' || coalesce(platform, 'gleam') || '.example/' || platform_campaign_id || '/x' END, canonical_url)"
+
+
+@_add("entry_url_of", _STATE_SQL + f"SELECT id, {_ENTRY_OF} AS entry FROM g")
+def entry_url_of(spark, d):
+    return listing.entry_url_of(state(spark, d), "https://{platform}.example/{key}/x").select("id", "entry")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
