@@ -11,6 +11,7 @@ from tidemark.functions import pages as page
 from tidemark.functions import campaigns, entry, scoring, urls
 from tidemark.operators import actions, listing, merge
 from tidemark.operators.listing import Filters
+from tidemark.plans import gates
 from tidemark.sources.fixtures import view, view_sql, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -720,6 +721,42 @@ def entry_url_of(spark, d):
     return listing.entry_url_of(state(spark, d), "https://{platform}.example/{key}/x").select("id", "entry")
 
 
+_GATE = f"CASE WHEN title IS NULL AND prize IS NULL THEN 'missing_content' WHEN analyzed_at IS NOT NULL THEN 'already_analyzed' WHEN manual_status IN ('entered', 'ignored', 'won', 'lost') THEN 'terminal' WHEN coalesce(confidence, 0) < 0.45 THEN 'below_threshold' WHEN end_at < {_NOW} THEN 'expired' WHEN coalesce(france_eligibility = 'ineligible', false) OR eligible_france IS FALSE THEN 'region_ineligible' WHEN entry_acceptable IS FALSE AND requires_public_social_action IS TRUE THEN 'public_social' ELSE 'send' END"
+
+
+@_add("analysis_gates", _STATE_SQL + f"SELECT id, {_GATE} AS gate FROM g")
+def analysis_gates(spark, d):
+    return gates.analysis_gates(state(spark, d), NOW).select("id", "gate")
+
+
+@_add("apply_local_skips", _STATE_SQL + f", k AS (SELECT *, {_GATE} AS gate FROM g) SELECT id, CASE WHEN gate = 'expired' THEN 'expired' WHEN gate IN ('region_ineligible', 'public_social') THEN 'rejected' ELSE status END AS status, CASE WHEN gate IN ('expired', 'region_ineligible', 'public_social') THEN '{{\"local_skip\":\"' || gate || '\"}}' ELSE analysis_json END AS analysis_json, analyzed_at FROM k")
+def apply_local_skips(spark, d):
+    return gates.apply_local_skips(gates.analysis_gates(state(spark, d), NOW)).select("id", "status", "analysis_json", "analyzed_at")
+
+
+_EXPIRED_TEXT = "strip_accents(lower(concat_ws(' ', title, CASE id % 4 WHEN 0 THEN 'ended on 1996-01-05' WHEN 1 THEN 'ended on 1999-01-05' WHEN 2 THEN 'this giveaway has ended' END)))"
+
+
+@_add("clearly_expired", _STATE_SQL + f", t AS (SELECT id, end_at, {_EXPIRED_TEXT} AS text FROM g) SELECT id, coalesce(end_at < {_NOW}, false) OR {_is('text', entry.EXPIRED)} OR coalesce(try_cast(nullif(regexp_extract(text, '\\bended\\s+on\\s+(\\d{{4}}-\\d{{2}}-\\d{{2}})\\b', 1), '') AS TIMESTAMP) < {_NOW}, false) AS expired FROM t")
+def clearly_expired(spark, d):
+    text = F.expr("concat_ws(' ', title, CASE id % 4 WHEN 0 THEN 'ended on 1996-01-05' WHEN 1 THEN 'ended on 1999-01-05' WHEN 2 THEN 'this giveaway has ended' END)")
+    return state(spark, d).select("id", gates.clearly_expired(F.col("end_at"), scoring.normalize_text(text), NOW).alias("expired"))
+
+
+@_add("merge_verdict", _SQL["platform_verdict"].replace("SELECT campaign_id, non_public", ", v AS (SELECT campaign_id, non_public", 1).rstrip() + """)
+SELECT v.campaign_id, coalesce(CASE v.verdict WHEN 'accept' THEN true WHEN 'reject' THEN false END, a.ok) AS acceptable FROM v LEFT JOIN (SELECT giveaway_id, bool_or(entry_acceptable) AS ok FROM (""" + view_sql("analysis_responses") + ") GROUP BY giveaway_id) a ON a.giveaway_id = v.campaign_id")
+def merge_verdict(spark, d):
+    external = view(spark, d, "analysis_responses").groupBy(F.col("giveaway_id").alias("campaign_id")).agg(F.max("entry_acceptable").alias("ok"))
+    local = F.when(F.col("verdict") == "accept", True).when(F.col("verdict") == "reject", False)
+    rows = actions.platform_verdict(view(spark, d, "campaign_actions")).join(external, "campaign_id", "left")
+    return rows.select("campaign_id", gates.merged_verdict(local, F.col("ok")).alias("acceptable"))
+
+
+@_add("assess_entry", _ENTRY_SQL + f", a AS (SELECT doc_id, {_FREE} AS free, {_FRICTION} AS friction, {_SCOPE} AS scope, CASE WHEN {_is('restriction', entry.EXCLUDED)} THEN false WHEN {_SCOPE} IN ('worldwide', 'france', 'eu') THEN true ELSE false END AS allowed, len(list_filter([{', '.join(_REASONS)}], lambda x: x IS NOT NULL)) > 0 AS clear_skip FROM e) SELECT doc_id, friction, scope, free, {_PRIORITY} AS priority, clear_skip FROM a")
+def assess_entry(spark, d):
+    return gates.assess(_entry_columns(spark, d)).select("doc_id", "friction", "scope", "free", "priority", "clear_skip")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
