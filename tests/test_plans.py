@@ -75,3 +75,24 @@ def test_merge_keeps_decisions_and_is_idempotent(spark):
     assert once.exceptAll(twice).count() == 0 and twice.exceptAll(once).count() == 0
     kept = ["id", "manual_status", "analyzed_at", "analysis_json", "confidence"]
     assert once.select(*kept).exceptAll(state.select(*kept)).count() == 0
+
+
+def test_a_failing_batch_leaves_its_rows_pending(spark):
+    from tidemark.plans import ingest
+
+    def fn(rows):
+        if any(r["id"] == 7 for r in rows):
+            raise RuntimeError("no")
+        return [{"twice": 2 * r["id"]} for r in rows]
+
+    got = {r.id: (r.twice, r.error) for r in ingest.enrich_batches(spark.range(12).coalesce(1), fn, "twice long", batch_size=4).collect()}
+    assert got[0] == (0, None) and got[11] == (22, None) and got[7] == (None, "no") and got[4] == (None, "no")
+
+
+def test_ingest_adds_new_pages_and_keeps_the_rest(spark):
+    state = registry.state(spark, DIR)
+    pages = spark.createDataFrame([(1, "https://new.example/?utm_source=a", "<title>Official rules: giveaway contest prize</title>"), (2, "https://NEW.example/", "<title>x</title>"), (3, "nonsense", "")], "page_id long, url string, html string")
+    out = registry.ingest.ingest_pages(pages, state, registry.NOW)
+    assert out.count() == state.count() + 1
+    row = out.where("canonical_url = 'https://new.example/'").first()
+    assert row.status == "candidate" and row.manual_status == "none" and row.title.startswith("Official rules")

@@ -45,3 +45,12 @@ def test_daily_counters_and_dedup(spark, tmp_path):
     twice = seen.unionByName(seen)
     stream = streamed(spark, twice, f"{tmp_path}/seen", 1)
     assert health.drained(health.stream_dedup(stream, late="4000 days"), "once", "append", f"{tmp_path}/c4").count() == seen.select("canonical_url").distinct().count()
+
+
+def test_link_health_equals_the_batch_fold(spark, tmp_path):
+    checks = view(spark, DIR, "link_checks").where("giveaway_id < 40")
+    stream = streamed(spark, checks, f"{tmp_path}/checks", 1)
+    got = health.drained(health.stream_link_health(stream), "links", "update", f"{tmp_path}/c5")
+    want = merge.fold_link_checks(checks)
+    columns = ["giveaway_id", "entry_check_fail_count", "entry_url_status", "rejected"]
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))

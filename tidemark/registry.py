@@ -11,7 +11,7 @@ from tidemark.functions import pages as page
 from tidemark.functions import campaigns, entry, scoring, urls
 from tidemark.operators import actions, listing, merge
 from tidemark.operators.listing import Filters
-from tidemark.plans import gates
+from tidemark.plans import gates, ingest
 from tidemark.sources.fixtures import view, view_sql, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -757,6 +757,22 @@ def assess_entry(spark, d):
     return gates.assess(_entry_columns(spark, d)).select("doc_id", "friction", "scope", "free", "priority", "clear_skip")
 
 
+@_add("ingest_pages", None)
+def ingest_pages(spark, d):
+    out = ingest.ingest_pages(pages(spark, d), state(spark, d), NOW)
+    return out.select("id", "canonical_url", "title", "content_hash", "status", "last_seen_at", "manual_status")
+
+
+def _word_counts(rows: list[dict]) -> list[dict]:
+    """Stands for a user's function."""
+    return [{"words": len((r["title"] or "").split())} for r in rows]
+
+
+@_add("enrich_batches", _STATE_SQL + "SELECT id, title, CAST(len(string_split(coalesce(title, ''), ' ')) - CASE WHEN coalesce(title, '') = '' THEN 1 ELSE 0 END AS INT) AS words, CAST(NULL AS VARCHAR) AS error FROM g WHERE analyzed_at IS NULL AND status = 'candidate' AND manual_status NOT IN ('entered', 'ignored', 'won', 'lost')")
+def enrich_batches(spark, d):
+    return ingest.enrich_batches(listing.pending(state(spark, d)).select("id", "title"), _word_counts, "words int")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

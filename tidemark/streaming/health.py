@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.operators.merge import BACKOFF_MINUTES, BACKOFF_MOST
+from tidemark.operators.merge import BACKOFF_MINUTES, BACKOFF_MOST, link_outcome
 
 _HEALTH = "source_id long, consecutive_failures long, last_run_at timestamp, backoff_minutes long"
 
@@ -56,3 +56,25 @@ def drained(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFra
     query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(name)
+
+
+_LINKS = "giveaway_id long, entry_check_fail_count long, entry_url_status string, checked_at timestamp, rejected boolean"
+
+
+def _fold_checks(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    rows = pd.concat(list(frames)).sort_values(["checked_at", "check_id"], kind="stable")
+    fails, status, last, last_id, gone = state.get if state.exists else (0, "", None, -1, False)
+    for r in rows.itertuples():
+        if last is not None and (r.checked_at.value // 1000, r.check_id) <= (last, last_id):
+            continue
+        fails = 0 if r.outcome == "live" else fails + (r.outcome in ("temporary_error", "gone"))
+        status, last, last_id, gone = r.outcome, r.checked_at.value // 1000, r.check_id, gone or r.outcome == "gone"
+    state.update((fails, status, last, last_id, gone))
+    yield pd.DataFrame({"giveaway_id": [key[0]], "entry_check_fail_count": [fails], "entry_url_status": [status], "checked_at": [pd.Timestamp(last * 1000)], "rejected": [gone]})
+
+
+def stream_link_health(checks: DataFrame) -> DataFrame:
+    """Failures since the last live check and the latest outcome of each giveaway; rows older than what is folded are left out."""
+    keyed = checks.select("giveaway_id", "check_id", F.col("checked_at").cast("timestamp"), link_outcome(F.col("http_status")).alias("outcome"))
+    shape = "fails long, status string, last long, last_id long, gone boolean"
+    return keyed.groupBy("giveaway_id").applyInPandasWithState(_fold_checks, _LINKS, shape, "update", GroupStateTimeout.NoTimeout)
