@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import pages as page
-from tidemark.functions import campaigns, entry, scoring, urls
+from tidemark.functions import campaigns, entry, prizes, scoring, urls
 from tidemark.operators import actions, listing, merge
 from tidemark.operators.listing import Filters
 from tidemark.plans import gates, ingest
@@ -773,6 +773,31 @@ def enrich_batches(spark, d):
     return ingest.enrich_batches(listing.pending(state(spark, d)).select("id", "title"), _word_counts, "words int")
 
 
+_FLAGS = ", ".join(f"{_is('text', p)} AS {family}_{label}" for family, rules in prizes.FAMILIES.items() for p, label in rules)
+_ANY = {family: "(" + " OR ".join(f"{family}_{label}" for _, label in rules) + ")" for family, rules in prizes.FAMILIES.items()}
+_CASH = f"(cash_cash OR cash_paypal OR cash_prepaid_card OR (cash_cash_amount AND NOT {_ANY['discount']} AND NOT ({_ANY['travel']} OR {_ANY['tickets']} OR {_ANY['experience']} OR {_ANY['books']})))"
+_MARKET = "(gift_amazon_gc AND NOT discount_min_spend)"
+_LADDER = [
+    ("trim(text) = ''", "unknown", "NULL", "NULL"), (f"{_CASH} AND cash_prepaid_card", "general_gift_card", "true", "95"), (f"{_CASH} AND cash_paypal", "cash", "true", "95"), (_CASH, "cash", "true", "98"),
+    (" OR ".join(f"physical_{x}" for x in prizes.HIGH), "physical_good", "true", "92"), (" OR ".join(f"physical_{x}" for x in prizes.USEFUL), "physical_good", "true", "78"),
+    (" OR ".join(f"digital_{x}" for x in prizes.GAMES), "digital_game", "true", "75"), (_ANY["digital"], "digital_good", "true", "70"), (_MARKET, "general_gift_card", "true", "80"),
+    (f"discount_min_spend OR ({_ANY['gift']} AND {_ANY['discount']})", "restricted_gift_card", "false", "3"), (_ANY["discount"], "discount", "false", "2"),
+    (f"{_ANY['travel']} AND NOT {_ANY['tickets']} AND NOT {_ANY['experience']}", "travel", "false", "2"), (_ANY["tickets"], "event_ticket", "false", "2"), ("experience_wedding", "service", "false", "1"),
+    ("experience_service", "service", "false", "3"), (_ANY["experience"], "experience", "false", "3"), ("books_subscription", "subscription", "false", "4"), (_ANY["books"], "books_media", "false", "4"),
+    (_ANY["gift"], "general_gift_card", "NULL", "55"), ("cash_cash_amount", "cash", "true", "90"), ("true", "unknown", "NULL", "50"),
+]
+_PICK = lambda at, wrap: "CASE " + " ".join(f"WHEN {x[0]} THEN {wrap(x[at])}" for x in _LADDER) + " END"
+
+
+@_add("prize_preference", with_views("texts") + f"""
+, t AS (SELECT doc_id, strip_accents(lower(concat_ws(' ', title, prize))) AS text FROM texts), f AS (SELECT doc_id, text, {_FLAGS} FROM t)
+, v AS (SELECT doc_id, {_PICK(1, _quoted)} AS category, CAST({_PICK(2, str)} AS BOOLEAN) AS wanted, CAST({_PICK(3, str)} AS INT) AS priority, {_ANY['travel']} AS travel, discount_min_spend AS spend FROM f)
+SELECT *, CASE WHEN wanted IS NULL THEN 100 WHEN wanted THEN 50 - least(priority, 100) WHEN category IN {_words(list(prizes.FAR))} THEN 300 + (10 - least(priority, 10)) ELSE 200 END AS rank FROM v""")
+def prize_preference(spark, d):
+    t = view(spark, d, "texts").select("doc_id", scoring.normalize_text(F.concat_ws(" ", "title", "prize")).alias("t"))
+    return prizes.prize_preference(t, F.col("t")).select("doc_id", "category", "wanted", "priority", "travel", "spend", "rank")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
