@@ -114,5 +114,6 @@ def score(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, bit
         "score": F.col("_qr_score"),
         "kept": ~failed & F.coalesce(F.col("_qr_score") >= threshold, F.lit(False)),
     }
-    out = d.withColumn(OUT, F.struct(*[c.alias(k) for k, c in fields.items()]))
-    return out.select(*docs.drop(OUT).columns, OUT)
+    verdict = F.struct(*[c.alias(k) for k, c in fields.items()])
+    # A generator's column: a filter on it stays above, and does not compute the chain once more per mention.
+    return d.select(*docs.drop(OUT).columns, F.explode(F.array(verdict)).alias(OUT))
