@@ -12,7 +12,6 @@ What is shuffled is a word once a block, and places in a packed form, never a ro
 
 from __future__ import annotations
 
-import hashlib
 import json
 import os
 import re
@@ -147,39 +146,41 @@ def blocks(docs: DataFrame, path: str) -> DataFrame:
     return placed.join(coded, "block", "left")
 
 
-def digest(docs: DataFrame, path: str) -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of every row's whole text.
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """``(doc_id, ids, decoded)`` of every row's whole text: its token ids, and the text they decode to.
 
-    The hashes are of the decimal ids joined by commas, and of the decoded text's UTF-8. Null and
-    empty texts have no ids. Rows that repeat stay; null doc_ids stay null; other columns are
-    ignored; an empty table gives no rows.
+    Null and empty texts have no ids and decode to an empty text. Rows that repeat stay; null
+    doc_ids stay null; other columns are not read; an empty table gives no rows.
     """
     pieces = docs.sparkSession.sparkContext.broadcast(piece_bytes(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces.value
-        text = [b"%d" % i for i in range(len(table))]
         for b in batches:
             for ids, counts, packed, dictionary in zip(*b.columns, strict=True):
                 places, counts, dictionary = _unpack(packed.as_py()), counts.values.to_numpy(), dictionary.as_py() or []
                 size = sum(len(_unpack(d["sizes"])) for d in dictionary)
-                digits, decoded, length = [b""] * size, [b""] * size, np.zeros(size, np.int64)
+                coded, decoded = [b""] * size, [b""] * size
                 for d in dictionary:
-                    at, n, codes = _unpack(d["places"]), _unpack(d["sizes"]), _unpack(d["codes"]).tolist()
-                    length[at] = n
-                    end = np.cumsum(n).tolist()
-                    for p, lo, hi in zip(at.tolist(), [0, *end], end):  # noqa: B905
-                        own = codes[lo:hi]
-                        digits[p], decoded[p] = b",".join([text[i] for i in own]), b"".join([table[i] for i in own])
-                rows, lo = [], 0
-                for n in counts.tolist():
-                    own = places[lo : lo + n]
-                    lo += n
-                    listed = own.tolist()
-                    plain = b"".join(map(decoded.__getitem__, listed)).decode(errors="replace").encode()
-                    rows.append((int(length[own].sum()), hashlib.sha256(b",".join(map(digits.__getitem__, listed))).hexdigest(), hashlib.sha256(plain).hexdigest()))
-                n, ids_sha, text_sha = zip(*rows, strict=True) if rows else ((), (), ())
-                yield pa.RecordBatch.from_arrays([ids.values, pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    at, n, codes = _unpack(d["places"]).tolist(), _unpack(d["sizes"]), _unpack(d["codes"])
+                    raw, each, end = codes.tobytes(), codes.tolist(), np.cumsum(n).tolist()
+                    for p, lo, hi in zip(at, [0, *end], end):  # noqa: B905
+                        coded[p], decoded[p] = raw[4 * lo : 4 * hi], b"".join([table[i] for i in each[lo:hi]])
+                ends = np.cumsum(counts).tolist()
+                for first in range(0, len(ends), 500):
+                    rows = slice(first, first + 500)
+                    own = [places[lo:hi].tolist() for lo, hi in zip([0, *ends][rows], ends[rows])]  # noqa: B905
+                    flat = [b"".join(map(coded.__getitem__, x)) for x in own]
+                    offsets = np.cumsum([0, *(len(x) // 4 for x in flat)]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(flat))]))
+                    text = pa.array([b"".join(map(decoded.__getitem__, x)).decode(errors="replace") for x in own], pa.string())
+                    yield pa.RecordBatch.from_arrays([ids.values[rows], lists, text], ["doc_id", "ids", "decoded"])
 
     found = blocks(docs, path).select("ids", "counts", "places", "dictionary")
-    return found.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return found.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+
+
+def digest(docs: DataFrame, path: str) -> DataFrame:
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: digests of :func:`round_trip`, of the decimal ids joined by commas and of the decoded text."""
+    decimal = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return round_trip(docs, path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
