@@ -173,7 +173,8 @@ def _settle(width: int):
 def repeated_ranges(keyed: DataFrame, width: int, seed_words: int, bucket_rows: int) -> DataFrame:
     """``(_sd_doc, _sd_text, ranges)`` of the texts of ``keyed(_sd_doc, _sd_text, text)`` that hold a window which starts more than once in the table; ranges are ``(lo, hi)`` of words and may touch."""
     refs = stored(references(keyed, width, min(seed_words, width)), "references")
-    counts = refs.groupBy("key").agg(F.count("*").alias("total")).where("total > 1")
+    # Stored, so that the join reads plain exchanges on both sides and a frequent key can be split.
+    counts = stored(refs.groupBy("key").agg(F.count("*").alias("total")).where("total > 1"), "counts")
     deals = F.ceil(F.col("total") / bucket_rows)
     shared = refs.join(counts, "key").select(
         "_sd_doc",
