@@ -113,8 +113,13 @@ def fit(languages: list[str], x: np.ndarray) -> Model:
 def train(docs: DataFrame, may_learn: Column, sample: int = SAMPLE, dims: int = DIMS) -> Model | None:
     """A model of the rows with ``may_learn`` and a language: at most ``sample`` of each, the first by a hash of their id. None if there is no such row with a letter."""
     usable = docs.where(may_learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit("language")), "doc_id")
-    ids = usable.select("doc_id", "lang").withColumn("r", F.row_number().over(first)).where(F.col("r") <= sample).select("doc_id").distinct()
+    hashed = usable.select("doc_id", "lang", F.xxhash64("doc_id", F.lit("language")).alias("h"))
+    # Hashes beyond some multiple of the sample's share of a language can't be among its first, so no task ranks a language.
+    sizes = hashed.groupBy("lang").agg(F.count("*").alias("n"))
+    share = (F.col("h") / F.lit(2.0**64) + 0.5) * F.col("n")
+    low = hashed.join(F.broadcast(sizes), "lang").where(share <= 2 * sample + 100)
+    first = Window.partitionBy("lang").orderBy("h", "doc_id")
+    ids = low.withColumn("r", F.row_number().over(first)).where(F.col("r") <= sample).select("doc_id").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
