@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import new_path
 
 #: Pieces and words that a worker remembers at most; beyond that it starts anew.
-PIECES, WORDS = 300_000, 700_000
+PIECES, WORDS = 600_000, 600_000
 #: ASCII marks that end a word for the tokenizer (the apostrophe doesn't).
 _MARKS = b".,;:!?|%&*#$()\"-+=@"
 _SCHEMA = "doc_id long, part int, at long, n_tokens long, ids array<int>"
@@ -54,6 +54,7 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.merge = self.tokenizer.model.tokenize
         self.pieces: dict[bytes, bytes] = {}
         self.words: dict[bytes, bytes] = {}
 
@@ -66,22 +67,27 @@ class PieceEncoder:
             return piece.lower(), b""
         return word.lower(), piece[len(word) :]
 
-    def encode(self, text: str | None) -> bytes:
-        pieces = text.encode().split() if text else []
-        memo = self.pieces
-        new = {p for p in pieces if p not in memo}
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text; what none of them has met before is encoded in one call."""
+        cut = [t.encode().split() if t else [] for t in texts]
+        memo, met = self.pieces, set().union(*cut)
+        new = met.difference(memo)
         if new:
             if len(memo) > PIECES:
                 memo.clear()
-                new = set(pieces)
-            parts = {p: self.split(p) for p in new}
+                new = met
             if len(self.words) > WORDS:
                 self.words.clear()
-            unmet = list({w for pair in parts.values() for w in pair if w and w not in self.words})
+            words, parts = self.words, [(p, *self.split(p)) for p in new]
+            unmet = {w for _, *pair in parts for w in pair if w and w not in words}
+            # A word of a-z alone is what the steps before the merges leave it, so it goes to the merges at once.
+            plain = [w for w in unmet if w.isalpha()]
+            words.update((w, array("I", [t.id for t in self.merge(w.decode())]).tobytes()) for w in plain)
+            unmet = list(unmet.difference(plain))
             found = self.tokenizer.encode_batch_fast([w.decode() for w in unmet], add_special_tokens=False)
-            self.words.update((w, array("I", e.ids).tobytes()) for w, e in zip(unmet, found, strict=True))
-            memo.update((p, self.words[w] + self.words[m] if m else self.words[w]) for p, (w, m) in parts.items())
-        return b"".join(map(memo.__getitem__, pieces))
+            words.update((w, array("I", e.ids).tobytes()) for w, e in zip(unmet, found, strict=True))
+            memo.update((p, words[w] + words[m] if m else words[w]) for p, w, m in parts)
+        return [b"".join(map(memo.__getitem__, pieces)) for pieces in cut]
 
 
 @functools.cache
@@ -111,7 +117,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, partitio
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 rows = b.slice(lo, 256)
-                ids = [encode(t.as_py()) + end for t in rows.column(1)]
+                ids = [x + end for x in encode(rows.column(1).to_pylist())]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 flat = pa.Array.from_buffers(pa.int32(), int(n.sum()), [None, pa.py_buffer(b"".join(ids))])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), flat)
