@@ -65,6 +65,24 @@ def test_near_duplicates_against_exact_similarity(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({g: min(i for i in groups if i is not None and groups[i] == g) for g in groups.values()}.values())
 
 
+def test_a_group_has_no_text_below_the_stated_similarity(spark):
+    rng = random.Random(6)
+    texts = []
+    for _ in range(40):
+        base = [f"{rng.choice(['an', 're', 'ti'])}{rng.randrange(10**6)}" for _ in range(1000)]
+        texts.append(" ".join(base))
+        # Changed words far from each other cost five shingles each, so these are 0.74 to 0.8 alike.
+        changed = rng.choice([26, 27, 28, 30])
+        for i in range(changed):
+            base[20 + i * 30] = f"new{i}"
+        texts.append(" ".join(base))
+    sets = [shingles(t) for t in texts]
+    alike = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert all(0.7 < s < 0.8 for s in alike)
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    assert simhash_dedup.drop_near_duplicates(df).count() == len(texts)
+
+
 def test_mixing_stage_takes_what_the_operator_says(spark):
     rng = random.Random(2)
     rows = [(i, "w " * rng.randint(1, 30), "en", rng.choice("abc"), 1) for i in range(200)] + [(5, "x y", "en", "a", 1)] * 3 + [(None, "x", None, None, 1)]

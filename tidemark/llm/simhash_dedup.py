@@ -138,12 +138,13 @@ def components(docs: DataFrame, shingle_words: int = 3, max_distance: int = 2) -
 #
 # At a shingle similarity of 0.8 two 64-bit fingerprints differ in about ten bits, out of reach of
 # any selective variant index. So the fingerprints' links are joined by candidates from a bottom
-# sketch of the same shingle hashes, and every candidate is verified by the sketches' similarity.
+# sketch of the same shingle hashes. The sketches only find candidates: every one of them is
+# verified by the exact similarity of the two sets of shingle hashes.
 
 #: Fine cells of a sketch (half a byte each), coarse cells, coarse cells of one band.
 FINE, COARSE, ROWS = 512, 128, 4
-#: The sketch's estimate may miss by this much, so links reach that much below the stated similarity.
-SLACK = 0.04
+#: Candidates whose estimate is further below the stated similarity than this are not verified: six times the estimate's deviation.
+MARGIN = 0.12
 
 
 def sketch(hashes: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -176,14 +177,44 @@ def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similarity_of(p, q) for p, q in zip(a, b, strict=True)], dtype="float64")
 
 
+def _digest(distinct: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(distinct.tobytes(), SEED)
+
+
+def _shingle_sets(docs: DataFrame, marked: DataFrame, wanted: DataFrame, shingle_words: int) -> DataFrame:
+    """``(node, shingles)``: the distinct shingle hashes of the wanted nodes, made anew from one text of each."""
+    keys = ["_sh_null", "_sh_doc", "_sh_text"]
+    row = F.struct(F.col("_sh_doc").isNull().alias("_sh_null"), F.coalesce("_sh_doc", F.lit(0).cast("long")).alias("_sh_doc"), "_sh_text")
+    one = marked.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(row).alias("k")).select("k.*")
+    id_ = F.col("doc_id").cast("long")
+    texts = docs.select(id_.isNull().alias("_sh_null"), F.coalesce(id_, F.lit(0).cast("long")).alias("_sh_doc"), F.xxhash64("text").alias("_sh_text"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 200):
+                sets = [np.unique(shingle_hashes(t.as_py(), shingle_words)) for t in b.column(0).slice(lo, 200)]
+                nodes = pa.array([_digest(s) for s in sets], pa.uint64()).view(pa.int64())
+                yield pa.RecordBatch.from_arrays([nodes, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "shingles"])
+
+    found = texts.join(one, keys, "left_semi").select("text").mapInArrow(run, "node long, shingles array<long>")
+    return found.dropDuplicates(["node"])
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``(a, b)`` whose sets of shingle hashes are exactly ``similarity`` alike or more."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("p")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("q")), "b")
+    common = F.size(F.array_intersect("p", "q"))
+    return both.where(common / (F.size("p") + F.size("q") - common) >= similarity).select("a", "b")
+
+
 def near_groups(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(_sh_doc, _sh_text, group)`` of every row: its doc_id, a hash of its text, and the number of its group of near-duplicates.
 
-    Two texts are linked if their shingle sets are about ``similarity`` alike or more, as estimated
-    from their sketches; groups are connected over links. Candidates are fingerprints within two
-    bits, and texts that share a band with each other: in a band every text is held against the
-    first one, so the work is linear in a band's size, and what is unlike the first meets its like
-    in the bands that the first is not in. Texts without words are one group.
+    Two texts are linked if their sets of shingle hashes are ``similarity`` alike or more; groups
+    are connected over links. Candidates are fingerprints within two bits, and texts that share a
+    band with each other: in a band every text is held against the first one, so the work is linear
+    in a band's size, and what is unlike the first meets its like in the bands that the first is
+    not in. Texts without words are one group.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,14 +222,15 @@ def near_groups(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8
             for lo in range(0, b.num_rows, 1000):
                 part = b.slice(lo, 1000)
                 hashes = [shingle_hashes(t.as_py(), shingle_words) for t in part.column(2)]
-                sketches, keys = zip(*map(sketch, hashes), strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(map(majority, hashes)), pa.int64()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["_sh_doc", "_sh_text", "fp", "sketch", "bands"])
+                sets = list(map(np.unique, hashes))
+                nodes = pa.array([_digest(s) for s in sets], pa.uint64()).view(pa.int64())
+                sketches, keys = zip(*map(sketch, sets), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), nodes, pa.array(list(map(len, sets)), pa.int32()), pa.array(list(map(majority, hashes)), pa.int64()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["_sh_doc", "_sh_text", "node", "size", "fp", "sketch", "bands"])
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("_sh_doc"), F.xxhash64("text").alias("_sh_text"), "text")
-    marked = stored(keyed.mapInArrow(run, "_sh_doc long, _sh_text long, fp long, sketch binary, bands array<long>"), "sketches")
-    # Copies share fingerprint and sketch, so a node stands for all of them.
-    node = F.xxhash64("fp", "sketch").alias("node")
-    nodes = stored(marked.select(node, "fp", "sketch", "bands").dropDuplicates(["node"]), "nodes")
+    marked = stored(keyed.mapInArrow(run, "_sh_doc long, _sh_text long, node long, size int, fp long, sketch binary, bands array<long>"), "sketches")
+    # A node is a set of shingle hashes; texts of the same set are alike in full.
+    nodes = stored(marked.select("node", "size", "fp", "sketch", "bands").dropDuplicates(["node"]), "nodes")
     banded = stored(nodes.select("node", F.explode("bands").alias("band")), "bands")
     first = stored(banded.groupBy("band").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "firsts")
     by_band = banded.join(first, "band").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
@@ -207,11 +239,15 @@ def near_groups(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8
     same_fp = nodes.join(one, "fp").where("node <> m").select(F.col("node").alias("a"), F.col("m").alias("b"))
     by_bits = close.join(one.select(F.col("fp").alias("a"), F.col("m").alias("x")), "a").join(one.select(F.col("fp").alias("b"), F.col("m").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     pairs = stored(by_band.unionByName(by_bits).unionByName(same_fp).distinct(), "pairs")
-    left = pairs.join(nodes.select(F.col("node").alias("a"), F.col("sketch").alias("p")), "a")
-    both = left.join(nodes.select(F.col("node").alias("b"), F.col("sketch").alias("q")), "b")
-    linked = both.withColumn("s", _similarity(F.col("p"), F.col("q"))).where(F.col("s") >= similarity - SLACK).select("a", "b")
-    roots = connected(linked)
-    rows = marked.select("_sh_doc", "_sh_text", node)
+    left = pairs.join(nodes.select(F.col("node").alias("a"), F.col("sketch").alias("p"), F.col("size").alias("m")), "a")
+    both = left.join(nodes.select(F.col("node").alias("b"), F.col("sketch").alias("q"), F.col("size").alias("n")), "b")
+    # The smaller set's share of the larger one bounds the similarity.
+    both = both.where(F.least("m", "n") / F.greatest("m", "n") >= similarity)
+    likely = stored(both.where(_similarity(F.col("p"), F.col("q")) >= similarity - MARGIN).select("a", "b"), "likely")
+    wanted = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
+    sets = stored(_shingle_sets(docs, marked, wanted, shingle_words), "shingles")
+    roots = connected(_verified(likely, sets, similarity))
+    rows = marked.select("_sh_doc", "_sh_text", "node")
     return rows.join(stored(roots, "roots"), "node", "left").select("_sh_doc", "_sh_text", F.coalesce("root", "node").alias("group"))
 
 
