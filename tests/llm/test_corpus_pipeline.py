@@ -83,6 +83,45 @@ def test_a_group_has_no_text_below_the_stated_similarity(spark):
     assert simhash_dedup.drop_near_duplicates(df).count() == len(texts)
 
 
+def test_bands_led_by_a_third_text_lose_no_pair(spark):
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts = []
+    for _ in range(8):
+        # Pairs of 0.9 on one template, about 0.65 alike to those of other pairs, and chains within.
+        template = [word() for _ in range(300)]
+        for _ in range(12):
+            variant = list(template)
+            for at in rng.sample(range(0, 300, 5), 13):
+                variant[at] = word()
+            for _ in range(3):
+                texts.append(" ".join(variant))
+                variant[rng.randrange(300)] = word()
+                variant[rng.randrange(300)] = word()
+    rng.shuffle(texts)
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if common / (len(sets[i]) + len(sets[j]) - common) >= 0.8:
+                root[find(i)] = find(j)
+    want = {frozenset(i for i in range(len(texts)) if find(i) == r) for r in map(find, range(len(texts)))}
+    assert 60 < len(want) < 250
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    for limit in ({}, {"group_limit": 3}):
+        groups = {}
+        for r in simhash_dedup.near_groups(df, **limit).collect():
+            groups.setdefault(r.group, set()).add(r._sh_doc)
+        assert set(map(frozenset, groups.values())) == want
+
+
 def test_mixing_stage_takes_what_the_operator_says(spark):
     rng = random.Random(2)
     rows = [(i, "w " * rng.randint(1, 30), "en", rng.choice("abc"), 1) for i in range(200)] + [(5, "x y", "en", "a", 1)] * 3 + [(None, "x", None, None, 1)]

@@ -145,6 +145,10 @@ def components(docs: DataFrame, shingle_words: int = 3, max_distance: int = 2) -
 FINE, COARSE, ROWS = 512, 128, 4
 #: Candidates whose estimate is further below the stated similarity than this are not verified: six times the estimate's deviation.
 MARGIN = 0.12
+#: Bands and rare shingles of up to this many nodes are paired out; fuller ones are split first.
+GROUP_LIMIT = 64
+#: So often the nodes of a full group are led anew; what is left then is paired out, whatever its size.
+LEADS = 6
 
 
 def sketch(hashes: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -200,21 +204,76 @@ def _shingle_sets(docs: DataFrame, marked: DataFrame, wanted: DataFrame, shingle
     return found.dropDuplicates(["node"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets of shingle hashes are exactly ``similarity`` alike or more."""
+def _scored(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` with ``s``, the exact similarity of their sets of shingle hashes."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("p")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("q")), "b")
     common = F.size(F.array_intersect("p", "q"))
-    return both.where(common / (F.size("p") + F.size("q") - common) >= similarity).select("a", "b")
+    return both.select("a", "b", (common / (F.size("p") + F.size("q") - common)).alias("s"))
 
 
-def near_groups(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
+def _size_allows(similarity: float) -> F.Column:
+    """The smaller set's share of the larger one bounds the similarity."""
+    return F.least("m", "n") / F.greatest("m", "n") >= similarity
+
+
+def _pairs_within(members: DataFrame, key: str, similarity: float) -> DataFrame:
+    """All pairs ``(a, b)`` of the nodes of each key that their sizes allow."""
+    left, right = (members.select(key, F.col("node").alias(x), F.col("size").alias(n)) for x, n in (("a", "m"), ("b", "n")))
+    return left.join(right, key).where("a < b").where(_size_allows(similarity)).select("a", "b")
+
+
+def _rare_shingles(sets: DataFrame, similarity: float) -> DataFrame:
+    """``(h, node, size)``: shingles of which two sets that are alike enough share one at least.
+
+    Such sets share ``similarity`` of either's shingles or more, so of any one order of all
+    shingles, rarest first, they meet within the first ``size - ceil(similarity * size) + 1``.
+    """
+    each = sets.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("h"))
+    often = stored(each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "often")
+    ranked = each.join(often, "h", "left").withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("df", F.lit(1)), "h")))
+    return ranked.where(F.col("at") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-6) + 1).where("df > 1").select("h", "node", "size")
+
+
+def _links_within(sets: DataFrame, similarity: float, limit: int) -> DataFrame:
+    """Links ``(a, b)`` that connect what all pairs of ``similarity`` or more among the sets connect.
+
+    Nodes that share a rare shingle are compared. In a full group all nodes are held against its
+    least one first. Those alike to it are connected, so no pair of them is needed; the others
+    are compared to them where the distances to the first allow it, and go on by themselves.
+    """
+    left = stored(_rare_shingles(sets, similarity), "rare")
+    linked = sets.sparkSession.createDataFrame([], "a long, b long")
+    pairs = linked
+    for lead in range(LEADS + 1):
+        counted = left.groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
+        groups = stored(left.join(counted, "h"), "groups")
+        full = groups.where(F.col("n") > limit)
+        if lead == LEADS or full.isEmpty():
+            pairs = pairs.unionByName(_pairs_within(groups, "h", similarity))
+            break
+        pairs = pairs.unionByName(_pairs_within(groups.where(F.col("n") <= limit), "h", similarity))
+        held = stored(_scored(full.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct(), sets), "held")
+        linked = linked.unionByName(held.where(F.col("s") >= similarity).select("a", "b"))
+        known = full.join(held.select(F.col("a").alias("node"), F.col("b").alias("first"), "s"), ["node", "first"], "left").withColumn("s", F.coalesce("s", F.lit(1.0)))
+        known = stored(known.select("h", "node", "size", "s"), "known")
+        near = known.where(F.col("s") >= similarity)
+        left = known.where(F.col("s") < similarity)
+        # 1 - s is a metric: who is further from the first than twice the distance of a link is linked to none that the first is linked to.
+        far = left.where(F.col("s") >= 2 * similarity - 1 - 1e-9)
+        across = near.select("h", F.col("node").alias("a"), F.col("size").alias("m")).join(far.select("h", F.col("node").alias("b"), F.col("size").alias("n")), "h")
+        pairs = pairs.unionByName(across.where(_size_allows(similarity)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        left = left.select("h", "node", "size")
+    found = _scored(stored(pairs.distinct(), "pairs"), sets).where(F.col("s") >= similarity).select("a", "b")
+    return linked.unionByName(found)
+
+
+def near_groups(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """``(_sh_doc, _sh_text, group)`` of every row: its doc_id, a hash of its text, and the number of its group of near-duplicates.
 
     Two texts are linked if their sets of shingle hashes are ``similarity`` alike or more; groups
-    are connected over links. Candidates are fingerprints within two bits, and texts that share a
-    band with each other: in a band every text is held against the first one, so the work is linear
-    in a band's size, and what is unlike the first meets its like in the bands that the first is
-    not in. Texts without words are one group.
+    are connected over links. Candidates are fingerprints within two bits, and all texts that share
+    a band of up to ``group_limit``. The texts of fuller bands are compared with each other exactly,
+    through their rarest shingles. Texts without words are one group.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,9 +290,11 @@ def near_groups(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8
     marked = stored(keyed.mapInArrow(run, "_sh_doc long, _sh_text long, node long, size int, fp long, sketch binary, bands array<long>"), "sketches")
     # A node is a set of shingle hashes; texts of the same set are alike in full.
     nodes = stored(marked.select("node", "size", "fp", "sketch", "bands").dropDuplicates(["node"]), "nodes")
-    banded = stored(nodes.select("node", F.explode("bands").alias("band")), "bands")
-    first = stored(banded.groupBy("band").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "firsts")
-    by_band = banded.join(first, "band").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    banded = stored(nodes.select("node", "size", F.explode("bands").alias("band")), "bands")
+    counted = stored(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "counted")
+    shared = stored(banded.join(counted, "band"), "shared")
+    by_band = _pairs_within(shared.where(F.col("n") <= group_limit), "band", similarity)
+    crowd = stored(shared.where(F.col("n") > group_limit).select("node").distinct(), "crowd")
     close = links(nodes.select("fp").distinct())
     one = nodes.groupBy("fp").agg(F.min("node").alias("m"))
     same_fp = nodes.join(one, "fp").where("node <> m").select(F.col("node").alias("a"), F.col("m").alias("b"))
@@ -241,12 +302,13 @@ def near_groups(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8
     pairs = stored(by_band.unionByName(by_bits).unionByName(same_fp).distinct(), "pairs")
     left = pairs.join(nodes.select(F.col("node").alias("a"), F.col("sketch").alias("p"), F.col("size").alias("m")), "a")
     both = left.join(nodes.select(F.col("node").alias("b"), F.col("sketch").alias("q"), F.col("size").alias("n")), "b")
-    # The smaller set's share of the larger one bounds the similarity.
-    both = both.where(F.least("m", "n") / F.greatest("m", "n") >= similarity)
-    likely = stored(both.where(_similarity(F.col("p"), F.col("q")) >= similarity - MARGIN).select("a", "b"), "likely")
-    wanted = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
+    likely = stored(both.where(_size_allows(similarity)).where(_similarity(F.col("p"), F.col("q")) >= similarity - MARGIN).select("a", "b"), "likely")
+    wanted = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).unionByName(crowd).distinct()
     sets = stored(_shingle_sets(docs, marked, wanted, shingle_words), "shingles")
-    roots = connected(_verified(likely, sets, similarity))
+    linked = _scored(likely, sets).where(F.col("s") >= similarity).select("a", "b")
+    if not crowd.isEmpty():
+        linked = linked.unionByName(_links_within(sets.join(crowd, "node", "left_semi"), similarity, group_limit))
+    roots = connected(linked)
     rows = marked.select("_sh_doc", "_sh_text", "node")
     return rows.join(stored(roots, "roots"), "node", "left").select("_sh_doc", "_sh_text", F.coalesce("root", "node").alias("group"))
 
