@@ -96,3 +96,11 @@ def test_ingest_adds_new_pages_and_keeps_the_rest(spark):
     assert out.count() == state.count() + 1
     row = out.where("canonical_url = 'https://new.example/'").first()
     assert row.status == "candidate" and row.manual_status == "none" and row.title.startswith("Official rules")
+
+
+def test_the_platforms_own_pages_are_no_campaigns(spark):
+    own = "auth dashboard shopify-install cms_pages signed-in guides customers success security privacy terms faq atom webpack images by".split()
+    rows = spark.createDataFrame([(f"https://gleam.io/{page}{tail}",) for page in own for tail in ("", "/Some-Slug")] + [("https://gleam.io/aB3dE/Some-Slug",)], "url string")
+    got = {r.url: r.p for r in rows.select("url", urls.platform_identity(F.col("url")).alias("p")).collect()}
+    assert got.pop("https://gleam.io/aB3dE/Some-Slug").campaign_id == "aB3dE"
+    assert set(got.values()) == {None}

@@ -100,4 +100,4 @@ def platform_identity(url: Column) -> Column:
 
 
 # Paths of the first platform's own pages.
-RESERVED = "giveaways app blog docs help tools pricing integrations features templates partners about legal careers contact login signup".split()
+RESERVED = "giveaways app blog docs help tools pricing integrations features templates partners about legal careers contact login signup auth dashboard shopify-install cms_pages signed-in guides customers success security privacy terms faq atom webpack images by".split()
