@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.logic import let
+
 Rules = list[tuple[str, str]]
 
 # Patterns with their labels, in order of rank.
@@ -96,10 +98,12 @@ def hard_label(text: Column) -> Column:
 
 def entry_friction(text: Column, method: Column) -> Column:
     """(friction, method): hard over medium over easy; the method is an easy, medium or hard label, unless its own text names one."""
-    hard, medium, easy = hard_label(text), first_tag(text, MEDIUM), first_tag(text, EASY)
-    level = F.when(F.trim(text) == "", "unknown").when(hard.isNotNull(), "hard").when(medium.isNotNull(), "medium").when(easy.isNotNull(), "easy")
-    level = level.when(method.isin("website", "web form", "online", "form"), "easy").otherwise("unknown")
-    return F.struct(level.alias("friction"), F.coalesce(first_tag(method, METHODS), easy, medium, hard).alias("method"))
+    def ladder(t: Column) -> Column:
+        level = F.when(t["empty"], "unknown").when(t["hard"].isNotNull(), "hard").when(t["medium"].isNotNull(), "medium").when(t["easy"].isNotNull(), "easy")
+        level = level.when(method.isin("website", "web form", "online", "form"), "easy").otherwise("unknown")
+        return F.struct(level.alias("friction"), F.coalesce(first_tag(method, METHODS), t["easy"], t["medium"], t["hard"]).alias("method"))
+
+    return let(F.struct((F.trim(text) == "").alias("empty"), hard_label(text).alias("hard"), first_tag(text, MEDIUM).alias("medium"), first_tag(text, EASY).alias("easy")), ladder)
 
 
 def geo_scope(restriction: Column) -> Column:
@@ -108,34 +112,39 @@ def geo_scope(restriction: Column) -> Column:
 
 def region_allowed(restriction: Column) -> Column:
     """Whether the restriction alone lets the region in; null where it does not say."""
-    scope = geo_scope(restriction)
-    return (
-        F.when(restriction.rlike(EXCLUDED), False)
+    return let(
+        geo_scope(restriction),
+        lambda scope: F.when(restriction.rlike(EXCLUDED), False)
         .when(scope.isin("worldwide", "france", "eu"), True)
         .when(scope.isin("uk", "us", "canada"), False)
-        .when((scope == "specific") & restriction.rlike(r"\bonly\b"), False)
+        .when((scope == "specific") & restriction.rlike(r"\bonly\b"), False),
     )
 
 
 def region_reason(text: Column, restriction: Column) -> Column:
     """The step of the ladder that decides: over all texts first, then the restriction's scope."""
-    scope = geo_scope(restriction)
-    steps = F.when(F.trim(text) == "", "insufficient_text")
-    for pattern, reason, _ in LADDER:
-        steps = steps.when(text.rlike(pattern), reason)
-    steps = steps.when(scope.isin("worldwide", "france", "eu", "uk", "us", "canada"), F.concat(F.lit("scope_"), scope))
-    steps = steps.when((scope == "specific") & restriction.rlike(r"\bonly\b"), "specific_only_without_france")
-    return steps.when(text.rlike(SHIPPING), "shipping_restricted_ambiguous").otherwise("unknown")
+    def ladder(scope: Column) -> Column:
+        steps = F.when(F.trim(text) == "", "insufficient_text")
+        for pattern, reason, _ in LADDER:
+            steps = steps.when(text.rlike(pattern), reason)
+        steps = steps.when(scope.isin("worldwide", "france", "eu", "uk", "us", "canada"), F.concat(F.lit("scope_"), scope))
+        steps = steps.when((scope == "specific") & restriction.rlike(r"\bonly\b"), "specific_only_without_france")
+        return steps.when(text.rlike(SHIPPING), "shipping_restricted_ambiguous").otherwise("unknown")
+
+    return let(geo_scope(restriction), ladder)
 
 
 def region_eligibility(text: Column, restriction: Column) -> Column:
     """(state, flag, reason) of the region; what is not said stays unknown."""
-    reason = region_reason(text, restriction)
     yes = [r for _, r, good in LADDER if good] + ["scope_worldwide", "scope_france", "scope_eu"]
     no = [r for _, r, good in LADDER if not good] + ["scope_uk", "scope_us", "scope_canada", "specific_only_without_france"]
-    flag = F.when(reason.isin(*yes), True).when(reason.isin(*no), False)
-    state = F.when(flag, "eligible").when(~flag, "ineligible").otherwise("unknown")
-    return F.struct(state.alias("state"), flag.alias("flag"), F.concat(F.lit("local_"), reason).alias("reason"))
+
+    def told(reason: Column) -> Column:
+        flag = F.when(reason.isin(*yes), True).when(reason.isin(*no), False)
+        state = F.when(flag, "eligible").when(~flag, "ineligible").otherwise("unknown")
+        return F.struct(state.alias("state"), flag.alias("flag"), F.concat(F.lit("local_"), reason).alias("reason"))
+
+    return let(region_reason(text, restriction), told)
 
 
 def undesirable_reasons(fields: Column, text: Column) -> Column:

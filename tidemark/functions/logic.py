@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -37,3 +37,15 @@ def after(now: str, interval: str) -> Column:
 
 def start_of_day(now: str) -> Column:
     return F.date_trunc("day", moment(now)).cast("timestamp_ntz")
+
+
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with the columns, made once a row however often later ones read them: a generator stands between, which the optimiser does not copy expressions through."""
+    made = F.explode(F.array(F.struct(*[v.alias(k) for k, v in columns.items()])))
+    kept = [F.col(c) for c in df.columns if c not in columns]
+    return df.withColumn("_once", made).select(*kept, *[F.col(f"_once.{k}").alias(k) for k in columns])
+
+
+def let(value: Column, then) -> Column:
+    """``then(value)`` with the value made once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))

@@ -17,7 +17,7 @@ def content_hash(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\n", *[F.coalesce(p, F.lit("")) for p in parts]), 256)
 
 
-def _plain(html: Column) -> Column:
+def plain(html: Column) -> Column:
     """Text of a piece of markup: no tags, blanks squeezed, the five XML entities resolved."""
     text = F.regexp_replace(html, "<[^>]*>", "")
     for entity, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
@@ -27,8 +27,8 @@ def _plain(html: Column) -> Column:
 
 def page_title(html: Column) -> Column:
     """The title element, else the og:title; null without either."""
-    title = F.nullif(_plain(F.regexp_extract(html, TITLE, 1)), F.lit(""))
-    og = F.nullif(_plain(F.regexp_extract(html, OG_TITLE, 1)), F.lit(""))
+    title = F.nullif(plain(F.regexp_extract(html, TITLE, 1)), F.lit(""))
+    og = F.nullif(plain(F.regexp_extract(html, OG_TITLE, 1)), F.lit(""))
     return F.coalesce(title, og)
 
 
@@ -37,7 +37,7 @@ def link_hints(html: Column, limit: int = 40, most: int = 120) -> Column:
     texts = F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(2))
     targets = F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1))
     pairs = F.slice(F.arrays_zip(texts.alias("t"), targets.alias("h")), 1, limit)
-    return F.transform(pairs, lambda p: F.substring(F.coalesce(F.nullif(_plain(p["t"]), F.lit("")), p["h"]), 1, most))
+    return F.transform(pairs, lambda p: F.substring(F.coalesce(F.nullif(plain(p["t"]), F.lit("")), p["h"]), 1, most))
 
 
 def absolute(base: Column, href: Column) -> Column:
@@ -53,4 +53,4 @@ def page_links(pages: DataFrame) -> DataFrame:
     """``(page_id, pos, href, anchor_text)``: every link of every page, absolute, in order from 0."""
     zipped = F.arrays_zip(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(1)).alias("h"), F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(2)).alias("t"))
     links = pages.select("page_id", "url", F.posexplode(zipped).alias("pos", "link"))
-    return links.select("page_id", "pos", absolute(F.col("url"), F.col("link.h")).alias("href"), _plain(F.col("link.t")).alias("anchor_text"))
+    return links.select("page_id", "pos", absolute(F.col("url"), F.col("link.h")).alias("href"), plain(F.col("link.t")).alias("anchor_text"))

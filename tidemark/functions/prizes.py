@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.entry import tags
+from tidemark.functions.logic import once
 
 Rules = list[tuple[str, str]]
 
@@ -59,14 +60,14 @@ GAMES = ("steam", "game_key", "console_digital")
 FAR = ("travel", "event_ticket", "experience", "service", "books_media", "discount", "restricted_gift_card", "subscription")
 
 
-def prize_preference(rows: DataFrame, text: Column) -> DataFrame:
-    """``rows`` with category, wanted, priority, travel, spend and the rank in the analysis queue.
+def prize_preference(rows: DataFrame, text: Column, prefix: str = "") -> DataFrame:
+    """``rows`` with category, wanted, priority, travel, spend, mixed and the rank in the analysis queue, each with ``prefix`` before its name.
 
     Any wanted asset beats what is unwanted beside it. A bare amount of money is weak: it is dropped
     next to discounts, and next to travel, events or services where nothing else says cash.
     """
     c = F.col
-    d = rows.withColumns({f"_{name}": tags(text, rules) for name, rules in FAMILIES.items()}).withColumn("_text", text)
+    d = once(rows, {**{f"_{name}": tags(text, rules) for name, rules in FAMILIES.items()}, "_text": text})
     has = lambda family: F.size(f"_{family}") > 0
     label = lambda family, *names: F.arrays_overlap(F.col(f"_{family}"), F.array(*map(F.lit, names)))
     spend = label("discount", "min_spend")
@@ -99,8 +100,8 @@ def prize_preference(rows: DataFrame, text: Column) -> DataFrame:
         .when(amount, row("cash", True, 90))
         .otherwise(row("unknown", None, 50))
     )
-    d = d.withColumns({"_v": verdict, "mixed": wanted & (has("travel") | has("tickets") | has("experience") | has("books") | has("discount")), "travel": has("travel"), "spend": spend})
+    d = d.withColumns({"_v": verdict, f"{prefix}mixed": wanted & (has("travel") | has("tickets") | has("experience") | has("books") | has("discount")), f"{prefix}travel": has("travel"), f"{prefix}spend": spend})
     v = c("_v")
     rank = F.when(v["wanted"].isNull(), 100).when(v["wanted"], 50 - F.least(v["priority"], F.lit(100))).when(v["category"].isin(*FAR), 300 + (10 - F.least(v["priority"], F.lit(10)))).otherwise(200)
-    d = d.withColumns({"category": v["category"], "wanted": v["wanted"], "priority": v["priority"], "rank": rank})
+    d = d.withColumns({f"{prefix}category": v["category"], f"{prefix}wanted": v["wanted"], f"{prefix}priority": v["priority"], f"{prefix}rank": rank})
     return d.drop("_v", "_text", *[f"_{name}" for name in FAMILIES])

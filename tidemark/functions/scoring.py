@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Letters with marks and their plain forms.
@@ -57,13 +57,54 @@ def tag_patterns(text: Column, rules: list[tuple[str, str]]) -> Column:
     return F.array_compact(F.array(*[F.when(text.rlike(pattern), F.lit(label)) for pattern, label in rules]))
 
 
-def candidate_score(url: Column, title: Column, content: Column, anchor: Column, links: Column) -> Column:
-    """The weighted score of a page, from 0 to 1, of normalised texts."""
-    strong, weak = phrase_hits(content, STRONG, TWICE), phrase_hits(content, WEAK)
-    in_url, terms = any_phrase(url, STRONG), any_phrase(links, TERMS) | any_phrase(content, TERMS_IN_TEXT)
-    deadline, entry = any_phrase(content, DEADLINE), any_phrase(content, ENTRY)
+def words_of(text: Column) -> Column:
+    """The distinct words of a normalised text; a hyphen glues."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("[a-z0-9-]+"), F.lit(0)))
+
+
+def found_terms(text: Column, words: Column, phrases: list[str]) -> Column:
+    """The phrases that a text has, in the order of the list: single words by its set of words, others by substring."""
+    glued = [p for p in phrases if " " in p or "'" in p]
+    single = F.array_intersect(F.array(*[F.lit(p) for p in phrases if p not in glued]), words)
+    return F.concat(F.array_compact(F.array(*[F.when(F.contains(text, F.lit(p)), F.lit(p)) for p in glued]).cast("array<string>")), single)
+
+
+def score_evidence(url: Column, title: Column, content: Column, anchor: Column, links: Column) -> Column:
+    """What of a page is scored, of normalised texts: an evidence struct. Each text is split once."""
+    split = lambda c: F.struct(c.alias("text"), words_of(c).alias("words"))
+    one = F.transform(F.array(F.struct(*[split(c).alias(n) for n, c in (("url", url), ("title", title), ("content", content), ("anchor", anchor), ("links", links))])), _evidence)
+    return F.get(one, F.lit(0))
+
+
+def _evidence(t: Column) -> Column:
+    terms = lambda part, phrases: found_terms(t[part]["text"], t[part]["words"], phrases)
+    has = lambda part, phrases: F.size(terms(part, phrases)) > 0
+    strong = terms("content", STRONG)
+    twice = F.size(F.array_intersect(strong, F.array(*map(F.lit, TWICE))))
+    in_title = terms("title", STRONG)
+    return F.struct(
+        has("url", STRONG).alias("in_url"),
+        (F.size(in_title) > 0).alias("in_title"),
+        has("anchor", STRONG).alias("in_anchor"),
+        (has("links", TERMS) | has("content", TERMS_IN_TEXT)).alias("terms"),
+        has("content", DEADLINE).alias("deadline"),
+        has("content", ENTRY).alias("entry"),
+        (F.size(strong) + twice).alias("strong"),
+        F.size(terms("content", WEAK)).alias("weak"),
+        F.slice(F.array_distinct(F.concat(in_title, strong)), 1, 20).alias("matched"),
+    )
+
+
+def score_of(e: Column) -> Column:
+    """The weighted score of a page's evidence, from 0 to 1."""
     points = lambda test, n: F.when(test, n).otherwise(0.0)
+    strong, weak = e["strong"], e["weak"]
     body = F.when(strong >= 3, 0.26).when(strong == 2, 0.14).when(strong == 1, 0.06).otherwise(0.0)
     faint = F.when(weak == 0, 0.0).when(strong == 0, F.least(0.05 * weak, F.lit(0.08))).otherwise(F.least(0.02 * weak, F.lit(0.05)))
-    total = points(in_url, 0.30) + points(any_phrase(title, STRONG), 0.22) + points(any_phrase(anchor, STRONG), 0.10) + body + faint + points(terms, 0.16) + points(deadline, 0.14) + points(entry, 0.14)
-    return F.least(F.when(~(in_url | terms | deadline | entry) & (strong < 3), total * 0.85).otherwise(total), F.lit(1.0))
+    total = points(e["in_url"], 0.30) + points(e["in_title"], 0.22) + points(e["in_anchor"], 0.10) + body + faint + points(e["terms"], 0.16) + points(e["deadline"], 0.14) + points(e["entry"], 0.14)
+    return F.least(F.when(~(e["in_url"] | e["terms"] | e["deadline"] | e["entry"]) & (strong < 3), total * 0.85).otherwise(total), F.lit(1.0))
+
+
+def score_candidates(rows: DataFrame, url: Column, title: Column, content: Column, anchor: Column, links: Column) -> DataFrame:
+    """``rows`` with ``evidence`` and ``score``. The evidence is a generator's column, so it is made once a row however often it is read."""
+    return rows.withColumn("evidence", F.explode(F.array(score_evidence(url, title, content, anchor, links)))).withColumn("score", score_of(F.col("evidence")))

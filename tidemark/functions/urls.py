@@ -7,16 +7,30 @@ from pyspark.sql import functions as F
 
 # Query parameters that only track, and their prefixes.
 TRACKING = (
-    "utm_source utm_medium utm_campaign utm_term utm_content utm_id utm_reader utm_name utm_social utm_social-type fbclid gclid gclsrc dclid gbraid wbraid "
-    "msclkid twclid li_fat_id mc_cid mc_eid _ga _gl _hsenc _hsmi yclid igshid ncid cmpid mkt_tok"
-).split()
+    "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "utm_reader", "utm_name", "utm_social", "utm_social-type", "fbclid", "gclid",
+    "gclsrc", "dclid", "gbraid", "wbraid", "msclkid", "twclid", "li_fat_id", "mc_cid", "mc_eid", "_ga", "_gl", "_hsenc", "_hsmi", "yclid", "igshid", "ncid", "cmpid",
+    "mkt_tok",
+)
 TRACKING_PREFIXES = ("utm_", "mtm_", "pk_")
 # File endings and hosts that are never followed.
-ASSETS = "css js mjs map png jpg jpeg gif svg webp ico woff woff2 ttf eot mp4 mp3 avi mov zip rar gz 7z xml json rss atom".split()
-CLOSED_HOSTS = "facebook.com fb.com twitter.com x.com instagram.com linkedin.com pinterest.com tiktok.com youtube.com youtu.be doubleclick.net googletagmanager.com google-analytics.com googleadservices.com".split()
+ASSETS = (
+    "css", "js", "mjs", "map", "png", "jpg", "jpeg", "gif", "svg", "webp", "ico", "woff", "woff2", "ttf", "eot", "mp4", "mp3", "avi", "mov", "zip", "rar", "gz", "7z",
+    "xml", "json", "rss", "atom",
+)
+CLOSED_HOSTS = (
+    "facebook.com", "fb.com", "twitter.com", "x.com", "instagram.com", "linkedin.com", "pinterest.com", "tiktok.com", "youtube.com", "youtu.be", "doubleclick.net",
+    "googletagmanager.com", "google-analytics.com", "googleadservices.com",
+)
 # Letters that trackers spell as marks.
 LETTERS = {"!!2": "i", "!!3": "e", "!!4": "r", "!!5": "a"}
 
+# Paths of the first platform's own pages.
+RESERVED = (
+    "giveaways", "app", "blog", "docs", "help", "tools", "pricing", "integrations", "features", "templates", "partners", "about", "legal", "careers", "contact", "login",
+    "signup", "auth", "dashboard", "shopify-install", "cms_pages", "signed-in", "guides", "customers", "success", "security", "privacy", "terms", "faq", "atom",
+    "webpack", "images", "by",
+)
+
 _WHOLE = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 
@@ -86,18 +100,21 @@ def absolute_or_null(base: Column, href: Column) -> Column:
 
 
 def platform_identity(url: Column) -> Column:
-    """(platform, campaign_id, slug) of a campaign URL: a short key under the first platform's host, or a number under the second's; null otherwise."""
+    """(platform, campaign_id, slug, entry_url) of a campaign URL, else null: a short key under the first platform's host, alone, with a slug, or in its directory; or a number, perhaps with a slug, in the second's two directories on any host."""
     path = F.regexp_extract(F.trim(url), _WHOLE, 3)
     host = F.regexp_replace(url_domain(url), r"^www\.", "")
     directory = F.regexp_extract(path, "^/giveaways/([A-Za-z0-9]{4,12})/?$", 1)
     key = F.regexp_extract(path, r"^/([A-Za-z0-9]{4,12})(?:/[A-Za-z0-9._-]+)?/?$", 1)
-    slug = F.regexp_extract(path, r"^/[A-Za-z0-9]{4,12}/([A-Za-z0-9._-]+)/?$", 1)
-    number = F.regexp_extract(path, r"^/(?:view|c|giveaways)/(\d+)", 1)
-    first = F.when(directory != "", directory).when((key != "") & ~F.lower(key).isin(*RESERVED), key)
-    row = lambda p, i, s: F.struct(F.lit(p).alias("platform"), i.alias("campaign_id"), s.alias("slug"))
+    slug = F.nullif(F.regexp_extract(path, r"^/[A-Za-z0-9]{4,12}/([A-Za-z0-9._-]+)/?$", 1), F.lit(""))
+    number = F.regexp_extract(path, r"(?i)^/(?:giveaways|c)/(\d+)(?:-[A-Za-z0-9]+)?/?$", 1)
+    tail = F.nullif(F.regexp_extract(path, r"(?i)^/(?:giveaways|c)/\d+-([A-Za-z0-9]+)/?$", 1), F.lit(""))
+    row = lambda p, i, s, e: F.struct(F.lit(p).alias("platform"), i.alias("campaign_id"), s.alias("slug"), e.alias("entry_url"))
+    joined = lambda base, i, mark, s: F.concat(F.lit(base), i, F.coalesce(F.concat(F.lit(mark), s), F.lit("")))
     none = F.lit(None).cast("string")
-    return F.when((host == "gleam.io") & first.isNotNull(), row("gleam", first, F.when((directory == "") & (slug != ""), slug))).when((host == "sweepwidget.com") & (number != ""), row("sweepwidget", number, none))
-
-
-# Paths of the first platform's own pages.
-RESERVED = "giveaways app blog docs help tools pricing integrations features templates partners about legal careers contact login signup auth dashboard shopify-install cms_pages signed-in guides customers success security privacy terms faq atom webpack images by".split()
+    first = (host == "gleam.io") | F.endswith(host, F.lit(".gleam.io"))
+    return (
+        F.when(first & (directory != "") & ~F.lower(directory).isin(*RESERVED), row("gleam", directory, none, F.concat(F.lit("https://gleam.io/giveaways/"), directory)))
+        .when(first & (path.rlike("^/giveaways/?$") | (directory != "")), None)
+        .when(first & (key != "") & ~F.lower(key).isin(*RESERVED), row("gleam", key, slug, joined("https://gleam.io/", key, "/", slug)))
+        .when(number != "", row("sweepwidget", number, tail, joined("https://sweepwidget.com/giveaways/", number, "-", tail)))
+    )

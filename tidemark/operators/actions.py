@@ -5,19 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.acceptability import REASON, verdict
+from tidemark.functions.campaigns import action_category
+from tidemark.functions.logic import is_true
+
 # Action types by class, and fragments that hint at one.
 NON_PUBLIC = (
-    "visit_website visit_page visit click hidden bonus custom_action choose_image question trivia quiz poll email_subscribe email_submit newsletter register signup login account "
-    "twitter_follow instagram_follow tiktok_follow youtube_subscribe twitch_follow spotify_follow facebook_like facebook_visit facebook_check_in instagram_visit_profile instagram_view_post "
-    "tiktok_view_video youtube_visit_channel youtube_watch_video spotify_listen discord_join_server discord_join pinterest_follow linkedin_follow soundcloud_follow"
-).split()
+    "visit_website", "visit_page", "visit", "click", "hidden", "bonus", "custom_action", "choose_image", "question", "trivia", "quiz", "poll", "email_subscribe",
+    "email_submit", "newsletter", "register", "signup", "login", "account", "twitter_follow", "instagram_follow", "tiktok_follow", "youtube_subscribe", "twitch_follow",
+    "spotify_follow", "facebook_like", "facebook_visit", "facebook_check_in", "instagram_visit_profile", "instagram_view_post", "tiktok_view_video",
+    "youtube_visit_channel", "youtube_watch_video", "spotify_listen", "discord_join_server", "discord_join", "pinterest_follow", "linkedin_follow", "soundcloud_follow",
+)
 PUBLIC = (
-    "twitter_retweet twitter_tweet twitter_hashtags twitter_comment twitter_reply twitter_quote facebook_share facebook_comment facebook_post instagram_comment instagram_upload_photo instagram_post "
-    "instagram_story tiktok_comment tiktok_share tiktok_post share_action upload_file upload_image upload_video media_upload submit_content blog essay creative video_submit photo_submit referral "
-    "refer_friend custom_refer public_referral"
-).split()
-NON_PUBLIC_PARTS = "follow subscribe newsletter email visit watch listen view_post view_video join_server discord login sign_up signup register question trivia checkbox".split()
-PUBLIC_PARTS = "comment retweet tweet hashtag share repost reshare story upload submit_content tag_friend tag_a_friend mention quote refer referral".split()
+    "twitter_retweet", "twitter_tweet", "twitter_hashtags", "twitter_comment", "twitter_reply", "twitter_quote", "facebook_share", "facebook_comment", "facebook_post",
+    "instagram_comment", "instagram_upload_photo", "instagram_post", "instagram_story", "tiktok_comment", "tiktok_share", "tiktok_post", "share_action", "upload_file",
+    "upload_image", "upload_video", "media_upload", "submit_content", "blog", "essay", "creative", "video_submit", "photo_submit", "referral", "refer_friend",
+    "custom_refer", "public_referral",
+)
+NON_PUBLIC_PARTS = (
+    "follow", "subscribe", "newsletter", "email", "visit", "watch", "listen", "view_post", "view_video", "join_server", "discord", "login", "sign_up", "signup",
+    "register", "question", "trivia", "checkbox",
+)
+PUBLIC_PARTS = (
+    "comment", "retweet", "tweet", "hashtag", "share", "repost", "reshare", "story", "upload", "submit_content", "tag_friend", "tag_a_friend", "mention", "quote",
+    "refer", "referral",
+)
+#: Fragments of a mandatory action that make an entry hard.
+CREATIVE = "blog|essay|creative|video_submit|photo_submit"
 
 
 def action_class(entry_type: Column) -> Column:
@@ -52,7 +66,7 @@ def platform_counts(actions: DataFrame) -> DataFrame:
 
 
 def platform_verdict(actions: DataFrame) -> DataFrame:
-    """``(campaign_id, verdict)``: accept, reject or inconclusive.
+    """Per campaign ``verdict`` (accept, reject or inconclusive), what it says (:mod:`~tidemark.functions.acceptability`) as ``says``, and the counts.
 
     A mandatory public action rejects. With a quota the other actions, unknown ones included, must
     fill it, and public ones that would be needed reject. Without a quota any private action
@@ -60,7 +74,7 @@ def platform_verdict(actions: DataFrame) -> DataFrame:
     """
     c = F.col
     quota = F.coalesce("quota", F.lit(0)) > 0
-    verdict = (
+    name = (
         F.when(c("mandatory_public") > 0, "reject")
         .when(quota & (c("non_public") + c("unknown") >= c("quota")), "accept")
         .when(quota & (c("public_social") > 0), "reject")
@@ -70,4 +84,32 @@ def platform_verdict(actions: DataFrame) -> DataFrame:
         .when((c("unknown") > 0) & (c("public_social") == 0), "accept")
         .otherwise("inconclusive")
     )
-    return platform_counts(actions).select("campaign_id", "non_public", "public_social", "unknown", verdict.alias("verdict"))
+    some = c("public_social") > 0
+    says = F.when(c("verdict") == "accept", verdict(False, True, None, has_path=True, public_available=some, non_public=c("non_public"))).when(c("verdict") == "reject", verdict(True, False, REASON, has_path=False, public_available=some, non_public=c("non_public")))
+    return platform_counts(actions).withColumn("verdict", name).withColumn("says", says).select("campaign_id", "non_public", "public_social", "unknown", "verdict", "says")
+
+
+def platform_friction(actions: DataFrame, campaigns: DataFrame) -> DataFrame:
+    """``(campaign_id, friction)`` of ``campaigns(campaign_id, login_required, has_paid)`` by their actions ``(campaign_id, entry_type, mandatory, actions_required)``.
+
+    Paid ways, and mandatory referrals, uploads or own works, are hard. Else it counts how many
+    actions are asked for (the quota, or the mandatory ones), and how many of them are social.
+    """
+    c = F.col
+    kind, must = action_category(c("entry_type")), F.coalesce(c("mandatory"), F.lit(False))
+    counted = actions.withColumns({"kind": kind, "must": must}).groupBy("campaign_id").agg(
+        F.count_if("must").alias("n"),
+        F.count_if(c("must") & (c("kind") == "social")).alias("social"),
+        F.count_if(c("must") & (c("kind").isin("referral", "upload") | F.lower("entry_type").rlike(CREATIVE))).alias("heavy"),
+        F.max("actions_required").alias("quota"),
+    )
+    rows = campaigns.join(counted, "campaign_id", "left").fillna(0, ["n", "social", "heavy"])
+    asked = F.coalesce("quota", "n")
+    friction = (
+        F.when(is_true(c("has_paid")) | (c("heavy") > 0) | (asked >= 6) | (c("social") >= 4), "hard")
+        .when(is_true(c("login_required")) | (asked >= 3) | (c("social") >= 2), "medium")
+        .when((asked <= 2) & (c("n") <= 2), "easy")
+        .when(asked <= 4, "medium")
+        .otherwise("unknown")
+    )
+    return rows.select("campaign_id", friction.alias("friction"))

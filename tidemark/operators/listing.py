@@ -47,6 +47,11 @@ def list_sources(sources: DataFrame, enabled_only: bool = False) -> DataFrame:
     return sources.where("enabled").orderBy("name", "id") if enabled_only else sources.orderBy(F.col("enabled").desc(), "name", "id")
 
 
+def is_pending() -> Column:
+    """Whether an analysis still waits for a row."""
+    return F.col("analyzed_at").isNull() & (F.col("status") == "candidate") & ~F.col("manual_status").isin(*TERMINAL)
+
+
 def pending(state: DataFrame, include_analyzed: bool = False, manual_gate: bool = True) -> DataFrame:
     """Rows an analysis still waits for; without ``manual_gate`` the user's terminal decisions don't count."""
     if include_analyzed:

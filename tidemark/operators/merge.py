@@ -7,9 +7,11 @@ key is pre-aggregated and never sorted in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import urls
+from tidemark.functions.acceptability import merge_verdict, verdict
 from tidemark.functions.logic import is_false, is_true, moment
 from tidemark.operators.listing import latest_by
 
@@ -76,8 +78,11 @@ def run_status(runs: DataFrame) -> DataFrame:
 
 
 def reset_schedule(sources: DataFrame, now: str) -> DataFrame:
-    """Enabled sources are due now."""
-    return sources.withColumn("next_crawl_at", F.when(F.col("enabled"), moment(now)).otherwise(F.col("next_crawl_at")))
+    """Enabled sources are due now, and their failures are forgotten."""
+    out = sources.withColumn("next_crawl_at", F.when(F.col("enabled"), moment(now)).otherwise(F.col("next_crawl_at")))
+    if "consecutive_failures" not in sources.columns:
+        return out
+    return out.withColumn("consecutive_failures", F.when(F.col("enabled"), F.lit(0)).otherwise(F.col("consecutive_failures")).cast("long"))
 
 
 def last_change(changes: DataFrame, value: Column, valid: Column) -> DataFrame:
@@ -128,26 +133,59 @@ def reconcile_batch(requests: DataFrame, responses: DataFrame) -> DataFrame:
     return both.select("giveaway_id", outcome.alias("outcome"), F.coalesce("responses", F.lit(0).cast("long")).alias("responses"))
 
 
-def resolve_identity(batch: DataFrame, state: DataFrame) -> DataFrame:
-    """``batch`` with ``giveaway_id`` and ``matched_by``: url, platform key (the row seen last), entry url, or new.
+#: Hosts whose entry URLs identify an offer wherever it is seen.
+STRONG_ENTRY_HOST = r"(^|\.)(gleam\.io|sweepwidget\.com)$"
 
-    Three equality joins with pre-ranked state; rows without a key take no part in its join.
+
+def strong_entry(entry_url: Column) -> Column:
+    """The canonical entry URL if its host is one that identifies offers, else null."""
+    canonical = F.coalesce(urls.canonical_url(entry_url), F.trim(entry_url))
+    return F.when(urls.url_domain(canonical).rlike(STRONG_ENTRY_HOST), canonical)
+
+
+def _apart(key: Column, ordinal: str) -> Column:
+    """A join key under which rows without one spread instead of meeting."""
+    return F.coalesce(key, F.concat(F.lit("\0none:"), F.col(ordinal).cast("string")))
+
+
+def resolve_identity(batch: DataFrame, state: DataFrame, ordinal: str = "ordinal", seen_at: str = "seen_at") -> DataFrame:
+    """``batch`` with ``giveaway_id`` and ``matched_by``: url, platform (the row seen last), entry (a strong host's; the row analysed, then seen last), batch or new.
+
+    A row that matches nothing in the state takes the identity of the batch's first row of its
+    platform key, else of its strong entry URL, and is matched by batch; else it is new. A new row's
+    id is a hash of its URL, so that reruns agree and rows of one URL are one offer. Rows without a
+    key take no part in its join.
     """
-    by_url = state.select("canonical_url", F.col("id").alias("_u"))
-    by_key = latest_by(state, "platform", "platform_campaign_id").select("platform", "platform_campaign_id", F.col("id").alias("_p"))
-    by_entry = latest_by(state, "entry_url").select("entry_url", F.col("id").alias("_e"))
-    out = batch.join(by_url, "canonical_url", "left").join(by_key, ["platform", "platform_campaign_id"], "left").join(by_entry, "entry_url", "left")
-    how = F.when(F.col("_u").isNotNull(), "url").when(F.col("_p").isNotNull(), "platform").when(F.col("_e").isNotNull(), "entry").otherwise("new")
-    return out.withColumns({"giveaway_id": F.coalesce("_u", "_p", "_e"), "matched_by": how}).drop("_u", "_p", "_e")
+    platform_key = F.when(F.col("platform").isNotNull() & F.col("platform_campaign_id").isNotNull(), F.concat_ws("\1", "platform", "platform_campaign_id"))
+    b = batch.withColumns({"_url": F.col("canonical_url"), "_key": platform_key, "_entry": strong_entry(F.col("entry_url")), "_order": F.struct(seen_at, ordinal)})
+    by_url = state.select(F.col("canonical_url").alias("_url"), F.col("id").alias("_u"))
+    by_key = latest_by(state, "platform", "platform_campaign_id").select(F.concat_ws("\1", "platform", "platform_campaign_id").alias("_key_j"), F.col("id").alias("_p"))
+    newest = F.struct(F.coalesce(F.col("analyzed_at"), F.lit("0001-01-01").cast("timestamp_ntz")), F.coalesce(F.col("last_seen_at"), F.lit("0001-01-01").cast("timestamp_ntz")), F.col("id"))
+    by_entry = state.withColumn("_entry_j", strong_entry(F.col("entry_url"))).where("_entry_j IS NOT NULL").groupBy("_entry_j").agg(F.max_by("id", newest).alias("_e"))
+    out = b.withColumns({"_key_j": _apart(F.col("_key"), ordinal), "_entry_j": _apart(F.col("_entry"), ordinal)})
+    out = out.join(by_url, "_url", "left").join(by_key, "_key_j", "left").join(by_entry, "_entry_j", "left")
+    how = F.when(F.col("_u").isNotNull(), "url").when(F.col("_p").isNotNull(), "platform").when(F.col("_e").isNotNull(), "entry")
+    out = out.withColumns({"giveaway_id": F.coalesce("_u", "_p", "_e"), "matched_by": how}).drop("_u", "_p", "_e")
+    # Rows that the state does not know meet by platform key, then by entry URL; rows that it knows lend their ids.
+    hashed = F.abs(F.xxhash64("_url"))
+    by_platform = out.where("_key IS NOT NULL").groupBy(F.col("_key").alias("_key_j")).agg(F.min_by(F.coalesce("giveaway_id", hashed), F.col("_order")).alias("_id1"))
+    out = out.join(by_platform, "_key_j", "left").withColumn("_id1", F.coalesce("giveaway_id", "_id1", hashed))
+    by_strong = out.where("_entry IS NOT NULL").groupBy(F.col("_entry").alias("_entry_j")).agg(F.min_by("_id1", F.col("_order")).alias("_id2"))
+    out = out.join(by_strong, "_entry_j", "left")
+    identity = F.when(F.col("giveaway_id").isNotNull() | (F.col("_id1") != hashed), F.col("_id1")).otherwise(F.coalesce("_id2", "_id1"))
+    how = F.coalesce("matched_by", F.when(identity == hashed, "new").otherwise("batch"))
+    return out.select(*batch.columns, identity.alias("giveaway_id"), how.alias("matched_by"))
 
 
 #: How a column of an existing row takes a sighting's value. Columns that are not listed are never touched.
 POLICIES = {
-    "replace": ("last_seen_at", "content_hash"),
+    "replace": ("original_url", "last_seen_at", "content_hash"),
     "first": ("source_id", "platform", "platform_campaign_id"),
-    "fill_or_changed": ("title",),
-    "new_else_old": ("entry_url", "end_at"),
-    "frozen_once_analyzed": ("wanted_prize", "eligible_france", "france_eligibility"),
+    "fill_or_changed": ("title", "description", "raw_excerpt"),
+    "new_if_changed": ("link_hints",),
+    "new_else_old": ("entry_url", "terms_url", "start_at", "end_at"),
+    "keep_once_analyzed": ("prize", "prize_value_eur", "prize_category", "prize_priority", "preference_reason", "requires_travel", "requires_additional_spend", "free_entry", "eligibility_reason", "requires_purchase", "requires_social", "entry_method", "entry_friction", "geo_restriction"),
+    "frozen_once_analyzed": ("wanted_prize", "eligible_france", "france_eligibility", "requires_public_social_action", "entry_acceptable", "entry_rejection_reason"),
 }
 
 
@@ -158,22 +196,48 @@ def merged_value(column: str, policy: str, new: Column, old: Column, changed: Co
         return F.coalesce(old, new)
     if policy == "fill_or_changed":
         return F.when(old.isNull() | changed, F.coalesce(new, old)).otherwise(old)
+    if policy == "new_if_changed":
+        return F.when(changed & (F.size(new) > 0), new).otherwise(old)
     if policy == "new_else_old":
         return F.coalesce(new, old)
+    if policy == "keep_once_analyzed":
+        return F.when(analyzed, F.coalesce(old, new)).otherwise(F.coalesce(new, old))
     if policy == "frozen_once_analyzed":
         return F.when(analyzed, old).otherwise(F.coalesce(new, old))
     raise ValueError(f"{column}: no policy {policy}")
 
 
-def merge_crawl(state: DataFrame, resolved: DataFrame) -> DataFrame:
-    """State rows after one sighting each: a full join on the id, each column merged by its policy.
+def fold_sightings(resolved: DataFrame, ordinal: str = "ordinal", seen_at: str = "seen_at") -> DataFrame:
+    """One row for each ``giveaway_id``: every column's last value that is not null (the first one's for what keeps the first), by (seen_at, ordinal).
 
-    ``resolved`` has at most one row for each matched id; its unmatched rows become new rows whose
-    id is a hash of their URL, so that a repeated run makes the same ones. A status leaves candidate
-    only for rejected or expired, and only before an analysis. The user's columns are never touched.
+    A rejected or expired sighting is not undone by a later candidate. The URL is the first one's;
+    ``discovered_at`` is added as the first time where it is not there.
+    """
+    order, keeps = F.struct(seen_at, ordinal), {*POLICIES["first"], "canonical_url", "domain", "discovered_at"}
+    out = []
+    for c in resolved.columns:
+        if c in ("giveaway_id", "status"):
+            continue
+        known = F.when(F.col(c).isNotNull(), order)
+        out.append((F.min_by if c in keeps else F.max_by)(F.col(c), known).alias(c))
+    if "status" in resolved.columns:
+        over = F.col("status").isin("rejected", "expired")
+        out.append(F.max_by("status", F.struct(over, order)).alias("status"))
+    if "discovered_at" not in resolved.columns:
+        out.append(F.min(seen_at).alias("discovered_at"))
+    return resolved.groupBy("giveaway_id").agg(*out)
+
+
+def merge_crawl(state: DataFrame, resolved: DataFrame, ordinal: str = "ordinal", seen_at: str = "seen_at") -> DataFrame:
+    """State rows after a batch of resolved sightings: folded to one an id, then a full join on the id, each column merged by its policy.
+
+    Sightings of ids that the state lacks become new rows. A status leaves candidate only for
+    rejected or expired, and only before an analysis. The user's columns are never touched. Ids
+    stay unique.
     """
-    fresh = resolved.withColumn("_id", F.coalesce("giveaway_id", F.abs(F.xxhash64("canonical_url"))))
-    new = fresh.select("_id", *[F.col(c).alias(f"_n_{c}") for c in fresh.columns if c in state.columns and c != "id"], F.lit(True).alias("_seen"))
+    fresh = fold_sightings(resolved, ordinal, seen_at)
+    seen = {c: F.col(c) for c in fresh.columns} | {"last_seen_at": F.col(seen_at)}
+    new = fresh.select(F.col("giveaway_id").alias("_id"), *[v.alias(f"_n_{c}") for c, v in seen.items() if c in state.columns and c != "id"], F.lit(True).alias("_seen"))
     both = state.join(new, state["id"] == new["_id"], "full")
     known = F.col("id").isNotNull()
     analyzed = known & F.col("analyzed_at").isNotNull()
@@ -187,11 +251,13 @@ def merge_crawl(state: DataFrame, resolved: DataFrame) -> DataFrame:
             value = F.coalesce("id", "_id")
         elif c == "status":
             value = status
+        elif c == "manual_status":
+            value = F.when(known, F.col(c)).otherwise(F.lit("none"))
         elif mine not in both.columns:
             value = F.col(c)
         elif c in policy:
-            seen = merged_value(c, policy[c], F.col(mine), F.col(c), changed, analyzed)
-            value = F.when(F.col("_seen").isNull(), F.col(c)).when(~known, F.col(mine)).otherwise(seen)
+            merged = merged_value(c, policy[c], F.col(mine), F.col(c), changed, analyzed)
+            value = F.when(F.col("_seen").isNull(), F.col(c)).when(~known, F.col(mine)).otherwise(merged)
         else:
             value = F.when(known, F.col(c)).otherwise(F.col(mine))
         out.append(value.alias(c))
@@ -204,49 +270,65 @@ def upsert_outcome(resolved: DataFrame, state: DataFrame) -> DataFrame:
     both = resolved.join(old, "giveaway_id", "left")
     created = F.col("matched_by") == "new"
     return both.groupBy("source_id").agg(
-        F.count_if(created).alias("created"),
+        F.count_distinct(F.when(created, F.col("giveaway_id"))).alias("created"),
         F.count_if(~created).alias("updated"),
         F.count_if(~created & ~F.col("_h").eqNullSafe(F.col("content_hash"))).alias("hash_changed"),
         F.count_if(created | F.col("_a").isNull()).alias("needs_analysis"),
     )
 
 
-def decide_status(analyses: DataFrame, now: str) -> DataFrame:
-    """Analyses with the status they lead to."""
-    c = F.col
-    status = (
-        F.when(~is_true(c("is_giveaway")), "rejected")
-        .when((c("france_eligibility") == "ineligible") | is_false(c("wanted_prize")) | is_false(c("entry_acceptable")), "rejected")
-        .when(c("end_date") < moment(now), "expired")
-        .when((F.coalesce("confidence", F.lit(0.0)) < 0.5) | ~(c("france_eligibility") == "eligible") | c("france_eligibility").isNull() | c("entry_acceptable").isNull(), "uncertain")
+def analysed_status(is_giveaway: Column, eligibility: Column, wanted: Column, acceptable: Column, end: Column, confidence: Column, gone: Column, public: Column, now: str) -> Column:
+    """rejected for what is no offer, whose link is gone, that is not for the region, unwanted or to be entered in public; expired past its end; uncertain where much is unknown; else active."""
+    return (
+        F.when(~is_true(is_giveaway) | is_true(gone), "rejected")
+        .when((eligibility == "ineligible") | is_false(wanted) | is_false(acceptable) | is_true(public), "rejected")
+        .when(end < moment(now), "expired")
+        .when((F.coalesce(confidence, F.lit(0.0)) < 0.5) | ~eligibility.eqNullSafe(F.lit("eligible")) | acceptable.isNull(), "uncertain")
         .otherwise("active")
     )
-    return analyses.withColumn("status", status)
+
+
+def decide_status(analyses: DataFrame, now: str) -> DataFrame:
+    """Analyses with the status they lead to; ``entry_url_status`` and ``requires_public_social_action`` are read where they are there."""
+    c = F.col
+    has = lambda name, test: test(c(name)) if name in analyses.columns else F.lit(False)
+    gone, public = has("entry_url_status", lambda x: x == "gone"), has("requires_public_social_action", is_true)
+    return analyses.withColumn("status", analysed_status(c("is_giveaway"), c("france_eligibility"), c("wanted_prize"), c("entry_acceptable"), c("end_date"), c("confidence"), gone, public, now))
 
 
 def apply_analysis(state: DataFrame, analyses: DataFrame, now: str) -> DataFrame:
-    """State after the clean analyses: known fields win over the old ones, the status is decided, and the analysis is stamped."""
+    """State after the clean analyses: known fields win over the old ones, the verdicts on entering merge, the status is decided, and the analysis is stamped.
+
+    ``analyses(giveaway_id, is_giveaway, france_eligibility, wanted_prize, entry_acceptable, end_date,
+    confidence)`` may have requires_public_social_action, entry_rejection_reason and analysis_json too.
+    """
     clean = reconcile_batch(state.select("id"), analyses.select("giveaway_id")).where("outcome = 'clean'").select("giveaway_id")
-    new = decide_status(analyses.join(clean, "giveaway_id", "left_semi"), now)
-    new = new.select(F.col("giveaway_id").alias("id"), F.col("france_eligibility").alias("_fe"), F.col("wanted_prize").alias("_w"), F.col("entry_acceptable").alias("_ok"), F.col("end_date").alias("_end"), F.col("confidence").alias("_conf"), F.col("status").alias("_s"))
-    hit = F.col("_s").isNotNull()
-    region = F.when(F.col("_fe") == "eligible", True).when(F.col("_fe") == "ineligible", False)
-    return (
-        state.join(new, "id", "left")
-        .withColumns(
-            {
-                "france_eligibility": F.coalesce("_fe", "france_eligibility"),
-                "eligible_france": F.when(F.col("_fe").isNotNull(), region).otherwise(F.col("eligible_france")),
-                "wanted_prize": F.coalesce("_w", "wanted_prize"),
-                "entry_acceptable": F.coalesce("_ok", "entry_acceptable"),
-                "end_at": F.coalesce("_end", "end_at"),
-                "confidence": F.coalesce("_conf", "confidence"),
-                "analyzed_at": F.when(hit, moment(now)).otherwise(F.col("analyzed_at")),
-                "status": F.coalesce("_s", "status"),
-            }
-        )
-        .drop("_fe", "_w", "_ok", "_end", "_conf", "_s")
-    )
+    names = ("is_giveaway", "france_eligibility", "wanted_prize", "entry_acceptable", "end_date", "confidence", "requires_public_social_action", "entry_rejection_reason", "analysis_json")
+    types = {"requires_public_social_action": "boolean", "entry_rejection_reason": "string", "analysis_json": "string"}
+    given = [F.col(x) if x in analyses.columns else F.lit(None).cast(types[x]) for x in names]
+    new = analyses.join(clean, "giveaway_id", "left_semi").select(F.col("giveaway_id").alias("id"), F.lit(True).alias("_hit"), *[v.alias(f"_{x}") for x, v in zip(names, given, strict=True)])
+    d, c = state.join(new, "id", "left"), F.col
+    hit = is_true(c("_hit"))
+    local = verdict(c("requires_public_social_action"), c("entry_acceptable"), c("entry_rejection_reason"))
+    d = d.withColumn("_m", merge_verdict(local, c("_requires_public_social_action"), c("_entry_acceptable"), c("_entry_rejection_reason")))
+    wanted, end = F.coalesce("_wanted_prize", "wanted_prize"), F.coalesce("_end_date", "end_at")
+    gone = c("entry_url_status") == "gone"
+    status = analysed_status(c("_is_giveaway"), F.coalesce("_france_eligibility", "france_eligibility"), wanted, c("_m.acceptable"), end, F.coalesce("_confidence", "confidence"), gone, c("_m.requires_public"), now)
+    region = F.when(c("_france_eligibility") == "eligible", True).when(c("_france_eligibility") == "ineligible", False)
+    merged = {
+        "france_eligibility": F.coalesce("_france_eligibility", "france_eligibility"),
+        "eligible_france": F.when(c("_france_eligibility").isNotNull(), region).otherwise(c("eligible_france")),
+        "wanted_prize": wanted,
+        "entry_acceptable": c("_m.acceptable"),
+        "requires_public_social_action": c("_m.requires_public"),
+        "entry_rejection_reason": c("_m.reason"),
+        "end_at": end,
+        "confidence": F.coalesce("_confidence", "confidence"),
+        "analysis_json": F.coalesce("_analysis_json", "analysis_json"),
+        "analyzed_at": moment(now),
+        "status": status,
+    }
+    return d.withColumns({k: F.when(hit, v).otherwise(c(k)) for k, v in merged.items()}).drop("_hit", "_m", *[f"_{x}" for x in names])
 
 
 def mark_completed(state: DataFrame, results: DataFrame, platform: str) -> DataFrame:
@@ -294,15 +376,15 @@ def seed_sources(sources: DataFrame, catalogue: DataFrame, now: str) -> DataFram
 
 
 def expand_frontier(edges: DataFrame, seeds: DataFrame, max_depth: int, max_pages: int) -> DataFrame:
-    """``(node, depth)``: what is reached from the seeds within ``max_depth`` links, the nearest ``max_pages`` by (depth, node).
+    """``(source, node, depth)``: what each source reaches from its seeds ``(source, node)`` within ``max_depth`` links, its nearest ``max_pages`` by (depth, node).
 
     A round is one join and one minimum; every node also leads to itself at no cost, so a round
     reads the one before it once and the plan grows by the depth alone.
     """
-    steps = edges.select("src", "dst", F.lit(1).alias("cost")).unionByName(seeds.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0).alias("cost")))
-    own = edges.select(F.col("dst").alias("node")).distinct()
-    steps = steps.unionByName(own.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0).alias("cost")))
-    reach = seeds.select("node", F.lit(0).alias("depth")).distinct()
+    own = edges.select(F.col("dst").alias("node")).unionByName(seeds.select("node")).distinct()
+    steps = edges.select("src", "dst", F.lit(1).alias("cost")).unionByName(own.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0).alias("cost")))
+    reach = seeds.select("source", "node", F.lit(0).alias("depth")).distinct()
     for _ in range(max_depth):
-        reach = reach.join(steps, reach["node"] == steps["src"]).groupBy("dst").agg(F.min(F.col("depth") + F.col("cost")).alias("depth")).withColumnRenamed("dst", "node")
-    return reach.orderBy("depth", "node").limit(max_pages)
+        reach = reach.join(steps, reach["node"] == steps["src"]).groupBy("source", F.col("dst").alias("node")).agg(F.min(F.col("depth") + F.col("cost")).alias("depth"))
+    near = Window.partitionBy("source").orderBy("depth", "node")
+    return reach.withColumn("at", F.row_number().over(near)).where(F.col("at") <= max_pages).select("source", "node", "depth")

@@ -1,57 +1,116 @@
-"""Jobs: pages to state, and enrichment by a user's function."""
+"""Jobs: pages to state, enrichment by a user's function, and both in one run."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import entry, pages, scoring, urls
-from tidemark.operators import merge
+from tidemark.functions import extract, pages, scoring, urls
+from tidemark.functions.logic import moment
+from tidemark.operators import listing, merge
+from tidemark.plans import candidates, gates
+from tidemark.sources.snapshots import settled
 
+Fn = Callable[[list[dict]], list[dict]]
+#: What an analysis gives for a row.
+ANALYSIS = "is_giveaway boolean, france_eligibility string, wanted_prize boolean, entry_acceptable boolean, end_date timestamp_ntz, confidence double"
 
-def candidates(snapshots: DataFrame, threshold: float = 0.0) -> DataFrame:
-    """One row for each canonical URL of ``snapshots(page_id, url, html)``: its first page with the score that reaches the threshold.
 
-    All but the links are projections; pages are only shuffled, without their markup, to keep the
-    first of each URL.
+@dataclass(frozen=True)
+class Ingested:
+    """``state`` after the pages, their ``sightings`` (giveaway_id, source_id, seen_at, url), and per source the ``outcome`` of the run."""
+
+    state: DataFrame
+    sightings: DataFrame
+    outcome: DataFrame
+
+
+def _with(df: DataFrame, **columns: Column) -> DataFrame:
+    """The columns that ``df`` lacks."""
+    return df.withColumns({k: v for k, v in columns.items() if k not in df.columns})
+
+
+def page_candidates(snapshots: DataFrame, threshold: float = candidates.THRESHOLD) -> DataFrame:
+    """Candidates of ``snapshots(page_id, url, html[, adapter, http_status, source_id, anchor_text])``, one for each canonical URL: what their sites' rules read, how they score, and what is decided about them.
+
+    All is projection but the choice of each URL's first page, which shuffles fields, not markup.
     """
-    n = scoring.normalize_text
-    text = F.regexp_replace("html", "(?is)<(script|style)[^>]*>.*?</\\1>|<[^>]*>", " ")
-    rows = snapshots.select(
-        "page_id",
-        urls.canonical_url(F.col("url")).alias("canonical_url"),
-        pages.page_title(F.col("html")).alias("title"),
-        pages.content_hash(text).alias("content_hash"),
-        n(text).alias("_text"),
-        n(F.array_join(pages.link_hints(F.col("html")), " ")).alias("_links"),
-    ).where("canonical_url IS NOT NULL")
-    score = scoring.candidate_score(n(F.col("canonical_url")), n(F.col("title")), F.col("_text"), F.lit(""), F.col("_links"))
-    rows = rows.withColumns({"confidence": F.round(score, 4), "free_entry": entry.free_entry(F.col("_text")), "status": F.when(F.col("_text").rlike(entry.EXPIRED), "expired").otherwise("candidate")}).drop("_text", "_links")
-    kept = rows.where(F.col("confidence") >= threshold)
-    first = F.struct(*[c for c in kept.columns if c != "canonical_url"])
-    return kept.groupBy("canonical_url").agg(F.min_by(first, "page_id").alias("r")).select("canonical_url", "r.*")
-
-
-def ingest_pages(snapshots: DataFrame, state: DataFrame, seen_at: str, threshold: float = 0.0) -> DataFrame:
-    """The state after the pages' candidates: matched by URL or new, merged by the columns' policies."""
-    at = F.lit(seen_at).cast("timestamp_ntz")
-    found = candidates(snapshots, threshold).withColumns({"last_seen_at": at, "discovered_at": at, "domain": urls.url_domain(F.col("canonical_url")), "manual_status": F.lit("none")})
-    none = F.lit(None).cast("string")
-    batch = found.withColumns({"platform": none, "platform_campaign_id": none, "entry_url": none}).drop("page_id")
-    return merge.merge_crawl(state, merge.resolve_identity(batch, state))
-
-
-def enrich_batches(rows: DataFrame, fn: Callable[[list[dict]], list[dict]], schema: str, limit: int | None = None, batch_size: int = 10) -> DataFrame:
+    c, n, none = F.col, scoring.normalize_text, F.lit(None).cast("string")
+    rows = _with(snapshots, adapter=none, http_status=F.lit(200), source_id=F.lit(None).cast("long"), anchor_text=F.lit(""))
+    read = extract.extract_fields(rows)
+    f = lambda name: c(f"fields.{name}")
+    identity = urls.platform_identity(F.coalesce(f("entry_url"), c("url")))
+    read = read.select(
+        c("page_id").alias("ordinal"),
+        "source_id",
+        c("url").alias("original_url"),
+        urls.canonical_url(c("url")).alias("canonical_url"),
+        f("skip").alias("skip"),
+        F.coalesce(f("title"), pages.page_title(c("html"))).alias("title"),
+        f("prize").alias("prize"),
+        F.coalesce(f("excerpt"), extract.main_text(c("html"))).alias("excerpt"),
+        f("restriction").alias("restriction"),
+        f("method").alias("method_text"),
+        f("purchase").alias("purchase_text"),
+        f("free_hint").alias("free_hint"),
+        f("category").alias("category"),
+        none.alias("filter_text"),
+        none.alias("friction_override"),
+        f("expired").alias("expired"),
+        f("entry_url").alias("entry_url"),
+        f("terms_url").alias("terms_url"),
+        F.try_to_timestamp(F.substring(f("end_date"), 1, 10), F.lit("yyyy-MM-dd")).cast("timestamp_ntz").alias("end_at"),
+        identity["platform"].alias("platform"),
+        identity["campaign_id"].alias("platform_campaign_id"),
+        F.lit(None).cast(candidates.acceptability.VERDICT).alias("platform_says"),
+        c("anchor_text"),
+        pages.link_hints(c("html")).alias("link_hints"),
+    )
+    scored = scoring.score_candidates(read, n(c("canonical_url")), n(c("title")), n(c("excerpt")), n(c("anchor_text")), n(F.array_join("link_hints", " ")))
+    return candidates.candidate_status(candidates.select_candidates(scored, threshold))
+
+
+def ingest(snapshots: DataFrame, state: DataFrame, seen_at: str, threshold: float = candidates.THRESHOLD) -> Ingested:
+    """Pages to candidates, matched against the state and each other, merged into it by the columns' policies."""
+    c, at = F.col, moment(seen_at)
+    found = page_candidates(snapshots, threshold)
+    batch = found.select(
+        "ordinal", "source_id", "canonical_url", "original_url", "title", "prize", "link_hints", "entry_url", "terms_url", "end_at", "platform", "platform_campaign_id", "status",
+        urls.url_domain(c("canonical_url")).alias("domain"),
+        c("excerpt").alias("raw_excerpt"),
+        pages.content_hash(c("title"), c("excerpt")).alias("content_hash"),
+        c("score").alias("confidence"),
+        c("prize_category"), c("prize_wanted").alias("wanted_prize"), c("prize_priority"),
+        c("free").alias("free_entry"), c("eligible").alias("eligible_france"), c("eligibility").alias("france_eligibility"), "eligibility_reason",
+        "requires_purchase", "requires_social", c("method").alias("entry_method"), c("friction").alias("entry_friction"), c("restriction").alias("geo_restriction"),
+        c("entry_verdict.requires_public").alias("requires_public_social_action"), c("entry_verdict.acceptable").alias("entry_acceptable"), c("entry_verdict.reason").alias("entry_rejection_reason"),
+        at.alias("seen_at"),
+    )
+    resolved = settled(merge.resolve_identity(settled(batch), state))
+    sightings = resolved.where("source_id IS NOT NULL").select("giveaway_id", "source_id", "seen_at", c("original_url").alias("url"))
+    return Ingested(merge.merge_crawl(state, resolved), sightings, merge.upsert_outcome(resolved, state))
+
+
+def ingest_pages(snapshots: DataFrame, state: DataFrame, seen_at: str, threshold: float = candidates.THRESHOLD) -> DataFrame:
+    """The state after the pages."""
+    return ingest(snapshots, state, seen_at, threshold).state
+
+
+def enrich_batches(rows: DataFrame, fn: Fn, schema: str, limit: int | None = None, batch_size: int = 10, order: list[Column] | None = None) -> DataFrame:
     """Calls ``fn`` on lists of at most ``batch_size`` rows; adds ``schema``'s columns and ``error``.
 
     A batch whose call fails keeps its rows with the error's text and nulls, so that they stay
-    pending. ``limit`` caps the rows of a run, ranked as they come.
+    pending. ``limit`` caps the rows of a run: the first by ``order``, dealt again over tasks.
     """
     names = [f.split()[0] for f in schema.split(",")]
-    given = rows.limit(limit) if limit is not None else rows
+    given = rows.orderBy(*order) if order else rows
+    if limit is not None:
+        given = given.limit(limit).repartition(max(1, math.ceil(limit / (batch_size * 10))))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -67,3 +126,22 @@ def enrich_batches(rows: DataFrame, fn: Callable[[list[dict]], list[dict]], sche
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields)
     return given.mapInPandas(run, f"{ddl}, {schema}, error string")
+
+
+def drain_queue(state: DataFrame, fn: Fn, now: str, limit: int | None = None, batch_size: int = 10) -> DataFrame:
+    """The state after one pass over its analysis queue: local gates first, the user's function on what is left, one merge.
+
+    Rows whose call fails stay pending and are not tried again in the run.
+    """
+    gated = gates.analysis_gates(state, now)
+    skipped = gates.apply_local_skips(gated.withColumn("gate", F.when(listing.is_pending(), F.col("gate"))))
+    queue = listing.pending(gated).where("gate = 'send'").select("id", "title", "prize", "canonical_url", "prize_priority", "wanted_prize", "discovered_at")
+    answers = enrich_batches(queue.withColumnRenamed("id", "giveaway_id").drop("wanted_prize"), fn, ANALYSIS, limit, batch_size, [F.col("prize_priority").desc_nulls_last(), F.col("discovered_at"), F.col("giveaway_id")] if limit else None)
+    clean = answers.where("error IS NULL").select("giveaway_id", *[x.split()[0] for x in ANALYSIS.split(", ")])
+    return merge.apply_analysis(skipped, clean, now)
+
+
+def run_pipeline(snapshots: DataFrame, state: DataFrame, fn: Fn, now: str, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The state after the pages and one pass over the queue, and the run's summary: rows by status."""
+    after = drain_queue(settled(ingest_pages(snapshots, state, now)), fn, now, limit)
+    return after, listing.pipeline_summary(after)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import pages as page
-from tidemark.functions import campaigns, entry, prizes, scoring, urls
+from tidemark.functions import acceptability, campaigns, entry, prizes, scoring, urls
 from tidemark.operators import actions, listing, merge
 from tidemark.operators.listing import Filters
 from tidemark.plans import gates, ingest
@@ -20,7 +20,7 @@ NOW, EVENT_NOW = "1996-02-17 12:00:00", "2024-01-16 00:00:00"
 
 #: Columns that the state table has and the view lacks.
 _EXTRA = {
-    "entry_url": "CASE WHEN platform IS NULL THEN NULL ELSE concat('https://', platform, '.example/', platform_campaign_id, '/x') END",
+    "entry_url": "CASE platform WHEN 'gleam' THEN concat('https://gleam.io/', platform_campaign_id, '/x') WHEN 'sweepwidget' THEN concat('https://sweepwidget.example/', platform_campaign_id, '/x') END",
     "entry_checked_at": "CASE WHEN entry_url_status IS NULL THEN NULL ELSE analyzed_at END",
     "updated_at": "last_seen_at",
 }
@@ -303,9 +303,15 @@ def reconcile_batch(spark, d):
 
 _RESOLVED = _STATE_SQL + f", crawl_batch AS ({view_sql('crawl_batch')})" + """
 , pk AS (SELECT platform, platform_campaign_id, id FROM (SELECT *, row_number() OVER (PARTITION BY platform, platform_campaign_id ORDER BY last_seen_at DESC NULLS LAST, id DESC) AS n FROM g WHERE platform IS NOT NULL AND platform_campaign_id IS NOT NULL) WHERE n = 1)
-, ek AS (SELECT entry_url, id FROM (SELECT *, row_number() OVER (PARTITION BY entry_url ORDER BY last_seen_at DESC NULLS LAST, id DESC) AS n FROM g WHERE entry_url IS NOT NULL) WHERE n = 1)
-, resolved AS (SELECT b.*, coalesce(u.id, pk.id, ek.id) AS giveaway_id, CASE WHEN u.id IS NOT NULL THEN 'url' WHEN pk.id IS NOT NULL THEN 'platform' WHEN ek.id IS NOT NULL THEN 'entry' ELSE 'new' END AS matched_by
+, ek AS (SELECT entry_url, id FROM (SELECT *, row_number() OVER (PARTITION BY entry_url ORDER BY analyzed_at DESC NULLS LAST, last_seen_at DESC NULLS LAST, id DESC) AS n FROM g WHERE entry_url LIKE 'https://gleam.io/%') WHERE n = 1)
+, r0 AS (SELECT b.*, coalesce(u.id, pk.id, ek.id) AS known, CASE WHEN u.id IS NOT NULL THEN 'url' WHEN pk.id IS NOT NULL THEN 'platform' WHEN ek.id IS NOT NULL THEN 'entry' END AS how,
+    'n:' || b.canonical_url AS own, CASE WHEN b.platform IS NOT NULL AND b.platform_campaign_id IS NOT NULL THEN b.platform || ':' || b.platform_campaign_id END AS pkey, CASE WHEN b.entry_url LIKE 'https://gleam.io/%' THEN b.entry_url END AS ekey
   FROM crawl_batch b LEFT JOIN g u ON u.canonical_url = b.canonical_url LEFT JOIN pk ON pk.platform = b.platform AND pk.platform_campaign_id = b.platform_campaign_id LEFT JOIN ek ON ek.entry_url = b.entry_url)
+, r1 AS (SELECT *, CASE WHEN known IS NOT NULL THEN CAST(known AS VARCHAR) WHEN pkey IS NULL THEN own ELSE first_value(coalesce(CAST(known AS VARCHAR), own)) OVER (PARTITION BY pkey ORDER BY seen_at, ordinal) END AS id1 FROM r0)
+, r2 AS (SELECT *, CASE WHEN known IS NOT NULL OR id1 <> own OR ekey IS NULL THEN id1 ELSE first_value(id1) OVER (PARTITION BY ekey ORDER BY seen_at, ordinal) END AS id2 FROM r1)
+, r3 AS (SELECT *, id2 AS id3 FROM r2)
+, resolved AS (SELECT *, CASE WHEN how IS NOT NULL THEN how WHEN id3 = own THEN 'new' ELSE 'batch' END AS matched_by,
+    CASE WHEN id3 LIKE 'n:%' THEN NULL ELSE CAST(id3 AS BIGINT) END AS giveaway_id FROM r3)
 """
 
 
@@ -313,26 +319,41 @@ def resolved(spark: SparkSession, d: str) -> DataFrame:
     return merge.resolve_identity(view(spark, d, "crawl_batch"), state(spark, d))
 
 
-@_add("resolve_identity", _RESOLVED + "SELECT ordinal, giveaway_id, matched_by FROM resolved")
+@_add("resolve_identity", _RESOLVED + "SELECT ordinal, coalesce(CAST(giveaway_id AS VARCHAR), 'first ' || CAST(min(ordinal) OVER (PARTITION BY id3) AS VARCHAR)) AS identity, matched_by FROM resolved")
 def resolve_identity(spark, d):
-    return resolved(spark, d).select("ordinal", "giveaway_id", "matched_by")
+    # A new offer's id is a hash: it is shown by the first of its rows.
+    rows = resolved(spark, d)
+    new = rows.where("matched_by = 'new'").select("giveaway_id").distinct()
+    first = rows.join(new, "giveaway_id", "left_semi").groupBy("giveaway_id").agg(F.min("ordinal").alias("first"))
+    identity = F.coalesce(F.concat(F.lit("first "), F.col("first").cast("string")), F.col("giveaway_id").cast("string"))
+    return rows.join(first, "giveaway_id", "left").select("ordinal", identity.alias("identity"), "matched_by")
 
 
-@_add("upsert_outcome", _RESOLVED + "SELECT r.source_id, count(*) FILTER (matched_by = 'new') AS created, count(*) FILTER (matched_by <> 'new') AS updated, count(*) FILTER (matched_by <> 'new' AND g.content_hash IS DISTINCT FROM r.content_hash) AS hash_changed, count(*) FILTER (matched_by = 'new' OR g.analyzed_at IS NULL) AS needs_analysis FROM resolved r LEFT JOIN g ON g.id = r.giveaway_id GROUP BY r.source_id")
+@_add("upsert_outcome", _RESOLVED + "SELECT r.source_id, count(DISTINCT CASE WHEN matched_by = 'new' THEN id3 END) AS created, count(*) FILTER (matched_by <> 'new') AS updated, count(*) FILTER (matched_by <> 'new' AND g.content_hash IS DISTINCT FROM r.content_hash) AS hash_changed, count(*) FILTER (matched_by = 'new' OR g.analyzed_at IS NULL) AS needs_analysis FROM resolved r LEFT JOIN g ON g.id = r.giveaway_id GROUP BY r.source_id")
 def upsert_outcome(spark, d):
     return merge.upsert_outcome(resolved(spark, d), state(spark, d))
 
 
-@_add("merge_crawl", _RESOLVED + """
-, s AS (SELECT * FROM resolved WHERE matched_by = 'url'), j AS (SELECT g.*, s.giveaway_id IS NOT NULL AS seen, g.analyzed_at IS NOT NULL AS done, s.content_hash IS DISTINCT FROM g.content_hash AS changed,
-  s.seen_at AS n_seen, s.content_hash AS n_hash, s.title AS n_title, s.entry_url AS n_entry, s.wanted_prize AS n_wanted, s.status AS n_status, s.source_id AS n_source FROM g LEFT JOIN s ON s.giveaway_id = g.id)
-SELECT id, canonical_url, CASE WHEN seen THEN coalesce(n_seen, last_seen_at) ELSE last_seen_at END AS last_seen_at, coalesce(n_hash, content_hash) AS content_hash,
-  CASE WHEN seen AND (title IS NULL OR changed) THEN coalesce(n_title, title) ELSE title END AS title, coalesce(n_entry, entry_url) AS entry_url,
-  CASE WHEN NOT seen OR done THEN wanted_prize ELSE coalesce(n_wanted, wanted_prize) END AS wanted_prize,
-  CASE WHEN seen AND NOT done AND n_status IN ('rejected', 'expired') THEN n_status ELSE status END AS status, coalesce(source_id, n_source) AS source_id, manual_status, analyzed_at FROM j""")
+_last = lambda c: f"(array_agg({c} ORDER BY seen_at DESC, ordinal DESC) FILTER ({c} IS NOT NULL))[1] AS n_{c}"
+_KEPT_VALUE = lambda c: f"CASE WHEN NOT seen THEN {c} WHEN id IS NULL THEN n_{c} WHEN done THEN coalesce({c}, n_{c}) ELSE coalesce(n_{c}, {c}) END AS {c}"
+_FROZEN_VALUE = lambda c: f"CASE WHEN NOT seen THEN {c} WHEN id IS NULL THEN n_{c} WHEN done THEN {c} ELSE coalesce(n_{c}, {c}) END AS {c}"
+_FIRST_VALUE = lambda c: f"(array_agg({c} ORDER BY seen_at, ordinal) FILTER ({c} IS NOT NULL))[1] AS n_{c}"
+_LAST_SEEN, _FIRST_SEEN = ("content_hash", "title", "prize", "prize_category", "prize_priority", "free_entry", "entry_method", "end_at", "entry_url", "eligible_france", "entry_acceptable", "wanted_prize"), ("source_id", "platform", "platform_campaign_id", "canonical_url")
+
+
+@_add("merge_crawl", _RESOLVED + f"""
+, s AS (SELECT id3, any_value(giveaway_id) AS gid, max(seen_at) AS n_seen, min(seen_at) AS n_found, {', '.join(map(_last, _LAST_SEEN))}, {', '.join(map(_FIRST_VALUE, _FIRST_SEEN))},
+    (array_agg(status ORDER BY status IN ('rejected', 'expired') DESC, seen_at DESC, ordinal DESC))[1] AS n_status FROM resolved GROUP BY id3)
+, j AS (SELECT g.*, s.*, s.id3 IS NOT NULL AS seen, g.analyzed_at IS NOT NULL AS done, s.n_content_hash IS DISTINCT FROM g.content_hash AS changed FROM g FULL JOIN s ON s.gid = g.id)
+SELECT id IS NULL AS fresh, coalesce(canonical_url, n_canonical_url) AS canonical_url, coalesce(n_seen, last_seen_at) AS last_seen_at, coalesce(discovered_at, n_found) AS discovered_at, coalesce(n_content_hash, content_hash) AS content_hash,
+  CASE WHEN title IS NULL OR changed THEN coalesce(n_title, title) ELSE title END AS title, coalesce(n_entry_url, entry_url) AS entry_url, coalesce(n_end_at, end_at) AS end_at,
+  coalesce(source_id, n_source_id) AS source_id, coalesce(platform, n_platform) AS platform, coalesce(platform_campaign_id, n_platform_campaign_id) AS platform_campaign_id,
+  {', '.join(map(_KEPT_VALUE, ('prize', 'prize_category', 'prize_priority', 'free_entry', 'entry_method')))}, {', '.join(map(_FROZEN_VALUE, ('wanted_prize', 'eligible_france', 'entry_acceptable')))},
+  CASE WHEN id IS NULL THEN n_status WHEN seen AND NOT done AND n_status IN ('rejected', 'expired') THEN n_status ELSE status END AS status, coalesce(manual_status, 'none') AS manual_status, analyzed_at FROM j""")
 def merge_crawl(spark, d):
-    seen = resolved(spark, d).where("matched_by = 'url'").withColumnRenamed("seen_at", "last_seen_at")
-    return merge.merge_crawl(state(spark, d), seen).select("id", "canonical_url", "last_seen_at", "content_hash", "title", "entry_url", "wanted_prize", "status", "source_id", "manual_status", "analyzed_at")
+    known = state(spark, d)
+    out = merge.merge_crawl(known, resolved(spark, d)).join(known.select("id", F.lit(False).alias("fresh")), "id", "left").withColumn("fresh", F.coalesce("fresh", F.lit(True)))
+    return out.select("fresh", "canonical_url", "last_seen_at", "discovered_at", "content_hash", "title", "entry_url", "end_at", "source_id", "platform", "platform_campaign_id", "prize", "prize_category", "prize_priority", "free_entry", "entry_method", "wanted_prize", "eligible_france", "entry_acceptable", "status", "manual_status", "analyzed_at")
 
 
 _DECIDED = f"CASE WHEN is_giveaway IS NOT TRUE THEN 'rejected' WHEN coalesce(france_eligibility = 'ineligible', false) OR wanted_prize IS FALSE OR entry_acceptable IS FALSE THEN 'rejected' WHEN end_date < {_NOW} THEN 'expired' WHEN coalesce(confidence, 0) < 0.5 OR france_eligibility IS DISTINCT FROM 'eligible' OR entry_acceptable IS NULL THEN 'uncertain' ELSE 'active' END"
@@ -344,13 +365,17 @@ def decide_status(spark, d):
 
 
 @_add("apply_analysis", _STATE_SQL + f", analysis_responses AS ({view_sql('analysis_responses')})" + f"""
-, a AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY giveaway_id) AS n, {_DECIDED} AS decided FROM analysis_responses) WHERE n = 1)
-SELECT g.id, coalesce(a.france_eligibility, g.france_eligibility) AS france_eligibility, CASE WHEN a.france_eligibility IS NOT NULL THEN CASE a.france_eligibility WHEN 'eligible' THEN true WHEN 'ineligible' THEN false END ELSE g.eligible_france END AS eligible_france,
-  coalesce(a.wanted_prize, g.wanted_prize) AS wanted_prize, coalesce(a.entry_acceptable, g.entry_acceptable) AS entry_acceptable, coalesce(a.end_date, g.end_at) AS end_at, coalesce(a.confidence, g.confidence) AS confidence,
-  CASE WHEN a.giveaway_id IS NOT NULL THEN {_NOW} ELSE g.analyzed_at END AS analyzed_at, coalesce(a.decided, g.status) AS status FROM g LEFT JOIN a ON a.giveaway_id = g.id""")
+, a AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY giveaway_id) AS n FROM analysis_responses) WHERE n = 1)
+, j AS (SELECT g.*, a.giveaway_id IS NOT NULL AS hit, a.is_giveaway, a.france_eligibility AS fe, coalesce(a.wanted_prize, g.wanted_prize) AS w, coalesce(a.end_date, g.end_at) AS e, coalesce(a.confidence, g.confidence) AS cf, a.entry_acceptable AS ok FROM g LEFT JOIN a ON a.giveaway_id = g.id)
+, m AS (SELECT *, coalesce(fe, france_eligibility) AS f, CASE WHEN entry_acceptable IS FALSE THEN false WHEN ok IS NOT NULL THEN ok ELSE entry_acceptable END AS acc, CASE WHEN entry_acceptable IS FALSE OR ok IS NULL THEN requires_public_social_action ELSE NOT ok END AS pub FROM j)
+SELECT id, CASE WHEN hit THEN f ELSE france_eligibility END AS france_eligibility, CASE WHEN hit AND fe IS NOT NULL THEN CASE fe WHEN 'eligible' THEN true WHEN 'ineligible' THEN false END ELSE eligible_france END AS eligible_france,
+  CASE WHEN hit THEN w ELSE wanted_prize END AS wanted_prize, CASE WHEN hit THEN acc ELSE entry_acceptable END AS entry_acceptable, CASE WHEN hit THEN pub ELSE requires_public_social_action END AS requires_public_social_action,
+  CASE WHEN hit THEN e ELSE end_at END AS end_at, CASE WHEN hit THEN cf ELSE confidence END AS confidence, CASE WHEN hit THEN {_NOW} ELSE analyzed_at END AS analyzed_at,
+  CASE WHEN NOT hit THEN status WHEN is_giveaway IS NOT TRUE OR coalesce(entry_url_status = 'gone', false) OR coalesce(f = 'ineligible', false) OR w IS FALSE OR acc IS FALSE OR pub IS TRUE THEN 'rejected' WHEN e < {_NOW} THEN 'expired'
+    WHEN coalesce(cf, 0) < 0.5 OR f IS DISTINCT FROM 'eligible' OR acc IS NULL THEN 'uncertain' ELSE 'active' END AS status FROM m""")
 def apply_analysis(spark, d):
     out = merge.apply_analysis(state(spark, d), view(spark, d, "analysis_responses"), NOW)
-    return out.select("id", "france_eligibility", "eligible_france", "wanted_prize", "entry_acceptable", "end_at", "confidence", "analyzed_at", "status")
+    return out.select("id", "france_eligibility", "eligible_france", "wanted_prize", "entry_acceptable", "requires_public_social_action", "end_at", "confidence", "analyzed_at", "status")
 
 
 @_add("mark_completed", _STATE_SQL + """
@@ -484,17 +509,19 @@ def page_title(spark, d):
 
 @_add("decode_redirect", with_views("shaped_pages") + "SELECT page_id, CASE WHEN starts_with(t, 'http') THEN t END AS target FROM (SELECT page_id, replace(replace(replace(replace(url_decode(regexp_extract(html, '[?&]to=([^&#\"]*)', 1)), '!!2', 'i'), '!!3', 'e'), '!!4', 'r'), '!!5', 'a') AS t FROM shaped_pages)")
 def decode_redirect(spark, d):
-    link = F.regexp_extract("html", 'href="([^"]*)"', 1)
+    link = F.regexp_extract("html", '([?&]to=[^"]*)"', 1)
     return view(spark, d, "shaped_pages").select("page_id", urls.decode_redirect(link).alias("target"))
 
 
 @_add("platform_identity", with_views("shaped_pages") + f"""
 , p AS (SELECT page_id, regexp_replace({_HOST.format(u='url')}, '^www\\.', '') AS host, regexp_extract(trim(url), '{_WHOLE}', 3) AS path FROM shaped_pages)
-, k AS (SELECT page_id, host, regexp_extract(path, '^/giveaways/([A-Za-z0-9]{{4,12}})/?$', 1) AS dir, regexp_extract(path, '^/([A-Za-z0-9]{{4,12}})(?:/[A-Za-z0-9._-]+)?/?$', 1) AS key, regexp_extract(path, '^/[A-Za-z0-9]{{4,12}}/([A-Za-z0-9._-]+)/?$', 1) AS slug FROM p)
-, i AS (SELECT *, CASE WHEN host <> 'gleam.io' THEN NULL WHEN dir <> '' THEN dir WHEN key <> '' AND lower(key) NOT IN {_words(urls.RESERVED)} THEN key END AS id FROM k)
-SELECT page_id, CASE WHEN id IS NOT NULL THEN 'gleam' END AS platform, id AS campaign_id, CASE WHEN id IS NOT NULL AND dir = '' AND slug <> '' THEN slug END AS slug FROM i""")
+, k AS (SELECT page_id, path, host = 'gleam.io' OR ends_with(host, '.gleam.io') AS first, regexp_extract(path, '^/giveaways/([A-Za-z0-9]{{4,12}})/?$', 1) AS dir, regexp_extract(path, '^/([A-Za-z0-9]{{4,12}})(?:/[A-Za-z0-9._-]+)?/?$', 1) AS key, nullif(regexp_extract(path, '^/[A-Za-z0-9]{{4,12}}/([A-Za-z0-9._-]+)/?$', 1), '') AS slug,
+    regexp_extract(path, '(?i)^/(?:giveaways|c)/(\\d+)(?:-[A-Za-z0-9]+)?/?$', 1) AS num, nullif(regexp_extract(path, '(?i)^/(?:giveaways|c)/\\d+-([A-Za-z0-9]+)/?$', 1), '') AS tail FROM p)
+, w AS (SELECT *, CASE WHEN first AND dir <> '' AND lower(dir) NOT IN {_words(urls.RESERVED)} THEN 'dir' WHEN first AND (dir <> '' OR regexp_matches(path, '^/giveaways/?$')) THEN NULL WHEN first AND key <> '' AND lower(key) NOT IN {_words(urls.RESERVED)} THEN 'key' WHEN num <> '' THEN 'num' END AS kind FROM k)
+SELECT page_id, CASE kind WHEN 'num' THEN 'sweepwidget' WHEN 'dir' THEN 'gleam' WHEN 'key' THEN 'gleam' END AS platform, CASE kind WHEN 'dir' THEN dir WHEN 'key' THEN key WHEN 'num' THEN num END AS campaign_id, CASE kind WHEN 'key' THEN slug WHEN 'num' THEN tail END AS slug,
+  CASE kind WHEN 'dir' THEN 'https://gleam.io/giveaways/' || dir WHEN 'key' THEN 'https://gleam.io/' || key || coalesce('/' || slug, '') WHEN 'num' THEN 'https://sweepwidget.com/giveaways/' || num || coalesce('-' || tail, '') END AS entry_url FROM w""")
 def platform_identity(spark, d):
-    return view(spark, d, "shaped_pages").select("page_id", urls.platform_identity(F.col("url")).alias("p")).select("page_id", "p.platform", "p.campaign_id", "p.slug")
+    return view(spark, d, "shaped_pages").select("page_id", urls.platform_identity(F.col("url")).alias("p")).select("page_id", "p.platform", "p.campaign_id", "p.slug", "p.entry_url")
 
 
 @_add("normalize_text", "SELECT doc_id, sha256(strip_accents(lower(text))) AS hash FROM documents")
@@ -515,12 +542,12 @@ def _any_sql(c: str, phrases: list[str]) -> str:
     return "(" + " OR ".join(_phrase_sql(c, p) for p in phrases) + ")"
 
 
-_TEXT_SQL = with_views("texts") + ", n AS (SELECT doc_id, strip_accents(lower(coalesce(title, ''))) AS title, strip_accents(lower(concat_ws(' ', rules_text, prize, body))) AS content, strip_accents(lower(coalesce(restriction, ''))) AS links FROM texts)\n"
+_TEXT_SQL = with_views("texts") + ", n AS (SELECT doc_id, strip_accents(lower(coalesce(title, ''))) AS title, strip_accents(lower(concat_ws(' ', rules_text, prize, body))) AS content, strip_accents(lower(coalesce(restriction, ''))) AS links, strip_accents(lower(url)) AS url, strip_accents(lower(coalesce(anchor, ''))) AS anchor FROM texts)\n"
 
 
 def _text_columns(spark: SparkSession, d: str) -> DataFrame:
     n = scoring.normalize_text
-    return view(spark, d, "texts").select("doc_id", n(F.col("title")).alias("title"), n(F.concat_ws(" ", "rules_text", "prize", "body")).alias("content"), n(F.col("restriction")).alias("links"))
+    return view(spark, d, "texts").select("doc_id", n(F.col("title")).alias("title"), n(F.concat_ws(" ", "rules_text", "prize", "body")).alias("content"), n(F.col("restriction")).alias("links"), n(F.col("url")).alias("url"), n(F.col("anchor")).alias("anchor"))
 
 
 @_add("phrase_hits", _TEXT_SQL + f"SELECT doc_id, {_hits_sql('content', scoring.ENTRY)} AS entry_hits, {_hits_sql('title', scoring.STRONG, scoring.TWICE)} AS title_hits, {_hits_sql('content', scoring.WEAK)} AS weak_hits FROM n")
@@ -530,14 +557,14 @@ def phrase_hits(spark, d):
 
 
 @_add("candidate_score", _TEXT_SQL + f"""
-, f AS (SELECT doc_id, {_hits_sql('content', scoring.STRONG, scoring.TWICE)} AS s, {_hits_sql('content', scoring.WEAK)} AS w, {_any_sql('title', scoring.STRONG)} AS t, {_any_sql('links', scoring.TERMS)} OR {_any_sql('content', scoring.TERMS_IN_TEXT)} AS r, {_any_sql('content', scoring.DEADLINE)} AS e, {_any_sql('content', scoring.ENTRY)} AS n FROM n)
-, p AS (SELECT *, CAST(CASE WHEN t THEN 0.22 ELSE 0 END AS DOUBLE) + CASE WHEN s >= 3 THEN 0.26 WHEN s = 2 THEN 0.14 WHEN s = 1 THEN 0.06 ELSE 0 END + CASE WHEN w = 0 THEN 0 WHEN s = 0 THEN least(0.05 * w, 0.08) ELSE least(0.02 * w, 0.05) END
+, f AS (SELECT doc_id, {_hits_sql('content', scoring.STRONG, scoring.TWICE)} AS s, {_hits_sql('content', scoring.WEAK)} AS w, {_any_sql('title', scoring.STRONG)} AS t, {_any_sql('url', scoring.STRONG)} AS u, {_any_sql('anchor', scoring.STRONG)} AS a, {_any_sql('links', scoring.TERMS)} OR {_any_sql('content', scoring.TERMS_IN_TEXT)} AS r, {_any_sql('content', scoring.DEADLINE)} AS e, {_any_sql('content', scoring.ENTRY)} AS n FROM n)
+, p AS (SELECT *, CAST(CASE WHEN u THEN 0.30 ELSE 0 END AS DOUBLE) + CASE WHEN t THEN 0.22 ELSE 0 END + CASE WHEN a THEN 0.10 ELSE 0 END + CASE WHEN s >= 3 THEN 0.26 WHEN s = 2 THEN 0.14 WHEN s = 1 THEN 0.06 ELSE 0 END + CASE WHEN w = 0 THEN 0 WHEN s = 0 THEN least(0.05 * w, 0.08) ELSE least(0.02 * w, 0.05) END
   + CASE WHEN r THEN 0.16 ELSE 0 END + CASE WHEN e THEN 0.14 ELSE 0 END + CASE WHEN n THEN 0.14 ELSE 0 END AS total FROM f)
-SELECT doc_id, CAST(round(least(CASE WHEN NOT (r OR e OR n) AND s < 3 THEN total * 0.85 ELSE total END, 1.0) * 10000) AS BIGINT) AS score_bp FROM p""")
+SELECT doc_id, CAST(round(least(CASE WHEN NOT (u OR r OR e OR n) AND s < 3 THEN total * 0.85 ELSE total END, 1.0) * 10000) AS BIGINT) AS score_bp, u AS in_url, a AS in_anchor, s AS strong, w AS weak FROM p""")
 def candidate_score(spark, d):
-    t = _text_columns(spark, d)
-    none = F.lit("")
-    return t.select("doc_id", F.round(scoring.candidate_score(none, F.col("title"), F.col("content"), none, F.col("links")) * 10000).cast("long").alias("score_bp"))
+    c = F.col
+    scored = scoring.score_candidates(_text_columns(spark, d), c("url"), c("title"), c("content"), c("anchor"), c("links"))
+    return scored.select("doc_id", F.round(c("score") * 10000).cast("long").alias("score_bp"), "evidence.in_url", "evidence.in_anchor", "evidence.strong", "evidence.weak")
 
 
 _TAGS = [("retweet|comment below", "public"), ("no purchase", "free"), ("purchase required", "purchase"), ("closed", "expired"), ("worldwide", "worldwide"), ("(uk|united states) ?(residents)? only|united states", "abroad")]
@@ -569,7 +596,7 @@ def action_class(spark, d):
 SELECT campaign_id, non_public, public_social, unknown, CASE WHEN must > 0 THEN 'reject' WHEN coalesce(quota, 0) > 0 THEN CASE WHEN non_public + unknown >= quota THEN 'accept' WHEN public_social > 0 THEN 'reject' ELSE 'inconclusive' END
   WHEN non_public > 0 THEN 'accept' WHEN public_social > 0 AND unknown = 0 THEN 'reject' WHEN unknown > 0 AND public_social = 0 THEN 'accept' ELSE 'inconclusive' END AS verdict FROM c""")
 def platform_verdict(spark, d):
-    return actions.platform_verdict(view(spark, d, "campaign_actions"))
+    return actions.platform_verdict(view(spark, d, "campaign_actions")).drop("says")
 
 
 _ENTRY_SQL = with_views("texts") + """, e AS (SELECT doc_id, strip_accents(lower(coalesce(restriction, ''))) AS restriction, strip_accents(lower(concat_ws(chr(10), title, prize))) AS fields,
@@ -656,7 +683,7 @@ def discovery_priority(spark, d):
 
 
 _SHAPED = with_views("shaped_pages")
-_CALL = f"nullif(replace(regexp_extract(html, {_quoted(campaigns.CALL)}, 1), '&quot;', '\"'), '')"
+_CALL = r"""nullif(replace(regexp_extract(html, 'initCampaign\((.*)\)"', 1), '&quot;', '"'), '')"""
 
 
 def shaped(spark: SparkSession, d: str) -> DataFrame:
@@ -685,14 +712,17 @@ def listing_children(spark, d):
     return campaigns.listing_children(shaped(spark, d))
 
 
-@_add("parse_failure_reason", _SHAPED + f", p AS (SELECT page_id, http_status, html, {_CALL} AS payload FROM shaped_pages) SELECT page_id, CASE WHEN http_status >= 400 THEN 'http_' || CAST(http_status AS VARCHAR) WHEN trim(html) = '' THEN 'empty_body' WHEN payload IS NULL THEN 'no_payload' WHEN NOT json_valid(payload) THEN 'invalid_payload' END AS reason FROM p")
+@_add("parse_failure_reason", _SQL["platform_identity"].replace("SELECT page_id, CASE kind", ", who AS (SELECT page_id, CASE kind", 1) + f""")
+SELECT s.page_id, CASE WHEN http_status NOT BETWEEN 200 AND 299 THEN 'HTTP status ' || CAST(http_status AS VARCHAR) WHEN campaign_id IS NOT NULL AND regexp_matches(url, '^https://gleam.io/giveaways/[A-Za-z0-9]{{4,12}}/?$') THEN 'unsupported directory detail shape'
+  WHEN campaign_id IS NULL AND NOT regexp_matches(url, '^https://[^/]*/giveaways/?([?]|$)') THEN 'missing campaign identity' WHEN regexp_matches(html, '(?i)http-equiv=["'']?refresh|window[.]location\\s*=|meta[^>]+refresh') THEN 'redirect' WHEN trim(html) = '' THEN 'other'
+  WHEN NOT contains(html, 'initCampaign(') THEN 'no initCampaign payload' WHEN {_CALL} IS NULL OR NOT json_valid({_CALL}) THEN 'invalid JSON/payload' END AS reason FROM shaped_pages s JOIN who USING (page_id)""")
 def parse_failure_reason(spark, d):
-    return shaped(spark, d).select("page_id", campaigns.failure_reason(F.col("html"), F.col("http_status")).alias("reason"))
+    return shaped(spark, d).select("page_id", campaigns.failure_reason(F.col("html"), F.col("http_status"), F.col("url")).alias("reason"))
 
 
-@_add("campaign_fields", _SHAPED + f", p AS (SELECT page_id, {_CALL} AS payload FROM shaped_pages) SELECT page_id, json_extract_string(payload, '$.campaign.key') AS campaign_key, TIMESTAMP '1970-01-01 00:00:00' + to_seconds(CAST(json_extract_string(payload, '$.campaign.ends_at') AS BIGINT)) AS ends_at, CAST(json_array_length(payload, '$.entry_methods') AS INT) AS actions FROM p WHERE payload IS NOT NULL AND json_valid(payload)")
+@_add("campaign_fields", _SHAPED + f", p AS (SELECT page_id, {_CALL} AS payload FROM shaped_pages) SELECT page_id, json_extract_string(payload, '$.campaign.key') AS campaign_key, TIMESTAMP '1970-01-01 00:00:00' + to_seconds(CAST(json_extract_string(payload, '$.campaign.ends_at') AS BIGINT)) AS ends_at, CAST(json_array_length(payload, '$.entry_methods') AS INT) AS actions, CAST(1 AS INT) AS mandatory_actions, false AS has_paid, 'mandatory:email_subscribe; optional:referral; referral:referral' AS instructions FROM p WHERE payload IS NOT NULL AND json_valid(payload)")
 def campaign_fields(spark, d):
-    return campaigns.campaign_fields(shaped(spark, d))
+    return campaigns.campaign_fields(shaped(spark, d)).select("page_id", "campaign_key", "ends_at", "actions", "mandatory_actions", "has_paid", "instructions")
 
 
 @_add("campaign_actions", _SHAPED + f", p AS (SELECT page_id, {_CALL} AS payload FROM shaped_pages), a AS (SELECT page_id, unnest(range(CAST(json_array_length(payload, '$.entry_methods') AS BIGINT))) AS pos, payload FROM p WHERE payload IS NOT NULL AND json_valid(payload)), t AS (SELECT page_id, CAST(pos AS INT) AS pos, json_extract_string(payload, '$.entry_methods[' || pos || '].entry_type') AS entry_type, CAST(json_extract_string(payload, '$.entry_methods[' || pos || '].mandatory') AS BOOLEAN) AS mandatory FROM a) SELECT *, CASE " + " ".join(f"WHEN regexp_matches(lower(entry_type), '{p}') THEN '{n}'" for p, n in campaigns.CATEGORIES) + " ELSE 'other' END AS category FROM t")
@@ -701,15 +731,15 @@ def campaign_actions(spark, d):
 
 
 @_add("frontier", with_views("edges") + ", e AS (SELECT src, dst_a AS dst FROM edges UNION ALL SELECT src, dst_b FROM edges)\n" + """
-, s0 AS (SELECT DISTINCT src AS node, 0 AS depth FROM edges WHERE src % 50 = 0)
-, s1 AS (SELECT node, min(depth) AS depth FROM (SELECT * FROM s0 UNION ALL SELECT e.dst, depth + 1 FROM s0 JOIN e ON e.src = s0.node) GROUP BY node)
-, s2 AS (SELECT node, min(depth) AS depth FROM (SELECT * FROM s1 UNION ALL SELECT e.dst, depth + 1 FROM s1 JOIN e ON e.src = s1.node) GROUP BY node)
-, s3 AS (SELECT node, min(depth) AS depth FROM (SELECT * FROM s2 UNION ALL SELECT e.dst, depth + 1 FROM s2 JOIN e ON e.src = s2.node) GROUP BY node)
-SELECT node, depth FROM s3 ORDER BY depth, node LIMIT 40""")
+, s0 AS (SELECT DISTINCT source, src AS node, 0 AS depth FROM edges WHERE src % 50 = 0)
+, s1 AS (SELECT source, node, min(depth) AS depth FROM (SELECT * FROM s0 UNION ALL SELECT source, e.dst, depth + 1 FROM s0 JOIN e ON e.src = s0.node) GROUP BY source, node)
+, s2 AS (SELECT source, node, min(depth) AS depth FROM (SELECT * FROM s1 UNION ALL SELECT source, e.dst, depth + 1 FROM s1 JOIN e ON e.src = s1.node) GROUP BY source, node)
+, s3 AS (SELECT source, node, min(depth) AS depth FROM (SELECT * FROM s2 UNION ALL SELECT source, e.dst, depth + 1 FROM s2 JOIN e ON e.src = s2.node) GROUP BY source, node)
+SELECT source, node, depth FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY depth, node) AS n FROM s3) WHERE n <= 40""")
 def frontier(spark, d):
     e = view(spark, d, "edges")
     both = e.select("src", F.col("dst_a").alias("dst")).unionByName(e.select("src", F.col("dst_b").alias("dst")))
-    seeds = e.where("src % 50 = 0").select(F.col("src").alias("node"))
+    seeds = e.where("src % 50 = 0").select("source", F.col("src").alias("node"))
     return merge.expand_frontier(both, seeds, max_depth=3, max_pages=40)
 
 
@@ -721,7 +751,7 @@ def entry_url_of(spark, d):
     return listing.entry_url_of(state(spark, d), "https://{platform}.example/{key}/x").select("id", "entry")
 
 
-_GATE = f"CASE WHEN title IS NULL AND prize IS NULL THEN 'missing_content' WHEN analyzed_at IS NOT NULL THEN 'already_analyzed' WHEN manual_status IN ('entered', 'ignored', 'won', 'lost') THEN 'terminal' WHEN coalesce(confidence, 0) < 0.45 THEN 'below_threshold' WHEN end_at < {_NOW} THEN 'expired' WHEN coalesce(france_eligibility = 'ineligible', false) OR eligible_france IS FALSE THEN 'region_ineligible' WHEN entry_acceptable IS FALSE AND requires_public_social_action IS TRUE THEN 'public_social' ELSE 'send' END"
+_GATE = f"CASE WHEN title IS NULL AND prize IS NULL THEN 'missing_content' WHEN analyzed_at IS NOT NULL THEN 'already_analyzed' WHEN manual_status IN ('entered', 'ignored', 'won', 'lost') THEN 'terminal' WHEN coalesce(confidence, 0) < 0.45 THEN 'below_threshold' WHEN end_at < {_NOW} THEN 'expired' WHEN regexp_matches(strip_accents(lower(concat_ws(chr(10), title, prize))), {_quoted("|".join(p for p, _ in [*entry.UNDESIRABLE, *entry.SHORT_FIELDS]))}) THEN 'undesirable' WHEN coalesce(france_eligibility = 'ineligible', false) OR eligible_france IS FALSE THEN 'region_ineligible' WHEN entry_acceptable IS FALSE AND requires_public_social_action IS TRUE THEN 'public_social' ELSE 'send' END"
 
 
 @_add("analysis_gates", _STATE_SQL + f"SELECT id, {_GATE} AS gate FROM g")
@@ -729,7 +759,7 @@ def analysis_gates(spark, d):
     return gates.analysis_gates(state(spark, d), NOW).select("id", "gate")
 
 
-@_add("apply_local_skips", _STATE_SQL + f", k AS (SELECT *, {_GATE} AS gate FROM g) SELECT id, CASE WHEN gate = 'expired' THEN 'expired' WHEN gate IN ('region_ineligible', 'public_social') THEN 'rejected' ELSE status END AS status, CASE WHEN gate IN ('expired', 'region_ineligible', 'public_social') THEN '{{\"local_skip\":\"' || gate || '\"}}' ELSE analysis_json END AS analysis_json, analyzed_at FROM k")
+@_add("apply_local_skips", _STATE_SQL + f", k AS (SELECT *, {_GATE} AS gate FROM g) SELECT id, CASE WHEN gate = 'expired' THEN 'expired' WHEN gate IN ('undesirable', 'region_ineligible', 'public_social') THEN 'rejected' ELSE status END AS status, CASE WHEN gate IN ('expired', 'undesirable', 'region_ineligible', 'public_social') THEN '{{\"local_skip\":\"' || gate || '\"}}' ELSE analysis_json END AS analysis_json, analyzed_at FROM k")
 def apply_local_skips(spark, d):
     return gates.apply_local_skips(gates.analysis_gates(state(spark, d), NOW)).select("id", "status", "analysis_json", "analyzed_at")
 
@@ -744,12 +774,15 @@ def clearly_expired(spark, d):
 
 
 @_add("merge_verdict", _SQL["platform_verdict"].replace("SELECT campaign_id, non_public", ", v AS (SELECT campaign_id, non_public", 1).rstrip() + """)
-SELECT v.campaign_id, coalesce(CASE v.verdict WHEN 'accept' THEN true WHEN 'reject' THEN false END, a.ok) AS acceptable FROM v LEFT JOIN (SELECT giveaway_id, bool_or(entry_acceptable) AS ok FROM (""" + view_sql("analysis_responses") + ") GROUP BY giveaway_id) a ON a.giveaway_id = v.campaign_id")
+, a AS (SELECT giveaway_id, bool_or(entry_acceptable) AS ok, bool_or(NOT is_giveaway) AS must FROM (""" + view_sql("analysis_responses") + """) GROUP BY giveaway_id)
+, m AS (SELECT campaign_id, CASE WHEN verdict = 'reject' THEN 'local_no' WHEN verdict = 'accept' THEN 'yes' WHEN ok IS FALSE OR must IS TRUE THEN 'no' WHEN ok THEN 'yes' ELSE 'open' END AS said FROM v LEFT JOIN a ON a.giveaway_id = v.campaign_id)
+SELECT campaign_id, CASE said WHEN 'yes' THEN true WHEN 'open' THEN NULL ELSE false END AS acceptable, CASE said WHEN 'yes' THEN false WHEN 'open' THEN NULL ELSE true END AS requires_public, CASE WHEN said IN ('no', 'local_no') THEN 'requires public social-media action' END AS reason FROM m""")
 def merge_verdict(spark, d):
-    external = view(spark, d, "analysis_responses").groupBy(F.col("giveaway_id").alias("campaign_id")).agg(F.max("entry_acceptable").alias("ok"))
-    local = F.when(F.col("verdict") == "accept", True).when(F.col("verdict") == "reject", False)
+    external = view(spark, d, "analysis_responses").groupBy(F.col("giveaway_id").alias("campaign_id")).agg(F.max("entry_acceptable").alias("ok"), F.max(~F.col("is_giveaway")).alias("must"))
     rows = actions.platform_verdict(view(spark, d, "campaign_actions")).join(external, "campaign_id", "left")
-    return rows.select("campaign_id", gates.merged_verdict(local, F.col("ok")).alias("acceptable"))
+    open_ = F.coalesce("says", acceptability.verdict())
+    merged = rows.withColumn("m", acceptability.merge_verdict(open_, F.col("must"), F.col("ok"), F.lit(None).cast("string")))
+    return merged.select("campaign_id", "m.acceptable", "m.requires_public", "m.reason")
 
 
 @_add("assess_entry", _ENTRY_SQL + f", a AS (SELECT doc_id, {_FREE} AS free, {_FRICTION} AS friction, {_SCOPE} AS scope, CASE WHEN {_is('restriction', entry.EXCLUDED)} THEN false WHEN {_SCOPE} IN ('worldwide', 'france', 'eu') THEN true ELSE false END AS allowed, len(list_filter([{', '.join(_REASONS)}], lambda x: x IS NOT NULL)) > 0 AS clear_skip FROM e) SELECT doc_id, friction, scope, free, {_PRIORITY} AS priority, clear_skip FROM a")
@@ -757,12 +790,6 @@ def assess_entry(spark, d):
     return gates.assess(_entry_columns(spark, d)).select("doc_id", "friction", "scope", "free", "priority", "clear_skip")
 
 
-@_add("ingest_pages", None)
-def ingest_pages(spark, d):
-    out = ingest.ingest_pages(pages(spark, d), state(spark, d), NOW)
-    return out.select("id", "canonical_url", "title", "content_hash", "status", "last_seen_at", "manual_status")
-
-
 def _word_counts(rows: list[dict]) -> list[dict]:
     """Stands for a user's function."""
     return [{"words": len((r["title"] or "").split())} for r in rows]
@@ -799,8 +826,12 @@ def prize_preference(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    from tidemark import registry_rules
+
+    return {**_QUERIES, **registry_rules.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    from tidemark import registry_rules
+
+    return {**_SQL, **registry_rules.oracle_sql()}

@@ -44,6 +44,8 @@ _GIVEAWAYS: Columns = [
 
 _TEXTS: Columns = [
     ('doc_id', "long", 'doc_id'),
+    ('url', "string", "CASE doc_id % 5 WHEN 0 THEN 'https://a.example/giveaway/1' WHEN 1 THEN 'https://b.example/jeu-concours/2' WHEN 2 THEN 'https://c.example/win' ELSE 'https://d.example/contest' END"),
+    ('anchor', "string", "CASE doc_id % 7 WHEN 0 THEN 'Enter the sweepstakes' WHEN 1 THEN 'read more' WHEN 2 THEN 'tentez votre chance' ELSE NULL END"),
     ('title', "string", "CASE doc_id % 6 WHEN 0 THEN 'Official giveaway' WHEN 1 THEN 'Jeu concours' WHEN 2 THEN 'Laptop sale' WHEN 3 THEN 'Prize-ribbon shop' WHEN 4 THEN 'Bitcoin giveaway' ELSE NULL END"),
     ('prize', "string", "CASE doc_id % 9 WHEN 0 THEN 'PlayStation 5' WHEN 1 THEN 'Trip to London' WHEN 2 THEN '500 euros cash' WHEN 3 THEN 'Steam game key' WHEN 4 THEN 'Wedding package' WHEN 5 THEN 'PS5 + trip to Japan' WHEN 6 THEN 'Amazon gift card' WHEN 7 THEN '20 euros off purchases over 100' ELSE NULL END"),
     ('restriction', "string", "CASE doc_id % 8 WHEN 0 THEN 'Open worldwide' WHEN 1 THEN 'UK residents only' WHEN 2 THEN 'United States only' WHEN 3 THEN 'Open to France' WHEN 4 THEN 'Germany and Spain only' WHEN 5 THEN 'EU residents only' WHEN 6 THEN 'Worldwide excluding France' ELSE NULL END"),
@@ -81,13 +83,22 @@ _CRAWL_RUNS: Columns = [
 
 _CRAWL_BATCH: Columns = [
     ('ordinal', "long", 'o_orderkey'),
-    ('canonical_url', "string", "concat('https://h', CAST((CASE WHEN o_orderkey % 3 = 0 THEN o_custkey + 50 ELSE o_custkey END) % 97 AS STRING), '.example.org/c/', CAST(o_orderkey AS STRING))"),
+    ('canonical_url', "string", "concat('https://h', CAST((CASE WHEN o_orderkey % 3 = 0 THEN o_custkey + 50 ELSE o_custkey END) % 97 AS STRING), '.example.org/c/', CAST((CASE WHEN o_orderkey % 28 = 0 THEN o_orderkey - 4 ELSE o_orderkey END) AS STRING))"),
+    ('domain', "string", "concat('h', CAST((CASE WHEN o_orderkey % 3 = 0 THEN o_custkey + 50 ELSE o_custkey END) % 97 AS STRING), '.example.org')"),
     ('source_id', "long", 'o_custkey % 19'),
-    ('title', "string", "CASE WHEN o_orderkey % 2 = 0 THEN 'New title' ELSE NULL END"),
+    ('title', "string", "CASE WHEN o_orderkey % 2 = 0 THEN concat('New title ', CAST(o_orderkey % 5 AS STRING)) ELSE NULL END"),
+    ('prize', "string", "CASE WHEN o_orderkey % 5 = 0 THEN 'Camera' ELSE NULL END"),
+    ('prize_category', "string", "CASE WHEN o_orderkey % 5 = 0 THEN 'physical_good' ELSE NULL END"),
+    ('prize_priority', "int", 'CASE WHEN o_orderkey % 5 = 0 THEN CAST(o_orderkey % 90 AS INT) ELSE NULL END'),
+    ('free_entry', "boolean", 'CASE o_custkey % 4 WHEN 0 THEN true WHEN 1 THEN false ELSE NULL END'),
+    ('entry_method', "string", "CASE WHEN o_custkey % 4 = 0 THEN 'web_form' ELSE NULL END"),
+    ('end_at', "timestamp", "CASE WHEN o_custkey % 4 = 1 THEN o_orderdate + INTERVAL '40' DAY ELSE NULL END"),
     ('content_hash', "string", "concat('h', CAST(o_orderkey % 1500 AS STRING))"),
-    ('platform', "string", "CASE o_custkey % 3 WHEN 0 THEN 'gleam' WHEN 1 THEN 'sweepwidget' ELSE NULL END"),
-    ('platform_campaign_id', "string", "CASE WHEN o_custkey % 3 = 2 THEN NULL ELSE concat('k', CAST(o_orderkey % 4000 AS STRING)) END"),
-    ('entry_url', "string", "CASE WHEN o_custkey % 3 = 0 THEN concat('https://gleam.io/k', CAST(o_orderkey % 4000 AS STRING), '/x') ELSE NULL END"),
+    ('platform', "string", "CASE WHEN o_orderkey % 8 = 0 THEN NULL WHEN o_custkey % 3 = 0 THEN 'gleam' WHEN o_custkey % 3 = 1 THEN 'sweepwidget' ELSE NULL END"),
+    ('platform_campaign_id', "string", "CASE WHEN o_orderkey % 8 = 0 OR o_custkey % 3 = 2 THEN NULL WHEN o_orderkey % 24 = 12 THEN concat('b', CAST(o_orderkey % 300 AS STRING)) ELSE concat('k', CAST(o_orderkey % 4000 AS STRING)) END"),
+    ('entry_url', "string", "CASE WHEN o_custkey % 3 = 0 AND o_orderkey % 24 = 0 THEN concat('https://gleam.io/k', CAST(o_orderkey % 4000 AS STRING), '/x') WHEN o_orderkey % 40 = 8 THEN concat('https://gleam.io/n', CAST(o_orderkey % 1000 AS STRING), '/x') WHEN o_custkey % 5 = 0 THEN 'https://shop.example.org/enter' ELSE NULL END"),
+    ('eligible_france', "boolean", 'CASE o_custkey % 3 WHEN 0 THEN true WHEN 1 THEN false ELSE NULL END'),
+    ('entry_acceptable', "boolean", 'CASE o_custkey % 7 WHEN 0 THEN false WHEN 1 THEN true ELSE NULL END'),
     ('wanted_prize', "boolean", 'CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN false ELSE NULL END'),
     ('status', "string", "CASE o_orderkey % 7 WHEN 0 THEN 'rejected' WHEN 1 THEN 'expired' ELSE 'candidate' END"),
     ('seen_at', "timestamp", "o_orderdate + INTERVAL '10' DAY"),
@@ -112,6 +123,7 @@ _ANALYSIS_RESPONSES: Columns = [
 ]
 
 _EDGES: Columns = [
+    ('source', "long", 'page_id % 7'),
     ('src', "long", 'page_id'),
     ('dst_a', "long", '(page_id * 3 + 1) % 200'),
     ('dst_b', "long", '(page_id * 5 + 2) % 200'),
@@ -120,9 +132,9 @@ _EDGES: Columns = [
 _SHAPED_PAGES: Columns = [
     ('page_id', "long", 'page_id'),
     ('shape', "string", "CASE page_id % 6 WHEN 0 THEN 'labels' WHEN 1 THEN 'facts' WHEN 2 THEN 'cards' WHEN 3 THEN 'payload' WHEN 4 THEN 'tracker' ELSE 'broken' END"),
-    ('url', "string", "CASE page_id % 6 WHEN 2 THEN 'https://gleam.io/giveaways?s=n' WHEN 3 THEN concat('https://gleam.io/key', CAST(page_id AS STRING), '/x') WHEN 5 THEN concat('https://gleam.io/bad', CAST(page_id AS STRING), '/x') ELSE concat('https://list.example.org/giveaways/p', CAST(page_id AS STRING)) END"),
-    ('http_status', "int", 'CASE WHEN page_id % 30 = 5 THEN 404 ELSE 200 END'),
-    ('html', "string", 'CASE page_id % 6 WHEN 0 THEN concat(\'<h1>Item \', CAST(page_id AS STRING), \'</h1><p>Promoter\', chr(10), \'Org \', CAST(page_id % 7 AS STRING), chr(10), \'Closing Date\', chr(10), \'2026-10-01</p>\') WHEN 1 THEN concat(\'<dl><dt>Open to</dt><dd>\', CASE WHEN page_id % 4 = 1 THEN \'Worldwide\' ELSE \'United States\' END, \'</dd><dt>Prize</dt><dd>Box \', CAST(page_id AS STRING), \'</dd></dl>\') WHEN 2 THEN concat(\'<a href="/giveaways/c\', CAST(page_id AS STRING), \'a"><b>Camera</b></a><a href="/giveaways/c\', CAST(page_id AS STRING), \'b"><b>Gaming PC</b></a>\') WHEN 3 THEN concat(\'<div data-init="initCampaign({&quot;campaign&quot;:{&quot;key&quot;:&quot;key\', CAST(page_id AS STRING), \'&quot;,&quot;ends_at&quot;:\', CAST(1700000000 + page_id AS STRING), \'},&quot;entry_methods&quot;:[{&quot;entry_type&quot;:&quot;email_subscribe&quot;,&quot;mandatory&quot;:true},{&quot;entry_type&quot;:&quot;referral&quot;,&quot;mandatory&quot;:false}]})"></div>\') WHEN 4 THEN concat(\'<a href="/out?chi=\', CAST(page_id AS STRING), \'&to=https%3A%2F%2Fh\', CAST(page_id AS STRING), \'.example%2Fwin">Offer \', CAST(page_id AS STRING), \'</a>\') ELSE \'<div data-init="initCampaign({broken"></div>\' END'),
+    ('url', "string", "CASE page_id % 6 WHEN 2 THEN 'https://gleam.io/giveaways?s=n' WHEN 3 THEN concat('https://gleam.io/key', CAST(page_id AS STRING), '/x') WHEN 4 THEN concat('https://sweepwidget.com/c/', CAST(page_id AS STRING), CASE WHEN page_id % 4 = 0 THEN '-slug' ELSE '' END) WHEN 5 THEN CASE page_id % 5 WHEN 0 THEN 'https://gleam.io/privacy' WHEN 1 THEN concat('https://gleam.io/giveaways/ab', CAST(page_id AS STRING)) ELSE concat('https://gleam.io/bad', CAST(page_id AS STRING), '/x') END ELSE url END"),
+    ('http_status', "int", 'CASE WHEN page_id % 30 = 5 THEN 404 WHEN page_id % 42 = 11 THEN 302 ELSE 200 END'),
+    ('html', "string", 'concat(CASE WHEN page_id % 66 = 17 THEN \'\' ELSE html END, CASE page_id % 6 WHEN 0 THEN concat(\'<h1>Item \', CAST(page_id AS STRING), \'</h1><p>Promoter\', chr(10), \'Org \', CAST(page_id % 7 AS STRING), chr(10), \'Closing Date\', chr(10), \'2026-10-01</p>\') WHEN 1 THEN concat(\'<dl><dt>Open to</dt><dd>\', CASE WHEN page_id % 4 = 1 THEN \'Worldwide\' ELSE \'United States\' END, \'</dd><dt>Prize</dt><dd>Box \', CAST(page_id AS STRING), \'</dd></dl>\') WHEN 2 THEN concat(\'<a href="/giveaways/c\', CAST(page_id AS STRING), \'a"><b>Camera</b></a><a href="/giveaways/c\', CAST(page_id AS STRING), \'b"><b>Gaming PC</b></a>\') WHEN 3 THEN concat(\'<div data-init="initCampaign({&quot;campaign&quot;:{&quot;key&quot;:&quot;key\', CAST(page_id AS STRING), \'&quot;,&quot;ends_at&quot;:\', CAST(1700000000 + page_id AS STRING), \'},&quot;entry_methods&quot;:[{&quot;entry_type&quot;:&quot;email_subscribe&quot;,&quot;mandatory&quot;:true},{&quot;entry_type&quot;:&quot;referral&quot;,&quot;mandatory&quot;:false}]})"></div>\') WHEN 4 THEN concat(\'<a href="/out?chi=\', CAST(page_id AS STRING), \'&to=https%3A%2F%2Fh\', CAST(page_id AS STRING), \'.example%2Fwin">Offer \', CAST(page_id AS STRING), \'</a>\') ELSE CASE page_id % 11 WHEN 0 THEN \'\' WHEN 1 THEN \'<meta http-equiv="refresh" content="0">\' WHEN 6 THEN \' \' ELSE \'<div data-init="initCampaign({broken"></div>\' END END)'),
 ]
 
 _STORED_ACTIONS: Columns = [

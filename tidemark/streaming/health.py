@@ -31,23 +31,53 @@ def stream_dedup(candidates: DataFrame, at: str = "seen_at", late: str = "1 day"
     return candidates.withWatermark(at, late).dropDuplicatesWithinWatermark(["canonical_url"])
 
 
-def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(frames)).sort_values(["started_at", "id"], kind="stable")
-    failures, last, last_id = state.get if state.exists else (0, None, -1)
-    for r in rows.itertuples():
-        # Rows older than what is folded already come too late to change a streak.
-        if last is not None and (r.started_at.value // 1000, r.id) <= (last, last_id):
+#: What a fold keeps of a key: the last reset, the counted events since then (one by one while rows may still come before them, else as a number), and the latest event.
+_STREAK = "reset_at long, reset_id long, settled long, ats array<long>, ids array<long>, last_at long, last_id long"
+_EMPTY = (-1, -1, 0, [], [], -1, -1)
+
+
+def _streak(kept: tuple, events: list[tuple[int, int, bool, bool]], late_micros: int) -> tuple:
+    """The kept state after events ``(at, id, resets, counts)`` in any order.
+
+    Events counted since the last reset stay one by one for ``late_micros`` behind the latest event,
+    so a late reset or failure falls into its place; what comes later than that is left out.
+    """
+    reset, settled, last = (kept[0], kept[1]), kept[2], (kept[5], kept[6])
+    open_ = set(zip(kept[3], kept[4], strict=True))
+    last = max([last, *((at, i) for at, i, *_ in events)])
+    horizon = last[0] - late_micros
+    for at, i, resets, counts in events:
+        if at < horizon or (at, i) <= reset:
             continue
-        failures, last, last_id = (failures + 1 if r.failed else 0), r.started_at.value // 1000, r.id
-    state.update((failures, last, last_id))
-    wait = min(BACKOFF_MINUTES * 2 ** min(failures - 1, 20), BACKOFF_MOST) if failures else 0
-    yield pd.DataFrame({"source_id": [key[0]], "consecutive_failures": [failures], "last_run_at": [pd.Timestamp(last * 1000)], "backoff_minutes": [wait]})
+        if resets:
+            # Settled events are older than any that may still come, so a reset is behind them all.
+            reset, settled, open_ = (at, i), 0, {x for x in open_ if x > (at, i)}
+        elif counts:
+            open_.add((at, i))
+    old = {x for x in open_ if x[0] < horizon}
+    open_ = sorted(open_ - old)
+    return (*reset, settled + len(old), [x[0] for x in open_], [x[1] for x in open_], *last)
 
 
-def stream_source_health(runs: DataFrame) -> DataFrame:
-    """Failures in a row and the back-off of each source, updated by micro-batch; state is three numbers a source."""
+def _micros(interval: str) -> int:
+    return int(pd.Timedelta(interval).value // 1000)
+
+
+def stream_source_health(runs: DataFrame, late: str = "7 days") -> DataFrame:
+    """Failures in a row and the back-off of each source, updated by micro-batch. Rows that come up to ``late`` behind a source's latest run are counted in their place; later ones are left out."""
+    horizon = _micros(late)
+
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames))
+        events = [(r.started_at.value // 1000, int(r.id), not r.failed, bool(r.failed)) for r in rows.itertuples()]
+        now = _streak(state.get if state.exists else _EMPTY, events, horizon)
+        state.update(now)
+        failures = now[2] + len(now[3])
+        wait = min(BACKOFF_MINUTES * 2 ** min(failures - 1, 20), BACKOFF_MOST) if failures else 0
+        yield pd.DataFrame({"source_id": [key[0]], "consecutive_failures": [failures], "last_run_at": [pd.Timestamp(now[5] * 1000)], "backoff_minutes": [wait]})
+
     keyed = runs.select("source_id", "id", F.col("started_at").cast("timestamp"), "failed")
-    return keyed.groupBy("source_id").applyInPandasWithState(_fold, _HEALTH, "failures long, last long, last_id long", "update", GroupStateTimeout.NoTimeout)
+    return keyed.groupBy("source_id").applyInPandasWithState(fold, _HEALTH, _STREAK, "update", GroupStateTimeout.NoTimeout)
 
 
 def drained(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
@@ -61,20 +91,56 @@ def drained(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFra
 _LINKS = "giveaway_id long, entry_check_fail_count long, entry_url_status string, checked_at timestamp, rejected boolean"
 
 
-def _fold_checks(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(frames)).sort_values(["checked_at", "check_id"], kind="stable")
-    fails, status, last, last_id, gone = state.get if state.exists else (0, "", None, -1, False)
-    for r in rows.itertuples():
-        if last is not None and (r.checked_at.value // 1000, r.check_id) <= (last, last_id):
-            continue
-        fails = 0 if r.outcome == "live" else fails + (r.outcome in ("temporary_error", "gone"))
-        status, last, last_id, gone = r.outcome, r.checked_at.value // 1000, r.check_id, gone or r.outcome == "gone"
-    state.update((fails, status, last, last_id, gone))
-    yield pd.DataFrame({"giveaway_id": [key[0]], "entry_check_fail_count": [fails], "entry_url_status": [status], "checked_at": [pd.Timestamp(last * 1000)], "rejected": [gone]})
+def stream_link_health(checks: DataFrame, late: str = "7 days") -> DataFrame:
+    """Failures since the last live check, the latest outcome and whether any was gone, of each giveaway. Rows that come up to ``late`` behind a giveaway's latest check are counted in their place; later ones are left out."""
+    horizon = _micros(late)
 
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames))
+        *kept, status, gone = state.get if state.exists else (*_EMPTY, "", False)
+        events = [(r.checked_at.value // 1000, int(r.check_id), r.outcome == "live", r.outcome in ("temporary_error", "gone")) for r in rows.itertuples()]
+        now = _streak(tuple(kept), events, horizon)
+        latest = {(at, i): o for (at, i, *_), o in zip(events, rows["outcome"], strict=True)}.get((now[5], now[6]), status)
+        gone = bool(gone or any(o == "gone" and e[0] >= now[5] - horizon for e, o in zip(events, rows["outcome"], strict=True)))
+        state.update((*now, latest, gone))
+        yield pd.DataFrame({"giveaway_id": [key[0]], "entry_check_fail_count": [now[2] + len(now[3])], "entry_url_status": [latest], "checked_at": [pd.Timestamp(now[5] * 1000)], "rejected": [gone]})
 
-def stream_link_health(checks: DataFrame) -> DataFrame:
-    """Failures since the last live check and the latest outcome of each giveaway; rows older than what is folded are left out."""
     keyed = checks.select("giveaway_id", "check_id", F.col("checked_at").cast("timestamp"), link_outcome(F.col("http_status")).alias("outcome"))
-    shape = "fails long, status string, last long, last_id long, gone boolean"
-    return keyed.groupBy("giveaway_id").applyInPandasWithState(_fold_checks, _LINKS, shape, "update", GroupStateTimeout.NoTimeout)
+    return keyed.groupBy("giveaway_id").applyInPandasWithState(fold, _LINKS, f"{_STREAK}, status string, gone boolean", "update", GroupStateTimeout.NoTimeout)
+
+
+def stream_last_day(events: DataFrame, at: str = "started_at", late: str = "2 days") -> DataFrame:
+    """Runs, pages and errors of the 24 hours up to each full hour; exact to that hour, closed windows are appended once."""
+    counts = events.withWatermark(at, late).groupBy(F.window(at, "24 hours", "1 hour")).agg(F.count(F.lit(1)).alias("runs"), F.sum("pages_fetched").alias("pages"), F.sum("errors_count").alias("errors"))
+    return counts.select(F.col("window.end").alias("up_to"), "runs", "pages", "errors")
+
+
+def stream_reminders(changes: DataFrame, late: str = "1 hour") -> DataFrame:
+    """``(giveaway_id, remind_at)`` once a reminder is due by the stream's time: some whole hours (1 to 720) after the latest change, unless that change cleared it or the giveaway is ignored.
+
+    ``changes(giveaway_id, change_id, changed_at, hours, manual_status)``; state is three values a
+    giveaway and goes once it is due.
+    """
+
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            at = state.get[2]
+            state.remove()
+            yield pd.DataFrame({"giveaway_id": [key[0]], "remind_at": [pd.Timestamp(at * 1000)]})
+            return
+        last, last_id, due = state.get if state.exists else (-1, -1, -1)
+        for r in pd.concat(list(frames)).itertuples():
+            at = r.changed_at.value // 1000
+            hours = None if pd.isna(r.hours) else int(r.hours // 1)
+            if (at, r.change_id) <= (last, last_id) or (hours is not None and not 1 <= hours <= 720):
+                continue
+            last, last_id, due = at, int(r.change_id), -1 if hours is None or r.manual_status == "ignored" else at + hours * 3_600_000_000
+        state.update((last, last_id, due))
+        if due >= 0:
+            # Timers run behind the watermark: one that has passed already is due with the next batch.
+            state.setTimeoutTimestamp(max(due // 1000, state.getCurrentWatermarkMs() + 1))
+        return
+        yield
+
+    keyed = changes.select("giveaway_id", "change_id", F.col("changed_at").cast("timestamp"), "hours", "manual_status").withWatermark("changed_at", late)
+    return keyed.groupBy("giveaway_id").applyInPandasWithState(fold, "giveaway_id long, remind_at timestamp", "last long, last_id long, due long", "append", GroupStateTimeout.EventTimeTimeout)
