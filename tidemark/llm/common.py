@@ -16,17 +16,70 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Scratch folders that this driver has handed out and not released yet.
+_handed_out: list[str] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a fresh local one only where none is configured."""
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+
+    In local mode a fresh temporary folder stands in where none is named; on a cluster that is an
+    error, since executors would each write to a disk of their own.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _handed_out.append(path)
+    return path
+
+
+def written() -> int:
+    """How many scratch tables have been handed out so far and not released."""
+    return len(_handed_out)
+
+
+def release(spark: SparkSession, *keep: DataFrame, since: int = 0) -> int:
+    """Delete the scratch tables written after the first ``since``, but those that the tables of ``keep`` read; how many were deleted.
+
+    For the caller who has written or used up what the operators returned: their results read the
+    scratch tables until then.
+    """
+    files = [f for df in keep for f in df.inputFiles()]
+    older, newer = _handed_out[:since], _handed_out[since:]
+    held = [p for p in newer if any(p.rsplit("/", 1)[1] in f for f in files)]
+    gone = [p for p in newer if p not in held]
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in gone:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(conf).delete(at, True)
+    _handed_out[:] = older + held
+    return len(gone)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores behind it until no column of ``df`` has it in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def shield(df: DataFrame, prefix: str) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with the columns that begin with an operator's own prefix out of its way, and what names them back (for ``withColumnsRenamed``)."""
+    clash = [c for c in df.columns if c.lower().startswith(prefix)]
+    away = dict(zip(clash, fresh(df, *(f"kept{c}" for c in clash)), strict=True))
+    return df.withColumnsRenamed(away), {v: k for k, v in away.items()}
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
