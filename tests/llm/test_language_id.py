@@ -61,3 +61,69 @@ def test_codewords_are_distinct_and_far():
         m = language_id.codewords(n)
         apart = (m.shape[1] - (m @ m.T)) / 2 + np.eye(n) * 999
         assert m.shape[0] == n and apart.min() >= (1 if n < 3 else m.shape[1] / 5)
+
+
+def test_repeated_ids_teach_once(spark):
+    rng = random.Random(5)
+    many = [(7, " ".join(rng.choice(SYLLABLES["bb"]) for _ in range(20)), "bb", 0.5, "") for _ in range(5000)]
+    rows = [r for r in corpus(["aa"], 300) if r[2]] + many + [(8, "гдежзи " * 5, "bb", 0.5, "")]
+    df = spark.createDataFrame(rows, DOCS).repartition(6)
+    model = language_id.train(df, F.lit(True), sample=100)
+    assert model.languages == ["aa", "bb"]
+    assert language_id.train(spark.createDataFrame(many, DOCS), F.lit(True), sample=10).languages == ["bb"]
+    x = language_id.features(many[0][1], language_id.DIMS)
+    assert model.decode(x)[0] == "bb"
+    with pytest.raises(ValueError):
+        language_id.LANGUAGES, kept = 1, language_id.LANGUAGES
+        try:
+            language_id.train(df, F.lit(True))
+        finally:
+            language_id.LANGUAGES = kept
+
+
+def brute_features(text):
+    """The n-grams of a text one by one, hashed with the published constants."""
+    mask = 0xFFFFFFFF
+    c, last = [0], 0
+    for x in text.lower():
+        v = ord(x) if x.isalpha() else 0
+        if v or last:
+            c.append(v)
+        last = v
+    if c[-1]:
+        c.append(0)
+    one, two, three = 2654435761, 2246822519, 3266489917
+    counts = {}
+
+    def add(h):
+        counts[h >> 22] = counts.get(h >> 22, 0) + 1
+
+    pair = lambda a, b: ((((a * one & mask) ^ ((a * one & mask) >> 15)) * two) + b) & mask
+    for i, a in enumerate(c):
+        if a:
+            add(a * one & mask)
+        if i + 1 < len(c):
+            h = pair(a, c[i + 1])
+            add(h * one & mask)
+            if i + 2 < len(c):
+                add((((h ^ (h >> 13)) * three) + c[i + 2]) & mask)
+    n = sum(counts.values())
+    return {k: v / n for k, v in counts.items()}
+
+
+def test_matches_brute_force(spark, tmp_path):
+    """Every prediction again, by loops over n-grams, codewords and losses, from the fitted weights."""
+    names = sorted(SYLLABLES)[:5]
+    rows = corpus(names, 300, seed=8)
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in registry.op4_language_id(spark, str(tmp_path)).collect()}
+    learn = [r for r in rows if r[2] and zlib.crc32(str(r[0]).encode()) % 5]
+    dense = lambda f: np.array([np.float32(f.get(d, 0.0)) for d in range(language_id.DIMS)], float)
+    m = language_id.fit([r[2] for r in sorted(learn)], np.array([dense(brute_features(r[1])) for r in sorted(learn)]))
+    for i, text, *_ in rows:
+        x = brute_features(text)
+        margins = [min(8, max(-8, sum(v * m.weights[d, b] for d, v in x.items()) + m.bias[b])) for b in range(m.codes.shape[1])]
+        loss = {v: sum(t * np.exp(-w * g) for t, w, g in zip(m.trust, m.codes[k], margins, strict=True)) for k, v in enumerate(m.languages)}
+        best = min(loss, key=lambda v: (loss[v], v))
+        assert got[i].lang_pred == best
+        assert abs(got[i].score - (1 / loss[best]) / sum(1 / y for y in loss.values())) < 1e-5

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: Labelled texts that each language teaches with at most; hashed n-gram dimensions; ridge penalty.
 SAMPLE, DIMS, RIDGE = 1500, 1024, 1e-3
+#: Labelled texts that teach in all (each 4 * DIMS bytes on the driver), and languages, at most.
+ROWS, LANGUAGES = 12_000, 1000
 #: Bits of a code where the two-way splits of the languages are too many to take all.
 MIN_BITS, ALL_SPLITS = 15, 31
 #: A text is ambiguous if its least loss is more than this share of the next.
@@ -110,16 +112,29 @@ def fit(languages: list[str], x: np.ndarray) -> Model:
     return Model(names, codes, 3 * w, 3 * (offset - mean @ w), trust / trust.sum())
 
 
-def train(docs: DataFrame, may_learn: Column, sample: int = SAMPLE, dims: int = DIMS) -> Model | None:
-    """A model of the rows with ``may_learn`` and a language: at most ``sample`` of each, the first by a hash of their id. None if there is no such row with a letter."""
-    usable = docs.where(may_learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    hashed = usable.select("doc_id", "lang", F.xxhash64("doc_id", F.lit("language")).alias("h"))
-    # Hashes beyond some multiple of the sample's share of a language can't be among its first, so no task ranks a language.
-    sizes = hashed.groupBy("lang").agg(F.count("*").alias("n"))
-    share = (F.col("h") / F.lit(2.0**64) + 0.5) * F.col("n")
-    low = hashed.join(F.broadcast(sizes), "lang").where(share <= 2 * sample + 100)
+def train(docs: DataFrame, may_learn: Column, sample: int = SAMPLE, dims: int = DIMS, rows: int = ROWS) -> Model | None:
+    """A model of the rows with ``may_learn``, a language and a letter. None if there is no such row.
+
+    A language teaches with at most ``sample`` documents and its share of ``rows``, the first by a
+    hash of their id. An id counts once, however many rows repeat it: the row of its least language,
+    then of the least hash of its text, teaches. Rows without an id teach nothing. More than
+    ``LANGUAGES`` languages are an error.
+    """
+    usable = docs.where(may_learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    usable = usable.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
+    hashed = usable.select("doc_id", "lang", F.xxhash64("text").alias("t"), F.xxhash64("doc_id", F.lit("language")).alias("h"))
+    # About how many ids a language has: ids whose hash is beyond twice the sample's share of them can't be among the first.
+    sizes = hashed.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).limit(LANGUAGES + 1).collect()
+    if not sizes:
+        return None
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    each = min(sample, max(1, rows // len(sizes)))
+    known = docs.sparkSession.createDataFrame([(r.lang, r.n) for r in sizes], "lang string, n long")
+    low = hashed.join(F.broadcast(known), "lang").where((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("n") <= 2 * each + 100)
+    one = low.groupBy("doc_id", "h").agg(F.min(F.struct("lang", "t")).alias("k")).select("doc_id", "h", "k.lang", "k.t")
     first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = low.withColumn("r", F.row_number().over(first)).where(F.col("r") <= sample).select("doc_id").distinct()
+    ids = one.withColumn("r", F.row_number().over(first)).where(F.col("r") <= each).select("doc_id", "lang", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -127,11 +142,12 @@ def train(docs: DataFrame, may_learn: Column, sample: int = SAMPLE, dims: int =
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], ["doc_id", "lang", "x"])
 
-    chosen = usable.select(F.col("doc_id").cast("long"), "lang", "text").join(F.broadcast(ids), "doc_id")
-    rows = sorted(chosen.mapInArrow(run, "doc_id long, lang string, x binary").collect())
-    if not rows:
+    # At most each * LANGUAGES ids, so they are broadcast; rows that repeat one come down to one before the driver sees them.
+    chosen = usable.withColumn("t", F.xxhash64("text")).join(F.broadcast(ids), ["doc_id", "lang", "t"]).select("doc_id", "lang", "text")
+    taught = sorted(chosen.mapInArrow(run, "doc_id long, lang string, x binary").dropDuplicates(["doc_id"]).collect())
+    if not taught:
         return None
-    return fit([r.lang for r in rows], np.array([np.frombuffer(r.x, np.float32) for r in rows], np.float64))
+    return fit([r.lang for r in taught], np.array([np.frombuffer(r.x, np.float32) for r in taught], np.float64))
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id") -> DataFrame:
