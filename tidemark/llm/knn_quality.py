@@ -107,7 +107,8 @@ def fit(x: np.ndarray, labels: np.ndarray, rank: int = RANK) -> Space:
 def train(docs: DataFrame, labels: DataFrame, may_learn: Column, sample: int = SAMPLE, rank: int = RANK) -> Space | None:
     """A space of at most ``sample`` rows with ``may_learn`` and a label, the first by a hash of their id; None if there is none.
 
-    A document with contradicting labels, or none, teaches nothing.
+    A document with contradicting labels, or none, teaches nothing. An id that several rows repeat
+    teaches once, with the row of the least hash of its text.
     """
     sure = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & may_learn).groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("most")).where("label = most").drop("most")
     ids = sure.orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id").limit(sample)
@@ -115,10 +116,11 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, sample: int = S
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t.as_py()).astype(np.float32).tobytes() for t in b.column(2)], pa.binary())], ["doc_id", "label", "x"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([features(t.as_py()).astype(np.float32).tobytes() for t in b.column(3)], pa.binary())], ["doc_id", "label", "t", "x"])
 
-    chosen = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id").select("doc_id", F.col("label").cast("int"), "text")
-    rows = sorted(chosen.mapInArrow(run, "doc_id long, label int, x binary").collect())
+    chosen = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("t"), "text").join(F.broadcast(ids), "doc_id").select("doc_id", F.col("label").cast("int"), "t", "text")
+    taught = chosen.mapInArrow(run, "doc_id long, label int, t long, x binary").groupBy("doc_id", "label").agg(F.min_by("x", "t").alias("x"))
+    rows = sorted(taught.collect())
     if not rows:
         return None
     return fit(np.array([np.frombuffer(r.x, np.float32) for r in rows], np.float64), np.array([r.label for r in rows], np.float64), rank)
