@@ -23,15 +23,15 @@ def brute(rows, every, k, scale=256):
 
 def test_matches_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk_search, "VECTOR_BLOCK", 60)
-    monkeypatch.setattr(topk_search, "QUERY_BLOCK", 8)
     rng = random.Random(2)
     f = lambda: rng.randint(-2048, 2048) / 1024
     rows = [(i, [f() * (1 if d < 6 else 0.1) for d in range(40)], "a", "b") for i in range(300)]
     rows += [(i, list(rows[i % 7][1]), None, None) for i in range(300, 340)]
     rows += [(400, None, "", ""), (401, [], "", ""), (450, [], "", ""), (402, [1.0, None], "", ""), (403, [float("nan")] * 40, "", ""), (404, [float("inf")] * 40, "", ""), (None, [1.0] * 40, "", ""), (500, [1.0, 2.0], "", ""), (501, [3.0, 1.0], "", "")]
     df = spark.createDataFrame(rows, TABLE).repartition(5)
-    got = sorted(map(tuple, topk_search.top_k(df, lambda i: i % 50 == 0).collect()))
-    assert got == brute(rows, 50, 5)
+    for wave_bytes in (64 << 20, 1000):  # one wave, and a query or two a wave
+        got = sorted(map(tuple, topk_search.top_k(df, lambda i: i % 50 == 0, wave_bytes=wave_bytes).collect()))
+        assert got == brute(rows, 50, 5)
 
 
 def test_huge_components_and_empty(spark):

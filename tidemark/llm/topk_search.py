@@ -6,12 +6,15 @@ dimension block, largest query mass first. After each, what a vector can still g
 the product of the remaining norms; vectors whose best case is under the k-th best worst case are
 dropped, and the survivors are compacted.
 
-The stated queries are themselves packed in blocks; each pair of a query block and a vector block
-is one unit of work that yields at most k rows a query, merged by one grouped sort.
+The stated queries go in waves of a bounded size: a wave is broadcast, and the tasks that read the
+vectors hold each of their blocks against it where it lies, so vectors are never shuffled and a
+query is sent once to an executor. What a task has found for a query bounds its search in the
+task's next blocks. A task yields at most k rows a query, merged by one grouped sort.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,8 +24,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import stored
 
-#: Vectors and queries in a block, and dimensions accumulated between two prunings.
-VECTOR_BLOCK, QUERY_BLOCK, STEP = 8192, 512, 8
+#: Vectors in a block, bytes of the queries of a wave, and dimensions accumulated between two prunings.
+VECTOR_BLOCK, WAVE_BYTES, STEP = 8192, 64 << 20, 8
 _EXACT = 1 << 53
 
 
@@ -34,55 +37,73 @@ def quantise(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataF
     return kept.select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda e: F.floor(e * scale).cast("long")).alias("v"))
 
 
-def _blocks(vectors: DataFrame, name: str, n: int) -> DataFrame:
-    """Vectors of one length in ``n`` blocks by hash: ``(dim, <name>, <name>_members)``."""
-    at = F.pmod(F.xxhash64("id", "v"), F.lit(n)).alias(name)
-    return vectors.select(F.size("v").alias("dim"), at, F.struct("id", "v").alias("m")).groupBy("dim", name).agg(F.collect_list("m").alias(f"{name}_members"))
+def _by_length(ids: pa.Array, vectors: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors as rows of a matrix, for each length that occurs."""
+    flat, off = vectors.flatten().to_numpy(zero_copy_only=False), vectors.offsets.to_numpy() - vectors.offsets[0].as_py()
+    sizes, ids = np.diff(off), ids.to_numpy(zero_copy_only=False)
+    for n in np.unique(sizes):
+        rows = np.flatnonzero(sizes == n)
+        yield ids[rows], flat[off[rows][:, None] + np.arange(n)]
 
 
-def _upto(n: int) -> Column:
-    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+def search_block(queries: np.ndarray, query_ids: np.ndarray, columns: np.ndarray, ids: np.ndarray, k: int, least: np.ndarray | None = None) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """For each query its row and its k best ``(-score, id)`` in one vertical block, best first, ties to the smaller id, without the query's own id.
 
-
-def _matrix(members: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-    """Ids, and vectors as rows."""
-    m = members.values
-    ids = m.field("id").to_numpy(zero_copy_only=False)
-    return ids, m.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-
-
-def search_block(queries: np.ndarray, query_ids: np.ndarray, columns: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
-    """``(query_id, id, score)`` of each query's k best in one vertical block, ties to the smaller id, without the query's own id."""
+    ``least`` is what a query's k-th best of other blocks scores (None or -inf: nothing known);
+    vectors that can't reach it may be left out.
+    """
     dim, n = columns.shape
     largest = max(1, int(np.abs(columns).max(initial=0))) * max(1, int(np.abs(queries).max(initial=0))) * max(1, dim)
     exact = np.float64 if largest < _EXACT else object
     cols, real = columns.astype(exact), columns.astype(np.float64)
-    for q, own in zip(queries, query_ids, strict=True):
+    for row, (q, own) in enumerate(zip(queries, query_ids, strict=True)):
         order = np.argsort(-np.abs(q), kind="stable")
         alive = np.flatnonzero(ids != own)
         score = np.zeros(len(alive), exact)
-        mass = np.zeros(n)
-        rest = (real * real).sum(axis=0)[alive] if n else mass
+        rest = (real * real).sum(axis=0)[alive]
         q_rest = float((q.astype(np.float64) ** 2).sum())
+        floor = -np.inf if least is None else least[row]
         for lo in range(0, dim, STEP):
             dims = order[lo : lo + STEP]
             part = cols[np.ix_(dims, alive)]
             score = score + q[dims].astype(exact) @ part
             rest = rest - (real[np.ix_(dims, alive)] ** 2).sum(axis=0)
             q_rest -= float((q[dims].astype(np.float64) ** 2).sum())
-            if lo + STEP < dim and len(alive) > k:
+            if lo + STEP < dim and len(alive):
                 reach = np.sqrt(np.maximum(rest, 0) * max(q_rest, 0)) * (1 + 1e-9) + 1
                 now = score.astype(np.float64)
-                worst = np.partition(now - reach, len(alive) - k)[len(alive) - k]
-                keep = now + reach >= worst - np.abs(worst) * 1e-9
+                worst = np.partition(now - reach, len(alive) - k)[len(alive) - k] if len(alive) > k else -np.inf
+                worst = max(worst, floor)
+                keep = now + reach >= worst - (np.abs(worst) * 1e-9 if np.isfinite(worst) else 0)
                 if keep.sum() < len(alive):
                     alive, score, rest = alive[keep], score[keep], rest[keep]
-        best = sorted(zip((-score).tolist(), ids[alive].tolist(), strict=True))[:k]
-        for s, i in best:
-            yield int(own), int(i), max(-(1 << 63), min((1 << 63) - 1, -int(s)))
+        yield row, sorted(zip((-score).tolist(), ids[alive].tolist(), strict=True))[:k]
+
 
+def _search_wave(wave: list[tuple[np.ndarray, np.ndarray]], k: int):
+    """Holds every block of vectors against the wave's queries; yields each query's k best of the task."""
 
-def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [[[] for _ in ids] for ids, _ in wave.value]
+        for b in batches:
+            for lo in range(0, b.num_rows, VECTOR_BLOCK):
+                part = b.slice(lo, VECTOR_BLOCK)
+                for ids, v in _by_length(part.column(0), part.column(1)):
+                    for (query_ids, q), own in zip(wave.value, best, strict=True):
+                        if q.shape[1] != v.shape[1]:
+                            continue
+                        least = np.array([-float(x[-1][0]) if len(x) == k else -np.inf for x in own])
+                        for row, found in search_block(q, query_ids, np.ascontiguousarray(v.T), ids, k, least):
+                            own[row] = sorted(own[row] + found)[:k]
+        clamp = lambda s: max(-(1 << 63), min((1 << 63) - 1, -int(s)))
+        rows = [(int(q), int(i), clamp(s)) for (ids, _), own in zip(wave.value, best, strict=True) for q, x in zip(ids, own, strict=True) for s, i in x]
+        found = np.array(rows, np.int64).reshape(-1, 3)
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, c]) for c in range(3)], ["query_id", "vec_id", "score"])
+
+    return run
+
+
+def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256, wave_bytes: int = WAVE_BYTES) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: each query row's k best integer inner products over all other rows.
 
     Fewer than k rows where there are fewer candidates. Vectors of another length than the query's
@@ -91,24 +112,21 @@ def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 5,
     Scores outside the range of a long are clamped to it. Empty tables and tables without queries
     give no rows. Other columns are ignored.
 
-    The grid of vector blocks and query blocks follows the two counts, so a cell's size is bounded
-    at every scale; each vector block is sent once for each query block.
+    A wave holds at most about ``wave_bytes`` of queries, which pass the driver; the vectors are
+    read once a wave, and only each task's best are shuffled.
     """
     ints = stored(quantise(vectors, id_col, vec_col, scale), "ints")
-    asked = ints.where(is_query(F.col("id"))).groupBy("id").agg(F.min("v").alias("v"))
-    counts = ints.agg(F.count("*"), F.count_if(is_query(F.col("id")))).first()
-    rows, cols = (1 + n // size for n, size in zip(counts, (VECTOR_BLOCK, QUERY_BLOCK), strict=True))
-    left = _blocks(ints, "v_block", rows).withColumn("q_block", F.explode(_upto(cols)))
-    right = _blocks(asked, "q_block", cols).withColumn("v_block", F.explode(_upto(rows)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for members, queries in zip(b.column(0), b.column(1), strict=True):
-                (ids, v), (query_ids, q) = _matrix(members), _matrix(queries)
-                found = np.array(list(search_block(q, query_ids, np.ascontiguousarray(v.T), ids, k)), np.int64).reshape(-1, 3)
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, c]) for c in range(3)], ["query_id", "vec_id", "score"])
-
-    cells = left.join(right, ["dim", "v_block", "q_block"]).select("v_block_members", "q_block_members")
-    local = cells.mapInArrow(run, "query_id long, vec_id long, score long")
+    asked = stored(ints.where(is_query(F.col("id"))).groupBy("id").agg(F.min("v").alias("v")), "asked")
+    counts = ints.agg(F.count("*").alias("n")).first()
+    size = asked.agg(F.sum(16 + 8 * F.size("v").cast("long")).alias("n")).first().n or 0
+    waves = 1 + size // max(1, wave_bytes // 2)
+    tasks = 1 + counts.n // VECTOR_BLOCK
+    sc, found = vectors.sparkSession.sparkContext, []
+    for w in range(waves):
+        mine = asked.where(F.pmod(F.xxhash64("id"), F.lit(waves)) == w).toArrow().combine_chunks()
+        blocks = [x for b in mine.to_batches() for x in _by_length(b.column(0), b.column(1))]
+        if blocks or not w:
+            found.append(ints.coalesce(tasks).mapInArrow(_search_wave(sc.broadcast(blocks), k), "query_id long, vec_id long, score long"))
+    local = functools.reduce(DataFrame.unionByName, found)
     by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return local.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
