@@ -5,8 +5,8 @@ size: sources above that are clamped and their excess goes to the rest by weight
 above. A source's target is then met by whole repetitions of all its documents and one fractional
 repetition: documents in a seeded random order are added while they bring the total nearer.
 
-Documents are ordered within buckets of their hash, so the running total over a source is a small
-table of bucket sums and one bucket that is sorted; no task ever holds a source.
+Documents are ordered within buckets of a hash of their id and text, so the running total over a
+source is a small table of bucket sums and one bucket that is sorted; no task ever holds a source.
 """
 
 from __future__ import annotations
@@ -57,8 +57,8 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = (5, 2, 1), share: float = 1.5,
     """``(doc_id, source, text_key, size, source_size, target, copies, taken)`` for every row of ``docs``.
 
     ``copies`` is how often the mixture holds the document and ``taken = copies * size``. The order
-    of the fractional repetition is by an MD5 of seed, doc_id and the text's XXH64, so reruns agree;
-    repeated rows are interchangeable. Null texts have size 0; a null source is a source of its own;
+    of the fractional repetition is by an MD5 of seed, doc_id and the text's MD5, so reruns agree;
+    rows that repeat both are interchangeable. Null texts have size 0; a null source is a source of its own;
     an empty table gives no rows. Columns other than doc_id, source and text are ignored.
     """
     sized = stored(
@@ -67,7 +67,7 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = (5, 2, 1), share: float = 1.5,
             "source",
             F.xxhash64("text").alias("text_key"),
             word_count(F.col("text")).alias("size"),
-            F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("h"),
+            F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.md5("text"), F.lit("")))).alias("h"),
         ).withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS)),
         "sized",
     )
@@ -89,7 +89,7 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = (5, 2, 1), share: float = 1.5,
     d, p = sized.alias("d"), plan.alias("p")
     dealt = d.join(p, (F.col("d.bucket") == F.col("p.bucket")) & F.col("d.source").eqNullSafe(F.col("p.source")))
     dealt = dealt.select("d.doc_id", "d.source", "text_key", "size", "h", "d.bucket", "before", "source_size", "target", "whole", "part", "all", "edge")
-    run = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "text_key").rowsBetween(Window.unboundedPreceding, -1)
+    run = Window.partitionBy("source", "bucket").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
     at_edge = dealt.where("edge").withColumn("so_far", F.col("before") + F.coalesce(F.sum("size").over(run), F.lit(0)))
     at_edge = at_edge.withColumn("extra", (2 * (F.col("part") - F.col("so_far")) >= F.col("size")) & (F.col("so_far") < F.col("part"))).drop("so_far")
     out = dealt.where("not edge").withColumn("extra", F.col("all")).unionByName(at_edge)

@@ -52,28 +52,33 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sql() -> str:
-    templates = ", ".join(f"('{name}', '{text}')" for name, text in license_scan.TEMPLATES.items())
+    wanted = license_scan.template_terms()
+    templates = ", ".join(f"({tid}, '{name}', '{anchor}', {own.index(anchor)}, {len(own)})" for tid, (name, anchor, own) in enumerate(wanted))
+    counts = ", ".join(f"({tid}, '{t}', {own.count(t)})" for tid, (_, _, own) in enumerate(wanted) for t in sorted(set(own)))
     path = OP3_PATH.replace("STRING", "VARCHAR").replace("doc_id DIV 400", "doc_id // 400").replace("doc_id DIV 20", "doc_id // 20").replace("concat('/', source", "concat_ws('', '/', source")
+    term, pattern, e = license_scan.TERM, license_scan.anchor_pattern(), license_scan.SMOOTHING
     return f"""
-WITH templates(license, text) AS (VALUES {templates}),
-tt AS (SELECT license, t, count(*) AS n FROM (SELECT license, unnest(regexp_extract_all(lower(text), '{license_scan.TERM}')) AS t FROM templates) GROUP BY ALL),
-size AS (SELECT count(*) AS n FROM documents),
-df AS (SELECT t, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '{license_scan.TERM}'))) AS t FROM documents) WHERE t IN (SELECT t FROM tt) GROUP BY t),
-idf AS (SELECT v.t, ln((1 + size.n) / (1 + coalesce(df.df, 0))) + 1 AS w FROM (SELECT DISTINCT t FROM tt) v CROSS JOIN size LEFT JOIN df ON v.t = df.t),
-tn AS (SELECT license, sqrt(sum((n * w) ** 2)) AS norm FROM tt JOIN idf USING (t) GROUP BY license),
-files AS (SELECT row_number() OVER () AS k, doc_id, {path} AS path, text FROM documents),
-lines AS (SELECT k, unnest(string_split(lower(text), chr(10))) AS line FROM files),
-numbered AS (SELECT k, row_number() OVER () AS l, line FROM lines WHERE regexp_matches(line, 'licen|rights|redistribution|reserved|apache|mit|gnu|mozilla|cc|released|permitted|public|forms|binary|source|general|code|subject|terms|modification|work|version|under|by|nc|all|use|without|with')),
-words AS (SELECT k, l, t, count(*) AS n FROM (SELECT k, l, unnest(regexp_extract_all(line, '{license_scan.TERM}')) AS t FROM numbered) GROUP BY ALL),
-weighed AS (SELECT k, l, words.t, words.n, coalesce(idf.w, (SELECT ln(1 + n) + 1 FROM size)) AS w FROM words LEFT JOIN idf ON words.t = idf.t),
-lengths AS (SELECT k, l, sqrt(sum((n * w) ** 2)) AS norm FROM weighed GROUP BY ALL),
-cosines AS (
-  SELECT k, license, max(score) AS score FROM (
-    SELECT w.k, w.l, tt.license, round(sum(w.n * tt.n * w.w ** 2 / tn.norm) / any_value(lengths.norm), 6) AS score
-    FROM weighed w JOIN tt ON w.t = tt.t JOIN tn ON tt.license = tn.license JOIN lengths ON w.k = lengths.k AND w.l = lengths.l
-    GROUP BY ALL) GROUP BY ALL),
-own AS (SELECT k, license, score FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, license) AS r FROM cosines WHERE score >= {license_scan.THRESHOLD}) WHERE r = 1),
-matched AS (SELECT f.k, f.doc_id, f.path, regexp_replace(f.path, '[^/]*$', '') AS dir, own.license AS own_license, own.score AS own_score FROM files f LEFT JOIN own ON f.k = own.k),
+WITH templates(tid, license, anchor, before, size) AS (VALUES {templates}),
+own(tid, t, k) AS (VALUES {counts}),
+total AS (SELECT greatest(count(*), 1) AS n FROM documents),
+files AS (SELECT row_number() OVER () AS f, doc_id, {path} AS path, md5(text) AS key, text FROM documents),
+held AS (SELECT DISTINCT key, lower(text) AS low FROM files WHERE regexp_matches(lower(text), '{pattern}')),
+worded AS (SELECT key, regexp_extract_all(low, '{term}') AS all_terms, list_transform(list_filter(string_split(low, chr(10)), lambda x: regexp_matches(x, '{pattern}')), lambda x: regexp_extract_all(x, '{term}')) AS lines FROM held),
+placed AS (SELECT key, tid, all_terms, before, size, unnest(list_filter(range(len(all_terms)), lambda i: all_terms[i + 1] = anchor)) AS p FROM worded, templates),
+cut AS (
+  SELECT key, tid, all_terms[greatest(p - before, 0) + 1 : greatest(p - before, 0) + size - greatest(before - p, 0)] AS terms FROM placed
+  UNION SELECT key, tid, unnest(list_filter(lines, lambda x: list_contains(x, anchor))) FROM worded, templates WHERE size <= {license_scan.NOTICE}),
+passages AS (SELECT row_number() OVER () AS pid, * FROM cut),
+counted AS (SELECT key, tid, pid, t, count(*) AS n FROM (SELECT key, tid, pid, unnest(terms) AS t FROM passages) GROUP BY ALL),
+df AS (SELECT t, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '{term}'))) AS t FROM documents) WHERE t IN (SELECT t FROM counted UNION ALL SELECT t FROM own) GROUP BY t),
+weight AS (SELECT v.t, 1 + ln((1 + {e}) / (coalesce(df, 0) / CAST(total.n AS DOUBLE) + {e})) AS w FROM (SELECT t FROM counted UNION SELECT t FROM own) v CROSS JOIN total LEFT JOIN df ON v.t = df.t),
+norms AS (SELECT tid, sqrt(sum((k * w) ** 2)) AS norm FROM own JOIN weight USING (t) GROUP BY tid),
+given_terms AS (SELECT tid, t, k * w / norm AS v FROM own JOIN weight USING (t) JOIN norms USING (tid)),
+scored AS (
+  SELECT c.key, c.tid, pid, round(sum(n * w * coalesce(v, 0)) / sqrt(sum((n * w) ** 2)), 6) AS score
+  FROM counted c JOIN weight USING (t) LEFT JOIN given_terms g ON c.tid = g.tid AND c.t = g.t GROUP BY ALL),
+best AS (SELECT key, license, score FROM (SELECT key, license, score, row_number() OVER (PARTITION BY key ORDER BY CASE WHEN license = '{license_scan.RESERVED}' THEN 2 WHEN size > {license_scan.NOTICE} AND score >= {license_scan.WHOLE} THEN 0 ELSE 1 END, score DESC, license) AS r FROM scored JOIN templates USING (tid) WHERE score >= {license_scan.THRESHOLD}) WHERE r = 1),
+matched AS (SELECT f.f, f.doc_id, f.path, regexp_replace(f.path, '[^/]*$', '') AS dir, best.license AS own_license, best.score AS own_score FROM files f LEFT JOIN best ON f.key = best.key),
 given AS (SELECT dir, license FROM (SELECT dir, own_license AS license, row_number() OVER (PARTITION BY dir ORDER BY own_score DESC, path) AS r FROM matched WHERE own_license IS NOT NULL AND path LIKE '%/LICENSE') WHERE r = 1),
 nearest AS (
   SELECT m.dir, arg_max(g.license, len(g.dir)) AS license FROM (SELECT DISTINCT dir FROM matched) m JOIN given g ON starts_with(m.dir, g.dir) GROUP BY m.dir)
@@ -119,11 +124,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
-#: Rounds of the water level are a recursion; the order within a source is that of the MD5 of seed and id.
+#: Rounds of the water level are a recursion, one more than there are sources at most; the order within a source is that of the MD5 of seed, id and text.
 OP6_SQL = r"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, source, text, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(md5(text), '')) AS h
   FROM documents),
 src AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -134,14 +139,14 @@ level(n, v) AS (
   UNION ALL
   SELECT n + 1, (SELECT (1.5 * (SELECT sum(source_size) FROM src) - coalesce(sum(CASE WHEN weight * v > 2.0 * source_size THEN 2.0 * source_size END), 0))
                         / sum(CASE WHEN NOT weight * v > 2.0 * source_size THEN weight END) FROM src)
-  FROM level WHERE n < 40),
+  FROM level WHERE n <= (SELECT count(*) FROM src)),
 filled AS (
-  SELECT source, source_size, least(2.0 * source_size, weight * (SELECT v FROM level WHERE n = 40)) AS target FROM src),
+  SELECT source, source_size, least(2.0 * source_size, weight * (SELECT arg_max(v, n) FROM level)) AS target FROM src),
 part AS (
   SELECT source, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM filled),
 dealt AS (
   SELECT d.doc_id, d.size, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS fraction,
-         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY h, d.doc_id, d.text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM sized d JOIN part p ON d.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, size, source_size, target,
        CAST(size * (whole + CASE WHEN before < fraction AND 2 * (fraction - before) >= size THEN 1 ELSE 0 END) AS BIGINT) AS taken
