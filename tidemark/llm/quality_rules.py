@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import words
+from tidemark.llm.common import shield, words
 
 #: Bits of the multinomials' buckets; added to each bucket's count; least mean log ratio of a kept document.
 BUCKET_BITS, SMOOTHING, THRESHOLD = 14, 1.0, -0.06
@@ -71,9 +71,10 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame, bits: int = BUCKET_BITS,
 def _repeats(d: DataFrame) -> DataFrame:
     """Adds ``_qr_repeat``: words in windows of eight that are found twice or more.
 
-    Windows are told apart by 64-bit hashes, built from those of two and four words. Only where two
-    of a text agree are they sorted to find their places; the covered words are the sum of the gaps
-    between those, eight at most each.
+    64-bit hashes, built from those of two and four words, find the windows that may be repeated;
+    those are told apart by their words. Only where two hashes of a text agree are its windows
+    sorted to find the places; the covered words are the sum of the gaps between those, eight at
+    most each.
     """
     n = F.size("_qr_one")
     d = d.withColumn("_qr_four", _pairs(F.col("_qr_two"), 2)).withColumn("_qr_eight", F.slice(_pairs(F.col("_qr_four"), 4), 1, F.greatest(n - WINDOW + 1, F.lit(0))))
@@ -81,7 +82,10 @@ def _repeats(d: DataFrame) -> DataFrame:
     d = d.withColumn("_qr_sorted", F.when(F.size(F.array_distinct(g)) < F.size(g), F.array_sort(F.transform(g, lambda x, i: F.struct(x.alias("g"), i.alias("i"))))))
     s = F.col("_qr_sorted")
     same = lambda x, y: F.coalesce(x["g"] == y["g"], F.lit(False))
-    d = d.withColumn("_qr_at", F.array_sort(F.transform(F.filter(s, lambda x, i: same(x, F.get(s, i - 1)) | same(x, F.get(s, i + 1))), lambda x: x["i"])))
+    d = d.withColumn("_qr_like", F.filter(s, lambda x, i: same(x, F.get(s, i - 1)) | same(x, F.get(s, i + 1))))
+    d = d.withColumn("_qr_told", F.array_sort(F.transform("_qr_like", lambda x: F.struct(F.slice("_qr_words", x["i"] + 1, WINDOW).alias("g"), x["i"].alias("i")))))
+    t = F.col("_qr_told")
+    d = d.withColumn("_qr_at", F.array_sort(F.transform(F.filter(t, lambda x, i: same(x, F.get(t, i - 1)) | same(x, F.get(t, i + 1))), lambda x: x["i"])))
     at = F.col("_qr_at")
     gaps = F.zip_with(at, F.slice(at, 2, F.size(at)), lambda a, b: F.least(b - a, F.lit(WINDOW)))
     return d.withColumn("_qr_repeat", F.when(s.isNull(), F.lit(0)).otherwise(F.aggregate(gaps, F.lit(0), lambda total, x: total + x)).cast("long"))
@@ -94,10 +98,11 @@ def score(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, bit
     and fails the base rules. Null and repeated doc_ids keep their rows; an empty table gives none.
     A column of ``docs`` that is called quality_rules is replaced; all others come through.
     """
+    docs, back = shield(docs.drop(OUT), "_qr_")
     weights = bucket_weights(docs, trusted, bits)
     table = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")  # folded to a constant
     text = F.coalesce(F.col("text"), F.lit(""))
-    d = _repeats(_with_hashes(docs.drop(OUT), F.col("text")))
+    d = _repeats(_with_hashes(docs, F.col("text")))
     d = d.withColumn("_qr_lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     add = lambda total, h: total + F.get(table, _bucket(h, bits))
     n = F.size("_qr_words")
@@ -116,4 +121,4 @@ def score(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, bit
     }
     verdict = F.struct(*[c.alias(k) for k, c in fields.items()])
     # A generator's column: a filter on it stays above, and does not compute the chain once more per mention.
-    return d.select(*docs.drop(OUT).columns, F.explode(F.array(verdict)).alias(OUT))
+    return d.select(*docs.columns, F.explode(F.array(verdict)).alias(OUT)).withColumnsRenamed(back)
