@@ -61,12 +61,34 @@ def test_dealt_buckets_and_long_texts(spark, monkeypatch):
     assert found.columns == ["doc_id", "text", "k1", "at", "ranges"]
 
 
+def test_one_word_over_and_over_stays_small():
+    words = [b"a"] * 10_000
+    runs = list(substring_dedup.super_kmers(words, 35, 6))
+    sizes = [int(b - a + 1) + 34 for _, first, last, _ in runs for a, b in zip(first, last, strict=True)]
+    assert sum(sizes) < 2.1 * len(words) and max(sizes) <= 69
+    assert all(again.all() for _, first, last, again in runs if (last > first).all())
+
+
+def test_ties_of_minimisers(spark):
+    rows = [(i, t, "k", 1, 0.5) for i, t in enumerate(["a " * 35, "a " * 34, "a " * 36, "b " * 200, "a b " * 40, "c d e " * 12 + "c d", "x y " * 17 + "x", "z x y " * 30 + "q", "f g h " * 200 + "i"])]
+    got = substring_dedup.digest(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute(rows, 35)))
+
+
 def test_cut_keeps_other_blanks():
     assert substring_dedup.cut("a  b\nc d\te ", [(1, 3), (2, 4)]) == "a  e "
     assert substring_dedup.cut(" a b", [(0, 2)]) == " "
     assert substring_dedup.cut("é ü", []) == "é ü"
 
 
+def test_clashing_columns_come_through(spark):
+    names = ["_sd_doc", "_sd_text", "_sd_ranges", "ranges", "packed", "salt"]
+    df = spark.createDataFrame([(1, "a b c d e", *names), (2, "a b c d e", *names)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    found = substring_dedup.remove_repeats(df, width=3, seed_words=2, out="spans")
+    assert found.columns == ["doc_id", "text", *names, "spans"]
+    assert all([r[n] for n in names] == names and r.spans for r in found.collect())
+
+
 def test_empty_table(spark):
     assert substring_dedup.digest(spark.createDataFrame([], DOCS)).count() == 0
     assert substring_dedup.digest(spark.createDataFrame([(1, "a b", "", 1, 0.0)], DOCS)).select(F.sum("n_removed")).first()[0] == 0

@@ -1,10 +1,12 @@
 """Repeated passages by super-k-mer partitioning.
 
 A window is ``width`` consecutive words of one text. Each window has a minimiser: the smallest hash
-among its runs of ``seed_words`` words, the leftmost where several are equal. Consecutive windows
-with the same minimiser position form a super-k-mer: a stretch of text that travels once, as one
-packed string, to the bucket of its minimiser. Equal windows have equal minimisers, so a bucket
-that sorts its windows counts them exactly.
+among its runs of ``seed_words`` words. Consecutive windows with the same minimiser form a
+super-k-mer: a stretch of text that travels once, as one packed string, to the bucket of its
+minimiser. Equal windows have equal minimisers, so a bucket that sorts its windows counts them
+exactly. A super-k-mer goes on where the minimiser comes again, so a text of one word over and over
+is cut into stretches of ``width`` windows, twice its size in all; such a stretch may hold equal
+windows itself and counts as two.
 
 Texts travel only where they may matter: references to all super-k-mers (a hash, a place) are counted
 by minimiser first, and those whose minimiser occurs once in the corpus are settled by that.
@@ -26,20 +28,20 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import shield, stored
 
 #: Words that a window's minimiser hashes; super-k-mers that a bucket takes of one minimiser.
-SEED_WORDS, BUCKET_ROWS = 6, 2000
+SEED_WORDS, BUCKET_ROWS = 6, 500
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Words that are hashed at once; longer texts go in overlapping stretches.
 _STRETCH = 1 << 18
 
 
-def _runs(words: list[bytes], width: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Minimiser hash, first window and last window of every super-k-mer of one text's words."""
+def _runs(words: list[bytes], width: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Minimiser hash, first window, last window, and whether the minimiser comes more than once, of every super-k-mer of one text's words."""
     n = len(words)
     if n < width:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
     h = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(0)), np.uint64, n)
     seeds = n - m + 1
     g = h[:seeds].copy()
@@ -55,23 +57,27 @@ def _runs(words: list[bytes], width: int, m: int) -> tuple[np.ndarray, np.ndarra
         a, b = at[: len(at) - step], at[step:]
         at = np.where(g[b] < g[a], b, a)
         have += step
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    key, window = g[at], np.arange(len(at))
+    starts = np.concatenate(([True], key[1:] != key[:-1]))
+    into = window - np.maximum.accumulate(np.where(starts, window, 0))
+    first = np.flatnonzero(starts | (into % width == 0))
     last = np.concatenate((first[1:] - 1, [len(at) - 1]))
-    return g[at[first]], first, last
+    # Equal windows of one stretch hold the minimiser at two places, so their leftmost places differ.
+    return key[first], first, last, at[first] != at[last]
 
 
-def super_kmers(words: list[bytes], width: int, m: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def super_kmers(words: list[bytes], width: int, m: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """:func:`_runs` of a whole text, in stretches that overlap by one window, so memory is bounded; stretches may cut a super-k-mer in two."""
     if len(words) <= _STRETCH:
         yield _runs(words, width, m)
         return
     for lo in range(0, len(words) - width + 1, _STRETCH):
-        key, first, last = _runs(words[lo : lo + _STRETCH + width - 1], width, m)
-        yield key, first + lo, last + lo
+        key, first, last, again = _runs(words[lo : lo + _STRETCH + width - 1], width, m)
+        yield key, first + lo, last + lo, again
 
 
 def references(keyed: DataFrame, width: int, m: int) -> DataFrame:
-    """``(_sd_doc, _sd_text, key, at, n)``: minimiser, first window and count of windows of every super-k-mer.
+    """``(_sd_doc, _sd_text, key, at, n, weight)``: minimiser, first window and count of windows of every super-k-mer, and 2 where its minimiser comes again in it, else 1.
 
     A stretch cut makes two references of one minimiser position, which only raises a count.
     """
@@ -86,11 +92,11 @@ def references(keyed: DataFrame, width: int, m: int) -> DataFrame:
                         found.append(x)
                         row.append(np.full(len(x[0]), i))
                 if found:
-                    key, first, last = (np.concatenate(c) for c in zip(*found, strict=True))
+                    key, first, last, again = (np.concatenate(c) for c in zip(*found, strict=True))
                     row = pa.array(np.concatenate(row))
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), pa.array(key.view(np.int64)), pa.array(first), pa.array((last - first + 1).astype(np.int32))], ["_sd_doc", "_sd_text", "key", "at", "n"])
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), pa.array(key.view(np.int64)), pa.array(first), pa.array((last - first + 1).astype(np.int32)), pa.array(1 + again.astype(np.int32))], ["_sd_doc", "_sd_text", "key", "at", "n", "weight"])
 
-    return keyed.select("_sd_doc", "_sd_text", "text").mapInArrow(run, "_sd_doc long, _sd_text long, key long, at long, n int")
+    return keyed.select("_sd_doc", "_sd_text", "text").mapInArrow(run, "_sd_doc long, _sd_text long, key long, at long, n int, weight int")
 
 
 def _windows(text: bytes, width: int) -> list[bytes]:
@@ -171,10 +177,10 @@ def _settle(width: int):
 
 
 def repeated_ranges(keyed: DataFrame, width: int, seed_words: int, bucket_rows: int) -> DataFrame:
-    """``(_sd_doc, _sd_text, ranges)`` of the texts of ``keyed(_sd_doc, _sd_text, text)`` that hold a window which starts more than once in the table; ranges are ``(lo, hi)`` of words and may touch."""
+    """``(_sd_doc, _sd_text, _sd_ranges)`` of the texts of ``keyed(_sd_doc, _sd_text, text)`` that hold a window which starts more than once in the table; ranges are ``(lo, hi)`` of words and may touch."""
     refs = stored(references(keyed, width, min(seed_words, width)), "references")
     # Stored, so that the join reads plain exchanges on both sides and a frequent key can be split.
-    counts = stored(refs.groupBy("key").agg(F.count("*").alias("total")).where("total > 1"), "counts")
+    counts = stored(refs.groupBy("key").agg(F.sum("weight").alias("total")).where("total > 1"), "counts")
     deals = F.ceil(F.col("total") / bucket_rows)
     shared = refs.join(counts, "key").select(
         "_sd_doc",
@@ -191,7 +197,7 @@ def repeated_ranges(keyed: DataFrame, width: int, seed_words: int, bucket_rows:
     # Windows of dealt buckets meet by their words; a settled range stands alone.
     meet = Window.partitionBy(F.coalesce("passed", F.encode(F.concat_ws(" ", "_sd_doc", "_sd_text", "lo"), "UTF-8")))
     repeats = found.withColumn("total", F.sum("n").over(meet)).where("passed IS NULL OR (n = 1 AND total > 1)")
-    return repeats.groupBy("_sd_doc", "_sd_text").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    return repeats.groupBy("_sd_doc", "_sd_text").agg(F.collect_list(F.struct("lo", "hi")).alias("_sd_ranges"))
 
 
 def kept_words(words: list[bytes], ranges: list[tuple[int, int]]) -> tuple[list[bytes], int]:
@@ -216,17 +222,18 @@ def cut(text: str, ranges: list[tuple[int, int]]) -> str:
     return b"".join(out).decode()
 
 
-def remove_repeats(docs: DataFrame, width: int = 35, seed_words: int = SEED_WORDS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """``docs`` with ``ranges``: the word ranges (null: none) that windows found twice or more cover.
+def remove_repeats(docs: DataFrame, width: int = 35, seed_words: int = SEED_WORDS, bucket_rows: int = BUCKET_ROWS, out: str = "ranges") -> DataFrame:
+    """``docs`` with ``out``: the word ranges (null: none) that windows found twice or more cover.
 
     Every occurrence of such a window counts, in the same text too. Null and empty texts and texts
     shorter than a window have none; rows that repeat an id and text are each other's copies; null
     doc_ids are no obstacle. An empty table gives no rows. Columns of ``docs`` come through
-    unchanged, but one that is called ranges is replaced.
+    unchanged, but one of the name ``out`` is replaced.
     """
-    keyed = docs.drop("ranges").withColumns({"_sd_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), "_sd_text": F.xxhash64("text")})
+    docs, back = shield(docs.drop(out), "_sd_")
+    keyed = docs.withColumns({"_sd_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), "_sd_text": F.xxhash64("text")})
     found = repeated_ranges(keyed, width, seed_words, bucket_rows)
-    return keyed.join(found, ["_sd_doc", "_sd_text"], "left").drop("_sd_doc", "_sd_text")
+    return keyed.join(found, ["_sd_doc", "_sd_text"], "left").drop("_sd_doc", "_sd_text").withColumnsRenamed({"_sd_ranges": out, **back})
 
 
 def digest(docs: DataFrame, width: int = 35) -> DataFrame:
