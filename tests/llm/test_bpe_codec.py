@@ -5,6 +5,7 @@ import random
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import bpe_codec
@@ -35,6 +36,16 @@ def test_matches_the_library_on_whole_texts(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+def test_rows_without_a_fixed_order(spark):
+    """The texts come in another order each time they are computed; ids still belong to their documents."""
+    t = Tokenizer.from_file(PATH)
+    base = [(i, f"word{i % 97} {'the ' * (i % 5)}né{i}!") for i in range(4000)]
+    docs = spark.createDataFrame(base, "doc_id long, text string").repartition(6).orderBy(F.rand())
+    texts_of = dict(base)
+    for r in bpe_codec.round_trip(docs, PATH).collect():
+        assert r.decoded == texts_of[r.doc_id] and r.ids == t.encode(r.decoded, add_special_tokens=False).ids
+
+
 def test_empty_and_wordless_tables(spark):
     assert bpe_codec.digest(spark.createDataFrame([], DOCS), PATH).count() == 0
     got = bpe_codec.digest(spark.createDataFrame([(1, None, "", 0, ""), (2, "", "", 0, "")], DOCS), PATH).collect()

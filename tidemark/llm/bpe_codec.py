@@ -1,11 +1,11 @@
 """Byte-level BPE through a table of distinct words.
 
-Spark splits the texts into the tokenizer's words. Each block of documents becomes a dictionary of
-its words and, per document, the dictionary places of its words in order. The dictionaries' words
-are dealt by hash into one distinct-word table, so each word is encoded once in the corpus however
-often it occurs; its ids are joined back to the blocks' places, and a block with its dictionary
-yields the ids of its documents by position. Decoding looks every id of a dictionary up in the
-id-to-piece table, whose size is the vocabulary's.
+Spark splits the texts into the tokenizer's words and stores them. Each block of documents becomes
+a dictionary of its words and, per document, the dictionary places of its words in order. The
+dictionaries' words are dealt by hash into one distinct-word table, so each word is encoded once in
+the corpus however often it occurs; its ids are joined back to the blocks' places, and a block with
+its dictionary yields the ids of its documents by position. Decoding joins the ids that a block's
+dictionary uses to the id-to-piece table, whose size is the vocabulary's.
 
 What is shuffled is a word once a block, and places in a packed form, never a row per token.
 """
@@ -22,14 +22,17 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import stored
+
 #: Stands between packed words; no UTF-8 text has this byte.
 _BETWEEN = b"\xff"
 _WORDS = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("places", pa.binary()), ("words", pa.binary())])
-_CODES = pa.schema([("block", pa.int64()), ("places", pa.binary()), ("sizes", pa.binary()), ("codes", pa.binary())])
+_CODES = pa.schema([("block", pa.int64()), ("places", pa.binary()), ("sizes", pa.binary()), ("codes", pa.binary()), ("used", pa.list_(pa.int32()))])
+#: Documents of a block at most.
+BLOCK = 500
 
 
 def added_tokens(path: str) -> list[str]:
@@ -64,8 +67,12 @@ def piece_bytes(path: str) -> list[bytes]:
     return out
 
 
-def _block(number: int) -> int:
-    return TaskContext.get().partitionId() << 32 | number
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Blocks of the stored words, each with the row number of its first row as its name."""
+    for b in batches:
+        for lo in range(0, b.num_rows, BLOCK):
+            part = b.slice(lo, BLOCK)
+            yield part.column(0)[0].as_py(), part
 
 
 def _pack(places: np.ndarray) -> bytes:
@@ -78,28 +85,31 @@ def _unpack(packed: bytes) -> np.ndarray:
 
 
 def _dictionaries(parts: int):
-    """The distinct words of each batch by hash: a row for each part with its words and their places in the batch's dictionary."""
+    """The distinct words of each block by hash: a row for each part with its words and their places in the block's dictionary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, b in enumerate(batches):
-            words = b.column(1).flatten().unique().cast(pa.binary()).to_pylist()
+        for block, b in _blocks(batches):
+            words = b.column(2).flatten().unique().cast(pa.binary()).to_pylist()
             part = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) % np.uint64(parts)
             order = np.argsort(part, kind="stable")
+            rows = []
             for seg in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
                 if len(seg):
                     packed = zstandard.ZstdCompressor(level=3).compress(_BETWEEN.join([words[i] for i in seg.tolist()]))
-                    yield pa.RecordBatch.from_pylist([{"part": int(part[seg[0]]), "block": _block(number), "places": _pack(seg), "words": packed}], _WORDS)
+                    rows.append({"part": int(part[seg[0]]), "block": block, "places": _pack(seg), "words": packed})
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, _WORDS)
 
     return run
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each batch: its block, its documents, their counts of words and the packed places of the words."""
-    for number, b in enumerate(batches):
-        counts = np.diff(b.column(1).offsets.to_numpy()).astype(np.int32)
-        places = b.column(1).flatten().dictionary_encode().indices.to_numpy()
+    """A row for each block: its name, its documents, their counts of words and the packed places of the words."""
+    for block, b in _blocks(batches):
+        counts = np.diff(b.column(2).offsets.to_numpy()).astype(np.int32)
+        places = b.column(2).flatten().dictionary_encode().indices.to_numpy()
         one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-        yield pa.RecordBatch.from_arrays([pa.array([_block(number)]), one(b.column(0)), one(pa.array(counts)), pa.array([_pack(places)], pa.binary())], ["block", "ids", "counts", "places"])
+        yield pa.RecordBatch.from_arrays([pa.array([block]), one(b.column(1)), one(pa.array(counts)), pa.array([_pack(places)], pa.binary())], ["block", "ids", "counts", "places"])
 
 
 def _encode(path: str):
@@ -124,26 +134,30 @@ def _encode(path: str):
                 own = [table[w] for w in words]
                 sizes = np.fromiter(map(len, own), np.uint32, len(own))
                 codes = np.frombuffer(b"".join(own), "<u4")
-                yield pa.RecordBatch.from_pylist([{"block": row["block"], "places": row["places"], "sizes": _pack(sizes), "codes": _pack(codes)}], _CODES)
+                yield pa.RecordBatch.from_pylist([{"block": row["block"], "places": row["places"], "sizes": _pack(sizes), "codes": _pack(codes), "used": np.unique(codes).tolist()}], _CODES)
 
     return run
 
 
 def blocks(docs: DataFrame, path: str) -> DataFrame:
-    """One row for each block of documents: ``(block, ids, counts, places, dictionary)``.
+    """One row for each block of documents: ``(block, ids, counts, places, dictionary, pieces)``.
 
-    ``dictionary`` lists packed (places, sizes, codes) of the block's words. A block is an Arrow
-    batch, so the session's ``spark.sql.execution.arrow.maxRecordsPerBatch`` and
-    ``maxBytesPerBatch`` bound it. A scan's partitions and batches are the same each time they are
-    computed, which is what makes block numbers agree between the two readings of the texts.
+    ``dictionary`` lists packed (places, sizes, codes) of the block's words, ``pieces`` the (id,
+    piece) of every id in them. The words are stored with a number for each row before they are
+    read twice, so both readings cut the same blocks, also where a task is computed again.
     """
-    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = docs.select(F.col("doc_id").cast("long"), split_words(F.col("text"), added_tokens(path)).alias("words"))
-    dictionaries = words.mapInArrow(_dictionaries(parts), "part int, block long, places binary, words binary")
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    words = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), split_words(F.col("text"), added_tokens(path)).alias("words")), "words")
+    dictionaries = words.mapInArrow(_dictionaries(4 * parts), "part int, block long, places binary, words binary")
     placed = words.mapInArrow(_placed, "block long, ids array<long>, counts array<int>, places binary")
-    coded = dictionaries.repartition("part").sortWithinPartitions("part").mapInArrow(_encode(path), "block long, places binary, sizes binary, codes binary")
-    coded = coded.groupBy("block").agg(F.collect_list(F.struct("places", "sizes", "codes")).alias("dictionary"))
-    return placed.join(coded, "block", "left")
+    coded = dictionaries.repartition("part").sortWithinPartitions("part").mapInArrow(_encode(path), "block long, places binary, sizes binary, codes binary, used array<int>")
+    coded = coded.repartition(parts, "block").groupBy("block").agg(F.collect_list(F.struct("places", "sizes", "codes")).alias("dictionary"), F.array_distinct(F.flatten(F.collect_list("used"))).alias("used"))
+    # The table of pieces has a row for each id of the vocabulary, so it is broadcast; the dictionary stays with one of a block's rows.
+    pieces = spark.createDataFrame(list(enumerate(piece_bytes(path))), "id int, piece binary")
+    each = coded.select("block", "dictionary", F.posexplode("used").alias("at", "id")).withColumn("dictionary", F.when(F.col("at") == 0, F.col("dictionary")))
+    named = each.join(F.broadcast(pieces), "id").groupBy("block").agg(F.first("dictionary", ignorenulls=True).alias("dictionary"), F.collect_list(F.struct("id", "piece")).alias("pieces"))
+    return placed.repartition(parts, "block").join(named, "block", "left")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -152,31 +166,30 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     Null and empty texts have no ids and decode to an empty text. Rows that repeat stay; null
     doc_ids stay null; other columns are not read; an empty table gives no rows.
     """
-    pieces = docs.sparkSession.sparkContext.broadcast(piece_bytes(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pieces.value
         for b in batches:
-            for ids, counts, packed, dictionary in zip(*b.columns, strict=True):
+            for ids, counts, packed, dictionary, pieces in zip(*b.columns, strict=True):
                 places, counts, dictionary = _unpack(packed.as_py()), counts.values.to_numpy(), dictionary.as_py() or []
+                table = dict(zip(pieces.values.field(0).to_pylist(), pieces.values.field(1).to_pylist(), strict=True)) if dictionary else {}
                 size = sum(len(_unpack(d["sizes"])) for d in dictionary)
+                if len(places) and places.max() >= size:
+                    raise ValueError("a block has words that its dictionary lacks")
                 coded, decoded = [b""] * size, [b""] * size
                 for d in dictionary:
                     at, n, codes = _unpack(d["places"]).tolist(), _unpack(d["sizes"]), _unpack(d["codes"])
-                    raw, each, end = codes.tobytes(), codes.tolist(), np.cumsum(n).tolist()
+                    raw, each, end = codes.tobytes(), [table[i] for i in codes.tolist()], np.cumsum(n).tolist()
                     for p, lo, hi in zip(at, [0, *end], end):  # noqa: B905
-                        coded[p], decoded[p] = raw[4 * lo : 4 * hi], b"".join([table[i] for i in each[lo:hi]])
+                        coded[p], decoded[p] = raw[4 * lo : 4 * hi], b"".join(each[lo:hi])
                 ends = np.cumsum(counts).tolist()
-                for first in range(0, len(ends), 500):
-                    rows = slice(first, first + 500)
-                    own = [places[lo:hi].tolist() for lo, hi in zip([0, *ends][rows], ends[rows])]  # noqa: B905
-                    flat = [b"".join(map(coded.__getitem__, x)) for x in own]
-                    offsets = np.cumsum([0, *(len(x) // 4 for x in flat)]).astype(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(flat))]))
-                    text = pa.array([b"".join(map(decoded.__getitem__, x)).decode(errors="replace") for x in own], pa.string())
-                    yield pa.RecordBatch.from_arrays([ids.values[rows], lists, text], ["doc_id", "ids", "decoded"])
-
-    found = blocks(docs, path).select("ids", "counts", "places", "dictionary")
+                own = [places[lo:hi].tolist() for lo, hi in zip([0, *ends], ends)]  # noqa: B905
+                flat = [b"".join(map(coded.__getitem__, x)) for x in own]
+                offsets = np.cumsum([0, *(len(x) // 4 for x in flat)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(flat))]))
+                text = pa.array([b"".join(map(decoded.__getitem__, x)).decode(errors="replace") for x in own], pa.string())
+                yield pa.RecordBatch.from_arrays([ids.values, lists, text], ["doc_id", "ids", "decoded"])
+
+    found = blocks(docs, path).select("ids", "counts", "places", "dictionary", "pieces")
     return found.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
