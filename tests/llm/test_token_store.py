@@ -33,6 +33,16 @@ def test_pieces_encode_as_whole_texts():
             assert got == struct.pack(f"<{len(want)}I", *want), repr(text)
 
 
+def test_memo_forgets_in_generations(monkeypatch):
+    monkeypatch.setattr(token_store, "PIECES", 50)
+    monkeypatch.setattr(token_store, "WORDS", 20)
+    whole, pieces = Tokenizer.from_file(PATH), token_store.PieceEncoder(PATH)
+    for text in texts()[:400] + ["Élève élève ÉLÈVE naïve, façon. straße; ÿ × ÷ Ø ø"]:
+        want = whole.encode(text or "", add_special_tokens=False).ids
+        assert pieces.encode([text])[0] == struct.pack(f"<{len(want)}I", *want), repr(text)
+        assert len(pieces.pieces) <= 50 and len(pieces.pieces.old) <= 50
+
+
 def test_white_space_keeping_tokenizer_is_refused():
     with pytest.raises(ValueError):
         token_store.check_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
@@ -57,5 +67,44 @@ def test_round_trip_and_pruned_read(spark):
     assert len(one.collect()) == 1
 
 
+def test_files_hold_what_pruning_needs(spark):
+    """Row groups with minima and maxima, and Bloom filters, as the files' footers state them; and what a lookup skips."""
+    path = new_path(spark, "test-orc")
+    docs = spark.range(0, 40_000, 2).selectExpr("id AS doc_id", "concat('w', id) AS text")
+    token_store.write(docs, path, PATH, 2, partitions=2)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs = jvm.org.apache.hadoop.fs
+    files = [f.getPath() for f in fs.Path(path).getFileSystem(conf).listStatus(fs.Path(path)) if f.getPath().getName().endswith(".orc")]
+    assert len(files) == 2
+    seen = []
+    for f in files:
+        reader = jvm.org.apache.orc.OrcFile.createReader(f, jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        rows, batch_rows = reader.rows(), []
+        assert reader.getRowIndexStride() == 2000 and reader.getNumberOfRows() > 6000
+        column = next(i for i, n in enumerate(reader.getSchema().getFieldNames()) if n == "doc_id")
+        kind = reader.getSchema().getChildren().get(column).getId()
+        wanted = spark.sparkContext._gateway.new_array(jvm.boolean, reader.getSchema().getMaximumId() + 1)
+        wanted[kind] = True
+        index = rows.readRowIndex(0, wanted, wanted)
+        group = index.getRowGroupIndex()[kind]
+        bounds = [(e.getStatistics().getIntStatistics().getMinimum(), e.getStatistics().getIntStatistics().getMaximum()) for e in group.getEntryList()]
+        assert len(bounds) >= 3 and all(a[1] < b[0] for a, b in zip(bounds, bounds[1:]))  # noqa: B905
+        bloom = index.getBloomFilterIndex()[kind]
+        assert bloom.getBloomFilterCount() == len(bounds)
+        seen.append((bounds[0][0], bounds[-1][1]))
+    assert sorted(seen)[0][1] < sorted(seen)[1][0]
+    # 17 lies within the bounds of a row group, but no document has it: the Bloom filter lets no row through.
+    scan = token_store.read(spark, path).where("doc_id = 17")
+    assert scan.count() == 0 and token_store.read(spark, path).where("doc_id = 18").count() == 1
+
+
+def test_repeated_ids_spread(spark):
+    docs = spark.range(20_000).selectExpr("CAST(NULL AS LONG) AS doc_id", "concat(id, ' word') AS text")
+    path = new_path(spark, "test-null-ids")
+    token_store.write(docs, path, PATH, 2, partitions=4)
+    parts = [r["count"] for r in token_store.read(spark, path).groupBy("part").count().collect()]
+    assert len(parts) == 4 and max(parts) < 10_000
+
+
 def test_empty_table(spark):
     assert token_store.round_trip(spark.createDataFrame([], DOCS), PATH, 2).count() == 0

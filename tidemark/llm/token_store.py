@@ -14,9 +14,10 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +26,17 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import new_path
 
-#: Pieces and words that a worker remembers at most; beyond that it starts anew.
-PIECES, WORDS = 600_000, 600_000
+#: Pieces and words that a worker remembers in a generation, of which it holds two at most.
+PIECES, WORDS = 300_000, 300_000
+#: Characters of a text that join the doc_id in the range bounds.
+HEAD = 128
 #: ASCII marks that end a word for the tokenizer (the apostrophe doesn't).
 _MARKS = b".,;:!?|%&*#$()\"-+=@"
+# Lower-case Latin letters, a-z and those of two bytes up to y with diaeresis, and a word of these in either A-Z case with marks behind it.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+_PLAIN_PIECE = re.compile(rb"((?:[A-Za-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([" + re.escape(_MARKS) + rb"]*)").fullmatch
+# Byte-level alphabet: printable bytes stand for themselves, the others for the letters from 256 up.
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
 _SCHEMA = "doc_id long, part int, at long, n_tokens long, ids array<int>"
 
 
@@ -41,6 +49,24 @@ def check_tokenizer(path: str) -> None:
         raise ValueError(f"{path} keeps white space, so texts can't be encoded piece by piece")
 
 
+class Memo(dict):
+    """What ``make`` gives for each key, remembered in two generations of ``limit`` keys: what was used since the older one was closed stays."""
+
+    def __init__(self, make: Callable[[bytes], bytes], limit: int) -> None:
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key: bytes) -> bytes:
+        found = self.old.pop(key, None)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
 class PieceEncoder:
     """Encodes texts through the ids of their blank-separated pieces, as unsigned 32-bit bytes.
 
@@ -55,8 +81,8 @@ class PieceEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.merge = self.tokenizer.model.tokenize
-        self.pieces: dict[bytes, bytes] = {}
-        self.words: dict[bytes, bytes] = {}
+        self.words = Memo(self.word, WORDS)
+        self.pieces = Memo(self.piece, PIECES)
 
     @staticmethod
     def split(piece: bytes) -> tuple[bytes, bytes]:
@@ -67,27 +93,22 @@ class PieceEncoder:
             return piece.lower(), b""
         return word.lower(), piece[len(word) :]
 
+    def word(self, word: bytes) -> bytes:
+        # Lower-case Latin letters are what the steps before the merges leave them, so they go to the merges at once.
+        if _PLAIN(word):
+            return array("I", [t.id for t in self.merge(word.decode("latin-1").translate(_BYTE_LETTERS))]).tobytes()
+        return array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+
+    def piece(self, piece: bytes) -> bytes:
+        plain = _PLAIN_PIECE(piece)
+        word, marks = plain.groups() if plain else self.split(piece)
+        found = self.words[word.lower() if plain else word]
+        return found + self.words[marks] if marks else found
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text; what none of them has met before is encoded in one call."""
-        cut = [t.encode().split() if t else [] for t in texts]
-        memo, met = self.pieces, set().union(*cut)
-        new = met.difference(memo)
-        if new:
-            if len(memo) > PIECES:
-                memo.clear()
-                new = met
-            if len(self.words) > WORDS:
-                self.words.clear()
-            words, parts = self.words, [(p, *self.split(p)) for p in new]
-            unmet = {w for _, *pair in parts for w in pair if w and w not in words}
-            # A word of a-z alone is what the steps before the merges leave it, so it goes to the merges at once.
-            plain = [w for w in unmet if w.isalpha()]
-            words.update((w, array("I", [t.id for t in self.merge(w.decode())]).tobytes()) for w in plain)
-            unmet = list(unmet.difference(plain))
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in unmet], add_special_tokens=False)
-            words.update((w, array("I", e.ids).tobytes()) for w, e in zip(unmet, found, strict=True))
-            memo.update((p, words[w] + words[m] if m else words[w]) for p, w, m in parts)
-        return [b"".join(map(memo.__getitem__, pieces)) for pieces in cut]
+        """The ids of each text."""
+        ids = self.pieces.__getitem__
+        return [b"".join(map(ids, t.encode().split())) if t else b"" for t in texts]
 
 
 @functools.cache
@@ -125,7 +146,9 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, partitio
                 at += len(n)
 
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    # The head of the text parts rows that share an id, in the order that their whole texts have.
+    head = F.substring("text", 1, HEAD)
+    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id", head).sortWithinPartitions("doc_id", "text")
     out = ordered.mapInArrow(run, _SCHEMA)
     (
         out.write.option("orc.compress", "ZSTD")
