@@ -4,8 +4,9 @@ Spark splits the texts into the tokenizer's words and stores them. Each block of
 a dictionary of its words and, per document, the dictionary places of its words in order. The
 dictionaries' words are dealt by hash into one distinct-word table, so each word is encoded once in
 the corpus however often it occurs; its ids are joined back to the blocks' places, and a block with
-its dictionary yields the ids of its documents by position. Decoding joins the ids that a block's
-dictionary uses to the id-to-piece table, whose size is the vocabulary's.
+its dictionary yields the ids of its documents by position. Decoding joins every id of a dictionary
+to the id-to-piece table where the block lies: the table's size is the vocabulary's, so it is
+broadcast, and a dictionary's ids are looked up once a block.
 
 What is shuffled is a word once a block, and places in a packed form, never a row per token.
 """
@@ -30,7 +31,7 @@ from tidemark.llm.common import stored
 #: Stands between packed words; no UTF-8 text has this byte.
 _BETWEEN = b"\xff"
 _WORDS = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("places", pa.binary()), ("words", pa.binary())])
-_CODES = pa.schema([("block", pa.int64()), ("places", pa.binary()), ("sizes", pa.binary()), ("codes", pa.binary()), ("used", pa.list_(pa.int32()))])
+_CODES = pa.schema([("block", pa.int64()), ("places", pa.binary()), ("sizes", pa.binary()), ("codes", pa.binary())])
 #: Documents of a block at most.
 BLOCK = 500
 
@@ -134,30 +135,25 @@ def _encode(path: str):
                 own = [table[w] for w in words]
                 sizes = np.fromiter(map(len, own), np.uint32, len(own))
                 codes = np.frombuffer(b"".join(own), "<u4")
-                yield pa.RecordBatch.from_pylist([{"block": row["block"], "places": row["places"], "sizes": _pack(sizes), "codes": _pack(codes), "used": np.unique(codes).tolist()}], _CODES)
+                yield pa.RecordBatch.from_pylist([{"block": row["block"], "places": row["places"], "sizes": _pack(sizes), "codes": _pack(codes)}], _CODES)
 
     return run
 
 
 def blocks(docs: DataFrame, path: str) -> DataFrame:
-    """One row for each block of documents: ``(block, ids, counts, places, dictionary, pieces)``.
+    """One row for each block of documents: ``(block, ids, counts, places, dictionary)``.
 
-    ``dictionary`` lists packed (places, sizes, codes) of the block's words, ``pieces`` the (id,
-    piece) of every id in them. The words are stored with a number for each row before they are
-    read twice, so both readings cut the same blocks, also where a task is computed again.
+    ``dictionary`` lists packed (places, sizes, codes) of the block's words. The words are stored
+    with a number for each row before they are read twice, so both readings cut the same blocks,
+    also where a task is computed again.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     words = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), split_words(F.col("text"), added_tokens(path)).alias("words")), "words")
     dictionaries = words.mapInArrow(_dictionaries(4 * parts), "part int, block long, places binary, words binary")
     placed = words.mapInArrow(_placed, "block long, ids array<long>, counts array<int>, places binary")
-    coded = dictionaries.repartition("part").sortWithinPartitions("part").mapInArrow(_encode(path), "block long, places binary, sizes binary, codes binary, used array<int>")
-    coded = coded.repartition(parts, "block").groupBy("block").agg(F.collect_list(F.struct("places", "sizes", "codes")).alias("dictionary"), F.array_distinct(F.flatten(F.collect_list("used"))).alias("used"))
-    # The table of pieces has a row for each id of the vocabulary, so it is broadcast; the dictionary stays with one of a block's rows.
-    pieces = spark.createDataFrame(list(enumerate(piece_bytes(path))), "id int, piece binary")
-    each = coded.select("block", "dictionary", F.posexplode("used").alias("at", "id")).withColumn("dictionary", F.when(F.col("at") == 0, F.col("dictionary")))
-    named = each.join(F.broadcast(pieces), "id").groupBy("block").agg(F.first("dictionary", ignorenulls=True).alias("dictionary"), F.collect_list(F.struct("id", "piece")).alias("pieces"))
-    return placed.repartition(parts, "block").join(named, "block", "left")
+    coded = dictionaries.repartition("part").sortWithinPartitions("part").mapInArrow(_encode(path), "block long, places binary, sizes binary, codes binary")
+    coded = coded.repartition(parts, "block").groupBy("block").agg(F.collect_list(F.struct("places", "sizes", "codes")).alias("dictionary"))
+    return placed.repartition(parts, "block").join(coded, "block", "left")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -166,21 +162,22 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     Null and empty texts have no ids and decode to an empty text. Rows that repeat stay; null
     doc_ids stay null; other columns are not read; an empty table gives no rows.
     """
+    pieces = docs.sparkSession.sparkContext.broadcast(piece_bytes(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pieces.value
         for b in batches:
-            for ids, counts, packed, dictionary, pieces in zip(*b.columns, strict=True):
+            for ids, counts, packed, dictionary in zip(*b.columns, strict=True):
                 places, counts, dictionary = _unpack(packed.as_py()), counts.values.to_numpy(), dictionary.as_py() or []
-                table = dict(zip(pieces.values.field(0).to_pylist(), pieces.values.field(1).to_pylist(), strict=True)) if dictionary else {}
                 size = sum(len(_unpack(d["sizes"])) for d in dictionary)
                 if len(places) and places.max() >= size:
                     raise ValueError("a block has words that its dictionary lacks")
                 coded, decoded = [b""] * size, [b""] * size
                 for d in dictionary:
                     at, n, codes = _unpack(d["places"]).tolist(), _unpack(d["sizes"]), _unpack(d["codes"])
-                    raw, each, end = codes.tobytes(), [table[i] for i in codes.tolist()], np.cumsum(n).tolist()
+                    raw, each, end = codes.tobytes(), codes.tolist(), np.cumsum(n).tolist()
                     for p, lo, hi in zip(at, [0, *end], end):  # noqa: B905
-                        coded[p], decoded[p] = raw[4 * lo : 4 * hi], b"".join(each[lo:hi])
+                        coded[p], decoded[p] = raw[4 * lo : 4 * hi], b"".join([table[i] for i in each[lo:hi]])
                 ends = np.cumsum(counts).tolist()
                 own = [places[lo:hi].tolist() for lo, hi in zip([0, *ends], ends)]  # noqa: B905
                 flat = [b"".join(map(coded.__getitem__, x)) for x in own]
@@ -189,7 +186,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 text = pa.array([b"".join(map(decoded.__getitem__, x)).decode(errors="replace") for x in own], pa.string())
                 yield pa.RecordBatch.from_arrays([ids.values, lists, text], ["doc_id", "ids", "decoded"])
 
-    found = blocks(docs, path).select("ids", "counts", "places", "dictionary", "pieces")
+    found = blocks(docs, path).select("ids", "counts", "places", "dictionary")
     return found.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
