@@ -44,17 +44,17 @@ def _streak(kept: tuple, events: list[tuple[int, int, bool, bool]], late_micros:
     """
     reset, settled, last = (kept[0], kept[1]), kept[2], (kept[5], kept[6])
     open_ = set(zip(kept[3], kept[4], strict=True))
+    too_late = last[0] - late_micros
     last = max([last, *((at, i) for at, i, *_ in events)])
-    horizon = last[0] - late_micros
     for at, i, resets, counts in events:
-        if at < horizon or (at, i) <= reset:
+        if at < too_late or (at, i) <= reset:
             continue
         if resets:
             # Settled events are older than any that may still come, so a reset is behind them all.
             reset, settled, open_ = (at, i), 0, {x for x in open_ if x > (at, i)}
         elif counts:
             open_.add((at, i))
-    old = {x for x in open_ if x[0] < horizon}
+    old = {x for x in open_ if x[0] < last[0] - late_micros}
     open_ = sorted(open_ - old)
     return (*reset, settled + len(old), [x[0] for x in open_], [x[1] for x in open_], *last)
 
@@ -101,7 +101,7 @@ def stream_link_health(checks: DataFrame, late: str = "7 days") -> DataFrame:
         events = [(r.checked_at.value // 1000, int(r.check_id), r.outcome == "live", r.outcome in ("temporary_error", "gone")) for r in rows.itertuples()]
         now = _streak(tuple(kept), events, horizon)
         latest = {(at, i): o for (at, i, *_), o in zip(events, rows["outcome"], strict=True)}.get((now[5], now[6]), status)
-        gone = bool(gone or any(o == "gone" and e[0] >= now[5] - horizon for e, o in zip(events, rows["outcome"], strict=True)))
+        gone = bool(gone or any(o == "gone" and e[0] >= kept[5] - horizon for e, o in zip(events, rows["outcome"], strict=True)))
         state.update((*now, latest, gone))
         yield pd.DataFrame({"giveaway_id": [key[0]], "entry_check_fail_count": [now[2] + len(now[3])], "entry_url_status": [latest], "checked_at": [pd.Timestamp(now[5] * 1000)], "rejected": [gone]})
 
