@@ -115,9 +115,9 @@ def test_bands_led_by_a_third_text_lose_no_pair(spark):
     want = {frozenset(i for i in range(len(texts)) if find(i) == r) for r in map(find, range(len(texts)))}
     assert 60 < len(want) < 250
     df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
-    for limit in ({}, {"group_limit": 3}):
+    for rounds in (0, 3):
         groups = {}
-        for r in simhash_dedup.near_groups(df, **limit).collect():
+        for r in simhash_dedup.near_groups(df, rounds=rounds).collect():
             groups.setdefault(r.group, set()).add(r._sh_doc)
         assert set(map(frozenset, groups.values())) == want
 
@@ -154,6 +154,18 @@ def test_run_on_the_small_tables(spark, tmp_path):
     assert not {len(texts) - 3, len(texts) - 2, len(texts) - 1} & set(final) and kept.count() == len(rows)
 
 
+def test_stages_let_clashing_columns_through(spark, tmp_path):
+    names = ["ranges", "_sd_doc", "_sh_text", "_mx_at", "_qr_words", "quality_rules", "packed", "fp"]
+    texts = [" ".join(f"{x}{i}" for i in range(60)) for x in ("an", "re", "ti")]
+    rows = [(i, t, "en", "s", len(t), *names) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, DOCS + ", " + ", ".join(f"`{n}` string" for n in names))
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, str(tmp_path))
+        assert out.columns == df.columns, name
+        assert all([r[n] for n in names] == names for r in out.collect()), name
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")

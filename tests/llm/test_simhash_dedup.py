@@ -67,12 +67,26 @@ def test_crowded_keys_lose_no_link(spark):
     signed = lambda f: f - (1 << 64) if f >> 63 else f
     df = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
     want = brute_components(fps)
-    for limit in (2, 10, 10_000):
-        edges = simhash_dedup.links(df, 2, limit)
+    for limit, long_keys, broadcast_keys in ((2, 1 << 27, 10**6), (10, 1 << 27, 0), (10_000, 1 << 27, 10**6), (2, 1, 10**6), (6, 1, 0), (10_000, 1, 10**6)):
+        edges = simhash_dedup.links(df, 2, limit, long_keys, broadcast_keys)
         got = {r.node & (2**64 - 1): r.root & (2**64 - 1) for r in connected(edges).collect()}
         groups = lambda m: {frozenset(k for k in fps if m.get(k, k) == r) for r in {m.get(k, k) for k in fps}}
         assert groups(got) == groups(want)
 
 
+def test_long_keys_cover_every_pair_within_two_bits(spark):
+    """Each pair of the fingerprints that is two bits apart meets under a key with a piece of the other half."""
+    rng = random.Random(11)
+    pairs = []
+    for i in range(64):
+        for j in rng.sample(range(64), 12):
+            f = rng.getrandbits(64)
+            pairs.append((f, f ^ (1 << i) ^ ((1 << j) if j != i else 0)))
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    df = spark.createDataFrame([(signed(f),) for p in pairs for f in p], "fp long").distinct()
+    found = {frozenset((r.a & (2**64 - 1), r.b & (2**64 - 1))) for r in simhash_dedup.links(df, long_keys=1).collect()}
+    assert {frozenset(p) for p in pairs} <= found
+
+
 def test_empty_table(spark):
     assert simhash_dedup.components(spark.createDataFrame([], DOCS)).count() == 0
