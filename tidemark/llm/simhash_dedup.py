@@ -261,7 +261,7 @@ def _still_apart(shared: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _rare_shingles(sets: DataFrame, similarity: float) -> DataFrame:
-    """``(h, node, size, others, own)``: shingles of which two sets that are alike enough share one at least, how many of a set's shingles any other set has, and all of these rare shingles of the set, rarest first.
+    """``(h, node, size, others, own, left)``: shingles of which two sets that are alike enough share one at least; how many of a set's shingles any other set has, and how many of those come at h or behind it; all of these rare shingles of the set, rarest first.
 
     Such sets share ``similarity`` of either's shingles or more, so of any one order of all
     shingles, rarest first, they meet within the first ``size - ceil(similarity * size) + 1``.
@@ -273,7 +273,8 @@ def _rare_shingles(sets: DataFrame, similarity: float) -> DataFrame:
     rare = ranked.where(F.col("at") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-6) + 1).where("df > 1")
     sorted_ = F.transform(F.array_sort(F.collect_list(F.struct("df", "h"))), lambda x: x["h"])
     kept = rare.groupBy("node", "size", "others").agg(sorted_.alias("own"))
-    return kept.select(F.explode("own").alias("h"), "node", "size", "others", "own")
+    # Shingles that no other set has come first in the order, so a rare one's place leaves this many to share.
+    return kept.select(F.posexplode("own").alias("pos", "h"), "node", "size", "others", "own").withColumn("left", F.col("others") - F.col("pos")).drop("pos")
 
 
 def _pairs_apart(members: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -283,14 +284,17 @@ def _pairs_apart(members: DataFrame, nodes: DataFrame, sets: DataFrame, similari
     held = stored(rare.join(roots, "node").join(nodes.select("node", "sketch"), "node"), "rare")
     once = held.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
     held = stored(held.join(once, "h"), "rare")
-    left = held.select("h", F.col("node").alias("a"), F.col("root").alias("x"), F.col("size").alias("m"), F.col("others").alias("c"), F.col("sketch").alias("p"), F.col("own").alias("f"))
-    right = held.select("h", F.col("node").alias("b"), F.col("root").alias("y"), F.col("size").alias("n"), F.col("others").alias("d"), F.col("sketch").alias("q"), F.col("own").alias("g"))
-    # What both have is at most what others have of either.
-    common = F.least("c", "d") * (1 + similarity) >= similarity * (F.col("m") + F.col("n")) - 1e-6
+    left = held.select("h", F.col("node").alias("a"), F.col("root").alias("x"), F.col("size").alias("m"), F.col("others").alias("c"), F.col("sketch").alias("p"), F.col("own").alias("f"), F.col("left").alias("i"))
+    right = held.select("h", F.col("node").alias("b"), F.col("root").alias("y"), F.col("size").alias("n"), F.col("others").alias("d"), F.col("sketch").alias("q"), F.col("own").alias("g"), F.col("left").alias("j"))
+    # What both have is at most what either has from their first common shingle on, and at most the
+    # rare ones that both have and what is behind the rare ones of the set whose rare ones end first.
+    enough = lambda most: most * (1 + similarity) >= similarity * (F.col("m") + F.col("n")) - 1e-6
+    common = enough(F.least("i", "j"))
+    rare_ones = enough(F.size(F.array_intersect("f", "g")) + F.greatest(F.col("c") - F.size("f"), F.col("d") - F.size("g")))
     apart = (F.col("a") < F.col("b")) & (F.col("x") != F.col("y"))
     # A pair meets once: at the rarest shingle of both.
     once = F.get(F.array_intersect("f", "g"), F.lit(0)) == left["h"]
-    return left.join(right, (left["h"] == right["h"]) & apart & _size_allows(similarity) & common & _likely(similarity) & once).select("a", "b")
+    return left.join(right, (left["h"] == right["h"]) & apart & _size_allows(similarity) & common & _likely(similarity) & once & rare_ones).select("a", "b")
 
 
 def near_groups(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, rounds: int = ROUNDS, part: int = PART) -> DataFrame:
