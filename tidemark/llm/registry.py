@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe_codec, knn_quality, language_id, license_scan, mixing, quality_rules, simhash_dedup, substring_dedup, token_store, topk_search
+from tidemark.llm import bpe_codec, knn_quality, language_id, license_scan, line_dedup, mixing, quality_rules, simhash_dedup, substring_dedup, token_store, topk_search
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -168,6 +168,24 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS d, doc_id, coalesce(text, '') AS text FROM documents),
+split_up AS (SELECT d, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM docs),
+keyed AS (
+  SELECT d, pos, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM split_up),
+frequent AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT d) >= 10),
+judged AS (SELECT d, pos, line, f.key IS NOT NULL AS gone FROM keyed k LEFT JOIN frequent f ON k.key = f.key)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM judged JOIN docs USING (d) GROUP BY d
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -175,8 +193,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"pipeline": pipeline, "op1_quality_rules": op1_quality_rules, "op2_token_store": op2_token_store, "op3_license_scan": op3_license_scan, "op4_language_id": op4_language_id, "op5_topk": op5_topk, "op6_mixing": op6_mixing, "op7_simhash": op7_simhash, "op8_bpe": op8_bpe, "op9_knn_quality": op9_knn_quality, "op10_substring_dedup": op10_substring_dedup}
+    return {"pipeline": pipeline, "op1_quality_rules": op1_quality_rules, "op2_token_store": op2_token_store, "op3_license_scan": op3_license_scan, "op4_language_id": op4_language_id, "op5_topk": op5_topk, "op6_mixing": op6_mixing, "op7_simhash": op7_simhash, "op8_bpe": op8_bpe, "op9_knn_quality": op9_knn_quality, "op10_substring_dedup": op10_substring_dedup, "op11_line_dedup": op11_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": op3_sql(), "op5_topk": OP5_SQL, "op6_mixing": OP6_SQL}
+    return {"op3_license_scan": op3_sql(), "op5_topk": OP5_SQL, "op6_mixing": OP6_SQL, "op11_line_dedup": OP11_SQL}
