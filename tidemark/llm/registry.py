@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe_codec, knn_quality, language_id, license_scan, line_dedup, mixing, quality_rules, simhash_dedup, substring_dedup, token_store, topk_search
+from tidemark.llm import bpe_codec, knn_quality, language_id, license_scan, line_dedup, mixing, prefix_trie, quality_rules, simhash_dedup, substring_dedup, token_alignment, token_store, topk_search
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,8 +18,8 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: The ids that end a document, and the tokenizers of the two encoders.
-END_ID, WORD_BPE, BYTE_BPE = 2, "word_bpe_49k.json", "byte_bpe_50k.json"
+#: The ids that end a document, and the tokenizers of the encoders.
+END_ID, WORD_BPE, BYTE_BPE, PIECE_BPE = 2, "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str) -> str:
@@ -186,6 +186,22 @@ FROM judged JOIN docs USING (d) GROUP BY d
 """
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_documents(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE), tokenizer_path(PIECE_BPE))
+
+
+def op13_source(conv_id: Column) -> Column:
+    return conv_id - conv_id % 5
+
+
+def op13_head(conv_id: Column) -> Column:
+    return F.crc32(conv_id.cast("string")) % 9
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), op13_source, op13_head, 8)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -193,7 +209,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"pipeline": pipeline, "op1_quality_rules": op1_quality_rules, "op2_token_store": op2_token_store, "op3_license_scan": op3_license_scan, "op4_language_id": op4_language_id, "op5_topk": op5_topk, "op6_mixing": op6_mixing, "op7_simhash": op7_simhash, "op8_bpe": op8_bpe, "op9_knn_quality": op9_knn_quality, "op10_substring_dedup": op10_substring_dedup, "op11_line_dedup": op11_line_dedup}
+    return {"pipeline": pipeline, "op1_quality_rules": op1_quality_rules, "op2_token_store": op2_token_store, "op3_license_scan": op3_license_scan, "op4_language_id": op4_language_id, "op5_topk": op5_topk, "op6_mixing": op6_mixing, "op7_simhash": op7_simhash, "op8_bpe": op8_bpe, "op9_knn_quality": op9_knn_quality, "op10_substring_dedup": op10_substring_dedup, "op11_line_dedup": op11_line_dedup, "op12_token_alignment": op12_token_alignment, "op13_prefix_trie": op13_prefix_trie}
 
 
 def oracle_sql() -> dict[str, str]:
