@@ -202,6 +202,31 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), op13_source, op13_head, 8)
 
 
+#: CRC-32 of an id's decimals, which DuckDB lacks: eight shifts a byte.
+_CRC32 = """xor(list_reduce(list_transform(range(1, len(CAST(c AS VARCHAR)) + 1), lambda i: CAST(unicode(CAST(c AS VARCHAR)[i]) AS BIGINT)),
+  lambda a, b: list_reduce(range(8), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(a, b)), CAST(4294967295 AS BIGINT)), 4294967295)"""
+OP13_SQL = f"""
+WITH numbered AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list({{'r': r, 't': t}} ORDER BY i) AS turns FROM numbered GROUP BY c),
+headed AS (SELECT c, turns, {_CRC32} % 9 AS h FROM own),
+built AS (SELECT a.c, list_concat(coalesce(b.turns[1:a.h], []), a.turns[a.h + 1:]) AS turns FROM headed a LEFT JOIN own b ON b.c = a.c - a.c % 5),
+prefixes AS (SELECT c, turns, unnest(range(0, len(turns) + 1)) AS d FROM built),
+node AS (
+  SELECT turns[1:d] AS k, d, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE d = len(turns)), '') AS ends
+  FROM prefixes GROUP BY 1, 2),
+children AS (SELECT k[1:d - 1] AS k, count(*) AS n FROM node WHERE d > 0 GROUP BY 1),
+weighed AS (
+  SELECT node.*, coalesce(n, 0) AS n_children, CASE WHEN n IS NULL THEN 1 ELSE 0 END AS leaf, CASE WHEN d > 0 THEN (n_convs - 1) * strlen(node.k[d].t) ELSE 0 END AS saved
+  FROM node LEFT JOIN children ON node.k = children.k),
+above AS (SELECT k, leaf, saved, unnest(range(0, d + 1)) AS a FROM weighed),
+totals AS (SELECT k[1:a] AS k, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens FROM above GROUP BY 1)
+SELECT w.conv_id, w.d AS depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(w.ends) AS ends_sha256
+FROM weighed w JOIN totals ON w.k = totals.k LEFT JOIN node p ON w.d > 0 AND p.k = w.k[1:w.d - 1]
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -213,4 +238,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": op3_sql(), "op5_topk": OP5_SQL, "op6_mixing": OP6_SQL, "op11_line_dedup": OP11_SQL}
+    return {"op3_license_scan": op3_sql(), "op5_topk": OP5_SQL, "op6_mixing": OP6_SQL, "op11_line_dedup": OP11_SQL, "op13_prefix_trie": OP13_SQL}
