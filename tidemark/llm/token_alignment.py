@@ -30,8 +30,8 @@ from tidemark.llm.common import stored
 
 #: Documents and code points of a block at most, though a longer document is a block alone.
 BLOCK, BLOCK_CHARS = 500, 4_000_000
-#: Segments that a task remembers in each of two generations.
-MEMO = 150_000
+#: Segments that a task remembers.
+MEMO = 300_000
 #: Counts of a row of a vector.
 SLICE = 4096
 #: A segment begins at each space that no kind of white space precedes.
@@ -41,16 +41,23 @@ _BLOCKS = "block long, ids array<long>, n_a array<long>, n_b array<long>, n_grou
 
 @dataclass
 class Pieces:
-    """The bytes of the ids of both vocabularies, and the identity map: for each id of A an id of B, or -1."""
+    """The bytes of the ids of both vocabularies, the identity map (for each id of A an id of B, or -1), and what is written of ids."""
 
     a: list[bytes]
     b: list[bytes]
     identity: np.ndarray = field(init=False)
+    size_a: np.ndarray = field(init=False)
+    size_b: np.ndarray = field(init=False)
+    decimal: list[str] = field(init=False)
+    said: list[str] = field(init=False)
 
     def __post_init__(self) -> None:
         # Byte tokens come first in B's vocabulary, so a piece's own id replaces them.
         by_bytes = {p: i for i, p in enumerate(self.b)}
         self.identity = np.array([by_bytes.get(p, -1) if p else -1 for p in self.a], np.int64)
+        self.size_a, self.size_b = (np.array([len(p) for p in x], np.int64) for x in (self.a, self.b))
+        self.decimal = [str(i) for i in range(max(len(self.a), len(self.b)))]
+        self.said = [f"{a}|{b}" for a, b in enumerate(self.identity.tolist())]
 
 
 def load_pieces(path_a: str, path_b: str) -> Pieces:
@@ -81,46 +88,56 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return upto[ends] - upto[ends - sizes]
 
 
-@dataclass(slots=True)
+def _ragged(sizes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The places of runs of the given sizes and starts, one after the other."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+
+
+@dataclass
 class Aligned:
-    """What a segment adds to its document: figures, groups as text, ids of A in exact groups, pairs (a * 65536 + b) of others."""
-
-    figures: tuple[int, int, int, int]
-    groups: str
-    exact: bytes
-    pairs: bytes
-
-
-def align(a: list[int], b: list[int], pieces: Pieces) -> Aligned:
-    """Groups and links of a segment's tokens, by one walk over both."""
-    len_a, len_b, identity = [len(pieces.a[x]) for x in a], [len(pieces.b[x]) for x in b], pieces.identity
-    i = j = i0 = j0 = 0
-    end_a, end_b, n_links, groups, exact, pairs, open_ = len_a[0], len_b[0], 0, [], [], [], []
-    while True:
-        open_.append(a[i] << 16 | b[j])
-        if end_a == end_b:
-            n_links += len(open_)
-            groups.append(f"{','.join(map(str, a[i0 : i + 1]))}|{','.join(map(str, b[j0 : j + 1]))}")
-            if len(open_) == 1 and identity[a[i]] == b[j]:
-                exact.append(a[i])
-            else:
-                pairs += open_
-            i, j, open_ = i + 1, j + 1, []
-            i0, j0 = i, j
-            if i == len(a):
-                break
-            end_a, end_b = end_a + len_a[i], end_b + len_b[j]
-        elif end_a < end_b:
-            i += 1
-            end_a += len_a[i]
-        else:
-            j += 1
-            end_b += len_b[j]
-    return Aligned((len(a), len(b), len(groups), n_links), ";".join(groups), np.array(exact, "<u4").tobytes(), np.array(pairs, "<i8").tobytes())
+    """What segments add to their documents: counts of A's and B's tokens, groups and links; groups as text; ids of A in exact groups, and pairs (a * 65536 + b) of other groups, each with how many a segment has."""
+
+    figures: np.ndarray
+    groups: list[str]
+    exact: np.ndarray
+    exact_sizes: np.ndarray
+    pairs: np.ndarray
+    pair_sizes: np.ndarray
+
+
+def align(ids_a: list[list[int]], ids_b: list[list[int]], pieces: Pieces) -> Aligned:
+    """Groups and links of segments whose tokens have the same bytes, all at once.
+
+    Between two neighbouring token ends of either side lies a part of one token of each: a link. A
+    group closes at an end of both.
+    """
+    n = len(ids_a)
+    n_a, n_b = (np.array([*map(len, x)], np.int64) for x in (ids_a, ids_b))
+    ta, tb = ([*chain.from_iterable(x)] for x in (ids_a, ids_b))
+    a, b = np.array(ta, np.int64), np.array(tb, np.int64)
+    end_a, end_b = np.cumsum(pieces.size_a[a]), np.cumsum(pieces.size_b[b])
+    # Two sorted runs, which a stable sort merges.
+    ends = np.sort(np.concatenate([end_a, end_b]), kind="stable")
+    ends = ends[np.concatenate([[True], ends[1:] != ends[:-1]])[: len(ends)]]
+    i, j = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
+    closes = (end_a[i] == ends) & (end_b[j] == ends)
+    segment, last = np.repeat(np.arange(n), n_a)[i], np.flatnonzero(closes)
+    first = np.concatenate([[0], last[:-1] + 1]).astype(np.int64)[: len(last)]
+    one_to_one = np.repeat(last == first, last - first + 1)
+    exact = one_to_one & (pieces.identity[a[i]] == b[j])
+    of = lambda links: np.bincount(segment[links], minlength=n)
+    figures = np.stack([n_a, n_b, of(closes), np.bincount(segment, minlength=n)], axis=1)
+
+    decimal, said = pieces.decimal, pieces.said
+    rows = zip(exact[last].tolist(), i[first].tolist(), i[last].tolist(), j[first].tolist(), j[last].tolist(), strict=True)
+    texts = [said[ta[i0]] if x else f"{','.join([decimal[t] for t in ta[i0 : i1 + 1]])}|{','.join([decimal[t] for t in tb[j0 : j1 + 1]])}" for x, i0, i1, j0, j1 in rows]
+    upto = np.concatenate([[0], np.cumsum(figures[:, 2])]).tolist()
+    groups = [";".join(texts[lo:hi]) for lo, hi in zip(upto, upto[1:])]  # noqa: B905
+    return Aligned(figures, groups, a[i][exact], of(exact), (a[i] << 16 | b[j])[~exact], of(~exact))
 
 
 class Memo:
-    """Segments aligned so far, in two generations: what the younger lacks is taken over from the older one or made."""
+    """Segments encoded and aligned so far, by place; it is emptied when it holds more than ``MEMO``."""
 
     def __init__(self, path_a: str, path_b: str, pieces: Pieces):
         from sentencepiece import SentencePieceProcessor
@@ -132,21 +149,46 @@ class Memo:
         self.a.no_padding()
         self.a.encode_special_tokens = True
         self.space = [self.b.piece_to_id("▁")]
-        self.young, self.old = {}, {}
+        self._empty()
 
-    def of(self, segments: list[str]) -> dict[str, Aligned | None]:
-        """Each segment's alignment; None where a tokenizer does not give its bytes back."""
-        found = {s: self.young[s] if s in self.young else self.old[s] for s in segments if s in self.young or s in self.old}
-        new = [s for s in segments if s not in found]
+    def _empty(self) -> None:
+        self.place: dict[str, int] = {}
+        self.held, self.whole = align([], [], self.pieces), np.zeros(0, bool)
+
+    def _add(self, new: list[str]) -> None:
+        of_a = [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)]
         # B sets a space before a text by itself, and drops a text that is nothing else.
-        for s, a, b in zip(new, self.a.encode_batch_fast(new, add_special_tokens=False), self.b.encode([s[1:] for s in new], num_threads=1), strict=True):
-            a, b, raw = a.ids, b or self.space, s.encode()
-            whole = b"".join([self.pieces.a[x] for x in a]) == raw == b"".join([self.pieces.b[x] for x in b])
-            found[s] = align(a, b, self.pieces) if whole else None
-        self.young.update(found)
-        if len(self.young) > MEMO:
-            self.old, self.young = self.young, {}
-        return found
+        of_b = [x or self.space for x in self.b.encode([s[1:] for s in new], num_threads=1)]
+        bytes_a, bytes_b, raw = self.pieces.a, self.pieces.b, [s.encode() for s in new]
+        size = np.array([*map(len, raw)], np.int64)
+        joined = lambda of, ids: b"".join([of[t] for t in chain.from_iterable(ids)])
+        sized = lambda sizes, ids: _sums(sizes[np.array([*chain.from_iterable(ids)], np.int64)], np.array([*map(len, ids)], np.int64))
+        if joined(bytes_a, of_a) == b"".join(raw) == joined(bytes_b, of_b) and (sized(self.pieces.size_a, of_a) == size).all() and (sized(self.pieces.size_b, of_b) == size).all():
+            whole = [True] * len(new)
+        else:
+            whole = [joined(bytes_a, [x]) == r == joined(bytes_b, [y]) for r, x, y in zip(raw, of_a, of_b, strict=True)]
+            of_a, of_b = ([x if ok else [] for x, ok in zip(ids, whole, strict=True)] for ids in (of_a, of_b))
+        found, old = align(of_a, of_b, self.pieces), self.held
+        old.groups.extend(found.groups)
+        both = lambda name: np.concatenate([getattr(old, name), getattr(found, name)])
+        self.held = Aligned(both("figures"), old.groups, *map(both, ("exact", "exact_sizes", "pairs", "pair_sizes")))
+        self.whole = np.concatenate([self.whole, np.array(whole, bool)])
+        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+
+    def of(self, distinct: list[str]) -> tuple[Aligned, np.ndarray]:
+        """The segments' alignments, and whether both tokenizers give their bytes back; one of which they do not has no tokens."""
+        if len(self.place) > MEMO:
+            self._empty()
+        new = [s for s in distinct if s not in self.place]
+        if new:
+            self._add(new)
+        at, held = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct)), self.held
+
+        def taken(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+            return values[_ragged(sizes[at], (np.cumsum(sizes) - sizes)[at])]
+
+        groups = held.groups
+        return Aligned(held.figures[at], [groups[k] for k in at.tolist()], taken(held.exact, held.exact_sizes), held.exact_sizes[at], taken(held.pairs, held.pair_sizes), held.pair_sizes[at]), self.whole[at]
 
 
 def segments(text: str | None) -> list[str]:
@@ -176,22 +218,26 @@ def _align_blocks(path_a: str, path_b: str, shared):
         memo, vector = Memo(path_a, path_b, pieces), np.zeros(len(pieces.a), np.int64)
         for name, ids, texts in chain.from_iterable(map(_cut, batches)):
             cut = [segments(t) for t in texts]
-            known = memo.of(list(dict.fromkeys(chain.from_iterable(cut))))
-            cut = [own if all(known[s] for s in own) else [] for own in cut]
-            place = {s: i for i, s in enumerate(dict.fromkeys(chain.from_iterable(cut)))}
-            own = [known[s] for s in place]
-            sizes = np.array([len(x) for x in cut], np.int64)
+            distinct = list(dict.fromkeys(chain.from_iterable(cut)))
+            own, whole = memo.of(distinct)
+            if not whole.all():
+                bad = {s for s, ok in zip(distinct, whole.tolist(), strict=True) if not ok}
+                cut = [[] if bad.intersection(x) else x for x in cut]
+            place = {s: i for i, s in enumerate(distinct)}
+            sizes = np.fromiter(map(len, cut), np.int64, len(cut))
             places = np.fromiter(map(place.__getitem__, chain.from_iterable(cut)), np.int64, int(sizes.sum()))
-            times = np.bincount(places, minlength=len(own))
-            figures = np.array([x.figures for x in own], np.int64).reshape(-1, 4)[places]
-            exact, exact_sizes = np.frombuffer(b"".join(x.exact for x in own), "<u4").astype(np.int64), np.array([len(x.exact) // 4 for x in own], np.int64)
-            pairs, pair_sizes = np.frombuffer(b"".join(x.pairs for x in own), "<i8"), np.array([len(x.pairs) // 8 for x in own], np.int64)
+            times = np.bincount(places, minlength=len(distinct))
+            figures = own.figures[places]
+            exact, exact_sizes, pairs, pair_sizes = own.exact, own.exact_sizes, own.pairs, own.pair_sizes
             np.add.at(vector, exact, np.repeat(times, exact_sizes))
-            distinct, irregular = np.unique(pairs, return_inverse=True)
-            counts = np.zeros(len(distinct), np.int64)
+            kinds, irregular = np.unique(pairs, return_inverse=True)
+            counts = np.zeros(len(kinds), np.int64)
             np.add.at(counts, irregular, np.repeat(times, pair_sizes))
-            said = [hashlib.sha256(";".join([known[s].groups for s in x]).encode()).hexdigest() if x else "" for x in cut]
-            row = {"block": name, "ids": ids, "groups_sha256": said, "places": _pack(places), "sizes": _pack(sizes), "exact": _pack(exact), "exact_sizes": _pack(exact_sizes), "irregular": _pack(irregular), "irregular_sizes": _pack(pair_sizes), "pairs": distinct.tolist(), "pair_counts": counts.tolist()}
+            said, groups, upto = [], own.groups, np.concatenate([[0], np.cumsum(sizes)]).tolist()
+            each = places.tolist()
+            for lo, hi in zip(upto, upto[1:]):  # noqa: B905
+                said.append(hashlib.sha256(";".join([groups[k] for k in each[lo:hi]]).encode()).hexdigest() if hi > lo else "")
+            row = {"block": name, "ids": ids, "groups_sha256": said, "places": _pack(places), "sizes": _pack(sizes), "exact": _pack(exact), "exact_sizes": _pack(exact_sizes), "irregular": _pack(irregular), "irregular_sizes": _pack(pair_sizes), "pairs": kinds.tolist(), "pair_counts": counts.tolist()}
             row |= {c: _sums(figures[:, k], sizes).tolist() for k, c in enumerate(("n_a", "n_b", "n_groups", "n_links"))}
             yield pa.RecordBatch.from_pylist([row], _SCHEMA)
         slices = [{"lo": lo, "vector": vector[lo : lo + SLICE].tolist()} for lo in range(0, len(vector), SLICE) if vector[lo : lo + SLICE].any()]
@@ -255,7 +301,7 @@ def count_pairs(docs: DataFrame, path_a: str, path_b: str) -> Counted:
     # The map is as long as A's vocabulary.
     identity = spark.createDataFrame([(a, a << 16 | int(b)) for a, b in enumerate(pieces.identity) if b >= 0], "a int, pair long")
     exact = vectors.join(F.broadcast(identity), "a").select("pair", "n", F.lit(True).alias("exact"))
-    irregular = blocks.select(F.inline(F.arrays_zip("pairs", "pair_counts"))).select(F.col("pairs").alias("pair"), F.col("pair_counts").alias("n"), F.lit(False).alias("exact"))
+    irregular = blocks.select(F.inline(F.arrays_zip("pairs", "pair_counts"))).select(F.col("pairs").alias("pair"), F.col("pair_counts").alias("n"), F.lit(False).alias("exact")).where("n > 0")
     totals = irregular.unionByName(exact).groupBy("pair").agg(F.sum("n").alias("n"), F.max("exact").alias("exact"))
     return Counted(blocks, stored(totals, "pairs"), pieces)
 
