@@ -14,7 +14,7 @@ from tidemark.plans import candidates, ingest
 from tidemark.sources import snapshots
 from tidemark.sources.fixtures import view
 from tidemark.streaming import health
-from tidemark.streaming.ingest import stream_ingest
+from tidemark.streaming.ingest import ingest_tick, stream_ingest
 
 AT = lambda h: dt.datetime(2026, 1, 1) + dt.timedelta(hours=h)
 
@@ -70,6 +70,79 @@ def test_friction_of_campaigns(spark):
     assert got == {1: "easy", 2: "hard", 3: "easy", 4: "hard", 5: "medium", 6: "medium", 7: "hard", 8: "easy", 9: "hard"}
 
 
+def test_a_campaigns_own_actions(spark):
+    rows = [
+        (1, [("twitter_retweet", True), ("instagram_comment", True), ("visit", False)], None, False, ["twitter_retweet", "instagram_comment"], "medium"),
+        (2, [("email_subscribe", True), ("twitter_tweet", False)], 1, True, ["twitter_tweet"], "easy"),
+        (3, [("twitter_tweet", False), ("visit_page", False)], 2, False, ["twitter_tweet"], "easy"),
+        (4, [("odd_widget", False)], None, True, [], "easy"),
+        (5, [("odd_widget", None), (None, None), ("twitter_tweet", None)], None, None, None, "easy"),
+        (6, [], None, None, None, "easy"),
+        (7, None, 3, None, None, None),
+        (8, [("visit_page", True), ("question", True), ("email_submit", True)], 2, True, [], "easy"),
+        (9, [("visit_page", True), ("question", True), ("twitter_follow", True)], 2, True, [], "medium"),
+    ]
+    schema = "i int, actions array<struct<entry_type: string, mandatory: boolean>>, quota int, acceptable boolean, signals array<string>, friction string"
+    df = spark.createDataFrame(rows, schema)
+    c = F.col
+    got = df.select("i", actions.array_verdict(c("actions"), c("quota")).alias("v"), actions.array_friction(c("actions"), c("quota"), F.lit(False), F.lit(False)).alias("f")).collect()
+    for r, (i, _, _, acceptable, signals, friction) in zip(sorted(got), rows, strict=True):
+        assert (r.v and r.v.acceptable) is acceptable and (r.v and r.v.signals) == signals and r.f == friction, i
+
+
+def test_the_array_says_what_the_rows_say(spark):
+    """One campaign's array against the grouped form, on all campaigns of the fixture."""
+    acts = view(spark, "/root/testdata/sf0.01", "campaign_actions")
+    whole = acts.groupBy("campaign_id").agg(F.collect_list(F.struct("entry_type", "mandatory")).alias("a"), F.max("actions_required").alias("quota"))
+    one = whole.select("campaign_id", actions.array_verdict(F.col("a"), F.col("quota")).alias("v"), actions.array_friction(F.col("a"), F.col("quota"), F.lit(False), F.lit(False)).alias("f"))
+    grouped = actions.platform_verdict(acts).join(actions.platform_friction(acts, acts.select("campaign_id", F.lit(False).alias("login_required"), F.lit(False).alias("has_paid")).distinct()), "campaign_id")
+    both = one.join(grouped, "campaign_id")
+    same = [F.col(f"v.{x}").eqNullSafe(F.col(f"says.{x}")) for x in ("acceptable", "requires_public", "reason", "has_path", "public_available", "non_public")]
+    assert both.where(~(same[0] & same[1] & same[2] & same[3] & same[4] & same[5] & F.col("f").eqNullSafe(F.col("friction")))).count() == 0 < both.count()
+
+
+def _candidates(spark, *pages):
+    rows = [(i, u, h, a, 200, 1, "") for i, (a, u, h) in enumerate(pages)]
+    return {r.canonical_url: r for r in ingest.page_candidates(spark.createDataFrame(rows, snapshots.PAGES), threshold=0.1).collect()}
+
+
+def _campaign(*methods, **incentive):
+    payload = {"campaign": {"key": "AbCd1", "name": "Win a PlayStation giveaway", "site_name": "Shop", "terms_and_conditions": "Open worldwide"}, "incentive": incentive, "entry_methods": [{"entry_type": t, "mandatory": m} for t, m in methods]}
+    return f"<div ng-init='initCampaign({json.dumps(payload)})'></div>"
+
+
+def test_the_payloads_actions_decide_in_the_ingest(spark):
+    url = "https://gleam.io/{}/win"
+    got = _candidates(
+        spark,
+        ("gleam", url.format("AbCd1"), _campaign(("twitter_retweet", True), ("instagram_comment", True))),
+        ("gleam", url.format("AbCd2"), _campaign(("email_subscribe", True), ("twitter_retweet", False))),
+        ("gleam", url.format("AbCd3"), _campaign(("refer_friend", True))),
+        ("gleam", url.format("AbCd4"), _campaign(("twitter_tweet", False), ("instagram_comment", False), actions_required=1)),
+    )
+    verdicts = {u[-8:-4]: (r.status, r.entry_verdict.acceptable, r.friction) for u, r in got.items()}
+    assert verdicts == {"bCd1": ("rejected", False, "medium"), "bCd2": ("candidate", True, "easy"), "bCd3": ("rejected", False, "hard"), "bCd4": ("rejected", False, "easy")}
+    one = got[url.format("AbCd1")]
+    assert "requires public social-media action" in one.skip_reasons and one.entry_verdict.signals == ["twitter_retweet", "instagram_comment"]
+    assert (one.platform, one.platform_campaign_id) == ("gleam", "AbCd1")
+
+
+CARDS = """<body><a href="/sweepstakes/countHits.pl?chi=11&amp;chu=http%3A%2F%2Fgl!!3!!5m.!!2o%2FAbCd1%2Fc!!5sh">Acme -- Win Cash Giveaway</a>
+<p>Enter for a chance to win $500 cash</p><p>End Date: 2026-05-03</p><p>Restrictions: Open Worldwide</p>
+<a href="/sweepstakes/countHits.pl?chi=12&chu=http%3A%2F%2Fb.example%2Fmug">Bolt -- Win a Mug Contest</a><p>Enter for a chance to win a mug</p><p>Restrictions: UK residents only</p>
+<a href="/sweepstakes/countHits.pl?chi=11&chu=x">again</a><a href="/other">no card</a><a href="contests.pl?p=2">2</a></body>"""
+
+
+def test_a_listings_cards_are_candidates(spark):
+    got = _candidates(spark, ("contestgirl", "https://www.contestgirl.com/contests/contests.pl?f=s", CARDS), ("contestgirl", "https://www.contestgirl.com/contests/comment.pl?i=3", CARDS))
+    first, second = (got[f"https://www.contestgirl.com/contests/comment.pl?i={i}"] for i in (11, 12))
+    assert len(got) == 2
+    assert (first.title, first.prize, first.entry_url, first.end_at) == ("Acme -- Win Cash Giveaway", "Enter for a chance to win $500 cash", "http://gleam.io/AbCd1/cash", dt.datetime(2026, 5, 3))
+    assert first.excerpt.split("\n") == ["Acme -- Win Cash Giveaway", "Enter for a chance to win $500 cash", "End Date: 2026-05-03", "Restrictions: Open Worldwide"]
+    assert (first.platform, first.platform_campaign_id, first.status, first.original_url) == ("gleam", "AbCd1", "candidate", "https://www.contestgirl.com/contests/contests.pl?f=s")
+    assert (second.restriction, second.status, second.entry_url) == ("UK residents only", "rejected", "http://b.example/mug")
+
+
 def test_candidate_status_and_selection(spark):
     base = dict(title=None, prize=None, excerpt=None, restriction=None, method_text=None, purchase_text=None, free_hint=None, category=None, filter_text=None, expired=None, friction_override=None)
     cases = [
@@ -133,7 +206,7 @@ def test_a_batch_keeps_ids_unique_and_meets_itself(spark):
     assert (rows[1].title, rows[1].last_seen_at, rows[1].source_id) == ("New", AT(2), 6)
     assert (rows[2].status, rows[2].wanted_prize, rows[2].title) == ("active", True, "T")
     new = rows[how[5][1]]
-    assert (new.canonical_url, new.title, new.status, new.manual_status, new.discovered_at) == ("x3", "B", "expired", "none", AT(2))
+    assert (new.canonical_url, new.title, new.status, new.manual_status, new.discovered_at) == ("x3", "A", "expired", "none", AT(2))
 
 
 def test_verdicts_made_again(spark):
@@ -191,12 +264,68 @@ def test_a_stream_of_pages_makes_versions(spark, tmp_path):
     html = "<title>Jeu concours</title><main>Participez : tirage au sort, règlement du jeu. Inscription avant le 3 mai. Win a PlayStation 5</main>"
     rows = [[(i, f"https://a.example/jeu-concours/{i}", html + str(i), None, 200, 1, "")] for i in (1, 2)]
     pages = _in_batches(spark, f"{tmp_path}/p", snapshots.PAGES, *rows)
-    stream_ingest(pages, state_rows(spark), f"{tmp_path}/state", f"{tmp_path}/c5", "2026-01-01 00:00:00").awaitTermination()
-    assert snapshots.versions(spark, f"{tmp_path}/state") == [0, 1]
-    final = snapshots.read_snapshot(spark, f"{tmp_path}/state").collect()
-    assert sorted(r.canonical_url for r in final) == ["https://a.example/jeu-concours/1", "https://a.example/jeu-concours/2"]
-    assert snapshots.read_snapshot(spark, f"{tmp_path}/state", before=1).count() == 1
-    assert snapshots.read_snapshot(spark, f"{tmp_path}/none") is None
+    state = snapshots.BucketedState(f"{tmp_path}/state", buckets=8)
+    stream_ingest(pages, state_rows(spark), state, f"{tmp_path}/c5", "2026-01-01 00:00:00").awaitTermination()
+    schema = state_rows(spark).schema
+    assert state.versions(spark) == [0, 1]
+    assert sorted(r.canonical_url for r in state.read(spark, schema).collect()) == ["https://a.example/jeu-concours/1", "https://a.example/jeu-concours/2"]
+    assert state.read(spark, schema, before=1).count() == 1 and state.read(spark, schema, before=0).count() == 0
+    # The last batch again: the same version, the same rows.
+    again = spark.createDataFrame(rows[1], snapshots.PAGES)
+    before = sorted(state.read(spark, schema).drop("id").collect(), key=str)
+    ingest_tick(again, state, state_rows(spark), 1, "2026-01-01 00:00:00")
+    assert state.versions(spark) == [0, 1] and sorted(state.read(spark, schema).drop("id").collect(), key=str) == before
+
+
+def test_a_tick_writes_what_it_touches(spark, tmp_path):
+    state = snapshots.BucketedState(f"{tmp_path}/s", buckets=16)
+    rows = lambda ids, v: spark.createDataFrame([(i, v) for i in ids], "id long, v int")
+    schema = "id long, v int"
+    assert state.read(spark, schema).count() == 0
+    state.write(rows(range(200), 0), 0)
+    touched = state.touched(rows([3, 5], 0), "id")
+    part = state.read(spark, schema, only=touched)
+    changed = part.withColumn("v", F.when(F.col("id").isin(3, 5), 1).otherwise(F.col("v")))
+    assert state.write(changed, 1, touched) == touched and len(touched) <= 2
+    assert {r.id for r in state.read(spark, schema).where("v = 1").collect()} == {3, 5} and state.read(spark, schema).count() == 200
+    # A version again gives what it gave; a bucket without rows goes.
+    state.write(changed, 1, touched)
+    assert state.read(spark, schema).count() == 200 and state.read(spark, schema, before=1).where("v = 1").count() == 0
+    state.write(changed.where("false"), 2, touched)
+    assert state.read(spark, schema).count() == 200 - part.count()
+    gone = state.drop_old(spark, keep=1)
+    assert state.versions(spark) == [2] and {f"v=1/bucket={b}" for b in touched} <= set(gone) and state.read(spark, schema).count() == 200 - part.count()
+
+
+def test_old_snapshots_are_dropped(spark, tmp_path):
+    for v in range(4):
+        snapshots.write_snapshot(spark.range(v), f"{tmp_path}/s", v)
+    assert snapshots.drop_snapshots(spark, f"{tmp_path}/s", 2) == [0, 1] and snapshots.versions(spark, f"{tmp_path}/s") == [2, 3]
+    assert snapshots.read_snapshot(spark, f"{tmp_path}/s").count() == 3 and snapshots.read_snapshot(spark, f"{tmp_path}/none") is None
+
+
+def test_silent_keys_are_forgotten(spark, tmp_path):
+    schema = "source_id long, id long, started_at timestamp, failed boolean"
+    batches = [[(1, 1, AT(0), True)], [(2, 2, AT(5), True)], [(2, 3, AT(7), True)], [(1, 4, AT(8), True)]]
+    run = lambda name, **more: sorted((r.source_id, r.consecutive_failures) for r in health.drained(health.stream_source_health(_in_batches(spark, f"{tmp_path}/{name}", schema, *batches), **more), name, "update", f"{tmp_path}/c_{name}").collect())
+    assert run("kept") == [(1, 1), (1, 2), (2, 1), (2, 2)]
+    assert run("forgotten", keep="3 hours") == [(1, 1), (1, 1), (2, 1), (2, 2)]
+
+
+def test_what_a_run_leaves(spark):
+    page = "<title>Jeu concours</title><main>Participez : tirage au sort, règlement du jeu. Inscription avant le 3 mai. Win a PlayStation 5</main>"
+    rows = [(1, "https://a.example/jeu-concours/1", page, None, 200, 1, ""), (2, "https://a.example/jeu-concours/2", page + "x", None, 200, 1, ""), (3, "https://a.example/x", None, None, 503, 1, ""), (4, "https://b.example/x", None, None, 403, 2, ""), (5, "https://c.example/jeu-concours/1", page, None, 200, 3, "")]
+    state = state_rows(spark, dict(id=7, canonical_url="https://c.example/jeu-concours/1", content_hash="old", last_seen_at=AT(0)))
+    sources = spark.createDataFrame([(i, 60, n, AT(0)) for i, n in ((1, 3), (2, 1), (3, 0), (4, 2))], "id long, crawl_interval_minutes int, consecutive_failures int, next_crawl_at timestamp_ntz")
+    provenance = spark.createDataFrame([(7, 3, AT(0), AT(0), "u")], "giveaway_id long, source_id long, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz, url string")
+    run = ingest.crawl_run(spark.createDataFrame(rows, snapshots.PAGES), state, sources, provenance, "2026-01-01 10:00:00")
+    assert run.state.count() == 3
+    got = {r.source_id: (r.pages_fetched, r.errors_count, r.candidates_found, r.created, r.updated, r.previously_known, r.needs_analysis, r.status, r.error_summary) for r in run.runs.collect()}
+    assert got == {1: (2, 1, 2, 2, 0, 0, 2, "partial", None), 2: (0, 1, 0, 0, 0, 0, 0, "failed", ingest.NO_PAGES), 3: (1, 0, 1, 0, 1, 0, 1, "success", None)}
+    assert {r.id: (r.consecutive_failures, r.next_crawl_at) for r in run.sources.collect()} == {1: (0, AT(11)), 2: (2, AT(10.5)), 3: (0, AT(11)), 4: (2, AT(0))}
+    kept = {(r.giveaway_id, r.source_id): (r.first_seen_at, r.last_seen_at, r.url) for r in run.provenance.collect()}
+    assert kept[7, 3] == (AT(0), AT(10), "https://c.example/jeu-concours/1") and len(kept) == 3
+    assert run.totals.get == {"candidates": 3, "rejected": 0, "skipped": 0}
 
 
 def test_a_failed_call_leaves_its_rows_pending(spark):

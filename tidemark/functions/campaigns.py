@@ -7,21 +7,22 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.urls import RESERVED, absolute_or_null, decode_redirect, platform_identity
 
-PAYLOAD = """campaign struct<key: string, name: string, starts_at: bigint, ends_at: bigint, site_name: string, site_url: string, terms_and_conditions: string, login_first: boolean,
+METHODS = "array<struct<entry_type: string, mandatory: boolean, worth: int, requires_authentication: boolean, actions_required: int>>"
+PAYLOAD = f"""campaign struct<key: string, name: string, starts_at: bigint, ends_at: bigint, site_name: string, site_url: string, terms_and_conditions: string, login_first: boolean,
   login_types: array<string>, require_contact_info: boolean, has_paid_entry_methods: boolean, finished: boolean>,
  incentive struct<name: string, description: string, actions_required: int>,
- entry_methods array<struct<entry_type: string, mandatory: boolean, worth: int, requires_authentication: boolean, actions_required: int>>"""
+ entry_methods {METHODS}"""
 #: From a page's bootstrap call on: whatever quotes it, over several lines too.
 CALL = r"(?s)initCampaign\((.+)"
 CARD = r'(?is)<a\s+href="([^"]*)"[^>]*>(.*?)</a>'
 
 # What an action's type says about its category, in order of rank.
 CATEGORIES = [
-    ("refer", "referral"),
-    ("upload|media|submit", "upload"),
-    ("email|newsletter|subscribe_mail", "email"),
-    ("twitter|facebook|instagram|tiktok|youtube|twitch|discord|pinterest|linkedin|follow|share", "social"),
-    ("visit|click|website", "visit"),
+    ("refer|^share_action$", "referral"),
+    ("upload|_media$|^submit_content$", "upload"),
+    ("email|newsletter", "email"),
+    ("twitter|facebook|instagram|tiktok|youtube|spotify|twitch|discord", "social"),
+    ("visit", "visit"),
 ]
 
 
@@ -115,7 +116,7 @@ def terms_region(terms: Column) -> Column:
 def described(p: Column) -> Column:
     """What a payload says, typed: title, organizer, times, terms, region, login, costs, actions, and summaries of them."""
     k, i = p["campaign"], p["incentive"]
-    methods = F.coalesce(p["entry_methods"], F.from_json(F.lit("[]"), "array<struct<entry_type: string, mandatory: boolean, worth: int, requires_authentication: boolean, actions_required: int>>"))
+    methods = F.coalesce(p["entry_methods"], F.from_json(F.lit("[]"), METHODS))
     must = F.filter(methods, lambda m: F.coalesce(m["mandatory"], F.lit(False)))
     may = F.filter(methods, lambda m: ~F.coalesce(m["mandatory"], F.lit(False)))
     names = lambda a: F.transform(a, lambda m: F.coalesce(m["entry_type"], F.lit("unknown")))

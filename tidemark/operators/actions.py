@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.acceptability import REASON, verdict
 from tidemark.functions.campaigns import action_category
-from tidemark.functions.logic import is_true
+from tidemark.functions.logic import is_true, let
 
 # Action types by class, and fragments that hint at one.
 NON_PUBLIC = (
@@ -32,6 +32,8 @@ PUBLIC_PARTS = (
 )
 #: Fragments of a mandatory action that make an entry hard.
 CREATIVE = "blog|essay|creative|video_submit|photo_submit"
+#: Action types that are easy beside those that email, visit or are of no category.
+EASY = ("email_subscribe", "newsletter", "visit_website", "visit_page", "hidden", "bonus", "custom_action", "question", "choose_image")
 
 
 def action_class(entry_type: Column) -> Column:
@@ -65,28 +67,92 @@ def platform_counts(actions: DataFrame) -> DataFrame:
     )
 
 
-def platform_verdict(actions: DataFrame) -> DataFrame:
-    """Per campaign ``verdict`` (accept, reject or inconclusive), what it says (:mod:`~tidemark.functions.acceptability`) as ``says``, and the counts.
+def _verdict_name(non_public: Column, public: Column, unknown: Column, mandatory_public: Column, quota: Column) -> Column:
+    """accept, reject or inconclusive, from the counts of a campaign's actions.
 
     A mandatory public action rejects. With a quota the other actions, unknown ones included, must
     fill it, and public ones that would be needed reject. Without a quota any private action
     accepts, only public ones reject, only unknown ones accept.
     """
-    c = F.col
-    quota = F.coalesce("quota", F.lit(0)) > 0
-    name = (
-        F.when(c("mandatory_public") > 0, "reject")
-        .when(quota & (c("non_public") + c("unknown") >= c("quota")), "accept")
-        .when(quota & (c("public_social") > 0), "reject")
-        .when(quota, "inconclusive")
-        .when(c("non_public") > 0, "accept")
-        .when((c("public_social") > 0) & (c("unknown") == 0), "reject")
-        .when((c("unknown") > 0) & (c("public_social") == 0), "accept")
+    asked = F.coalesce(quota, F.lit(0)) > 0
+    return (
+        F.when(mandatory_public > 0, "reject")
+        .when(asked & (non_public + unknown >= quota), "accept")
+        .when(asked & (public > 0), "reject")
+        .when(asked, "inconclusive")
+        .when(non_public > 0, "accept")
+        .when((public > 0) & (unknown == 0), "reject")
+        .when((unknown > 0) & (public == 0), "accept")
         .otherwise("inconclusive")
     )
-    some = c("public_social") > 0
-    says = F.when(c("verdict") == "accept", verdict(False, True, None, has_path=True, public_available=some, non_public=c("non_public"))).when(c("verdict") == "reject", verdict(True, False, REASON, has_path=False, public_available=some, non_public=c("non_public")))
-    return platform_counts(actions).withColumn("verdict", name).withColumn("says", says).select("campaign_id", "non_public", "public_social", "unknown", "verdict", "says")
+
+
+def _said(name: Column, public: Column, non_public: Column, signals: Column | None = None) -> Column:
+    """What a verdict says; null where it is inconclusive."""
+    known = {"public_available": public > 0, "non_public": non_public, "signals": signals}
+    return F.when(name == "accept", verdict(False, True, None, has_path=True, **known)).when(name == "reject", verdict(True, False, REASON, has_path=False, **known))
+
+
+def platform_verdict(actions: DataFrame) -> DataFrame:
+    """Per campaign ``verdict`` (accept, reject or inconclusive), what it says (:mod:`~tidemark.functions.acceptability`) as ``says``, and the counts."""
+    c = F.col
+    name = _verdict_name(c("non_public"), c("public_social"), c("unknown"), c("mandatory_public"), c("quota"))
+    counted = platform_counts(actions).withColumn("verdict", name)
+    return counted.withColumn("says", _said(c("verdict"), c("public_social"), c("non_public"))).select("campaign_id", "non_public", "public_social", "unknown", "verdict", "says")
+
+
+def _mandatory(a: Column) -> Column:
+    return F.coalesce(a["mandatory"], F.lit(False))
+
+
+def array_verdict(actions: Column, quota: Column) -> Column:
+    """:func:`platform_verdict`'s ``says`` of one campaign's own array of ``(entry_type, mandatory)``; null where it has none or they say nothing.
+
+    Signals are the public actions that must be done, or else those and the first eight public ones.
+    """
+    classed = F.transform(actions, lambda a: F.struct(F.coalesce(a["entry_type"], F.lit("unknown")).alias("label"), action_class(a["entry_type"]).alias("kind"), _mandatory(a).alias("must")))
+
+    def judged(a: Column) -> Column:
+        of = lambda kind: F.filter(a, lambda x: x["kind"] == kind)
+        labels = lambda xs: F.transform(xs, lambda x: x["label"])
+        n = lambda kind: F.size(of(kind)).cast("long")
+        must = labels(F.filter(of("public_social"), lambda x: x["must"]))
+        every = F.concat(must, F.slice(labels(of("public_social")), 1, 8))
+        name = _verdict_name(n("non_public"), n("public_social"), n("unknown"), F.size(must), quota)
+        return _said(name, n("public_social"), n("non_public"), F.array_distinct(F.when(F.size(must) > 0, must).otherwise(every)))
+
+    return F.when(F.size(actions) > 0, let(classed, judged))
+
+
+def _friction_name(paid: Column, heavy: Column, login: Column, asked: Column, n: Column, social: Column, easy: Column) -> Column:
+    """From what a campaign asks for (the quota, or the mandatory actions), and how many of the mandatory actions are heavy, social and easy."""
+    return (
+        F.when(is_true(paid) | (heavy > 0) | (asked >= 6) | (social >= 4), "hard")
+        .when(is_true(login) | (asked >= 3) | (social >= 2), "medium")
+        .when((asked <= 2) & ((n <= 2) | (easy == n)), "easy")
+        .when(asked <= 4, "medium")
+        .otherwise("unknown")
+    )
+
+
+def _easy(entry_type: Column) -> Column:
+    return action_category(entry_type).isin("email", "visit", "other") | entry_type.isin(*EASY)
+
+
+def _heavy(entry_type: Column) -> Column:
+    return action_category(entry_type).isin("referral", "upload") | F.lower(entry_type).rlike(CREATIVE)
+
+
+def array_friction(actions: Column, quota: Column, login: Column, paid: Column) -> Column:
+    """:func:`platform_friction` of one campaign's own array of ``(entry_type, mandatory)``; null where there is no array."""
+    must = F.filter(actions, _mandatory)
+
+    def judged(a: Column) -> Column:
+        n = F.size(a)
+        count = lambda test: F.size(F.filter(a, lambda x: F.coalesce(test(x["entry_type"]), F.lit(False))))
+        return _friction_name(paid, count(_heavy), login, F.coalesce(quota, n), n, count(lambda t: action_category(t) == "social"), count(_easy))
+
+    return F.when(actions.isNotNull(), let(must, judged))
 
 
 def platform_friction(actions: DataFrame, campaigns: DataFrame) -> DataFrame:
@@ -96,20 +162,12 @@ def platform_friction(actions: DataFrame, campaigns: DataFrame) -> DataFrame:
     actions are asked for (the quota, or the mandatory ones), and how many of them are social.
     """
     c = F.col
-    kind, must = action_category(c("entry_type")), F.coalesce(c("mandatory"), F.lit(False))
-    counted = actions.withColumns({"kind": kind, "must": must}).groupBy("campaign_id").agg(
+    counted = actions.withColumn("must", F.coalesce(c("mandatory"), F.lit(False))).groupBy("campaign_id").agg(
         F.count_if("must").alias("n"),
-        F.count_if(c("must") & (c("kind") == "social")).alias("social"),
-        F.count_if(c("must") & (c("kind").isin("referral", "upload") | F.lower("entry_type").rlike(CREATIVE))).alias("heavy"),
+        F.count_if(c("must") & (action_category(c("entry_type")) == "social")).alias("social"),
+        F.count_if(c("must") & _heavy(c("entry_type"))).alias("heavy"),
+        F.count_if(c("must") & _easy(c("entry_type"))).alias("easy"),
         F.max("actions_required").alias("quota"),
     )
-    rows = campaigns.join(counted, "campaign_id", "left").fillna(0, ["n", "social", "heavy"])
-    asked = F.coalesce("quota", "n")
-    friction = (
-        F.when(is_true(c("has_paid")) | (c("heavy") > 0) | (asked >= 6) | (c("social") >= 4), "hard")
-        .when(is_true(c("login_required")) | (asked >= 3) | (c("social") >= 2), "medium")
-        .when((asked <= 2) & (c("n") <= 2), "easy")
-        .when(asked <= 4, "medium")
-        .otherwise("unknown")
-    )
-    return rows.select("campaign_id", friction.alias("friction"))
+    rows = campaigns.join(counted, "campaign_id", "left").fillna(0, ["n", "social", "heavy", "easy"])
+    return rows.select("campaign_id", _friction_name(c("has_paid"), c("heavy"), c("login_required"), F.coalesce("quota", "n"), c("n"), c("social"), c("easy")).alias("friction"))

@@ -14,6 +14,7 @@ from tidemark.functions import urls
 from tidemark.functions.acceptability import merge_verdict, verdict
 from tidemark.functions.logic import is_false, is_true, moment
 from tidemark.operators.listing import latest_by
+from tidemark.sources.snapshots import settled
 
 # Minutes of the first back-off step and of the longest one.
 BACKOFF_MINUTES, BACKOFF_MOST = 15, 360
@@ -143,9 +144,14 @@ def strong_entry(entry_url: Column) -> Column:
     return F.when(urls.url_domain(canonical).rlike(STRONG_ENTRY_HOST), canonical)
 
 
-def _apart(key: Column, ordinal: str) -> Column:
-    """A join key under which rows without one spread instead of meeting."""
-    return F.coalesce(key, F.concat(F.lit("\0none:"), F.col(ordinal).cast("string")))
+def _identity_keys(canonical: Column, platform: Column, campaign: Column, entry_url: Column) -> Column:
+    """What identifies an offer, as (rank, key): its URL, its platform's key, its strong entry URL."""
+    key = lambda rank, k: F.struct(F.lit(rank).alias("rank"), k.alias("key"))
+    by_platform = F.when(platform.isNotNull() & campaign.isNotNull(), F.concat_ws("\1", platform, campaign))
+    return F.filter(F.array(key(0, canonical), key(1, by_platform), key(2, strong_entry(entry_url))), lambda x: x["key"].isNotNull())
+
+
+WAYS = ("url", "platform", "entry")
 
 
 def resolve_identity(batch: DataFrame, state: DataFrame, ordinal: str = "ordinal", seen_at: str = "seen_at") -> DataFrame:
@@ -153,31 +159,39 @@ def resolve_identity(batch: DataFrame, state: DataFrame, ordinal: str = "ordinal
 
     A row that matches nothing in the state takes the identity of the batch's first row of its
     platform key, else of its strong entry URL, and is matched by batch; else it is new. A new row's
-    id is a hash of its URL, so that reruns agree and rows of one URL are one offer. Rows without a
-    key take no part in its join.
+    id is a hash of its URL, so that reruns agree and rows of one URL are one offer.
+
+    The state's keys are one grouped maximum, which the batch's keys meet in one join; a key's rows
+    are never gathered. The batch and two narrow tables of its rows are stored on the way, so each
+    step reads what the last one made.
     """
-    platform_key = F.when(F.col("platform").isNotNull() & F.col("platform_campaign_id").isNotNull(), F.concat_ws("\1", "platform", "platform_campaign_id"))
-    b = batch.withColumns({"_url": F.col("canonical_url"), "_key": platform_key, "_entry": strong_entry(F.col("entry_url")), "_order": F.struct(seen_at, ordinal)})
-    by_url = state.select(F.col("canonical_url").alias("_url"), F.col("id").alias("_u"))
-    by_key = latest_by(state, "platform", "platform_campaign_id").select(F.concat_ws("\1", "platform", "platform_campaign_id").alias("_key_j"), F.col("id").alias("_p"))
-    newest = F.struct(F.coalesce(F.col("analyzed_at"), F.lit("0001-01-01").cast("timestamp_ntz")), F.coalesce(F.col("last_seen_at"), F.lit("0001-01-01").cast("timestamp_ntz")), F.col("id"))
-    by_entry = state.withColumn("_entry_j", strong_entry(F.col("entry_url"))).where("_entry_j IS NOT NULL").groupBy("_entry_j").agg(F.max_by("id", newest).alias("_e"))
-    out = b.withColumns({"_key_j": _apart(F.col("_key"), ordinal), "_entry_j": _apart(F.col("_entry"), ordinal)})
-    out = out.join(by_url, "_url", "left").join(by_key, "_key_j", "left").join(by_entry, "_entry_j", "left")
-    how = F.when(F.col("_u").isNotNull(), "url").when(F.col("_p").isNotNull(), "platform").when(F.col("_e").isNotNull(), "entry")
-    out = out.withColumns({"giveaway_id": F.coalesce("_u", "_p", "_e"), "matched_by": how}).drop("_u", "_p", "_e")
+    c, long_ago = F.col, F.lit("0001-01-01").cast("timestamp_ntz")
+    rows = batch.select("*", F.monotonically_increasing_id().alias("_row"), F.struct(seen_at, ordinal).alias("_at"), F.abs(F.xxhash64("canonical_url")).alias("_own"), _identity_keys(c("canonical_url"), c("platform"), c("platform_campaign_id"), c("entry_url")).alias("_keys"))
+    rows = settled(rows)
+    known = state.select("id", "last_seen_at", "analyzed_at", F.inline(_identity_keys(c("canonical_url"), c("platform"), c("platform_campaign_id"), c("entry_url"))))
+    newest = F.struct(F.when(c("rank") == 2, F.coalesce("analyzed_at", long_ago)).otherwise(long_ago), F.coalesce("last_seen_at", long_ago), "id")
+    known = known.groupBy("rank", "key").agg(F.max_by("id", newest).alias("_id"))
+    asked = rows.select("_row", F.inline("_keys")).join(known, ["rank", "key"])
+    best = asked.groupBy("_row").agg(F.min_by(F.struct("_id", "rank"), "rank").alias("_best"))
+    key = lambda rank: F.get(F.filter("_keys", lambda x: x["rank"] == rank), F.lit(0))["key"]
+    found = settled(rows.select("_row", "_at", "_own", key(1).alias("_key"), key(2).alias("_entry")).join(best, "_row", "left").select("_row", "_at", "_own", "_key", "_entry", "_best._id", "_best.rank"))
+
+    def lent(rows_: DataFrame, by: str, mine: Column) -> DataFrame:
+        """Rows with the identity of the first row of their key; rows without a key stay apart."""
+        first = rows_.where(c(by).isNotNull()).groupBy(by).agg(F.min_by(mine, c("_at")).alias("_lent"))
+        return rows_.where(c(by).isNotNull()).join(first, by).unionByName(rows_.where(c(by).isNull()).withColumn("_lent", F.lit(None).cast("long")))
+
     # Rows that the state does not know meet by platform key, then by entry URL; rows that it knows lend their ids.
-    hashed = F.abs(F.xxhash64("_url"))
-    by_platform = out.where("_key IS NOT NULL").groupBy(F.col("_key").alias("_key_j")).agg(F.min_by(F.coalesce("giveaway_id", hashed), F.col("_order")).alias("_id1"))
-    out = out.join(by_platform, "_key_j", "left").withColumn("_id1", F.coalesce("giveaway_id", "_id1", hashed))
-    by_strong = out.where("_entry IS NOT NULL").groupBy(F.col("_entry").alias("_entry_j")).agg(F.min_by("_id1", F.col("_order")).alias("_id2"))
-    out = out.join(by_strong, "_entry_j", "left")
-    identity = F.when(F.col("giveaway_id").isNotNull() | (F.col("_id1") != hashed), F.col("_id1")).otherwise(F.coalesce("_id2", "_id1"))
-    how = F.coalesce("matched_by", F.when(identity == hashed, "new").otherwise("batch"))
-    return out.select(*batch.columns, identity.alias("giveaway_id"), how.alias("matched_by"))
+    met = settled(lent(found, "_key", F.coalesce("_id", "_own")).withColumn("_mine", F.coalesce("_id", "_lent", "_own")).drop("_lent"))
+    given = lent(met, "_entry", c("_mine"))
+    settled_id = F.when(c("_id").isNotNull() | (c("_mine") != c("_own")), c("_mine")).otherwise(F.coalesce("_lent", "_mine"))
+    way = F.coalesce(*[F.when(c("rank") == i, name) for i, name in enumerate(WAYS)])
+    how = F.coalesce(way, F.when(settled_id == c("_own"), "new").otherwise("batch"))
+    ids = given.select("_row", settled_id.alias("giveaway_id"), how.alias("matched_by"))
+    return rows.join(ids, "_row").select(*batch.columns, "giveaway_id", "matched_by")
 
 
-#: How a column of an existing row takes a sighting's value. Columns that are not listed are never touched.
+#: How a column of an existing row takes sightings' values, one after the other. Columns that are not listed are never touched.
 POLICIES = {
     "replace": ("original_url", "last_seen_at", "content_hash"),
     "first": ("source_id", "platform", "platform_campaign_id"),
@@ -187,80 +201,90 @@ POLICIES = {
     "keep_once_analyzed": ("prize", "prize_value_eur", "prize_category", "prize_priority", "preference_reason", "requires_travel", "requires_additional_spend", "free_entry", "eligibility_reason", "requires_purchase", "requires_social", "entry_method", "entry_friction", "geo_restriction"),
     "frozen_once_analyzed": ("wanted_prize", "eligible_france", "france_eligibility", "requires_public_social_action", "entry_acceptable", "entry_rejection_reason"),
 }
+_POLICY = {c: p for p, columns in POLICIES.items() for c in columns} | {"status": "status"}
+OVER = ("rejected", "expired")
 
 
-def merged_value(column: str, policy: str, new: Column, old: Column, changed: Column, analyzed: Column) -> Column:
-    if policy == "replace":
-        return F.coalesce(new, old)
-    if policy == "first":
-        return F.coalesce(old, new)
-    if policy == "fill_or_changed":
-        return F.when(old.isNull() | changed, F.coalesce(new, old)).otherwise(old)
-    if policy == "new_if_changed":
-        return F.when(changed & (F.size(new) > 0), new).otherwise(old)
-    if policy == "new_else_old":
-        return F.coalesce(new, old)
-    if policy == "keep_once_analyzed":
-        return F.when(analyzed, F.coalesce(old, new)).otherwise(F.coalesce(new, old))
-    if policy == "frozen_once_analyzed":
-        return F.when(analyzed, old).otherwise(F.coalesce(new, old))
-    raise ValueError(f"{column}: no policy {policy}")
+def _usable(policy: str, c: Column) -> Column:
+    return F.coalesce(F.size(c) > 0, F.lit(False)) if policy == "new_if_changed" else c.isNotNull()
 
 
 def fold_sightings(resolved: DataFrame, ordinal: str = "ordinal", seen_at: str = "seen_at") -> DataFrame:
-    """One row for each ``giveaway_id``: every column's last value that is not null (the first one's for what keeps the first), by (seen_at, ordinal).
+    """One row for each ``giveaway_id`` with, for each column, a struct of what merging its sightings in order comes down to.
 
-    A rejected or expired sighting is not undone by a later candidate. The URL is the first one's;
-    ``discovered_at`` is added as the first time where it is not there.
+    ``one`` is the first sighting's value, ``first`` and ``last`` the first and last known ones,
+    ``changed`` the last known one of a sighting whose content differs from that of the sighting
+    before it, and ``over`` the last status that rejects or expires. A sighting is compared with the
+    one before it in a window over its offer, which is sorted and may spill; all else is a grouped
+    aggregate on the same partitioning.
     """
-    order, keeps = F.struct(seen_at, ordinal), {*POLICIES["first"], "canonical_url", "domain", "discovered_at"}
+    c = F.col
+    in_order = Window.partitionBy("giveaway_id").orderBy(seen_at, ordinal)
+    rows = resolved.withColumns({"_at": F.struct(seen_at, ordinal), "_nth": F.row_number().over(in_order), "_before": F.lag("content_hash").over(in_order)})
+    rows = rows.withColumn("_changed", (c("_nth") > 1) & ~c("_before").eqNullSafe(c("content_hash")))
     out = []
-    for c in resolved.columns:
-        if c in ("giveaway_id", "status"):
-            continue
-        known = F.when(F.col(c).isNotNull(), order)
-        out.append((F.min_by if c in keeps else F.max_by)(F.col(c), known).alias(c))
-    if "status" in resolved.columns:
-        over = F.col("status").isin("rejected", "expired")
-        out.append(F.max_by("status", F.struct(over, order)).alias("status"))
-    if "discovered_at" not in resolved.columns:
-        out.append(F.min(seen_at).alias("discovered_at"))
-    return resolved.groupBy("giveaway_id").agg(*out)
+    for name in [x for x in resolved.columns if x != "giveaway_id"]:
+        policy, value, at = _POLICY.get(name, "one"), c(name), c("_at")
+        parts = {"one": F.min_by(value, at)}
+        if policy in ("first", "keep_once_analyzed", "fill_or_changed"):
+            parts["first"] = F.min_by(value, F.when(value.isNotNull(), at))
+        if policy in ("replace", "new_else_old", "keep_once_analyzed", "frozen_once_analyzed") or name == seen_at:
+            parts["last"] = F.max_by(value, F.when(value.isNotNull(), at))
+        if policy in ("fill_or_changed", "new_if_changed"):
+            parts["changed"] = F.max_by(value, F.when(c("_changed") & _usable(policy, value), at))
+        if policy == "status":
+            parts["over"] = F.max_by(value, F.when(value.isin(*OVER), at))
+        out.append(F.struct(*[v.alias(k) for k, v in parts.items()]).alias(name))
+    return rows.groupBy("giveaway_id").agg(*out)
+
+
+def _merged(policy: str, s: Column, old: Column, known: Column, changed: Column, analyzed: Column) -> Column:
+    """A column's value after its sightings ``s`` (:func:`fold_sightings`): over the state's row, or from the first sighting on where there is none."""
+    if policy == "replace" or policy == "new_else_old":
+        return F.coalesce(s["last"], old)
+    if policy == "first":
+        return F.coalesce(old, s["first"])
+    if policy == "fill_or_changed":
+        return F.coalesce(s["changed"], F.when(changed | ~known, s["one"]), old, s["first"])
+    if policy == "new_if_changed":
+        return F.coalesce(s["changed"], F.when(changed & _usable(policy, s["one"]), s["one"]), F.when(known, old).otherwise(s["one"]))
+    if policy == "keep_once_analyzed":
+        return F.when(analyzed, F.coalesce(old, s["first"])).otherwise(F.coalesce(s["last"], old))
+    if policy == "frozen_once_analyzed":
+        return F.when(analyzed, old).otherwise(F.coalesce(s["last"], old))
+    if policy == "status":
+        return F.when(analyzed, old).otherwise(F.coalesce(s["over"], F.when(known, old).otherwise(s["one"])))
+    return F.when(known, old).otherwise(s["one"])
 
 
 def merge_crawl(state: DataFrame, resolved: DataFrame, ordinal: str = "ordinal", seen_at: str = "seen_at") -> DataFrame:
-    """State rows after a batch of resolved sightings: folded to one an id, then a full join on the id, each column merged by its policy.
+    """State rows after a batch of resolved sightings, as if each had been merged alone, in order of (seen_at, ordinal): one fold, then a full join on the id.
 
-    Sightings of ids that the state lacks become new rows. A status leaves candidate only for
-    rejected or expired, and only before an analysis. The user's columns are never touched. Ids
-    stay unique.
+    Sightings of ids that the state lacks become new rows, whose URL and discovery are the first
+    one's. A status leaves candidate only for rejected or expired, and only before an analysis. The
+    user's columns are never touched. Ids stay unique.
     """
-    fresh = fold_sightings(resolved, ordinal, seen_at)
-    seen = {c: F.col(c) for c in fresh.columns} | {"last_seen_at": F.col(seen_at)}
-    new = fresh.select(F.col("giveaway_id").alias("_id"), *[v.alias(f"_n_{c}") for c, v in seen.items() if c in state.columns and c != "id"], F.lit(True).alias("_seen"))
+    c = F.col
+    folded = fold_sightings(resolved, ordinal, seen_at)
+    names = {x: c(x) for x in folded.columns if x in state.columns and x != "id"} | {"last_seen_at": c(seen_at)}
+    if "discovered_at" not in resolved.columns:
+        names["discovered_at"] = c(seen_at)
+    new = folded.select(c("giveaway_id").alias("_id"), c("content_hash").alias("_hash"), *[v.alias(f"_n_{x}") for x, v in names.items()])
     both = state.join(new, state["id"] == new["_id"], "full")
-    known = F.col("id").isNotNull()
-    analyzed = known & F.col("analyzed_at").isNotNull()
-    changed = ~F.col("_n_content_hash").eqNullSafe(F.col("content_hash"))
-    policy = {c: p for p, columns in POLICIES.items() for c in columns}
-    status = F.when(~known, F.col("_n_status")).when(F.col("_seen").isNull() | analyzed, F.col("status")).when(F.col("_n_status").isin("rejected", "expired"), F.col("_n_status")).otherwise(F.col("status"))
+    known, seen = c("id").isNotNull(), c("_id").isNotNull()
+    analyzed = known & c("analyzed_at").isNotNull()
+    changed = known & ~c("_hash.one").eqNullSafe(c("content_hash"))
     out = []
-    for c in state.columns:
-        mine = f"_n_{c}"
-        if c == "id":
+    for x in state.columns:
+        if x == "id":
             value = F.coalesce("id", "_id")
-        elif c == "status":
-            value = status
-        elif c == "manual_status":
-            value = F.when(known, F.col(c)).otherwise(F.lit("none"))
-        elif mine not in both.columns:
-            value = F.col(c)
-        elif c in policy:
-            merged = merged_value(c, policy[c], F.col(mine), F.col(c), changed, analyzed)
-            value = F.when(F.col("_seen").isNull(), F.col(c)).when(~known, F.col(mine)).otherwise(merged)
+        elif x == "manual_status":
+            value = F.when(known, c(x)).otherwise("none")
+        elif x in names:
+            value = F.when(seen, _merged(_POLICY.get(x, "one"), c(f"_n_{x}"), c(x), known, changed, analyzed)).otherwise(c(x))
         else:
-            value = F.when(known, F.col(c)).otherwise(F.col(mine))
-        out.append(value.alias(c))
+            value = c(x)
+        out.append(value.alias(x))
     return both.select(*out)
 
 

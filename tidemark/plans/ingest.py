@@ -7,12 +7,12 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemark.functions import extract, pages, scoring, urls
-from tidemark.functions.logic import moment
-from tidemark.operators import listing, merge
+from tidemark.functions.logic import moment, once
+from tidemark.operators import actions, listing, merge
 from tidemark.plans import candidates, gates
 from tidemark.sources.snapshots import settled
 
@@ -38,47 +38,68 @@ def _with(df: DataFrame, **columns: Column) -> DataFrame:
 def page_candidates(snapshots: DataFrame, threshold: float = candidates.THRESHOLD) -> DataFrame:
     """Candidates of ``snapshots(page_id, url, html[, adapter, http_status, source_id, anchor_text])``, one for each canonical URL: what their sites' rules read, how they score, and what is decided about them.
 
-    All is projection but the choice of each URL's first page, which shuffles fields, not markup.
+    A page gives itself, unless its rules skip it, and a candidate for each card of its listing. The
+    actions of a campaign's payload decide before its texts how hard it is to enter and whether it
+    may be entered. All is projection but the choice of each URL's first page, which shuffles
+    fields, not markup. ``ordinal`` is ``(page_id, place)``.
     """
     c, n, none = F.col, scoring.normalize_text, F.lit(None).cast("string")
     rows = _with(snapshots, adapter=none, http_status=F.lit(200), source_id=F.lit(None).cast("long"), anchor_text=F.lit(""))
-    read = extract.extract_fields(rows)
     f = lambda name: c(f"fields.{name}")
-    identity = urls.platform_identity(F.coalesce(f("entry_url"), c("url")))
+    # A page is a candidate unless its rules skip it, and each card of its listing is one.
+    page = F.struct(
+        c("url").alias("url"), F.coalesce(f("title"), pages.page_title(c("html"))).alias("title"), f("prize").alias("prize"), F.coalesce(f("excerpt"), extract.main_text(c("html"))).alias("excerpt"),
+        f("restriction").alias("restriction"), f("entry_url").alias("entry_url"), f("end_date").alias("end_date"), F.lit(False).alias("is_card"),
+    )
+    read = once(extract.extract_fields(rows), {"_page": page, "_hints": pages.link_hints(c("html"))}).drop("html")
+    or_page = lambda x, name: F.coalesce(F.nullif(x[name], F.lit("")), c(f"_page.{name}"))
+    card = lambda x: F.struct(
+        x["url"].alias("url"), or_page(x, "title").alias("title"), or_page(x, "prize").alias("prize"), or_page(x, "excerpt").alias("excerpt"),
+        or_page(x, "restriction").alias("restriction"), x["entry_url"].alias("entry_url"), or_page(x, "end_date").alias("end_date"), F.lit(True).alias("is_card"),
+    )
+    none_of = lambda a: F.coalesce(a, F.from_json(F.lit("[]"), extract.CHILDREN))
+    offers = F.concat(F.filter(F.array(c("_page")), lambda _: ~F.coalesce(f("skip"), F.lit(False))), F.transform(none_of(f("children")), card))
+    read = read.select("*", F.posexplode(offers).alias("_pos", "o"))
+    identity = urls.platform_identity(F.coalesce(c("o.entry_url"), c("o.url")))
     read = read.select(
-        c("page_id").alias("ordinal"),
+        # Cards follow their page.
+        F.struct("page_id", "_pos").alias("ordinal"),
         "source_id",
         c("url").alias("original_url"),
-        urls.canonical_url(c("url")).alias("canonical_url"),
-        f("skip").alias("skip"),
-        F.coalesce(f("title"), pages.page_title(c("html"))).alias("title"),
-        f("prize").alias("prize"),
-        F.coalesce(f("excerpt"), extract.main_text(c("html"))).alias("excerpt"),
-        f("restriction").alias("restriction"),
+        F.coalesce(urls.canonical_url(c("o.url")), F.when(c("o.is_card"), c("o.url"))).alias("canonical_url"),
+        F.lit(False).alias("skip"),
+        c("o.title").alias("title"),
+        c("o.prize").alias("prize"),
+        c("o.excerpt").alias("excerpt"),
+        c("o.restriction").alias("restriction"),
         f("method").alias("method_text"),
         f("purchase").alias("purchase_text"),
         f("free_hint").alias("free_hint"),
         f("category").alias("category"),
-        none.alias("filter_text"),
-        none.alias("friction_override"),
+        f("filter_text").alias("filter_text"),
+        actions.array_friction(f("actions"), f("quota"), f("login"), f("paid")).alias("friction_override"),
         f("expired").alias("expired"),
-        f("entry_url").alias("entry_url"),
+        c("o.entry_url").alias("entry_url"),
         f("terms_url").alias("terms_url"),
-        F.try_to_timestamp(F.substring(f("end_date"), 1, 10), F.lit("yyyy-MM-dd")).cast("timestamp_ntz").alias("end_at"),
+        F.try_to_timestamp(F.substring(c("o.end_date"), 1, 10), F.lit("yyyy-MM-dd")).cast("timestamp_ntz").alias("end_at"),
         identity["platform"].alias("platform"),
         identity["campaign_id"].alias("platform_campaign_id"),
-        F.lit(None).cast(candidates.acceptability.VERDICT).alias("platform_says"),
-        c("anchor_text"),
-        pages.link_hints(c("html")).alias("link_hints"),
+        actions.array_verdict(f("actions"), f("quota")).alias("platform_says"),
+        "anchor_text",
+        c("_hints").alias("link_hints"),
+        # A card's title is part of its text, so that a short card reaches the threshold.
+        F.when(c("o.is_card"), F.concat_ws("\n", "o.title", "o.excerpt")).otherwise(c("o.excerpt")).alias("_scored"),
     )
-    scored = scoring.score_candidates(read, n(c("canonical_url")), n(c("title")), n(c("excerpt")), n(c("anchor_text")), n(F.array_join("link_hints", " ")))
+    scored = scoring.score_candidates(read, n(c("canonical_url")), n(c("title")), n(c("_scored")), n(c("anchor_text")), n(F.array_join("link_hints", " "))).drop("_scored")
     return candidates.candidate_status(candidates.select_candidates(scored, threshold))
 
 
-def ingest(snapshots: DataFrame, state: DataFrame, seen_at: str, threshold: float = candidates.THRESHOLD) -> Ingested:
-    """Pages to candidates, matched against the state and each other, merged into it by the columns' policies."""
+def resolve_pages(snapshots: DataFrame, state: DataFrame, seen_at: str, threshold: float = candidates.THRESHOLD, totals: Observation | None = None) -> DataFrame:
+    """Pages to candidates as sightings of the state's offers or of new ones, stored. ``totals`` observes how many candidates the same job made, and how many it rejects."""
     c, at = F.col, moment(seen_at)
     found = page_candidates(snapshots, threshold)
+    if totals is not None:
+        found = found.observe(totals, F.count(F.lit(1)).alias("candidates"), F.count_if(c("status") == "rejected").alias("rejected"), F.count_if("skip_analyze").alias("skipped"))
     batch = found.select(
         "ordinal", "source_id", "canonical_url", "original_url", "title", "prize", "link_hints", "entry_url", "terms_url", "end_at", "platform", "platform_campaign_id", "status",
         urls.url_domain(c("canonical_url")).alias("domain"),
@@ -91,9 +112,73 @@ def ingest(snapshots: DataFrame, state: DataFrame, seen_at: str, threshold: floa
         c("entry_verdict.requires_public").alias("requires_public_social_action"), c("entry_verdict.acceptable").alias("entry_acceptable"), c("entry_verdict.reason").alias("entry_rejection_reason"),
         at.alias("seen_at"),
     )
-    resolved = settled(merge.resolve_identity(settled(batch), state))
-    sightings = resolved.where("source_id IS NOT NULL").select("giveaway_id", "source_id", "seen_at", c("original_url").alias("url"))
-    return Ingested(merge.merge_crawl(state, resolved), sightings, merge.upsert_outcome(resolved, state))
+    return settled(merge.resolve_identity(batch, state))
+
+
+def ingest(snapshots: DataFrame, state: DataFrame, seen_at: str, threshold: float = candidates.THRESHOLD) -> Ingested:
+    """Pages to candidates, matched against the state and each other, merged into it by the columns' policies."""
+    resolved = resolve_pages(snapshots, state, seen_at, threshold)
+    return Ingested(merge.merge_crawl(state, resolved), _sightings(resolved), merge.upsert_outcome(resolved, state))
+
+
+def _sightings(resolved: DataFrame) -> DataFrame:
+    return resolved.where("source_id IS NOT NULL").select("giveaway_id", "source_id", "seen_at", F.col("original_url").alias("url"))
+
+
+@dataclass(frozen=True)
+class CrawlRun:
+    """What a run over pages leaves: the ``state``, the ``provenance`` of its offers, a row for each source in ``runs``, the ``sources`` with their next crawl, and run-wide ``totals``, counted while the pages were read."""
+
+    state: DataFrame
+    provenance: DataFrame
+    runs: DataFrame
+    sources: DataFrame
+    totals: Observation
+
+
+#: Fixed value: what a run without pages says.
+NO_PAGES = "Crawl produced no pages (blocked, network, or robots.txt)"
+
+
+def run_rows(snapshots: DataFrame, resolved: DataFrame, state: DataFrame, started_at: str) -> DataFrame:
+    """A row for each source of the pages: ``(source_id, started_at, pages_fetched, errors_count, candidates_found, created, updated, previously_known, needs_analysis, status, error_summary)``.
+
+    A page that was not answered with 2xx, or has no markup, is an error of its source. A source
+    without answers fails; the others' rows do not depend on it.
+    """
+    c = F.col
+    ok = F.coalesce(c("http_status").between(200, 299) & c("html").isNotNull(), F.lit(False))
+    fetched = snapshots.groupBy("source_id").agg(F.count_if(ok).alias("pages_fetched"), F.count_if(~ok).alias("errors_count"))
+    old = state.select(c("id").alias("giveaway_id"), c("content_hash").alias("_hash"))
+    made = resolved.join(old, "giveaway_id", "left").groupBy("source_id").agg(
+        F.count(F.lit(1)).alias("candidates_found"),
+        F.count_if(c("matched_by") == "new").alias("created"),
+        F.count_if((c("matched_by") != "new") & c("_hash").eqNullSafe(c("content_hash"))).alias("previously_known"),
+    )
+    rows = fetched.join(made, fetched["source_id"].eqNullSafe(made["source_id"]), "left").drop(made["source_id"]).fillna(0, ["candidates_found", "created", "previously_known"])
+    rows = merge.run_status(rows.withColumn("started_at", moment(started_at)))
+    rows = rows.withColumns({"updated": c("candidates_found") - c("created"), "needs_analysis": c("candidates_found") - c("previously_known"), "error_summary": F.when(c("status") == "failed", NO_PAGES)})
+    return rows.select("source_id", "started_at", "pages_fetched", "errors_count", "candidates_found", "created", "updated", "previously_known", "needs_analysis", "status", "error_summary")
+
+
+def schedule_after(sources: DataFrame, runs: DataFrame) -> DataFrame:
+    """Sources after a run: a failed one waits for its back-off, one more step of it, any other for its interval. Sources that were not run stay as they are."""
+    c = F.col
+    ran = runs.where("source_id IS NOT NULL").select(c("source_id").alias("id"), c("started_at").alias("_at"), (c("status") == "failed").alias("_failed"))
+    both = sources.join(ran, "id", "left")
+    before = F.coalesce("consecutive_failures", F.lit(0)).cast("long") if "consecutive_failures" in sources.columns else F.lit(0).cast("long")
+    failures = F.when(c("_at").isNull(), before).when(c("_failed"), before + 1).otherwise(0).cast("long")
+    both = both.withColumn("consecutive_failures", failures)
+    wait = F.when(c("_failed"), merge.backoff_minutes(c("consecutive_failures"))).otherwise(c("crawl_interval_minutes").cast("long"))
+    return both.withColumn("next_crawl_at", F.coalesce(c("_at") + F.make_dt_interval(mins=wait.cast("int")), "next_crawl_at")).drop("_at", "_failed")
+
+
+def crawl_run(snapshots: DataFrame, state: DataFrame, sources: DataFrame, provenance: DataFrame, seen_at: str, threshold: float = candidates.THRESHOLD) -> CrawlRun:
+    """One run over the pages of some sources, and all that it leaves. ``snapshots`` has ``source_id`` and ``http_status``."""
+    totals = Observation()
+    resolved = resolve_pages(snapshots, state, seen_at, threshold, totals)
+    runs = settled(run_rows(snapshots, resolved, state, seen_at))
+    return CrawlRun(merge.merge_crawl(state, resolved), merge.merge_provenance(provenance, _sightings(resolved)), runs, schedule_after(sources, runs), totals)
 
 
 def ingest_pages(snapshots: DataFrame, state: DataFrame, seen_at: str, threshold: float = candidates.THRESHOLD) -> DataFrame:

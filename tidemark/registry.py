@@ -334,22 +334,30 @@ def upsert_outcome(spark, d):
     return merge.upsert_outcome(resolved(spark, d), state(spark, d))
 
 
-_last = lambda c: f"(array_agg({c} ORDER BY seen_at DESC, ordinal DESC) FILTER ({c} IS NOT NULL))[1] AS n_{c}"
-_KEPT_VALUE = lambda c: f"CASE WHEN NOT seen THEN {c} WHEN id IS NULL THEN n_{c} WHEN done THEN coalesce({c}, n_{c}) ELSE coalesce(n_{c}, {c}) END AS {c}"
-_FROZEN_VALUE = lambda c: f"CASE WHEN NOT seen THEN {c} WHEN id IS NULL THEN n_{c} WHEN done THEN {c} ELSE coalesce(n_{c}, {c}) END AS {c}"
-_FIRST_VALUE = lambda c: f"(array_agg({c} ORDER BY seen_at, ordinal) FILTER ({c} IS NOT NULL))[1] AS n_{c}"
-_LAST_SEEN, _FIRST_SEEN = ("content_hash", "title", "prize", "prize_category", "prize_priority", "free_entry", "entry_method", "end_at", "entry_url", "eligible_france", "entry_acceptable", "wanted_prize"), ("source_id", "platform", "platform_campaign_id", "canonical_url")
-
-
-@_add("merge_crawl", _RESOLVED + f"""
-, s AS (SELECT id3, any_value(giveaway_id) AS gid, max(seen_at) AS n_seen, min(seen_at) AS n_found, {', '.join(map(_last, _LAST_SEEN))}, {', '.join(map(_FIRST_VALUE, _FIRST_SEEN))},
-    (array_agg(status ORDER BY status IN ('rejected', 'expired') DESC, seen_at DESC, ordinal DESC))[1] AS n_status FROM resolved GROUP BY id3)
-, j AS (SELECT g.*, s.*, s.id3 IS NOT NULL AS seen, g.analyzed_at IS NOT NULL AS done, s.n_content_hash IS DISTINCT FROM g.content_hash AS changed FROM g FULL JOIN s ON s.gid = g.id)
-SELECT id IS NULL AS fresh, coalesce(canonical_url, n_canonical_url) AS canonical_url, coalesce(n_seen, last_seen_at) AS last_seen_at, coalesce(discovered_at, n_found) AS discovered_at, coalesce(n_content_hash, content_hash) AS content_hash,
-  CASE WHEN title IS NULL OR changed THEN coalesce(n_title, title) ELSE title END AS title, coalesce(n_entry_url, entry_url) AS entry_url, coalesce(n_end_at, end_at) AS end_at,
-  coalesce(source_id, n_source_id) AS source_id, coalesce(platform, n_platform) AS platform, coalesce(platform_campaign_id, n_platform_campaign_id) AS platform_campaign_id,
-  {', '.join(map(_KEPT_VALUE, ('prize', 'prize_category', 'prize_priority', 'free_entry', 'entry_method')))}, {', '.join(map(_FROZEN_VALUE, ('wanted_prize', 'eligible_france', 'entry_acceptable')))},
-  CASE WHEN id IS NULL THEN n_status WHEN seen AND NOT done AND n_status IN ('rejected', 'expired') THEN n_status ELSE status END AS status, coalesce(manual_status, 'none') AS manual_status, analyzed_at FROM j""")
+# The twin merges one sighting after the other, each over what the one before it left.
+_KEPT_VALUE = lambda c: f"CASE WHEN v.analyzed_at IS NOT NULL THEN coalesce(v.{c}, s.{c}) ELSE coalesce(s.{c}, v.{c}) END AS {c}"
+_FROZEN_VALUE = lambda c: f"CASE WHEN v.analyzed_at IS NOT NULL THEN v.{c} ELSE coalesce(s.{c}, v.{c}) END AS {c}"
+_KEPT_COLUMNS, _FROZEN_COLUMNS = ("prize", "prize_category", "prize_priority", "free_entry", "entry_method"), ("wanted_prize", "eligible_france", "entry_acceptable")
+
+
+@_add("merge_crawl", _RESOLVED.replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+, s AS (SELECT *, row_number() OVER (PARTITION BY id3 ORDER BY seen_at, ordinal) AS nth FROM resolved)
+, v AS (
+  SELECT s.id3, CAST(0 AS BIGINT) AS nth, false AS fresh, g.canonical_url, g.last_seen_at, g.discovered_at, g.content_hash, g.title, g.entry_url, g.end_at, g.source_id, g.platform, g.platform_campaign_id, {', '.join('g.' + c for c in _KEPT_COLUMNS + _FROZEN_COLUMNS)}, g.status, g.manual_status, g.analyzed_at
+  FROM s JOIN g ON g.id = s.giveaway_id WHERE s.nth = 1
+  UNION ALL
+  SELECT s.id3, s.nth, true, s.canonical_url, s.seen_at, s.seen_at, s.content_hash, s.title, s.entry_url, s.end_at, s.source_id, s.platform, s.platform_campaign_id, {', '.join('s.' + c for c in _KEPT_COLUMNS + _FROZEN_COLUMNS)}, s.status, 'none', NULL
+  FROM s WHERE s.nth = 1 AND s.giveaway_id IS NULL
+  UNION ALL
+  SELECT s.id3, s.nth, v.fresh, v.canonical_url, s.seen_at, v.discovered_at, s.content_hash, CASE WHEN v.title IS NULL OR v.content_hash IS DISTINCT FROM s.content_hash THEN coalesce(s.title, v.title) ELSE v.title END, coalesce(s.entry_url, v.entry_url), coalesce(s.end_at, v.end_at),
+    coalesce(v.source_id, s.source_id), coalesce(v.platform, s.platform), coalesce(v.platform_campaign_id, s.platform_campaign_id), {', '.join(map(_KEPT_VALUE, _KEPT_COLUMNS))}, {', '.join(map(_FROZEN_VALUE, _FROZEN_COLUMNS))},
+    CASE WHEN v.analyzed_at IS NULL AND s.status IN ('rejected', 'expired') THEN s.status ELSE v.status END, v.manual_status, v.analyzed_at
+  FROM v JOIN s ON s.id3 = v.id3 AND s.nth = v.nth + 1)
+, done AS (SELECT * EXCLUDE (id3, nth, last) FROM (SELECT *, max(nth) OVER (PARTITION BY id3) AS last FROM v) WHERE nth = last)
+SELECT * FROM done
+UNION ALL BY NAME
+SELECT false AS fresh, canonical_url, last_seen_at, discovered_at, content_hash, title, entry_url, end_at, source_id, platform, platform_campaign_id, {', '.join(_KEPT_COLUMNS + _FROZEN_COLUMNS)}, status, coalesce(manual_status, 'none') AS manual_status, analyzed_at
+FROM g WHERE id NOT IN (SELECT giveaway_id FROM resolved WHERE giveaway_id IS NOT NULL)""")
 def merge_crawl(spark, d):
     known = state(spark, d)
     out = merge.merge_crawl(known, resolved(spark, d)).join(known.select("id", F.lit(False).alias("fresh")), "id", "left").withColumn("fresh", F.coalesce("fresh", F.lit(True)))

@@ -31,7 +31,7 @@ def _add(name: str, sql: str | None = None):
 
 def site_pages(spark: SparkSession, d: str) -> DataFrame:
     """All pages, dealt over the sites of the rule tables and sources, as their sites' pages would arrive."""
-    keys = [*extract.SITES, None]
+    keys = [*extract.ADAPTERS, None]
     rows = view(spark, d, "shaped_pages")
     adapter = F.when(F.col("shape").isin("payload", "broken", "cards"), "gleam").when(F.col("shape") == "tracker", "sweepwidget").otherwise(F.element_at(F.array(*[F.lit(k) for k in keys]), (F.col("page_id") % len(keys) + 1).cast("int")))
     return rows.select("page_id", "url", "html", "http_status", adapter.alias("adapter"), (F.col("page_id") % 20).alias("source_id"), F.lit("").alias("anchor_text"))
@@ -124,8 +124,8 @@ _KIND = "CASE " + " ".join(f"WHEN regexp_matches(lower(entry_type), '{p}') THEN
 
 @_add("platform_friction", with_views("campaign_actions") + f"""
 , k AS (SELECT *, {_KIND} AS kind FROM campaign_actions)
-, g AS (SELECT campaign_id, count(*) FILTER (mandatory) AS n, count(*) FILTER (mandatory AND kind = 'social') AS social, count(*) FILTER (mandatory AND (kind IN ('referral', 'upload') OR regexp_matches(entry_type, '{actions.CREATIVE}'))) AS heavy, coalesce(max(actions_required), count(*) FILTER (mandatory)) AS asked FROM k GROUP BY campaign_id)
-SELECT campaign_id, CASE WHEN campaign_id % 23 = 0 OR heavy > 0 OR asked >= 6 OR social >= 4 THEN 'hard' WHEN campaign_id % 9 = 0 OR asked >= 3 OR social >= 2 THEN 'medium' WHEN asked <= 2 AND n <= 2 THEN 'easy' WHEN asked <= 4 THEN 'medium' ELSE 'unknown' END AS friction FROM g""")
+, g AS (SELECT campaign_id, count(*) FILTER (mandatory) AS n, count(*) FILTER (mandatory AND kind = 'social') AS social, count(*) FILTER (mandatory AND (kind IN ('referral', 'upload') OR regexp_matches(entry_type, '{actions.CREATIVE}'))) AS heavy, count(*) FILTER (mandatory AND (kind IN ('email', 'visit', 'other') OR entry_type IN ('email_subscribe', 'newsletter', 'visit_website', 'visit_page', 'hidden', 'bonus', 'custom_action', 'question', 'choose_image'))) AS easy, coalesce(max(actions_required), count(*) FILTER (mandatory)) AS asked FROM k GROUP BY campaign_id)
+SELECT campaign_id, CASE WHEN campaign_id % 23 = 0 OR heavy > 0 OR asked >= 6 OR social >= 4 THEN 'hard' WHEN campaign_id % 9 = 0 OR asked >= 3 OR social >= 2 THEN 'medium' WHEN asked <= 2 AND (n <= 2 OR easy = n) THEN 'easy' WHEN asked <= 4 THEN 'medium' ELSE 'unknown' END AS friction FROM g""")
 def platform_friction(spark, d):
     acts = view(spark, d, "campaign_actions")
     campaigns_ = acts.select("campaign_id").distinct().selectExpr("campaign_id", "campaign_id % 9 = 0 AS login_required", "campaign_id % 23 = 0 AS has_paid")

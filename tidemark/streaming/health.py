@@ -59,25 +59,39 @@ def _streak(kept: tuple, events: list[tuple[int, int, bool, bool]], late_micros:
     return (*reset, settled + len(old), [x[0] for x in open_], [x[1] for x in open_], *last)
 
 
+def _expire(state: GroupState, kept: tuple) -> None:
+    """Let the state go once the watermark passes its latest event."""
+    state.setTimeoutTimestamp(max(kept[5] // 1000, state.getCurrentWatermarkMs() + 1))
+
+
 def _micros(interval: str) -> int:
     return int(pd.Timedelta(interval).value // 1000)
 
 
-def stream_source_health(runs: DataFrame, late: str = "7 days") -> DataFrame:
-    """Failures in a row and the back-off of each source, updated by micro-batch. Rows that come up to ``late`` behind a source's latest run are counted in their place; later ones are left out."""
+def stream_source_health(runs: DataFrame, late: str = "7 days", keep: str = "90 days") -> DataFrame:
+    """Failures in a row and the back-off of each source, updated by micro-batch.
+
+    Rows that come up to ``late`` behind a source's latest run are counted in their place; later
+    ones are left out. A source is forgotten, and begins anew, when the stream is ``keep`` past its
+    latest run; rows that far behind the stream are left out.
+    """
     horizon = _micros(late)
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(frames))
         events = [(r.started_at.value // 1000, int(r.id), not r.failed, bool(r.failed)) for r in rows.itertuples()]
         now = _streak(state.get if state.exists else _EMPTY, events, horizon)
         state.update(now)
+        _expire(state, now)
         failures = now[2] + len(now[3])
         wait = min(BACKOFF_MINUTES * 2 ** min(failures - 1, 20), BACKOFF_MOST) if failures else 0
         yield pd.DataFrame({"source_id": [key[0]], "consecutive_failures": [failures], "last_run_at": [pd.Timestamp(now[5] * 1000)], "backoff_minutes": [wait]})
 
-    keyed = runs.select("source_id", "id", F.col("started_at").cast("timestamp"), "failed")
-    return keyed.groupBy("source_id").applyInPandasWithState(fold, _HEALTH, _STREAK, "update", GroupStateTimeout.NoTimeout)
+    keyed = runs.select("source_id", "id", F.col("started_at").cast("timestamp"), "failed").withWatermark("started_at", keep)
+    return keyed.groupBy("source_id").applyInPandasWithState(fold, _HEALTH, _STREAK, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def drained(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
@@ -91,11 +105,19 @@ def drained(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFra
 _LINKS = "giveaway_id long, entry_check_fail_count long, entry_url_status string, checked_at timestamp, rejected boolean"
 
 
-def stream_link_health(checks: DataFrame, late: str = "7 days") -> DataFrame:
-    """Failures since the last live check, the latest outcome and whether any was gone, of each giveaway. Rows that come up to ``late`` behind a giveaway's latest check are counted in their place; later ones are left out."""
+def stream_link_health(checks: DataFrame, late: str = "7 days", keep: str = "90 days") -> DataFrame:
+    """Failures since the last live check, the latest outcome and whether any was gone, of each giveaway.
+
+    Rows that come up to ``late`` behind a giveaway's latest check are counted in their place; later
+    ones are left out. A giveaway is forgotten, and begins anew, when the stream is ``keep`` past its
+    latest check; rows that far behind the stream are left out.
+    """
     horizon = _micros(late)
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(frames))
         *kept, status, gone = state.get if state.exists else (*_EMPTY, "", False)
         events = [(r.checked_at.value // 1000, int(r.check_id), r.outcome == "live", r.outcome in ("temporary_error", "gone")) for r in rows.itertuples()]
@@ -103,10 +125,11 @@ def stream_link_health(checks: DataFrame, late: str = "7 days") -> DataFrame:
         latest = {(at, i): o for (at, i, *_), o in zip(events, rows["outcome"], strict=True)}.get((now[5], now[6]), status)
         gone = bool(gone or any(o == "gone" and e[0] >= kept[5] - horizon for e, o in zip(events, rows["outcome"], strict=True)))
         state.update((*now, latest, gone))
+        _expire(state, now)
         yield pd.DataFrame({"giveaway_id": [key[0]], "entry_check_fail_count": [now[2] + len(now[3])], "entry_url_status": [latest], "checked_at": [pd.Timestamp(now[5] * 1000)], "rejected": [gone]})
 
-    keyed = checks.select("giveaway_id", "check_id", F.col("checked_at").cast("timestamp"), link_outcome(F.col("http_status")).alias("outcome"))
-    return keyed.groupBy("giveaway_id").applyInPandasWithState(fold, _LINKS, f"{_STREAK}, status string, gone boolean", "update", GroupStateTimeout.NoTimeout)
+    keyed = checks.select("giveaway_id", "check_id", F.col("checked_at").cast("timestamp"), link_outcome(F.col("http_status")).alias("outcome")).withWatermark("checked_at", keep)
+    return keyed.groupBy("giveaway_id").applyInPandasWithState(fold, _LINKS, f"{_STREAK}, status string, gone boolean", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_last_day(events: DataFrame, at: str = "started_at", late: str = "2 days") -> DataFrame:
