@@ -100,7 +100,7 @@ def set_manual_status(state: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def apply_reminders(state: DataFrame, changes: DataFrame) -> DataFrame:
-    """A reminder some whole hours after the change, 1 to 720; null hours clear it; other values are ignored."""
+    """A reminder some whole hours after the change, 1 to 720; null hours clear it; other values are ignored (:data:`tidemark.operators.rules.REMINDERS` quarantines them)."""
     hours = F.floor("hours").cast("int")
     last = last_change(changes, hours, F.col("hours").isNull() | hours.between(1, 720))
     out = state.join(last, "id", "left")
@@ -109,10 +109,12 @@ def apply_reminders(state: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def source_settings(sources: DataFrame, changes: DataFrame) -> DataFrame:
-    """The latest interval of ``changes(id, change_id, changed_at, interval_minutes)``, floored, if at least five minutes."""
-    at = F.struct("changed_at", "change_id")
-    last = changes.where("interval_minutes >= 5").groupBy("id").agg(F.max_by(F.floor("interval_minutes").cast("int"), at).alias("_m"))
-    return sources.join(last, "id", "left").withColumn("crawl_interval_minutes", F.coalesce("_m", "crawl_interval_minutes")).drop("_m")
+    """Sources after ``changes(id, change_id, changed_at, interval_minutes[, enabled])``: the latest interval, floored, of at least five minutes, and the latest switch on or off."""
+    at, c = F.struct("changed_at", "change_id"), F.col
+    on = c("enabled") if "enabled" in changes.columns else F.lit(None).cast("boolean")
+    minutes = F.when(c("interval_minutes") >= 5, F.floor("interval_minutes").cast("int"))
+    last = changes.groupBy("id").agg(F.max_by(minutes, F.when(minutes.isNotNull(), at)).alias("_m"), F.max_by(on, F.when(on.isNotNull(), at)).alias("_on"))
+    return sources.join(last, "id", "left").withColumns({"crawl_interval_minutes": F.coalesce("_m", "crawl_interval_minutes"), "enabled": F.coalesce("_on", "enabled")}).drop("_m", "_on")
 
 
 def merge_provenance(provenance: DataFrame, sightings: DataFrame) -> DataFrame:
@@ -356,13 +358,28 @@ def apply_analysis(state: DataFrame, analyses: DataFrame, now: str) -> DataFrame
 
 
 def mark_completed(state: DataFrame, results: DataFrame, platform: str) -> DataFrame:
-    """``results(key)`` with the row of that campaign that was seen last (null: missing) and the status it gets. Keys are compared without case, once each."""
-    keys = results.select(F.lower("key").alias("key")).where("key IS NOT NULL").distinct()
+    """``results(key[, url])`` with the row of that campaign that was seen last (null: missing) and the status it gets. A result without a key has the one of its campaign's URL. Keys are compared without case, once each."""
+    key = F.nullif(F.trim("key"), F.lit(""))
+    if "url" in results.columns:
+        who = urls.platform_identity(F.col("url"))
+        key = F.coalesce(key, F.when(who["platform"] == platform, who["campaign_id"]))
+    keys = results.select(F.lower(key).alias("key")).where("key IS NOT NULL").distinct()
     rows = state.where(F.col("platform") == platform).withColumn("key", F.lower("platform_campaign_id"))
     last = latest_by(rows, "key").select("key", "id")
     return keys.join(last, "key", "left").withColumn("manual_status", F.when(F.col("id").isNotNull(), "entered"))
 
 
+def purge(state: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """State and runs without their rows, of the same columns; sources are no part of it."""
+    return state.where(F.lit(False)), runs.where(F.lit(False))
+
+
+def delete_urls(state: DataFrame, gone: DataFrame) -> DataFrame:
+    """The state without the offers of the URLs ``gone(url)``, in any form that has the same canonical one."""
+    known = gone.select(F.coalesce(urls.canonical_url(F.col("url")), F.trim("url")).alias("canonical_url")).distinct()
+    return state.join(known, "canonical_url", "left_anti").select(*state.columns)
+
+
 def purge_plan(state: DataFrame, runs: DataFrame) -> DataFrame:
     """What a purge would drop."""
     a = state.agg(F.count(F.lit(1)).alias("giveaways"), F.lit(1).alias("_k"))

@@ -40,8 +40,8 @@ def page_candidates(snapshots: DataFrame, threshold: float = candidates.THRESHOL
 
     A page gives itself, unless its rules skip it, and a candidate for each card of its listing. The
     actions of a campaign's payload decide before its texts how hard it is to enter and whether it
-    may be entered. All is projection but the choice of each URL's first page, which shuffles
-    fields, not markup. ``ordinal`` is ``(page_id, place)``.
+    may be entered. What the rules read is stored once (fields, not markup); after that all is
+    projection but the choice of each URL's first page. ``ordinal`` is ``(page_id, place)``.
     """
     c, n, none = F.col, scoring.normalize_text, F.lit(None).cast("string")
     rows = _with(snapshots, adapter=none, http_status=F.lit(200), source_id=F.lit(None).cast("long"), anchor_text=F.lit(""))
@@ -90,6 +90,8 @@ def page_candidates(snapshots: DataFrame, threshold: float = candidates.THRESHOL
         # A card's title is part of its text, so that a short card reaches the threshold.
         F.when(c("o.is_card"), F.concat_ws("\n", "o.title", "o.excerpt")).otherwise(c("o.excerpt")).alias("_scored"),
     )
+    # Stored, so that what decides about candidates neither carries the rules' plan nor the markup.
+    read = settled(read)
     scored = scoring.score_candidates(read, n(c("canonical_url")), n(c("title")), n(c("_scored")), n(c("anchor_text")), n(F.array_join("link_hints", " "))).drop("_scored")
     return candidates.candidate_status(candidates.select_candidates(scored, threshold))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import pages as page
 from tidemark.functions import acceptability, campaigns, entry, prizes, scoring, urls
-from tidemark.operators import actions, listing, merge
+from tidemark.operators import actions, listing, merge, rules
 from tidemark.operators.listing import Filters
 from tidemark.plans import gates, ingest
 from tidemark.sources.fixtures import view, view_sql, with_views
@@ -415,8 +415,24 @@ _RULES = {
 
 @_add("validate_constraints", _STATE_SQL + "SELECT id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN ({e}) IS FALSE THEN '{n}' END" for n, e in _RULES.items()) + "], lambda x: x IS NOT NULL), ',') AS failed_rules FROM g")
 def validate_constraints(spark, d):
-    rules: dict[str, Column] = {n: F.expr(e) for n, e in _RULES.items()}
-    return merge.validate(state(spark, d), rules).select("id", F.array_join("failed_rules", ",").alias("failed_rules"))
+    named: dict[str, Column] = {n: F.expr(e) for n, e in _RULES.items()}
+    return merge.validate(state(spark, d), named).select("id", F.array_join("failed_rules", ",").alias("failed_rules"))
+
+
+# Rows of the state with what breaks each rule written over some of them.
+_BROKEN = {
+    "canonical_url": "CASE WHEN id % 101 = 0 THEN NULL ELSE canonical_url END", "content_hash": "CASE WHEN id % 103 = 0 THEN NULL ELSE content_hash END", "status": "CASE WHEN id % 97 = 0 THEN 'odd' WHEN id % 107 = 0 THEN NULL ELSE status END",
+    "manual_status": "CASE WHEN id % 89 = 0 THEN 'odd' WHEN id % 109 = 0 THEN NULL ELSE manual_status END", "confidence": "CASE WHEN id % 83 = 0 THEN 1.5 ELSE confidence END", "prize_priority": "CASE WHEN id % 79 = 0 THEN 101 ELSE prize_priority END",
+    "entry_url_status": "CASE WHEN id % 73 = 0 THEN 'odd' ELSE entry_url_status END", "france_eligibility": "CASE WHEN id % 71 = 0 THEN 'odd' ELSE france_eligibility END", "prize_category": "CASE WHEN id % 67 = 0 THEN 'odd' WHEN id % 61 = 0 THEN NULL ELSE 'cash' END",
+    "entry_friction": "CASE WHEN id % 59 = 0 THEN 'odd' WHEN id % 2 = 0 THEN 'easy' END",
+}
+_WROTE = ", ".join(f"{e} AS {c}" for c, e in _BROKEN.items())
+
+
+@_add("quarantined_giveaways", _STATE_SQL + f", b AS (SELECT id, {_WROTE} FROM g), f AS (SELECT id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN ({e}) IS FALSE THEN '{n}' END" for n, e in rules.GIVEAWAYS.items()) + "], lambda x: x IS NOT NULL), ',') AS failed_rules FROM b) SELECT * FROM f WHERE failed_rules <> ''")
+def quarantined_giveaways(spark, d):
+    bad = rules.split(state(spark, d).selectExpr("id", *[f"{e} AS {c}" for c, e in _BROKEN.items()]), rules.GIVEAWAYS)[1]
+    return bad.select("id", F.array_join("failed_rules", ",").alias("failed_rules"))
 
 
 @_add("seed_sources", with_views("sources") + f"""
