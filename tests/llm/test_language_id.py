@@ -81,6 +81,15 @@ def test_repeated_ids_teach_once(spark):
             language_id.LANGUAGES = kept
 
 
+def test_languages_that_share_all_ids_are_learned(spark):
+    """Two languages have the same ids and other texts; each teaches from its own rows."""
+    rows = [(i, t, v, 0.5, "") for v in ("aa", "bb") for i, t, *_ in corpus([v], 200)] + [r for r in corpus(["cc"], 100, seed=2) if r[2]]
+    model = language_id.train(spark.createDataFrame(rows, DOCS).repartition(4), F.lit(True))
+    assert model.languages == ["aa", "bb", "cc"]
+    right = [model.decode(language_id.features(t, language_id.DIMS))[0] == v for _, t, v, *_ in rows]
+    assert sum(right) >= 0.98 * len(right)
+
+
 def brute_features(text):
     """The n-grams of a text one by one, hashed with the published constants."""
     mask = 0xFFFFFFFF

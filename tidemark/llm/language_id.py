@@ -116,9 +116,9 @@ def train(docs: DataFrame, may_learn: Column, sample: int = SAMPLE, dims: int =
     """A model of the rows with ``may_learn``, a language and a letter. None if there is no such row.
 
     A language teaches with at most ``sample`` documents and its share of ``rows``, the first by a
-    hash of their id. An id counts once, however many rows repeat it: the row of its least language,
-    then of the least hash of its text, teaches. Rows without an id teach nothing. More than
-    ``LANGUAGES`` languages are an error.
+    hash of their id. In each language that an id's rows have, the id counts once, however many rows
+    repeat it: the row of the least hash of its text teaches. Rows without an id teach nothing. More
+    than ``LANGUAGES`` languages are an error.
     """
     usable = docs.where(may_learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
     usable = usable.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
@@ -132,7 +132,7 @@ def train(docs: DataFrame, may_learn: Column, sample: int = SAMPLE, dims: int =
     each = min(sample, max(1, rows // len(sizes)))
     known = docs.sparkSession.createDataFrame([(r.lang, r.n) for r in sizes], "lang string, n long")
     low = hashed.join(F.broadcast(known), "lang").where((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("n") <= 2 * each + 100)
-    one = low.groupBy("doc_id", "h").agg(F.min(F.struct("lang", "t")).alias("k")).select("doc_id", "h", "k.lang", "k.t")
+    one = low.groupBy("doc_id", "lang", "h").agg(F.min("t").alias("t"))
     first = Window.partitionBy("lang").orderBy("h", "doc_id")
     ids = one.withColumn("r", F.row_number().over(first)).where(F.col("r") <= each).select("doc_id", "lang", "t")
 
@@ -144,7 +144,7 @@ def train(docs: DataFrame, may_learn: Column, sample: int = SAMPLE, dims: int =
 
     # At most each * LANGUAGES ids, so they are broadcast; rows that repeat one come down to one before the driver sees them.
     chosen = usable.withColumn("t", F.xxhash64("text")).join(F.broadcast(ids), ["doc_id", "lang", "t"]).select("doc_id", "lang", "text")
-    taught = sorted(chosen.mapInArrow(run, "doc_id long, lang string, x binary").dropDuplicates(["doc_id"]).collect())
+    taught = sorted(chosen.mapInArrow(run, "doc_id long, lang string, x binary").dropDuplicates(["doc_id", "lang"]).collect())
     if not taught:
         return None
     return fit([r.lang for r in taught], np.array([np.frombuffer(r.x, np.float32) for r in taught], np.float64))
