@@ -8,7 +8,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import acceptability, listings
+from tidemark.functions import acceptability, listings, prizes
 from tidemark.operators import actions, backfill, merge
 from tidemark.plans import candidates, ingest
 from tidemark.sources import snapshots
@@ -62,6 +62,12 @@ def test_listing_preference(spark, geo, category, kept):
     assert spark.range(1).select(listings.listing_preference(lit(geo), lit(category), lit(None)).alias("x")).first().x is kept
 
 
+@pytest.mark.parametrize(("text", "category"), [("win 500 euros", "cash"), ("win eur 500", "cash"), ("€500", None), ("500 € a gagner", None), ("50% off", "discount"), ("50 % off", None), ("win a coupon", "discount")])
+def test_amounts_and_discounts(spark, text, category):
+    row = prizes.prize_preference(spark.createDataFrame([(text,)], "t string"), F.col("t"), prefix="p_").first()
+    assert row.p_category == (category or "unknown")
+
+
 def test_friction_of_campaigns(spark):
     rows = [(1, "email_subscribe", True, None), (2, "refer_friend", True, None), (3, "refer_friend", False, None), (4, "visit", False, 7), (5, "twitter_follow", True, None), (5, "instagram_follow", True, None), (6, "visit", True, None), (7, "essay", True, None)]
     acts = spark.createDataFrame(rows, "campaign_id long, entry_type string, mandatory boolean, actions_required int")
@@ -313,6 +319,20 @@ def test_silent_keys_are_forgotten(spark, tmp_path):
     assert run("forgotten", keep="3 hours") == [(1, 1), (1, 1), (2, 1), (2, 2)]
 
 
+def test_the_frontier_follows_what_pages_link(spark):
+    page = lambda i, url, *links, adapter=None: (i, url, "".join(f"<a href='{x}'>go</a>" for x in links), adapter, 200, 1, "")
+    pages = [
+        page(1, "https://a.example/", "/b?utm_source=x", "/c", "mailto:x@y.z", "#top"),
+        page(2, "https://a.example/b", "/c", "/d", "/"),
+        page(3, "https://a.example/d", "/e"),
+        page(4, "https://www.sweepstakesbible.com/", "/giveaways/cash", "/about", adapter="sweepstakes_bible"),
+    ]
+    seeds = spark.createDataFrame([(1, "HTTPS://A.example"), (2, "https://www.sweepstakesbible.com/"), (3, "https://a.example/d")], "source long, url string")
+    snaps = spark.createDataFrame(pages, snapshots.PAGES)
+    got = {(r.source, r.node.split("/", 3)[3], r.depth) for r in ingest.crawl_frontier(snaps, seeds, 2, 10).collect()}
+    assert got == {(1, "", 0), (1, "b", 1), (1, "c", 1), (1, "d", 2), (2, "", 0), (2, "giveaways/cash", 1), (3, "d", 0), (3, "e", 1)}
+
+
 def test_what_a_run_leaves(spark):
     page = "<title>Jeu concours</title><main>Participez : tirage au sort, règlement du jeu. Inscription avant le 3 mai. Win a PlayStation 5</main>"
     rows = [(1, "https://a.example/jeu-concours/1", page, None, 200, 1, ""), (2, "https://a.example/jeu-concours/2", page + "x", None, 200, 1, ""), (3, "https://a.example/x", None, None, 503, 1, ""), (4, "https://b.example/x", None, None, 403, 2, ""), (5, "https://c.example/jeu-concours/1", page, None, 200, 3, "")]

@@ -13,7 +13,8 @@ Rules = list[tuple[str, str]]
 # Patterns over normalised text by family, in order.
 FAMILIES: dict[str, Rules] = {
     "cash": [
-        (r"(?:€|\beur|\beuros?)\s*\d|\b\d[\d\s.,]*\s*(?:€|eur\b|euros?\b)", "cash_amount"),
+        # The sign is no letter, so it counts only beside one: "eur 50" and "50 euros", but neither of the signs alone.
+        (r"\b(?:€|eur|euros?)\s*\d|\b\d[\d\s.,]*\s*(?:€|eur|euros?)\b", "cash_amount"),
         (r"\b(?:cash|argent|virement|bank\s+transfer)\b", "cash"),
         (r"\bpaypal\b", "paypal"),
         (r"\bprepaid\s+(?:visa|mastercard|card)\b|\bcarte\s+prepayee\s+(?:visa|mastercard)\b|\bvisa\s+prepaid\b|\bmastercard\s+prepaid\b", "prepaid_card"),
@@ -49,7 +50,7 @@ FAMILIES: dict[str, Rules] = {
     ],
     "books": [(r"\b(?:livres?|books?|ebooks?|ebook\s+bundle|bundle\s+de\s+livres|book\s+bundle)\b", "books"), (r"\b(?:magazine|abonnement\s+(?:magazine|presse)|magazine\s+subscription)\b", "subscription")],
     "discount": [
-        (r"\b(?:reduction|remise|discount|coupon|pourcent)\b|%\s*off\b", "discount"),
+        (r"\b(?:reduction|remise|discount|coupon|%\s*off|pourcent)\b", "discount"),
         (r"\b(?:bon\s+d[' ]achat\s+des|offerts?\s+des|voucher\s+(?:valid\s+)?(?:on|for)\s+purchases?\s+over)\b|\b\d+\s*(?:€|eur|euros)?\s*(?:off|de\s+reduction).{0,40}(?:over|des|a\s+partir|achat|spend|purchases?)\b|\b(?:purchases?\s+over|minimum\s+spend|spend\s+(?:of\s+)?(?:€|\$|eur)?\s*\d+)\b|\b(?:des\s+\d+|a\s+partir\s+de\s+\d+).{0,20}(?:€|eur\b)", "min_spend"),
     ],
 }

@@ -414,18 +414,20 @@ def seed_sources(sources: DataFrame, catalogue: DataFrame, now: str) -> DataFram
     )
 
 
-
-
 def expand_frontier(edges: DataFrame, seeds: DataFrame, max_depth: int, max_pages: int) -> DataFrame:
-    """``(source, node, depth)``: what each source reaches from its seeds ``(source, node)`` within ``max_depth`` links, its nearest ``max_pages`` by (depth, node).
+    """``(source, node, depth)``: what each source reaches over ``edges(src, dst)`` from its seeds ``(source, node)`` within ``max_depth`` links, its nearest ``max_pages`` by (depth, node).
 
-    A round is one join and one minimum; every node also leads to itself at no cost, so a round
-    reads the one before it once and the plan grows by the depth alone.
+    A round is one join of what the last one found, and an anti-join with all that was found before;
+    it is stored, so no round repeats another. Links are read a round and never copied.
     """
-    own = edges.select(F.col("dst").alias("node")).unionByName(seeds.select("node")).distinct()
-    steps = edges.select("src", "dst", F.lit(1).alias("cost")).unionByName(own.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0).alias("cost")))
-    reach = seeds.select("source", "node", F.lit(0).alias("depth")).distinct()
-    for _ in range(max_depth):
-        reach = reach.join(steps, reach["node"] == steps["src"]).groupBy("source", F.col("dst").alias("node")).agg(F.min(F.col("depth") + F.col("cost")).alias("depth"))
+    steps = edges.select(F.col("src").alias("node"), "dst").where("dst IS NOT NULL")
+    found = settled(seeds.select("source", "node").distinct().withColumn("depth", F.lit(0)))
+    newest = found
+    for depth in range(1, max_depth + 1):
+        reached = newest.join(steps, "node").select("source", F.col("dst").alias("node")).distinct()
+        newest = settled(reached.join(found, ["source", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        if newest.isEmpty():
+            break
+        found = found.unionByName(newest)
     near = Window.partitionBy("source").orderBy("depth", "node")
-    return reach.withColumn("at", F.row_number().over(near)).where(F.col("at") <= max_pages).select("source", "node", "depth")
+    return found.withColumn("at", F.row_number().over(near)).where(F.col("at") <= max_pages).select("source", "node", "depth")

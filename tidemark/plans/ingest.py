@@ -96,6 +96,19 @@ def page_candidates(snapshots: DataFrame, threshold: float = candidates.THRESHOL
     return candidates.candidate_status(candidates.select_candidates(scored, threshold))
 
 
+def follow_edges(snapshots: DataFrame) -> DataFrame:
+    """``(src, dst)``: the links that each page's rules follow, both in canonical form, each once."""
+    rows = _with(snapshots, adapter=F.lit(None).cast("string"), http_status=F.lit(200))
+    links = extract.extract_fields(rows.withColumn("src", urls.canonical_url(F.col("url")))).select("src", F.explode("fields.follow").alias("to"))
+    return links.select("src", urls.canonical_url(F.col("to")).alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").distinct()
+
+
+def crawl_frontier(snapshots: DataFrame, seeds: DataFrame, max_depth: int, max_pages: int) -> DataFrame:
+    """:func:`~tidemark.operators.merge.expand_frontier` over the pages' own links, from ``seeds(source, url)``: ``(source, node, depth)``."""
+    start = seeds.select("source", F.coalesce(urls.canonical_url(F.col("url")), F.col("url")).alias("node"))
+    return merge.expand_frontier(settled(follow_edges(snapshots)), start, max_depth, max_pages)
+
+
 def resolve_pages(snapshots: DataFrame, state: DataFrame, seen_at: str, threshold: float = candidates.THRESHOLD, totals: Observation | None = None) -> DataFrame:
     """Pages to candidates as sightings of the state's offers or of new ones, stored. ``totals`` observes how many candidates the same job made, and how many it rejects."""
     c, at = F.col, moment(seen_at)
