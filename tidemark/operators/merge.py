@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import urls
 from tidemark.functions.acceptability import merge_verdict, verdict
-from tidemark.functions.logic import is_false, is_true, moment
+from tidemark.functions.logic import is_false, is_true, let, moment
 from tidemark.operators.listing import latest_by
 from tidemark.sources.snapshots import settled
 
@@ -141,9 +141,9 @@ STRONG_ENTRY_HOST = r"(^|\.)(gleam\.io|sweepwidget\.com)$"
 
 
 def strong_entry(entry_url: Column) -> Column:
-    """The canonical entry URL if its host is one that identifies offers, else null."""
-    canonical = F.coalesce(urls.canonical_url(entry_url), F.trim(entry_url))
-    return F.when(urls.url_domain(canonical).rlike(STRONG_ENTRY_HOST), canonical)
+    """The canonical entry URL if its host is one that identifies offers, else null. Only URLs that name such a host are brought into canonical form."""
+    canonical = let(F.coalesce(urls.canonical_url(entry_url), F.trim(entry_url)), lambda u: F.when(urls.url_domain(u).rlike(STRONG_ENTRY_HOST), u))
+    return F.when(entry_url.rlike(r"(?i)gleam\.io|sweepwidget\.com"), canonical)
 
 
 def _identity_keys(canonical: Column, platform: Column, campaign: Column, entry_url: Column) -> Column:
