@@ -8,7 +8,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import acceptability, listings, prizes
+from tidemark.functions import acceptability, listings, prizes, scoring
 from tidemark.operators import actions, backfill, merge
 from tidemark.plans import candidates, ingest
 from tidemark.sources import snapshots
@@ -19,6 +19,17 @@ from tidemark.streaming.ingest import ingest_tick, stream_ingest
 AT = lambda h: dt.datetime(2026, 1, 1) + dt.timedelta(hours=h)
 
 
+def test_whole_words_are_searched_from_their_first_letter(spark):
+    texts = ["win", "a win.", "win-win", "winter win", "winter", "twin", "win\n", "\nwin", "9win", "éwin", "win win-", "winwin", "wins", "", None, "swin win"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    rows = df.select("t", scoring.has_phrase(F.col("t"), "win").alias("got"), F.col("t").rlike(scoring.edge_pattern("win")).alias("want")).collect()
+    assert [r.got for r in rows] == [r.want for r in rows]
+    assert [r.got for r in rows] == [True, True, False, True, False, False, True, True, False, True, True, False, False, False, None, True]
+    # No alternation at every letter of the text: that took nine times as long.
+    plan = df.select(scoring.has_phrase(F.col("t"), "win"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "(^|" not in plan
+
+
 def test_text_verdicts(spark):
     cases = [
         ("", None),
