@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import bpe_codec
+from tidemark.llm import bpe_codec, common
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string, ids string, block long, word string"
@@ -55,3 +55,12 @@ def test_empty_and_wordless_tables(spark):
 def test_other_tokenizers_are_refused():
     with pytest.raises((ValueError, KeyError)):
         bpe_codec.added_tokens(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_rows_of_files_are_not_stored_again(spark, tmp_path):
+    rows = [(i, f"word{i % 7} and  l'été {i}", "", 0, "") for i in range(1300)] + [(3, None, "", 0, ""), (3, "again", "", 0, "")]
+    spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(str(tmp_path / "d"))
+    docs, before = spark.read.parquet(str(tmp_path / "d")), common.written()
+    got = bpe_codec.digest(docs, PATH, from_files=True).collect()
+    assert common.written() == before
+    assert sorted(got) == sorted(bpe_codec.digest(docs, PATH).collect())

@@ -1,6 +1,6 @@
 """Byte-level BPE through a table of distinct words.
 
-Spark splits the texts into the tokenizer's words and stores them. Each block of documents becomes
+Spark splits the texts into the tokenizer's words and stores them, unless they come straight from files. Each block of documents becomes
 a dictionary of its words and, per document, the dictionary places of its words in order. The
 dictionaries' words are dealt by hash into one distinct-word table, so each word is encoded once in
 the corpus however often it occurs; its ids are joined back to the blocks' places, and a block with
@@ -140,15 +140,17 @@ def _encode(path: str):
     return run
 
 
-def blocks(docs: DataFrame, path: str) -> DataFrame:
+def blocks(docs: DataFrame, path: str, from_files: bool = False) -> DataFrame:
     """One row for each block of documents: ``(block, ids, counts, places, dictionary)``.
 
-    ``dictionary`` lists packed (places, sizes, codes) of the block's words. The words are stored
-    with a number for each row before they are read twice, so both readings cut the same blocks,
-    also where a task is computed again.
+    ``dictionary`` lists packed (places, sizes, codes) of the block's words. The words are read
+    twice, and both readings must cut the same blocks, also where a task is computed again. So they
+    are stored with a number for each row first, unless ``from_files`` says that ``docs`` are rows
+    of files as they are read: those come in the same order each time, and are split twice instead.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), split_words(F.col("text"), added_tokens(path)).alias("words")), "words")
+    words = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), split_words(F.col("text"), added_tokens(path)).alias("words"))
+    words = words if from_files else stored(words, "words")
     dictionaries = words.mapInArrow(_dictionaries(4 * parts), "part int, block long, places binary, words binary")
     placed = words.mapInArrow(_placed, "block long, ids array<long>, counts array<int>, places binary")
     coded = dictionaries.repartition("part").sortWithinPartitions("part").mapInArrow(_encode(path), "block long, places binary, sizes binary, codes binary")
@@ -156,11 +158,11 @@ def blocks(docs: DataFrame, path: str) -> DataFrame:
     return placed.repartition(parts, "block").join(coded, "block", "left")
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, from_files: bool = False) -> DataFrame:
     """``(doc_id, ids, decoded)`` of every row's whole text: its token ids, and the text they decode to.
 
     Null and empty texts have no ids and decode to an empty text. Rows that repeat stay; null
-    doc_ids stay null; other columns are not read; an empty table gives no rows.
+    doc_ids stay null; other columns are not read; an empty table gives no rows. ``from_files`` is as for :func:`blocks`.
     """
     pieces = docs.sparkSession.sparkContext.broadcast(piece_bytes(path))
 
@@ -186,11 +188,11 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 text = pa.array([b"".join(map(decoded.__getitem__, x)).decode(errors="replace") for x in own], pa.string())
                 yield pa.RecordBatch.from_arrays([ids.values, lists, text], ["doc_id", "ids", "decoded"])
 
-    found = blocks(docs, path).select("ids", "counts", "places", "dictionary")
+    found = blocks(docs, path, from_files).select("ids", "counts", "places", "dictionary")
     return found.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
-def digest(docs: DataFrame, path: str) -> DataFrame:
+def digest(docs: DataFrame, path: str, from_files: bool = False) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: digests of :func:`round_trip`, of the decimal ids joined by commas and of the decoded text."""
     decimal = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return round_trip(docs, path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return round_trip(docs, path, from_files).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -155,7 +155,7 @@ FROM dealt
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_codec.digest(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE))
+    return bpe_codec.digest(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE), from_files=True)
 
 
 def op9_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
