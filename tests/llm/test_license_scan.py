@@ -164,3 +164,10 @@ def test_clashing_columns_come_through(spark):
 
 def test_empty_table(spark):
     assert license_scan.scan(spark.createDataFrame([], FILES)).count() == 0
+
+
+def test_terms_travel_without_their_texts_key(spark):
+    files = spark.createDataFrame([("a", "SPDX-License-Identifier: MIT"), ("b", "nothing")], "path string, text string")
+    plan = license_scan.best_matches(files, license_scan.TEMPLATES, license_scan.THRESHOLD)._jdf.queryExecution().optimizedPlan().toString()
+    grouped = [line for line in plan.splitlines() if "Aggregate [" in line and "pid#" in line]
+    assert grouped and not any("key#" in line for line in grouped)

@@ -78,11 +78,12 @@ def best_matches(files: DataFrame, templates: Templates, threshold: float) -> Da
     spark, wanted = files.sparkSession, template_terms(templates)
     texts = files.select(F.md5("text").alias("key"), "text").where("text IS NOT NULL")
     held = stored(passages(texts, templates).dropDuplicates(["key", "tid", "terms"]).withColumn("pid", F.monotonically_increasing_id()), "passages")
-    counted = held.select("key", "tid", "pid", F.explode("terms").alias("t")).groupBy("key", "tid", "pid", "t").agg(F.count("*").alias("n"))
+    # A passage's number stands for its text's key, which would be shuffled with each of its terms.
+    counted = held.select("tid", "pid", F.explode("terms").alias("t")).groupBy("tid", "pid", "t").agg(F.count("*").alias("n"))
     rows = [(tid, t, own.count(t)) for tid, (_, _, own) in enumerate(wanted) for t in sorted(set(own))]
     own = spark.createDataFrame(rows, "tid int, t string, k long")
     # Weights are needed for the terms of passages and templates alone; all files are counted for them.
-    needed = counted.select("t").unionByName(own.select("t")).unionByName(spark.createDataFrame([("",)], "t string")).distinct()
+    needed = held.select(F.explode("terms").alias("t")).unionByName(own.select("t")).unionByName(spark.createDataFrame([("",)], "t string")).distinct()
     df = stored(document_frequencies(files).join(needed, "t", "left_semi"), "df")
     n = (df.where("t = ''").first() or {"df": 0})["df"]
     share = F.coalesce("df", F.lit(0)) / F.lit(float(max(n, 1)))
@@ -92,7 +93,7 @@ def best_matches(files: DataFrame, templates: Templates, threshold: float) -> Da
     # A row for each term of a template: a bounded table.
     given = F.broadcast(given.join(norms, "tid").select("tid", "t", (F.col("k") * F.col("w") / F.col("norm")).alias("v")))
     cosine = F.round(F.sum(F.col("n") * F.col("w") * F.coalesce("v", F.lit(0.0))) / F.sqrt(F.sum(F.pow(F.col("n") * F.col("w"), 2))), 6)
-    scored = weigh(counted).join(given, ["tid", "t"], "left").groupBy("key", "tid", "pid").agg(cosine.alias("score")).where(F.col("score") >= threshold)
+    scored = weigh(counted).join(given, ["tid", "t"], "left").groupBy("tid", "pid").agg(cosine.alias("score")).where(F.col("score") >= threshold).join(held.select("pid", "key"), "pid")
     of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("tid") + 1)
     name = of([x[0] for x in wanted])
     rank = F.when(name == RESERVED, 2).when(of([len(x[2]) > NOTICE for x in wanted]) & (F.col("score") >= WHOLE), 0).otherwise(1)
