@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -64,3 +65,17 @@ def test_rows_of_files_are_not_stored_again(spark, tmp_path):
     got = bpe_codec.digest(docs, PATH, from_files=True).collect()
     assert common.written() == before
     assert sorted(got) == sorted(bpe_codec.digest(docs, PATH).collect())
+
+
+def test_blocks_are_bounded_in_documents_and_words():
+    """A word is shuffled once a block: 2,000 short documents are one. Long ones are cut by their words, so a block stays small."""
+    batch = lambda counts: pa.record_batch([pa.array(range(len(counts))), pa.array(range(len(counts))), pa.array([["a"] * n for n in counts])], ["row", "doc_id", "words"])
+    short = [(at, b.num_rows) for at, b in bpe_codec._blocks(iter([batch([3] * 2500)]))]
+    assert short == [(0, 2000), (2000, 500)]
+    half, most = bpe_codec.BLOCK_WORDS // 2, bpe_codec.BLOCK_WORDS
+    given = batch([1, half, half, 0, most + 5, 2, half])
+    for b in (given, given.slice(1)):  # a slice's offsets do not begin at zero
+        cut = [x for _, x in bpe_codec._blocks(iter([b]))]
+        assert pa.Table.from_batches(cut).equals(pa.Table.from_batches([b]))
+        assert all(len(x.column(2).flatten()) <= most or x.num_rows == 1 for x in cut)
+    assert [x.num_rows for _, x in bpe_codec._blocks(iter([given]))] == [2, 2, 1, 2]

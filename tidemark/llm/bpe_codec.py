@@ -32,8 +32,8 @@ from tidemark.llm.common import stored
 _BETWEEN = b"\xff"
 _WORDS = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("places", pa.binary()), ("words", pa.binary())])
 _CODES = pa.schema([("block", pa.int64()), ("places", pa.binary()), ("sizes", pa.binary()), ("codes", pa.binary())])
-#: Documents of a block at most.
-BLOCK = 500
+#: Documents of a block at most, and words unless one document has more. A word is shuffled once a block, so larger blocks shuffle less.
+BLOCK, BLOCK_WORDS = 2000, 1 << 20
 
 
 def added_tokens(path: str) -> list[str]:
@@ -71,9 +71,12 @@ def piece_bytes(path: str) -> list[bytes]:
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
     """Blocks of the stored words, each with the row number of its first row as its name."""
     for b in batches:
-        for lo in range(0, b.num_rows, BLOCK):
-            part = b.slice(lo, BLOCK)
+        ends, lo = b.column(2).offsets.to_numpy(), 0
+        while lo < b.num_rows:
+            fit = int(np.searchsorted(ends, ends[lo] + BLOCK_WORDS, side="right")) - 1 - lo
+            part = b.slice(lo, max(1, min(BLOCK, fit)))
             yield part.column(0)[0].as_py(), part
+            lo += part.num_rows
 
 
 def _pack(places: np.ndarray) -> bytes:
