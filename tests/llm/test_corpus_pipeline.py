@@ -6,7 +6,7 @@ from collections import Counter
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, quality_rules, simhash_dedup
+from tidemark.llm import common, mixing, quality_rules, simhash_dedup
 from tidemark.llm.common import table
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -122,6 +122,17 @@ def test_bands_led_by_a_third_text_lose_no_pair(spark):
         assert set(map(frozenset, groups.values())) == want
 
 
+def test_the_near_duplicate_stage_deletes_its_texts_sketches(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices("abcdefghij", k=40)), "en", "s", 0) for i in range(60)] + [(100, "a b c", "en", "s", 0), (101, "a b c", "en", "s", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    before = common.written()
+    out = simhash_dedup.near_groups(df)
+    left = [p.rsplit("/", 1)[1].split("-")[0] for p in common._handed_out[before:]]
+    assert "groups" in left and not {"sketches", "nodes", "bands", "counted", "shared", "pairs", "shingles", "rooted", "apart"} & set(left)
+    assert left.count("edges") <= 1 and out.count() == len(rows)
+
+
 def test_mixing_stage_takes_what_the_operator_says(spark):
     rng = random.Random(2)
     rows = [(i, "w " * rng.randint(1, 30), "en", rng.choice("abc"), 1) for i in range(200)] + [(5, "x y", "en", "a", 1)] * 3 + [(None, "x", None, None, 1)]

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected, shield, stored
+from tidemark.llm.common import connected, discard, shield, stored
 
 SEED = 42
 #: Keys with more fingerprints than this are linked through second wildcards instead of pairs.
@@ -257,7 +257,9 @@ def _still_apart(shared: DataFrame, roots: DataFrame) -> DataFrame:
     """The members of bands that hold more than one component, with their components."""
     rooted = stored(shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     apart = rooted.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
-    return stored(rooted.join(apart, "band"), "apart")
+    out = stored(rooted.join(apart, "band"), "apart")
+    discard(rooted)
+    return out
 
 
 def _rare_shingles(sets: DataFrame, similarity: float) -> DataFrame:
@@ -283,7 +285,8 @@ def _pairs_apart(members: DataFrame, nodes: DataFrame, sets: DataFrame, similari
     rare = _rare_shingles(sets.join(roots, "node", "left_semi"), similarity)
     held = stored(rare.join(roots, "node").join(nodes.select("node", "sketch"), "node"), "rare")
     once = held.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
-    held = stored(held.join(once, "h"), "rare")
+    wider, held = held, stored(held.join(once, "h"), "rare")
+    discard(wider)
     left = held.select("h", F.col("node").alias("a"), F.col("root").alias("x"), F.col("size").alias("m"), F.col("others").alias("c"), F.col("sketch").alias("p"), F.col("own").alias("f"), F.col("left").alias("i"))
     right = held.select("h", F.col("node").alias("b"), F.col("root").alias("y"), F.col("size").alias("n"), F.col("others").alias("d"), F.col("sketch").alias("q"), F.col("own").alias("g"), F.col("left").alias("j"))
     # What both have is at most what either has from their first common shingle on, and at most the
@@ -325,7 +328,8 @@ def near_groups(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8
     counted = stored(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "counted")
     shared = stored(banded.join(counted, "band"), "shared")
     fame = shared.groupBy("node").agg(F.sum("n").alias("fame"))
-    shared = stored(shared.join(fame, "node"), "shared")
+    plain, shared = shared, stored(shared.join(fame, "node"), "shared")
+    discard(banded, counted, plain)
     close = stored(links(nodes.select("fp").distinct()), "close")
     one = nodes.groupBy("fp").agg(F.min("node").alias("m"))
     same_fp = nodes.join(one, "fp").where("node <> m").select(F.col("node").alias("a"), F.col("m").alias("b"))
@@ -335,21 +339,28 @@ def near_groups(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8
     wanted = shared.select("node").unionByName(pairs.select(F.col("a").alias("node"))).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     sets = stored(_shingle_sets(docs, marked, wanted, shingle_words), "shingles")
     linked = stored(_verified(pairs, nodes, sets, similarity), "linked")
+    discard(pairs, close)
     roots = connected(linked)
     apart = _still_apart(shared, roots)
+    discard(shared)
     for turn in range(rounds):
         at = F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("n") / part)).alias("at")
         more = stored(_verified(_held_against_leaders(apart.select("*", at), "band", "at"), nodes, sets, similarity), "linked")
         if more.isEmpty():
             break
         linked = linked.unionByName(more)
+        discard(roots)
         roots = connected(linked)
-        apart = _still_apart(apart.select("band", "node", "n", "fame"), roots)
+        wider, apart = apart, _still_apart(apart.select("band", "node", "n", "fame"), roots)
+        discard(wider)
     more = stored(_verified(_pairs_apart(apart, nodes, sets, similarity), nodes, sets, similarity), "linked")
     if not more.isEmpty():
+        discard(roots)
         roots = connected(linked.unionByName(more))
     rows = marked.select("_sh_doc", "_sh_text", "node")
-    return rows.join(stored(roots, "roots"), "node", "left").select("_sh_doc", "_sh_text", F.coalesce("root", "node").alias("group"))
+    out = stored(rows.join(roots, "node", "left").select("_sh_doc", "_sh_text", F.coalesce("root", "node").alias("group")), "groups")
+    discard(marked, nodes, sets, linked, more, apart, roots)
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
