@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import struct
+import sys
 import zlib
 
 import public_tokenizers
@@ -108,3 +109,47 @@ def test_repeated_ids_spread(spark):
 
 def test_empty_table(spark):
     assert token_store.round_trip(spark.createDataFrame([], DOCS), PATH, 2).count() == 0
+
+
+def test_capitals_with_accents_of_their_own():
+    """h and a line below are one letter, but H and that line have none: a capital may only be lowered after the two were joined."""
+    whole, pieces = Tokenizer.from_file(PATH), token_store.PieceEncoder(PATH)
+    for text in ("H̱", "ẖ", "aH̱, b", "T̈,W̊ Y̊.", "J̌≠ J̌", "Å å Bc,D̸"):
+        want = whole.encode(text, add_special_tokens=False).ids
+        assert pieces.encode([text])[0] == struct.pack(f"<{len(want)}I", *want), repr(text)
+
+
+def test_texts_cut_together_encode_as_one_by_one(monkeypatch):
+    whole, pieces = Tokenizer.from_file(PATH), token_store.PieceEncoder(PATH)
+    alone = ["*", "<", "é", "|", "é,", ",é", "a,b;C--d 1,2", "A,'s b'.", "x*×y ÷,", "İ,K", "<|endoftext|>,A H̱ B,C", "a..'b", "ß.ß"]
+    for group in (1, 40, 1 << 20):
+        monkeypatch.setattr(token_store, "GROUP", group)
+        for texts_ in ([t] for t in alone):
+            assert pieces.encode(texts_)[0] == struct.pack(f"<{len(w := whole.encode(texts_[0], add_special_tokens=False).ids)}I", *w), texts_
+        for t, got in zip(alone + texts(), pieces.encode(alone + texts()), strict=True):
+            want = whole.encode(t or "", add_special_tokens=False).ids
+            assert got == struct.pack(f"<{len(want)}I", *want), repr(t)
+
+
+def test_new_words_cost_few_calls():
+    """Words are cut and encoded together: a new one costs two or three calls, not a chain of them."""
+    rng, pieces, calls = random.Random(8), token_store.PieceEncoder(PATH), 0
+    docs = [" ".join("".join(rng.choices("aeinorst", k=9)) + rng.choice(["", "", ",", "."]) for _ in range(100)) for _ in range(200)]
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        pieces.encode(docs)
+    finally:
+        sys.setprofile(None)
+    assert calls < 4 * 20_000
+
+
+def test_long_pieces_are_not_remembered():
+    """The memory is bounded in bytes, too: texts without blanks are long pieces."""
+    pieces = token_store.PieceEncoder(PATH)
+    pieces.encode(["中文" * 500, "word"])
+    assert max(map(len, pieces.pieces.now)) <= token_store.LONGEST

@@ -6,8 +6,9 @@ Bloom filter and row indexes, and the ascending order makes stripe and row-group
 disjoint, so a lookup of a document or a range touches few row groups and stripes are read in
 parallel. ``part`` and ``at`` place a row in the whole order without reading its ids.
 
-Texts are cut at ASCII blanks before encoding, which no token of the tokenizer crosses, and each
-worker keeps the ids of the pieces it has met.
+Texts are cut before encoding at ASCII blanks and beside ASCII marks, which no token of the
+tokenizer crosses. A group of texts is cut and put together again in vectors; each worker keeps the
+ids of the pieces it has met, and the new ones of a group are encoded in one call.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ import functools
 import json
 import re
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,17 +26,27 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import new_path
 
-#: Pieces and words that a worker remembers in a generation, of which it holds two at most.
-PIECES, WORDS = 300_000, 300_000
+#: Pieces that a worker remembers in a generation, of which it holds two at most; and how many new words one call of the tokenizer takes.
+PIECES, WORDS = 300_000, 5_000
+#: Bytes of the longest piece that is remembered; longer ones are encoded whenever a group has them.
+LONGEST = 64
+#: Bytes of text that are cut and encoded together; a longer text is alone.
+GROUP = 1 << 20
 #: Characters of a text that join the doc_id in the range bounds.
 HEAD = 128
 #: ASCII marks that end a word for the tokenizer (the apostrophe doesn't).
 _MARKS = b".,;:!?|%&*#$()\"-+=@"
-# Lower-case Latin letters, a-z and those of two bytes up to y with diaeresis, and a word of these in either A-Z case with marks behind it.
+# Lower-case Latin letters: a-z and those of two bytes up to y with diaeresis.
 _PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
-_PLAIN_PIECE = re.compile(rb"((?:[A-Za-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([" + re.escape(_MARKS) + rb"]*)").fullmatch
-# Byte-level alphabet: printable bytes stand for themselves, the others for the letters from 256 up.
+# What a byte is: a blank, a mark, an A-Z or a-z letter or a digit, the second byte of a Latin letter, or anything else.
+_BLANK, _MARK, _ALNUM, _SECOND, _ELSE = range(5)
+_KIND = np.full(256, _ELSE, np.uint8)
+for _kind, _of in ((_BLANK, b" \t\n\v\f\r"), (_MARK, _MARKS), (_ALNUM, bytes(b for b in range(128) if chr(b).isalnum())), (_SECOND, bytes([*range(0x9F, 0xB7), *range(0xB8, 0xC0)]))):
+    _KIND[list(_of)] = _kind
+_LOW = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+# Byte-level alphabet: printable bytes stand for themselves, the others for the letters from 256 up. Of a Latin letter's bytes, only these do.
 _BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
+_MOVED = [(chr(b), chr(letter)) for b, letter in _BYTE_LETTERS.items() if b >= 0x9F]
 _SCHEMA = "doc_id long, part int, at long, n_tokens long, ids array<int>"
 
 
@@ -49,66 +59,148 @@ def check_tokenizer(path: str) -> None:
         raise ValueError(f"{path} keeps white space, so texts can't be encoded piece by piece")
 
 
-class Memo(dict):
+class Memo:
     """What ``make`` gives for each key, remembered in two generations of ``limit`` keys: what was used since the older one was closed stays."""
 
-    def __init__(self, make: Callable[[bytes], bytes], limit: int) -> None:
-        super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
-
-    def __missing__(self, key: bytes) -> bytes:
-        found = self.old.pop(key, None)
-        if found is None:
-            found = self.make(key)
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        self[key] = found
+    def __init__(self, make: Callable[[list[bytes]], list[bytes]], limit: int) -> None:
+        self.make, self.limit, self.now, self.old = make, limit, {}, {}
+
+    def __len__(self) -> int:
+        return len(self.now)
+
+    def get(self, keys: list[bytes]) -> list[bytes]:
+        """The values of distinct keys. A generation outgrows ``limit`` only by keys of one call."""
+        found = list(map(self.now.get, keys))
+        holes = [i for i, x in enumerate(found) if x is None]
+        if len(self.now) + len(holes) > self.limit:
+            self.now, self.old, holes = {}, self.now, range(len(keys))
+        for i in holes:
+            found[i] = self.old.get(keys[i])
+        unmet = [i for i in holes if found[i] is None]
+        for i, x in zip(unmet, self.make([keys[i] for i in unmet]), strict=True):
+            found[i] = x
+        self.now.update({keys[i]: found[i] for i in holes if len(keys[i]) <= LONGEST})
         return found
 
 
+def cut(raw: np.ndarray, bounds: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of texts that lie end to end in ``raw``, A-Z lowered, and how many come before each of ``bounds``.
+
+    Texts are cut at blanks, and on both sides of all the marks between a Latin letter or a digit
+    and a blank, an end, A-Z or a digit: there the tokenizer cuts too. A blank-separated piece that
+    may hold a special token stays as it is, and so does one with accents of their own, which may
+    join a capital otherwise than its small letter.
+    """
+    kind, low, size = _KIND[raw], _LOW[raw], len(raw)
+    first = np.zeros(size + 1, bool)
+    first[bounds] = True
+    filled = kind != _BLANK
+    start = filled.copy()
+    start[1:] &= first[1:-1] | ~filled[:-1]
+    mark = kind == _MARK
+    edge = np.ones(size + 1, bool)  # the kind changes from or to a mark, or the text
+    edge[1:-1] = first[1:-1] | (mark[1:] != mark[:-1])
+    lo, hi = np.flatnonzero(mark & edge[:-1]), np.flatnonzero(mark & edge[1:]) + 1
+    before, after = kind[lo - 1], kind[np.minimum(hi, size - 1)]
+    cuts = ~first[lo] & ((before == _ALNUM) | ((before == _SECOND) & (raw[np.maximum(lo - 2, 0)] == 0xC3)))
+    cuts &= first[hi] | (after == _BLANK) | (after == _ALNUM)
+    odd = (raw == 0xCC) | (raw == 0xCD)
+    odd[:-1] |= (raw[:-1] == ord("<")) & (raw[1:] == ord("|"))
+    if odd.any():
+        whole = np.append(np.flatnonzero(start), size)
+        at = np.unique(np.searchsorted(whole, np.flatnonzero(odd), "right"))
+        keep = np.zeros(size + 1, np.int8)
+        keep[whole[at - 1]] += 1
+        keep[whole[at]] -= 1
+        kept = np.cumsum(keep[:-1], dtype=np.int8).astype(bool)
+        low[kept] = raw[kept]
+        cuts &= ~kept[lo]
+    start[lo[cuts]] = True
+    start[hi[cuts & ~first[hi]]] = True
+    start &= filled
+    offsets = np.append(np.flatnonzero(start[filled]), np.count_nonzero(filled)).astype(np.int32)
+    pieces = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(low[filled])])
+    return pieces, np.searchsorted(np.flatnonzero(start), bounds)
+
+
 class PieceEncoder:
-    """Encodes texts through the ids of their blank-separated pieces, as unsigned 32-bit bytes.
+    """Encodes texts through the ids of their pieces.
 
-    A piece that is a word with marks behind it is encoded as the A-Z-lowered word and the marks,
-    which the tokenizer also parts and lowers; so a word is encoded once whatever follows it.
+    The tokenizer parts marks from words and lowers letters, and so do the pieces: a word is encoded
+    once whatever its case and what follows it.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.merge = self.tokenizer.model.tokenize
-        self.words = Memo(self.word, WORDS)
-        self.pieces = Memo(self.piece, PIECES)
-
-    @staticmethod
-    def split(piece: bytes) -> tuple[bytes, bytes]:
-        if b"<|" in piece:  # may be a special token, which is matched as it stands
-            return piece, b""
-        word = piece.rstrip(_MARKS)
-        if word == piece or not word or not (word[-1:].isalnum() or word[-4:].decode(errors="ignore")[-1:].isalpha()):
-            return piece.lower(), b""
-        return word.lower(), piece[len(word) :]
-
-    def word(self, word: bytes) -> bytes:
-        # Lower-case Latin letters are what the steps before the merges leave them, so they go to the merges at once.
-        if _PLAIN(word):
-            return array("I", [t.id for t in self.merge(word.decode("latin-1").translate(_BYTE_LETTERS))]).tobytes()
-        return array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
-
-    def piece(self, piece: bytes) -> bytes:
-        plain = _PLAIN_PIECE(piece)
-        word, marks = plain.groups() if plain else self.split(piece)
-        found = self.words[word.lower() if plain else word]
-        return found + self.words[marks] if marks else found
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        # The merges alone, over words parted by blanks.
+        self.merges = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}))
+        for t in (self.tokenizer, self.merges):
+            t.no_truncation()
+            t.no_padding()
+        # The ids that a word ends with, where the model marks them.
+        suffix, vocab = spec["model"].get("end_of_word_suffix"), self.merges.get_vocab()
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)
+        if suffix:
+            self.closes[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        self.pieces = Memo(self.make, PIECES)
+
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words of lower-case Latin letters: the steps before the merges leave those as they are, so they go to the merges at once."""
+        letters = b" ".join(words).decode("latin-1")
+        for byte, letter in _MOVED:
+            letters = letters.replace(byte, letter)
+        ids = np.array(self.merges.encode_batch_fast([letters], add_special_tokens=False)[0].ids, np.uint32)
+        ends = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
+        if len(ends) != len(words):
+            return self.others(words)
+        flat = ids.tobytes()
+        return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def others(self, pieces: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
+        return [np.array(x.ids, np.uint32).tobytes() for x in found]
+
+    def make(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece, as unsigned 32-bit bytes; a call of the tokenizer takes at most ``WORDS`` of them."""
+        plain = [p for p in pieces if _PLAIN(p)]
+        other = list(set(pieces).difference(plain))
+        found: dict[bytes, bytes] = {}
+        for own, encode in ((plain, self.words), (other, self.others)):
+            for lo in range(0, len(own), WORDS):
+                some = own[lo : lo + WORDS]
+                found.update(zip(some, encode(some), strict=True))
+        return [found[p] for p in pieces]
+
+    def groups(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """By groups of texts: how many, all their ids, and the ids before each text and in all."""
+        if not len(texts):
+            return
+        texts = texts.cast(pa.binary()).fill_null(b"")
+        bounds = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        lo = 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + GROUP, "right")) - 1)
+            a, b = bounds[lo], bounds[hi]
+            if a == b:
+                yield hi - lo, np.zeros(0, np.int32), np.zeros(hi - lo + 1, np.int64)
+            else:
+                pieces, before = cut(np.frombuffer(texts.buffers()[2], np.uint8)[a:b], bounds[lo : hi + 1] - a)
+                coded = pieces.dictionary_encode()
+                ids = self.pieces.get(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+                ends = np.cumsum([0, *map(len, ids)]) // 4
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))]))
+                found = lists.take(coded.indices)
+                yield hi - lo, found.flatten().to_numpy(), found.offsets.to_numpy()[before].astype(np.int64)
+            lo = hi
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text."""
-        ids = self.pieces.__getitem__
-        return [b"".join(map(ids, t.encode().split())) if t else b"" for t in texts]
+        """The ids of each text, as unsigned 32-bit bytes."""
+        found = self.groups(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for _, ids, at in found for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 @functools.cache
@@ -126,7 +218,6 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, partitio
     """
     check_tokenizer(tokenizer_path)
     spark = docs.sparkSession
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -134,16 +225,15 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, partitio
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, part, at = encoder(tokenizer_path).encode, TaskContext.get().partitionId(), 0
+        groups, part, at = encoder(tokenizer_path).groups, TaskContext.get().partitionId(), 0
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                rows = b.slice(lo, 256)
-                ids = [x + end for x in encode(rows.column(1).to_pylist())]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
-                flat = pa.Array.from_buffers(pa.int32(), int(n.sum()), [None, pa.py_buffer(b"".join(ids))])
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(np.arange(at, at + len(n))), pa.array(n), lists], ["doc_id", "part", "at", "n_tokens", "ids"])
-                at += len(n)
+            lo = 0
+            for k, ids, before in groups(b.column(1)):
+                n = np.diff(before) + 1
+                flat = np.insert(ids, before[1:], end_id)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(flat, pa.int32()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, k), pa.array(np.full(k, part, np.int32)), pa.array(np.arange(at, at + k)), pa.array(n), lists], ["doc_id", "part", "at", "n_tokens", "ids"])
+                lo, at = lo + k, at + k
 
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # The head of the text parts rows that share an id, in the order that their whole texts have.
